@@ -17,3 +17,65 @@ def pivot_positions(value: str, dim: int, pos: str = "i", prefix: str = "emb_",
     """``max(CASE WHEN pos = k THEN value END) AS emb_{k-base}`` for every position."""
     return ",\n  ".join(
         f"{r6(f'max(CASE WHEN {pos} = {k + base} THEN {value} END)')} AS {prefix}{k}" for k in range(dim))
+
+
+def codon_map_sql() -> str:
+    """DuckDB map literal of the genetic code."""
+    from ..functions.codons import CODON_TABLE
+
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in CODON_TABLE.items()) + "}"
+
+
+def residue_map_sql() -> str:
+    """DuckDB map literal ``residue -> sorted codon list``."""
+    from ..functions.codons import residue_codons
+
+    items = ", ".join(f"'{r}': [" + ", ".join(f"'{c}'" for c in cs) + "]"
+                      for r, cs in residue_codons().items())
+    return "MAP {" + items + "}"
+
+
+def lookup_sql(codon: str) -> str:
+    return f"coalesce(({codon_map_sql()})[{codon}], 'X')"
+
+
+def base_sql(x: str, shift: int = 0) -> str:
+    return f"substr('ATCG', CAST((({x}) // {1000 * 4 ** shift}) % 4 + 1 AS INTEGER), 1)"
+
+
+def fires_sql(x: str, rate: float) -> str:
+    return f"(({x}) % 1000 < {int(round(rate * 1000))})"
+
+
+def point_mutation_sql(seq: str, row: str, it: str, rate: float, seed: int = 0) -> str:
+    from ..functions.draws import draw_sql
+
+    d = draw_sql(row, it, "p", seed)
+    return (f"CASE WHEN length({seq}) = 0 THEN {seq} ELSE array_to_string(list_transform("
+            f"list_transform(range(1, length({seq}) + 1), lambda p: {d}), "
+            f"lambda x, i: CASE WHEN {fires_sql('x', rate)} THEN {base_sql('x')} "
+            f"ELSE substr({seq}, i, 1) END), '') END")
+
+
+def codon_mutation_sql(seq: str, row: str, it: str, rate: float, seed: int = 0) -> str:
+    from ..functions.draws import draw_sql
+
+    d = draw_sql(row, it, "j", seed)
+    fresh = " || ".join(base_sql("x", s) for s in range(3))
+    return (f"array_to_string(list_transform(list_transform(regexp_extract_all({seq}, '.{{1,3}}'), "
+            f"lambda c, j: {{'c': c, 'x': {d}}}), lambda t: CASE WHEN {fires_sql('t.x', rate)} "
+            f"THEN {fresh.replace('x)', 't.x)')} ELSE t.c END), '')")
+
+
+def dna_to_aa_sql(seq: str) -> str:
+    return (f"array_to_string(list_transform(regexp_extract_all({seq}, '.{{1,3}}'), "
+            f"lambda c: {lookup_sql('c')}), '')")
+
+
+def aa_to_dna_sql(aa: str, row: str, it: str, seed: int = 0) -> str:
+    from ..functions.draws import draw_sql
+
+    d = draw_sql(row, it, "j", seed)
+    rm = residue_map_sql()
+    return (f"array_to_string(list_transform(string_split({aa}, ''), lambda r, j: "
+            f"CASE WHEN ({rm})[r] IS NULL THEN '' ELSE ({rm})[r][({d}) % len(({rm})[r]) + 1] END), '')")

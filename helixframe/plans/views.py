@@ -14,7 +14,7 @@ VIEWS: dict[str, str] = {
       FROM documents""",
     "logits": """
       SELECT vec_id AS row_id, label AS y,
-             list_transform(embedding[1:10], x -> CAST(x AS DOUBLE) * 10.0) AS z
+             list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * 10.0) AS z
       FROM embeddings""",
     "otu": """
       SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS sample_name, l_partkey AS otu_id,
