@@ -79,3 +79,11 @@ def aa_to_dna_sql(aa: str, row: str, it: str, seed: int = 0) -> str:
     rm = residue_map_sql()
     return (f"array_to_string(list_transform(string_split({aa}, ''), lambda r, j: "
             f"CASE WHEN ({rm})[r] IS NULL THEN '' ELSE ({rm})[r][({d}) % len(({rm})[r]) + 1] END), '')")
+
+
+def round_cols(df, cols: list[str], digits: int = 6):
+    """Spark side of :func:`r6` for the listed columns (order kept)."""
+    from pyspark.sql import functions as F
+
+    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if c in cols else F.col(c)
+                       for c in df.columns])
