@@ -97,12 +97,17 @@ def classification_report(df: DataFrame, y: str = "y", y_hat: str = "y_hat") ->
         F.struct(F.lit("accuracy").alias("row"), F.lit(None).cast("double").alias("precision"),
                  F.lit(None).cast("double").alias("recall"), (F.col("_tp") / F.col("_n")).alias("f1"),
                  F.col("_n").cast("bigint").alias("support")),
-        F.struct(F.lit("macro avg"), F.col("_mp"), F.col("_mr"), F.col("_mf"), F.col("_n").cast("bigint")),
-        F.struct(F.lit("weighted avg"), F.col("_wp"), F.col("_wr"), F.col("_wf"), F.col("_n").cast("bigint")),
+        _report_row("macro avg", "_mp", "_mr", "_mf"),
+        _report_row("weighted avg", "_wp", "_wr", "_wf"),
     )).alias("r")).select("r.*")
     return classes.unionByName(rows)
 
 
+def _report_row(name: str, p: str, r: str, f: str):
+    return F.struct(F.lit(name).alias("row"), F.col(p).alias("precision"), F.col(r).alias("recall"),
+                    F.col(f).alias("f1"), F.col("_n").cast("bigint").alias("support"))
+
+
 def confusion_matrix(df: DataFrame, labels: DataFrame, y: str = "y", y_hat: str = "y_hat",
                      label: str = "label") -> DataFrame:
     """A15 (long form): one row per ``(y, y_hat)`` over ``labels x labels``, zero cells included.
