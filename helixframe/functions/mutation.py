@@ -18,12 +18,13 @@ ATTACKS = ("nucl", "codon", "bt")
 def point_mutation(seq, row_id, iteration, rate: float = 0.1, seed: int = 0) -> Column:
     """each position is redrawn from ``ATCG`` with probability ``rate`` (length kept)."""
     s = _col(seq)
-    n = F.length(s)
-    xs = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))),
-                     lambda p: draw(row_id, iteration, p, seed))
-    bases = F.transform(xs, lambda x, i: F.when(fires(x, rate), base_of(x))
-                        .otherwise(s.substr(i + 1, F.lit(1))))
-    return F.when(n == 0, s).otherwise(F.array_join(bases, ""))
+    # one pass over the characters (indexing a string by position would rescan it)
+    bases = F.transform(F.split(s, ""), lambda ch, i: _redraw(ch, draw(row_id, iteration, i + 1, seed), rate))
+    return F.when(F.length(s) == 0, s).otherwise(F.array_join(bases, ""))
+
+
+def _redraw(ch: Column, x: Column, rate: float) -> Column:
+    return F.when(fires(x, rate), base_of(x)).otherwise(ch)
 
 
 def codon_mutation(seq, row_id, iteration, rate: float = 0.1, seed: int = 0) -> Column:

@@ -1,4 +1,4 @@
 """Imports every query module so that the registry is complete."""
 
-from . import q_labels, q_metrics, q_pooling, q_sequence  # noqa: F401
+from . import q_attack, q_labels, q_metrics, q_pooling, q_sequence  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401

@@ -50,11 +50,12 @@ def fires_sql(x: str, rate: float) -> str:
 def point_mutation_sql(seq: str, row: str, it: str, rate: float, seed: int = 0) -> str:
     from ..functions.draws import draw_sql
 
-    d = draw_sql(row, it, "p", seed)
+    d = draw_sql(row, it, "t[2]", seed)
     return (f"CASE WHEN length({seq}) = 0 THEN {seq} ELSE array_to_string(list_transform("
-            f"list_transform(range(1, length({seq}) + 1), lambda p: {d}), "
-            f"lambda x, i: CASE WHEN {fires_sql('x', rate)} THEN {base_sql('x')} "
-            f"ELSE substr({seq}, i, 1) END), '') END")
+            f"list_transform(list_zip(string_split({seq}, ''), range(1, length({seq}) + 1)), "
+            f"lambda t: {{'ch': t[1], 'x': {d}}}), "
+            f"lambda u: CASE WHEN {fires_sql('u.x', rate)} THEN {base_sql('u.x')} "
+            f"ELSE u.ch END), '') END")
 
 
 def codon_mutation_sql(seq: str, row: str, it: str, rate: float, seed: int = 0) -> str:
@@ -87,3 +88,34 @@ def round_cols(df, cols: list[str], digits: int = 6):
 
     return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if c in cols else F.col(c)
                        for c in df.columns])
+
+
+def draws_nested_sql(source: str, keep: list[str], row: str, it: str, positions: dict[str, str],
+                     seed: int = 0) -> str:
+    """``SELECT keep..., d_<name>...`` where each ``d_<name>`` is the draw at ``positions[name]``.
+
+    The five mixing steps run as nested projections so that every step is
+    evaluated once (no textual blow-up of the squared terms).
+    """
+    from ..functions.draws import K_ADD1, K_ADD2, K_ITER, K_MUL1, K_MUL2, K_POS, K_ROW, PRIME
+
+    names = list(positions)
+    k = ", ".join(keep)
+    q = (f"SELECT {k}, " + ", ".join(
+        f"(CAST({row} AS BIGINT) * {K_ROW} + CAST({it} AS BIGINT) * {K_ITER} + "
+        f"CAST({positions[n]} AS BIGINT) * {K_POS} + {seed}) % {PRIME} AS d_{n}" for n in names)
+        + f" FROM {source}")
+    steps = [f"(d_{{n}} * d_{{n}} + {K_ADD1}) % {PRIME}", f"(d_{{n}} * {K_MUL1}) % {PRIME}",
+             f"(d_{{n}} * d_{{n}} + {K_ADD2}) % {PRIME}", f"(d_{{n}} * {K_MUL2}) % {PRIME}"]
+    for st in steps:
+        q = f"SELECT {k}, " + ", ".join(st.format(n=n) + f" AS d_{n}" for n in names) + f" FROM ({q})"
+    return q
+
+
+def rule_weights_sql(n_classes: int, k: int = 3, seed: int = 0) -> str:
+    """DuckDB text of ``operators.scoring.rule_weights``: ``(idx, w0..)``."""
+    digits = " || ".join(f"substr('ACGT', CAST((idx // {4 ** (k - 1 - j)}) % 4 + 1 AS INTEGER), 1)"
+                         for j in range(k))
+    ws = ", ".join(f"('0x' || substr(md5(km || ':{c}:{seed}'), 1, 8))::BIGINT % 1001 - 500 AS w{c}"
+                   for c in range(n_classes))
+    return f"SELECT idx, {ws} FROM (SELECT idx, {digits} AS km FROM range(0, {4 ** k}) r(idx))"
