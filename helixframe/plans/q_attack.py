@@ -14,7 +14,7 @@ from ..operators import labels as L
 from ..operators.scoring import kmer_logits, predict, rule_weights
 from ..sources import standins as S
 from .registry import register
-from .sqlgen import draws_nested_sql, r6, rule_weights_sql
+from .sqlgen import draws_nested_sql, point_mutation_sql, r6, rule_weights_sql
 from .views import with_views
 
 K = 3
@@ -183,3 +183,136 @@ FROM w1 GROUP BY iteration""", _attack_ctes(_snap_iters()), W01_CTE)
 def a16_attack_success_rate(spark, sf_dir):
     r = A.success_rate_by(_w01_frame(spark, sf_dir), ["iteration"])
     return r.select("iteration", (F.round("success_rate", 6) + F.lit(0.0)).alias("success_rate"))
+
+
+# ---- W4 / W3: first success over 50 tries, snapshots --------------------------------------
+
+W04_CTES = (_attack_ctes(f"SELECT CAST(unnest(range(1, {MAX_ITER} + 1)) AS INTEGER) AS it"),
+            """hits AS (SELECT a.row_id, min(a.it) AS success_iteration, arg_min(a.y_atk, a.it) AS y_atk
+        FROM atk a JOIN base b ON a.row_id = b.row_id WHERE a.y_atk <> b.y GROUP BY a.row_id)""")
+
+
+def _w04_frames(spark, sf_dir):
+    s = labelled_seqs(spark, sf_dir)
+    found = A.first_success(s, "dna", "row_id", "y", _weights(spark), N_CLASSES, K, RATE, MAX_ITER, 10, SEED)
+    return s, found
+
+
+@register("w04_attack_50", _q(f"""SELECT b.row_id, b.y, CAST(h.success_iteration AS INTEGER) AS success_iteration, h.y_atk,
+  CASE WHEN h.success_iteration IS NULL THEN b.dna
+       ELSE {point_mutation_sql('b.dna', 'b.row_id', 'h.success_iteration', RATE)} END AS dna
+FROM base b LEFT JOIN hits h ON b.row_id = h.row_id""", *W04_CTES))
+def w04_attack_50(spark, sf_dir):
+    s, found = _w04_frames(spark, sf_dir)
+    out = A.attack_outcome(s, "dna", "row_id", "y", found, RATE, SEED)
+    return out.select("row_id", "y", F.col("success_iteration").cast("int").alias("success_iteration"),
+                      "y_atk", "dna")
+
+
+@register("w03_snapshots", _q(f"""SELECT b.row_id, CAST(t.it AS INTEGER) AS iteration,
+  coalesce(h.success_iteration <= t.it, false) AS success,
+  CASE WHEN coalesce(h.success_iteration <= t.it, false)
+       THEN {point_mutation_sql('b.dna', 'b.row_id', 'h.success_iteration', RATE)}
+       ELSE b.dna END AS dna
+FROM base b LEFT JOIN hits h ON b.row_id = h.row_id CROSS JOIN ({_snap_iters()}) t""", *W04_CTES))
+def w03_snapshots(spark, sf_dir):
+    s, found = _w04_frames(spark, sf_dir)
+    out = A.attack_outcome(s, "dna", "row_id", "y", found, RATE, SEED)
+    return A.snapshots(out, "dna", s, "row_id", SNAPSHOTS)
+
+
+@register("j06_unbroken_rows", _q("""SELECT b.row_id, b.y FROM base b
+WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.row_id = b.row_id)""", *W04_CTES))
+def j06_unbroken_rows(spark, sf_dir):
+    s, found = _w04_frames(spark, sf_dir)
+    return s.join(found, "row_id", "left_anti").select("row_id", "y")
+
+
+# ---- J8: pin rows from an earlier snapshot ---------------------------------------------------
+
+@register("j08_overwrite_rows", _q("""SELECT a.row_id, coalesce(p.y_atk, a.y_atk) AS y_atk,
+  CAST(coalesce(p.it, a.it) AS INTEGER) AS iteration
+FROM atk a LEFT JOIN (SELECT x.row_id, x.y_atk, x.it FROM atk x JOIN orig o ON x.row_id = o.row_id
+                      WHERE x.it = 10 AND o.y = o.y_orig AND o.y <> x.y_atk) p ON a.row_id = p.row_id
+WHERE a.it = 50""", _attack_ctes("SELECT * FROM (VALUES (10), (50)) v(it)")))
+def j08_overwrite_rows(spark, sf_dir):
+    o = with_original(spark, sf_dir)
+    att = A.attempts(o, "dna", "row_id", [10, 50], _weights(spark), N_CLASSES, K, RATE, SEED, with_text=False)
+    att = att.join(o.select("row_id", "y", "y_orig"), "row_id").withColumn(
+        "iteration", F.col("iteration").cast("int"))
+    last = att.where(F.col("iteration") == 50).select("row_id", "y_atk", "iteration")
+    patch = att.where((F.col("iteration") == 10) & (F.col("y") == F.col("y_orig")) &
+                      (F.col("y") != F.col("y_atk"))).select("row_id", "y_atk", "iteration")
+    return FR.overwrite(last, patch, "row_id")
+
+
+# ---- M10: before / after per snapshot ------------------------------------------------------
+
+M10_SQL = _q(f"""SELECT variant, iteration, {r6('accuracy')} AS accuracy, {r6('f1_macro')} AS f1_macro,
+  {r6('success_rate')} AS success_rate
+FROM (
+  SELECT 'attacked' AS variant, iteration, avg(CAST(y = y_atk AS DOUBLE)) AS accuracy FROM w1 GROUP BY iteration
+  UNION ALL
+  SELECT 'clean', iteration, (SELECT avg(CAST(y = y_orig AS DOUBLE)) FROM orig) FROM (SELECT DISTINCT iteration FROM w1)
+) acc
+JOIN (
+  SELECT 'attacked' AS variant, iteration, avg(f1) AS f1_macro FROM (
+    SELECT iteration, label, CASE WHEN sum(t) + sum(p) > 0 THEN 2.0::DOUBLE * sum(tp) / (sum(t) + sum(p)) ELSE 0.0 END AS f1
+    FROM (SELECT iteration, y AS label, CAST(y = y_atk AS BIGINT) AS tp, 1 AS t, 0 AS p FROM w1
+          UNION ALL SELECT iteration, y_atk, 0, 0, 1 FROM w1) GROUP BY iteration, label) GROUP BY iteration
+  UNION ALL
+  SELECT 'clean', i.iteration, f.f1_macro FROM (SELECT DISTINCT iteration FROM w1) i, (
+    SELECT avg(f1) AS f1_macro FROM (
+      SELECT label, CASE WHEN sum(t) + sum(p) > 0 THEN 2.0::DOUBLE * sum(tp) / (sum(t) + sum(p)) ELSE 0.0 END AS f1
+      FROM (SELECT y AS label, CAST(y = y_orig AS BIGINT) AS tp, 1 AS t, 0 AS p FROM orig
+            UNION ALL SELECT y_orig, 0, 0, 1 FROM orig) GROUP BY label)) f
+) f1 USING (variant, iteration)
+JOIN (
+  SELECT iteration, coalesce(CAST(count(*) FILTER (WHERE y = y_orig AND y <> y_atk) AS DOUBLE)
+         / nullif(count(*) FILTER (WHERE y = y_orig), 0), 0.0) AS success_rate FROM w1 GROUP BY iteration
+) sr USING (iteration)""", _attack_ctes(_snap_iters()), W01_CTE)
+
+
+@register("m10_before_after", M10_SQL)
+def m10_before_after(spark, sf_dir):
+    r = A.before_after(_w01_frame(spark, sf_dir), "iteration")
+    return r.select("variant", "iteration", *[(F.round(c, 6) + F.lit(0.0)).alias(c)
+                                              for c in ("accuracy", "f1_macro", "success_rate")])
+
+
+# ---- W2: cascade across mutation rates -------------------------------------------------------
+
+def _w02_sql() -> str:
+    steps = []
+    for i, r in enumerate(SWEEP):
+        steps.append(_attack_ctes("SELECT 1 AS it", rate=r, name=f"r{i}"))
+    union = "\nUNION ALL ".join(
+        f"SELECT {i} AS step, o.row_id, o.y, o.y_orig, a.y_atk, "
+        f"{point_mutation_sql('o.dna', 'o.row_id', '1', r)} AS seq "
+        f"FROM orig o JOIN r{i} a ON o.row_id = a.row_id" for i, r in enumerate(SWEEP))
+    body = f"""st AS ({union}),
+first0 AS (SELECT seq, arg_max(y, row_id) AS lab0 FROM st
+           WHERE step = 0 AND y = y_orig AND y <> y_atk GROUP BY seq),
+later AS (SELECT seq, arg_min({{'s': step, 'r': row_id, 'l': y}}, {{'s': step, 'r': row_id}}) AS e FROM st
+          WHERE step > 0 AND y <> y_atk GROUP BY seq)
+SELECT st.step, st.row_id, st.seq,
+  CASE WHEN st.step = 0 THEN st.y
+       WHEN f.lab0 IS NOT NULL THEN f.lab0
+       WHEN l.e IS NOT NULL AND (l.e.s < st.step OR (l.e.s = st.step AND l.e.r < st.row_id)) THEN l.e.l
+       ELSE st.y END AS y
+FROM st LEFT JOIN first0 f ON st.seq = f.seq LEFT JOIN later l ON st.seq = l.seq"""
+    head, tail = body.split("\nSELECT st.step", 1)
+    return _q("SELECT st.step" + tail, *steps, head)
+
+
+@register("w02_cascade", _w02_sql())
+def w02_cascade(spark, sf_dir):
+    o = with_original(spark, sf_dir)
+    steps = None
+    for i, r in enumerate(SWEEP):
+        att = A.attempts(o, "dna", "row_id", [1], _weights(spark), N_CLASSES, K, r, SEED, with_text=True)
+        st = att.join(o.select("row_id", "y", "y_orig"), "row_id").select(
+            F.lit(i).alias("step"), "row_id", "y", "y_orig", "y_atk", F.col("dna").alias("seq"))
+        steps = st if steps is None else steps.unionByName(st)
+    c = A.cascade(steps, text="seq")
+    return c.select("step", "row_id", "seq", "y")
