@@ -32,8 +32,10 @@ def draw(row_id, iteration, position, seed=0) -> Column:
     return (x * K_MUL2) % p
 
 
-def fires(x: Column, rate: float) -> Column:
-    """True with probability ``rate`` (in steps of 1/1000)."""
+def fires(x: Column, rate) -> Column:
+    """True with probability ``rate`` (a float or a Column; in steps of 1/1000)."""
+    if isinstance(rate, Column):
+        return (x % 1000) < F.round(rate * F.lit(1000)).cast("bigint")
     return (x % 1000) < F.lit(int(round(rate * 1000)))
 
 

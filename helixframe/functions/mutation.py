@@ -15,15 +15,15 @@ from .sequence import _col, aa_to_dna, codons, dna_to_aa
 ATTACKS = ("nucl", "codon", "bt")
 
 
-def point_mutation(seq, row_id, iteration, rate: float = 0.1, seed: int = 0) -> Column:
-    """each position is redrawn from ``ATCG`` with probability ``rate`` (length kept)."""
+def point_mutation(seq, row_id, iteration, rate=0.1, seed: int = 0) -> Column:
+    """each position is redrawn from ``ATCG`` with probability ``rate`` (float or Column; length kept)."""
     s = _col(seq)
     # one pass over the characters (indexing a string by position would rescan it)
     bases = F.transform(F.split(s, ""), lambda ch, i: _redraw(ch, draw(row_id, iteration, i + 1, seed), rate))
     return F.when(F.length(s) == 0, s).otherwise(F.array_join(bases, ""))
 
 
-def _redraw(ch: Column, x: Column, rate: float) -> Column:
+def _redraw(ch: Column, x: Column, rate) -> Column:
     return F.when(fires(x, rate), base_of(x)).otherwise(ch)
 
 

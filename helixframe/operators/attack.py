@@ -4,10 +4,10 @@ State that the reference keeps in driver dictionaries becomes keys:
 
 * W4 (first success over up to ``max_iter`` tries): a failed try leaves the
   sequence unchanged, so tries are independent functions of ``(row_id,
-  iteration)`` and run in parallel. Tries go in rounds; rows that succeeded
-  leave by ``left_anti`` join, and each round's (small) result is written with
-  a reliable ``checkpoint`` so later rounds never recompute earlier scoring and
-  a lost executor only re-runs its own tasks.
+  iteration)`` and run in parallel. Tries go in growing rounds; rows that
+  succeeded leave by ``left_anti`` join, and each round's (small) result is
+  written to the shared checkpoint folder, so later rounds never recompute
+  earlier scoring and a lost executor only re-runs its own tasks.
 * W1 (sticky first success over snapshots): a window per ``row_id`` whose
   frame runs from the first snapshot to the current one. A row id owns one row
   per snapshot, so no window partition can grow with the data.
@@ -17,11 +17,13 @@ State that the reference keeps in driver dictionaries becomes keys:
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.mutation import point_mutation
-from ..session import ensure_checkpoint_dir
+from ..session import materialize
+from ..sources.tables import spread
 from .scoring import attack_logits, kmer_logits, predict
 
 
@@ -46,19 +48,34 @@ def attempts(df: DataFrame, seq: str, row_id: str, iterations: list[int], weight
     return out
 
 
+def round_bounds(max_iter: int, schedule: tuple[int, ...] = (1, 4, 10, 35)) -> list[tuple[int, int]]:
+    """Iteration ranges of the rounds: sizes from ``schedule`` (the last one repeats) up to ``max_iter``."""
+    out, start, i = [], 1, 0
+    while start <= max_iter:
+        size = schedule[min(i, len(schedule) - 1)]
+        end = min(start + size - 1, max_iter)
+        out.append((start, end))
+        start, i = end + 1, i + 1
+    return out
+
+
 def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFrame, n_classes: int,
-                  k: int = 3, rate: float = 0.1, max_iter: int = 50, round_size: int = 10,
-                  seed: int = 0) -> DataFrame:
+                  k: int = 3, rate: float = 0.1, max_iter: int = 50,
+                  schedule: tuple[int, ...] = (1, 4, 10, 35), seed: int = 0) -> DataFrame:
     """Per row, the first try ``1..max_iter`` whose prediction differs from ``y``.
 
     Returns ``(row_id, success_iteration, y_atk)`` for the rows that were broken
     (rows never broken are absent: join back with ``left`` to keep them).
+    Rounds grow (``schedule``) because most rows break early: the first round
+    tries every row once, later rounds try only the rows still standing.
     """
-    ensure_checkpoint_dir(df.sparkSession)
-    pending = df.select(row_id, y, seq)
+    # The input is read once per round; keep it cached for the rounds (a cache,
+    # not a lineage cut: a lost block is recomputed from the source).
+    source = df.select(row_id, y, seq).persist(StorageLevel.MEMORY_AND_DISK)
+    pending = source
     found: DataFrame | None = None
-    for start in range(1, max_iter + 1, round_size):
-        end = min(start + round_size - 1, max_iter)
+    bounds = round_bounds(max_iter, schedule)
+    for n, (start, end) in enumerate(bounds):
         its = F.sequence(F.lit(start), F.lit(end))
         lg = attack_logits(pending, seq, row_id, its, weights, n_classes, k, rate, seed, keys=[y])
         hits = lg.select(row_id, "iteration", predict("logits").alias("y_atk"), y).where(
@@ -66,10 +83,11 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
         hits = hits.groupBy(row_id).agg(
             F.min("iteration").alias("success_iteration"),
             F.min_by("y_atk", "iteration").alias("y_atk"))
-        hits = hits.checkpoint(eager=True)  # reliable: cuts lineage, survives executor loss
+        hits = materialize(hits, f"round{n}")  # written table: cuts lineage, survives executor loss
         found = hits if found is None else found.unionByName(hits)
-        if end < max_iter:
+        if n + 1 < len(bounds):
             pending = pending.join(hits.select(row_id), row_id, "left_anti")  # J6: skip finished rows
+    source.unpersist()
     return found
 
 
@@ -114,6 +132,25 @@ def sticky_success(att: DataFrame, row_id: str = "row_id", iteration: str = "ite
     return out
 
 
+def rate_sweep_steps(df: DataFrame, seq: str, row_id: str, rates: tuple[float, ...], weights: DataFrame,
+                     n_classes: int, k: int = 3, seed: int = 0, iteration: int = 1) -> DataFrame:
+    """F14 + scoring: one attacked copy per rate, ``(row_id, step, rate, y_atk, seq)``.
+
+    Every step needs its attacked text, so the texts are built once (in
+    parallel over the rows), written to the checkpoint folder, and scored from
+    there; the (small) scores are joined back by ``(row_id, step)``.
+    """
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(float(r)).alias("rate"))
+                      for i, r in enumerate(rates)])
+    rows = spread(df.select(row_id, seq), row_id).select(row_id, seq, F.explode(steps).alias("_s"))
+    texts = rows.select(row_id, "_s.step", "_s.rate",
+                        point_mutation(seq, F.col(row_id), iteration, F.col("_s.rate"), seed).alias(seq))
+    texts = materialize(texts, "sweep")
+    lg = kmer_logits(texts, seq, [row_id, "step"], weights, n_classes, k)
+    scored = lg.select(row_id, "step", predict("logits").alias("y_atk"))
+    return texts.join(scored, [row_id, "step"]).select(row_id, "step", "rate", "y_atk", seq)
+
+
 def cascade(steps: DataFrame, text: str = "seq", row_id: str = "row_id", step: str = "step",
             label: str = "y", y_orig: str = "y_orig", y_atk: str = "y_atk") -> DataFrame:
     """Cascade successes across attack steps (rates), keyed by text.

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codons import BASE_ORDER, MUTATION_BASES
 from ..functions.draws import draw, fires
+from ..sources.tables import spread
 
 MAX_K = 8  # 4**8 = 65,536 weight rows: the broadcast bound
 
@@ -55,10 +56,7 @@ def rule_weights(spark: SparkSession, n_classes: int, k: int = 3, seed: int = 0)
 
 def base_code(byte: Column) -> Column:
     """One byte of an ASCII sequence: ``A C G T`` -> 0..3, anything else -> -1."""
-    code = F.lit(-1)
-    for i in reversed(range(len(BASE_ORDER))):
-        code = F.when(byte == F.lit(bytearray(BASE_ORDER[i].encode())), F.lit(i)).otherwise(code)
-    return code
+    return F.instr(F.lit(BASE_ORDER), byte.cast("string")) - 1
 
 
 def _byte_at(raw: Column, q: Column) -> Column:
@@ -67,7 +65,7 @@ def _byte_at(raw: Column, q: Column) -> Column:
     return raw.substr(q, F.lit(1))
 
 
-def _mutated_code(raw: Column, row_id: Column, iteration: Column, q: Column, rate: float, seed: int) -> Column:
+def _mutated_code(raw: Column, row_id: Column, iteration: Column, q: Column, rate, seed: int) -> Column:
     x = draw(row_id, iteration, q, seed)
     # code of MUTATION_BASES[j] in BASE_ORDER, for j = 0..3
     codes = F.array(*[F.lit(BASE_ORDER.index(b)) for b in MUTATION_BASES])
@@ -76,12 +74,17 @@ def _mutated_code(raw: Column, row_id: Column, iteration: Column, q: Column, rat
 
 
 def _index(codes: list[Column]) -> Column:
+    """k-mer index from base codes; null when any base is not ``ACGT``."""
     k = len(codes)
     idx = sum((c * F.lit(4 ** (k - 1 - j)) for j, c in enumerate(codes)), F.lit(0))
-    valid = None
-    for c in codes:
-        valid = (c >= 0) if valid is None else (valid & (c >= 0))
-    return F.when(valid, idx.cast("bigint"))
+    return F.when(F.least(*codes) >= 0, idx.cast("bigint")) if k > 1 else \
+        F.when(codes[0] >= 0, idx.cast("bigint"))
+
+
+def _with_codes(long: DataFrame, keep: list[str], codes: list[Column]) -> DataFrame:
+    """Project the base codes first and the k-mer index from them (small generated methods)."""
+    named = long.select(*keep, *[c.alias(f"_c{j}") for j, c in enumerate(codes)])
+    return named.select(*keep, _index([F.col(f"_c{j}") for j in range(len(codes))]).alias("idx"))
 
 
 def _positions(seq: Column, k: int) -> Column:
@@ -99,15 +102,16 @@ def _sum_logits(long: DataFrame, keys: list[str], weights: DataFrame, n_classes:
 def kmer_logits(df: DataFrame, seq: str, keys: list[str], weights: DataFrame, n_classes: int,
                 k: int = 3) -> DataFrame:
     """M8: ``(keys..., logits array<bigint>)`` for every row of ``df`` (short sequences score 0)."""
+    df = spread(df, keys[0])
     raw = F.col(seq).cast("binary").alias("_raw")
     long = df.select(*keys, raw).select(*keys, "_raw", F.explode_outer(_positions(F.col("_raw"), k)).alias("_p"))
     codes = [base_code(_byte_at(F.col("_raw"), F.col("_p") + j)) for j in range(k)]
-    long = long.select(*keys, _index(codes).alias("idx"))
+    long = _with_codes(long, keys, codes)
     return _sum_logits(long, keys, weights, n_classes)
 
 
 def attack_logits(df: DataFrame, seq: str, row_id: str, iterations: Column, weights: DataFrame,
-                  n_classes: int, k: int = 3, rate: float = 0.1, seed: int = 0,
+                  n_classes: int, k: int = 3, rate=0.1, seed: int = 0,
                   keys: list[str] | None = None) -> DataFrame:
     """Logits of ``point_mutation(seq, row_id, it, rate)`` for every ``it`` in ``iterations``.
 
@@ -115,12 +119,13 @@ def attack_logits(df: DataFrame, seq: str, row_id: str, iterations: Column, weig
     without building them.
     """
     keys = keys or []
+    df = spread(df, row_id)
     raw, rid = F.col("_raw"), F.col(row_id)
     rows = df.select(row_id, *keys, F.col(seq).cast("binary").alias("_raw"), F.explode(iterations).alias("iteration"))
     long = rows.select(row_id, "iteration", *keys, "_raw", F.explode_outer(_positions(raw, k)).alias("_p"))
     it = F.col("iteration")
     codes = [_mutated_code(raw, rid, it, F.col("_p") + j, rate, seed) for j in range(k)]
-    long = long.select(row_id, "iteration", *keys, _index(codes).alias("idx"))
+    long = _with_codes(long, [row_id, "iteration", *keys], codes)
     return _sum_logits(long, [row_id, "iteration", *keys], weights, n_classes)
 
 

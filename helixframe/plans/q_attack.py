@@ -12,6 +12,7 @@ from ..operators import attack as A
 from ..operators import frames as FR
 from ..operators import labels as L
 from ..operators.scoring import kmer_logits, predict, rule_weights
+from ..session import materialize
 from ..sources import standins as S
 from .registry import register
 from .sqlgen import draws_nested_sql, point_mutation_sql, r6, rule_weights_sql
@@ -194,7 +195,7 @@ W04_CTES = (_attack_ctes(f"SELECT CAST(unnest(range(1, {MAX_ITER} + 1)) AS INTEG
 
 def _w04_frames(spark, sf_dir):
     s = labelled_seqs(spark, sf_dir)
-    found = A.first_success(s, "dna", "row_id", "y", _weights(spark), N_CLASSES, K, RATE, MAX_ITER, 10, SEED)
+    found = A.first_success(s, "dna", "row_id", "y", _weights(spark), N_CLASSES, K, RATE, MAX_ITER, seed=SEED)
     return s, found
 
 
@@ -307,12 +308,9 @@ FROM st LEFT JOIN first0 f ON st.seq = f.seq LEFT JOIN later l ON st.seq = l.seq
 
 @register("w02_cascade", _w02_sql())
 def w02_cascade(spark, sf_dir):
-    o = with_original(spark, sf_dir)
-    steps = None
-    for i, r in enumerate(SWEEP):
-        att = A.attempts(o, "dna", "row_id", [1], _weights(spark), N_CLASSES, K, r, SEED, with_text=True)
-        st = att.join(o.select("row_id", "y", "y_orig"), "row_id").select(
-            F.lit(i).alias("step"), "row_id", "y", "y_orig", "y_atk", F.col("dna").alias("seq"))
-        steps = st if steps is None else steps.unionByName(st)
-    c = A.cascade(steps, text="seq")
+    o = materialize(with_original(spark, sf_dir).select("row_id", "dna", "y", "y_orig"), "original")
+    st = A.rate_sweep_steps(o, "dna", "row_id", SWEEP, _weights(spark), N_CLASSES, K, SEED)
+    st = st.join(o.select("row_id", "y", "y_orig"), "row_id").select(
+        "step", "row_id", "y", "y_orig", "y_atk", F.col("dna").alias("seq"))
+    c = A.cascade(st, text="seq")
     return c.select("step", "row_id", "seq", "y")

@@ -52,3 +52,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
     sc.setCheckpointDir(tempfile.mkdtemp(prefix="helix-ckpt-"))
     return sc.getCheckpointDir()
+
+
+def materialize(df, name: str = "part"):
+    """Write ``df`` as parquet under the checkpoint folder and read it back.
+
+    One job computes and writes the data (an RDD ``checkpoint`` computes it a
+    second time to write it unless it was cached). The result has no lineage
+    behind it, so a lost executor never re-runs the plan that produced it.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    root = ensure_checkpoint_dir(spark)
+    path = f"{root.rstrip('/')}/helix-{uuid.uuid4().hex}/{name}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)

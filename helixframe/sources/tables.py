@@ -1,7 +1,8 @@
 """Driver tables.
 
 Each driver table is one parquet file with one row group, so a scan yields one
-partition. CPU-heavy operators (per-base mutation, k-mer scoring) would then
+partition (and small intermediate tables read back from parquet coalesce into
+one partition too). CPU-heavy operators (per-base mutation, k-mer scoring) would then
 run in one task; ``spread`` hash-partitions such a scan by its key so work is
 spread over the cluster *and* later ``groupBy(key, ...)`` reuse the
 partitioning without another exchange. When a scan already has enough
