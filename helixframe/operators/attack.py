@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mutation import point_mutation
+from ..functions.mutation import point_mutation_batch
 from ..session import materialize
 from ..sources.tables import spread
 from .scoring import attack_logits, kmer_logits, predict
@@ -44,7 +44,7 @@ def attempts(df: DataFrame, seq: str, row_id: str, iterations: list[int], weight
     if with_text:
         texts = df.select(row_id, seq)
         out = out.join(texts, row_id).withColumn(
-            seq, point_mutation(seq, F.col(row_id), F.col("iteration"), rate, seed))
+            seq, point_mutation_batch(seq, F.col(row_id), F.col("iteration"), rate, seed))
     return out
 
 
@@ -96,7 +96,7 @@ def attack_outcome(df: DataFrame, seq: str, row_id: str, y: str, found: DataFram
     """Every row with its final text: the mutated text of its first success, else the original."""
     j = df.select(row_id, y, seq).join(found, row_id, "left")
     it = F.col("success_iteration")
-    final = F.when(it.isNull(), F.col(seq)).otherwise(point_mutation(seq, F.col(row_id), it, rate, seed))
+    final = F.when(it.isNull(), F.col(seq)).otherwise(point_mutation_batch(seq, F.col(row_id), it, rate, seed))
     return j.select(row_id, y, "success_iteration", "y_atk", final.alias(seq))
 
 
@@ -144,7 +144,7 @@ def rate_sweep_steps(df: DataFrame, seq: str, row_id: str, rates: tuple[float, .
                       for i, r in enumerate(rates)])
     rows = spread(df.select(row_id, seq), row_id).select(row_id, seq, F.explode(steps).alias("_s"))
     texts = rows.select(row_id, "_s.step", "_s.rate",
-                        point_mutation(seq, F.col(row_id), iteration, F.col("_s.rate"), seed).alias(seq))
+                        point_mutation_batch(seq, F.col(row_id), iteration, F.col("_s.rate"), seed).alias(seq))
     texts = materialize(texts, "sweep")
     lg = kmer_logits(texts, seq, [row_id, "step"], weights, n_classes, k)
     scored = lg.select(row_id, "step", predict("logits").alias("y_atk"))

@@ -97,7 +97,7 @@ def f08_aa_to_dna(spark, sf_dir):
 SELECT row_id, {point_mutation_sql('dna', 'row_id', '1', RATE)} AS seq FROM seqs"""))
 def f09_point_mutation(spark, sf_dir):
     return S.seqs(spark, sf_dir).select(
-        "row_id", M.point_mutation("dna", F.col("row_id"), 1, RATE).alias("seq"))
+        "row_id", M.point_mutation_batch("dna", F.col("row_id"), 1, RATE).alias("seq"))
 
 
 @register("f10_codon_mutation", with_views("seqs", f"""
@@ -162,7 +162,7 @@ def _f14_sql() -> str:
 def f14_rate_sweep(spark, sf_dir):
     s = S.seqs(spark, sf_dir)
     arms = [s.select("row_id", F.lit(r).alias("rate"),
-                     M.point_mutation("dna", F.col("row_id"), 1, r).alias("seq")) for r in RATES]
+                     M.point_mutation_batch("dna", F.col("row_id"), 1, r).alias("seq")) for r in RATES]
     out = arms[0]
     for a in arms[1:]:
         out = out.unionByName(a)
