@@ -75,7 +75,7 @@ def _mutate_batch(seqs, rows, its, rates, seed: int):
     from .draws import draw_np
 
     out = pd.Series([None] * len(seqs), index=seqs.index, dtype=object)
-    ok = seqs.notna().to_numpy()
+    ok = (seqs.notna() & rows.notna() & its.notna() & rates.notna()).to_numpy()
     if not ok.any():
         return out
     s = seqs[ok]
