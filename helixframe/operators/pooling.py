@@ -15,6 +15,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import join_checked
+
 WIDE_LIMIT = 256  # above this many positions, per-position columns give way to Summarizer
 
 
@@ -76,7 +78,8 @@ def attention_pool(df: DataFrame, key: str = "sample_name", vec: str = "emb",
     Softmax attention over a set in which vector ``x`` appears ``m = int(abundance)``
     times equals attention over the distinct vectors with weights ``m * exp(q.x)``.
     The per-group maximum of ``q.x`` is subtracted for stability: a first
-    aggregate (partial + final, skew safe) finds it, and a join brings it back.
+    aggregate (partial + final, skew safe) finds it, and a join brings it back
+    (broadcast after a size check: one row per group).
     Groups whose multiplicities sum to 0 are dropped. ``heads`` outputs are
     concatenated.
     """
@@ -89,8 +92,9 @@ def attention_pool(df: DataFrame, key: str = "sample_name", vec: str = "emb",
         s = sum((F.col(vec)[i].cast("double") * F.lit(q[i]) for i in range(dim)), F.lit(0.0))
         scored = base.withColumn("_s", s / F.lit(math.sqrt(dim)))
         top = scored.groupBy(key).agg(F.max("_s").alias("_top"))
-        ww = F.col("_m") * F.exp(F.col("_s") - F.col("_top"))
-        pooled = _position_sums(scored.join(top, key), key, vec, dim, ww)
+        weighted = join_checked(scored, top, key).select(
+            key, vec, (F.col("_m") * F.exp(F.col("_s") - F.col("_top"))).alias("_ww"))
+        pooled = _position_sums(weighted, key, vec, dim, F.col("_ww"))
         outs.append(pooled.select(key, *[(F.col(f"_s{i}") / F.col("_w")).alias(f"_h{h}_{i}")
                                        for i in range(dim)]))
     res = outs[0]
