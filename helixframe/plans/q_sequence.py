@@ -121,10 +121,11 @@ def _f12_sql() -> str:
     # Compounding point mutations keep the length; position p ends with the base
     # of the last iteration whose draw fired there, or its own base.
     last = (f"list_max(list_filter(range(1, {F12_ITERS} + 1), lambda i: "
-            f"{fires_sql(draw_sql('row_id', 'i', 'p'), RATE)}))")
+            f"{fires_sql(draw_sql('row_id', 'i', 'z[2]'), RATE)}))")
     body = (f"CASE WHEN length(dna) = 0 THEN dna ELSE array_to_string(list_transform("
-            f"list_transform(range(1, length(dna) + 1), lambda p: {{'p': p, 'i': {last}}}), "
-            f"lambda t: CASE WHEN t.i IS NULL THEN substr(dna, t.p, 1) ELSE "
+            f"list_transform(list_zip(string_split(dna, ''), range(1, length(dna) + 1)), "
+            f"lambda z: {{'ch': z[1], 'p': z[2], 'i': {last}}}), "
+            f"lambda t: CASE WHEN t.i IS NULL THEN t.ch ELSE "
             f"{base_sql(draw_sql('row_id', 't.i', 't.p'))} END), '') END")
     return with_views("seqs", f"SELECT row_id, {body} AS seq FROM seqs")
 
