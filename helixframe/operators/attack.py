@@ -23,7 +23,6 @@ from pyspark.sql import functions as F
 
 from ..functions.mutation import point_mutation_batch
 from ..session import materialize
-from ..sources.tables import spread
 from .scoring import attack_logits, kmer_logits, predict
 
 
@@ -142,10 +141,10 @@ def rate_sweep_steps(df: DataFrame, seq: str, row_id: str, rates: tuple[float, .
     """
     steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(float(r)).alias("rate"))
                       for i, r in enumerate(rates)])
-    rows = spread(df.select(row_id, seq), row_id).select(row_id, seq, F.explode(steps).alias("_s"))
+    rows = df.select(row_id, seq, F.explode(steps).alias("_s"))
     texts = rows.select(row_id, "_s.step", "_s.rate",
                         point_mutation_batch(seq, F.col(row_id), iteration, F.col("_s.rate"), seed).alias(seq))
-    texts = materialize(texts, "sweep")
+    texts = materialize(texts, "sweep", key=row_id)
     lg = kmer_logits(texts, seq, [row_id, "step"], weights, n_classes, k)
     scored = lg.select(row_id, "step", predict("logits").alias("y_atk"))
     return texts.join(scored, [row_id, "step"]).select(row_id, "step", "rate", "y_atk", seq)

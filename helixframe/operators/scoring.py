@@ -11,8 +11,8 @@ the k-mer index is plain arithmetic inside whole-stage codegen, the weights
 are a broadcast join against a ``4**k``-row table (a proven bound), and the
 per-sequence sums are a partial/final hash aggregate keyed by the sequence
 key, so only ``C`` sums per sequence and task are shuffled. When the input is
-already hash-partitioned by the key (``sources.tables.spread``) the aggregate
-adds no exchange at all.
+already hash-partitioned by the key (``sources.tables.spread`` on the scan)
+the aggregate adds no exchange at all.
 
 The attack scorer fuses point mutation into the same long form: the mutated
 base at position ``q`` is a pure function of ``(row_id, iteration, q)``, so
@@ -27,7 +27,6 @@ from pyspark.sql import functions as F
 
 from ..functions.codons import BASE_ORDER, MUTATION_BASES
 from ..functions.draws import draw, fires
-from ..sources.tables import spread
 
 MAX_K = 8  # 4**8 = 65,536 weight rows: the broadcast bound
 
@@ -102,7 +101,6 @@ def _sum_logits(long: DataFrame, keys: list[str], weights: DataFrame, n_classes:
 def kmer_logits(df: DataFrame, seq: str, keys: list[str], weights: DataFrame, n_classes: int,
                 k: int = 3) -> DataFrame:
     """M8: ``(keys..., logits array<bigint>)`` for every row of ``df`` (short sequences score 0)."""
-    df = spread(df, keys[0])
     raw = F.col(seq).cast("binary").alias("_raw")
     long = df.select(*keys, raw).select(*keys, "_raw", F.explode_outer(_positions(F.col("_raw"), k)).alias("_p"))
     codes = [base_code(_byte_at(F.col("_raw"), F.col("_p") + j)) for j in range(k)]
@@ -119,7 +117,6 @@ def attack_logits(df: DataFrame, seq: str, row_id: str, iterations: Column, weig
     without building them.
     """
     keys = keys or []
-    df = spread(df, row_id)
     raw, rid = F.col("_raw"), F.col(row_id)
     rows = df.select(row_id, *keys, F.col(seq).cast("binary").alias("_raw"), F.explode(iterations).alias("iteration"))
     long = rows.select(row_id, "iteration", *keys, "_raw", F.explode_outer(_positions(raw, k)).alias("_p"))

@@ -15,7 +15,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.tables import spread
 
 # Special token ids (pad, unknown, class, separator), ids 0-3.
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
@@ -24,7 +23,7 @@ FIRST_ID = 4
 
 def kmers(df: DataFrame, seq: str, key: str, k: int = 6) -> DataFrame:
     """K1 (long form): ``(key, pos, kmer)`` for every overlapping k-mer (1-based position)."""
-    d = spread(df, key).select(key, F.col(seq).cast("binary").alias("_raw"))
+    d = df.select(key, F.col(seq).cast("binary").alias("_raw"))
     n = F.length("_raw") - F.lit(k - 1)
     pos = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
     e = d.select(key, "_raw", F.explode(pos).alias("pos"))
@@ -52,7 +51,7 @@ def encode(df: DataFrame, seq: str, key: str, vocab: DataFrame, k: int = 6) -> D
     ids = j.groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("_t"))
     out = ids.select(key, F.transform("_t", lambda t: t["id"]).alias("ids"))
     # sequences shorter than k have no k-mer: an empty id list
-    return spread(df, key).select(key).join(out, key, "left").select(
+    return df.select(key).join(out, key, "left").select(
         key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
 
 

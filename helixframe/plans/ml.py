@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 
 from ..operators import labels as L
 from ..session import ensure_checkpoint_dir
-from ..sources.tables import spread
 
 
 def hash_unit(key: Column, seed: int = 42) -> Column:

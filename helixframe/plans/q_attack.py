@@ -317,7 +317,7 @@ FROM st LEFT JOIN first0 f ON st.seq = f.seq LEFT JOIN later l ON st.seq = l.seq
 
 @register("w02_cascade", _w02_sql())
 def w02_cascade(spark, sf_dir):
-    o = materialize(with_original(spark, sf_dir).select("row_id", "dna", "y", "y_orig"), "original")
+    o = materialize(with_original(spark, sf_dir).select("row_id", "dna", "y", "y_orig"), "original", key="row_id")
     st = A.rate_sweep_steps(o, "dna", "row_id", SWEEP, _weights(spark), N_CLASSES, K, SEED)
     st = st.join(o.select("row_id", "y", "y_orig"), "row_id").select(
         "step", "row_id", "y", "y_orig", "y_atk", F.col("dna").alias("seq"))

@@ -54,12 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def materialize(df, name: str = "part"):
+def materialize(df, name: str = "part", key: str | None = None):
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
     One job computes and writes the data (an RDD ``checkpoint`` computes it a
     second time to write it unless it was cached). The result has no lineage
     behind it, so a lost executor never re-runs the plan that produced it.
+    With ``key``, a read-back that lands in too few partitions is spread by it.
     """
     import uuid
 
@@ -67,7 +68,12 @@ def materialize(df, name: str = "part"):
     root = ensure_checkpoint_dir(spark)
     path = f"{root.rstrip('/')}/helix-{uuid.uuid4().hex}/{name}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    back = spark.read.parquet(path)
+    if key is None:
+        return back
+    from .sources.tables import spread
+
+    return spread(back, key)  # a small table reads back as one partition
 
 
 BROADCAST_MAX_ROWS = 2_000_000

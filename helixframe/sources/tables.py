@@ -25,9 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(df: DataFrame, key: str | None = None, min_partitions: int | None = None) -> DataFrame:
-    """Hash-partition ``df`` by ``key`` when it has fewer partitions than the cluster has cores.
+    """Hash-partition a *scan* by ``key`` when it has fewer partitions than the shuffle parallelism.
 
-    Reading the partition count is planning metadata only (file listing), not a job.
+    Apply it to file scans only: there the partition count is planning metadata
+    (file listing), while on a plan with exchanges adaptive execution would have
+    to run the stages to know it.
     """
     spark = df.sparkSession
     target = min_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
