@@ -28,7 +28,7 @@ SWEEP = (0.1, 0.2, 0.3, 0.4, 0.5)
 
 
 def _dictionary(spark, sf_dir):
-    s = S.seqs(spark, sf_dir)
+    s = S.seqs(spark, sf_dir, parallel=False)
     return L.ids_by_first_appearance(s.where(F.col("split") == "train"), "label_name")
 
 

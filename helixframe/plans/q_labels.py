@@ -17,7 +17,7 @@ TRAIN_DICT_SQL = """d AS (SELECT label_name, CAST(row_number() OVER (ORDER BY mi
 
 
 def train_dictionary(spark, sf_dir):
-    s = S.seqs(spark, sf_dir)
+    s = S.seqs(spark, sf_dir, parallel=False)
     return L.ids_by_first_appearance(s.where(F.col("split") == "train"), "label_name")
 
 

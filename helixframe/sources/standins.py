@@ -30,9 +30,15 @@ def split_of(row_id: Column) -> Column:
             .otherwise(F.lit("test")))
 
 
-def seqs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``seqs(row_id, dna, label_name, split)`` from ``documents``: one sequence per document."""
-    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"), "doc_id")
+def seqs(spark: SparkSession, sf_dir: str, parallel: bool = True) -> DataFrame:
+    """``seqs(row_id, dna, label_name, split)`` from ``documents``: one sequence per document.
+
+    ``parallel`` spreads the scan by ``doc_id`` for the CPU-heavy per-base work;
+    light uses (dictionaries, counts) read the scan as it is.
+    """
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    if parallel:
+        docs = spread(docs, "doc_id")
     return docs.select(
         F.col("doc_id").alias("row_id"),
         text_to_dna(F.col("text")).alias("dna"),
