@@ -159,6 +159,9 @@ def cascade(steps: DataFrame, text: str = "seq", row_id: str = "row_id", step: s
     record, for a text not yet recorded, the first row (in ``(step, row_id)``
     order) whose prediction differs from its label. A row of a later step whose
     text is already recorded at that point takes the recorded label.
+    
+    ``steps`` is read three times (two aggregates and the join): pass a
+    materialised table, not a plan that scores sequences.
     """
     s0 = steps.where((F.col(step) == 0) & (F.col(label) == F.col(y_orig)) & (F.col(label) != F.col(y_atk)))
     first = s0.groupBy(text).agg(F.max_by(label, row_id).alias("_lab0"))

@@ -43,10 +43,15 @@ def _weights(spark):
 
 
 def with_original(spark, sf_dir):
-    """``(row_id, dna, y, split, y_orig)``: the victim's prediction on the clean text."""
+    """``(row_id, dna, y, split, y_orig)``: the victim's prediction on the clean text.
+
+    Written once to the checkpoint folder: every attack query reads it several
+    times (truth, clean prediction, attacked copies), and an inner join with the
+    scores cannot be pruned away, so a lazy plan would score the texts again each time.
+    """
     s = labelled_seqs(spark, sf_dir)
     orig = A.score(s, "dna", "row_id", _weights(spark), N_CLASSES, K, out="y_orig")
-    return s.join(orig, "row_id")
+    return materialize(s.join(orig, "row_id"), "original", key="row_id")
 
 
 # ---- DuckDB text ---------------------------------------------------------------------------
@@ -248,8 +253,8 @@ WHERE a.it = 50""", _attack_ctes("SELECT * FROM (VALUES (10), (50)) v(it)")))
 def j08_overwrite_rows(spark, sf_dir):
     o = with_original(spark, sf_dir)
     att = A.attempts(o, "dna", "row_id", [10, 50], _weights(spark), N_CLASSES, K, RATE, SEED, with_text=False)
-    att = att.join(o.select("row_id", "y", "y_orig"), "row_id").withColumn(
-        "iteration", F.col("iteration").cast("int"))
+    att = materialize(att.join(o.select("row_id", "y", "y_orig"), "row_id").withColumn(
+        "iteration", F.col("iteration").cast("int")), "attempts")
     last = att.where(F.col("iteration") == 50).select("row_id", "y_atk", "iteration")
     patch = att.where((F.col("iteration") == 10) & (F.col("y") == F.col("y_orig")) &
                       (F.col("y") != F.col("y_atk"))).select("row_id", "y_atk", "iteration")
@@ -285,7 +290,7 @@ JOIN (
 
 @register("m10_before_after", M10_SQL)
 def m10_before_after(spark, sf_dir):
-    r = A.before_after(_w01_frame(spark, sf_dir), "iteration")
+    r = A.before_after(materialize(_w01_frame(spark, sf_dir), "snapshots"), "iteration")
     return r.select("variant", "iteration", *[(F.round(c, 6) + F.lit(0.0)).alias(c)
                                               for c in ("accuracy", "f1_macro", "success_rate")])
 
@@ -317,9 +322,11 @@ FROM st LEFT JOIN first0 f ON st.seq = f.seq LEFT JOIN later l ON st.seq = l.seq
 
 @register("w02_cascade", _w02_sql())
 def w02_cascade(spark, sf_dir):
-    o = materialize(with_original(spark, sf_dir).select("row_id", "dna", "y", "y_orig"), "original", key="row_id")
+    o = with_original(spark, sf_dir).select("row_id", "dna", "y", "y_orig")
     st = A.rate_sweep_steps(o, "dna", "row_id", SWEEP, _weights(spark), N_CLASSES, K, SEED)
     st = st.join(o.select("row_id", "y", "y_orig"), "row_id").select(
         "step", "row_id", "y", "y_orig", "y_atk", F.col("dna").alias("seq"))
+    # the cascade reads the steps three times: score them once
+    st = materialize(st, "steps")
     c = A.cascade(st, text="seq")
     return c.select("step", "row_id", "seq", "y")
