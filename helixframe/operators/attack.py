@@ -21,7 +21,7 @@ from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.mutation import point_mutation_batch
+from ..functions.mutation import ATTACKS, mutate, point_mutation_batch
 from ..session import materialize
 from .scoring import attack_logits, kmer_logits, predict
 
@@ -60,23 +60,35 @@ def round_bounds(max_iter: int, schedule: tuple[int, ...] = (1, 4, 10, 35)) -> l
 
 def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFrame, n_classes: int,
                   k: int = 3, rate: float = 0.1, max_iter: int = 50,
-                  schedule: tuple[int, ...] = (1, 4, 10, 35), seed: int = 0) -> DataFrame:
+                  schedule: tuple[int, ...] = (1, 4, 10, 35), seed: int = 0, attack: str = "nucl",
+                  require_correct: bool = False, y_orig: str | None = None) -> DataFrame:
     """Per row, the first try ``1..max_iter`` whose prediction differs from ``y``.
 
     Returns ``(row_id, success_iteration, y_atk)`` for the rows that were broken
     (rows never broken are absent: join back with ``left`` to keep them).
     Rounds grow (``schedule``) because most rows break early: the first round
     tries every row once, later rounds try only the rows still standing.
+    ``attack`` is ``nucl`` (scored without building texts), ``codon`` or ``bt``
+    (texts built per try, then scored). With ``require_correct`` only rows whose
+    clean prediction ``y_orig`` is right are attacked.
     """
+    if attack not in ATTACKS:
+        raise ValueError(f"unknown attack {attack!r}")
+    base = df.where(F.col(y) == F.col(y_orig)) if require_correct else df
     # The input is read once per round; keep it cached for the rounds (a cache,
     # not a lineage cut: a lost block is recomputed from the source).
-    source = df.select(row_id, y, seq).persist(StorageLevel.MEMORY_AND_DISK)
+    source = base.select(row_id, y, seq).persist(StorageLevel.MEMORY_AND_DISK)
     pending = source
     found: DataFrame | None = None
     bounds = round_bounds(max_iter, schedule)
     for n, (start, end) in enumerate(bounds):
         its = F.sequence(F.lit(start), F.lit(end))
-        lg = attack_logits(pending, seq, row_id, its, weights, n_classes, k, rate, seed, keys=[y])
+        if attack == "nucl":
+            lg = attack_logits(pending, seq, row_id, its, weights, n_classes, k, rate, seed, keys=[y])
+        else:
+            tries = pending.select(row_id, y, F.explode(its).alias("iteration"), seq)
+            tries = tries.withColumn(seq, mutate(attack, seq, F.col(row_id), F.col("iteration"), rate, seed))
+            lg = kmer_logits(tries, seq, [row_id, "iteration", y], weights, n_classes, k)
         hits = lg.select(row_id, "iteration", predict("logits").alias("y_atk"), y).where(
             F.col("y_atk") != F.col(y))
         hits = hits.groupBy(row_id).agg(
@@ -91,11 +103,13 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
 
 
 def attack_outcome(df: DataFrame, seq: str, row_id: str, y: str, found: DataFrame,
-                   rate: float = 0.1, seed: int = 0) -> DataFrame:
+                   rate: float = 0.1, seed: int = 0, attack: str = "nucl") -> DataFrame:
     """Every row with its final text: the mutated text of its first success, else the original."""
     j = df.select(row_id, y, seq).join(found, row_id, "left")
     it = F.col("success_iteration")
-    final = F.when(it.isNull(), F.col(seq)).otherwise(point_mutation_batch(seq, F.col(row_id), it, rate, seed))
+    mutated = (point_mutation_batch(seq, F.col(row_id), it, rate, seed) if attack == "nucl"
+               else mutate(attack, seq, F.col(row_id), it, rate, seed))
+    final = F.when(it.isNull(), F.col(seq)).otherwise(mutated)
     return j.select(row_id, y, "success_iteration", "y_atk", final.alias(seq))
 
 

@@ -330,3 +330,48 @@ def w02_cascade(spark, sf_dir):
     st = materialize(st, "steps")
     c = A.cascade(st, text="seq")
     return c.select("step", "row_id", "seq", "y")
+
+
+# ---- W4 with the codon attack (texts built per try, then scored) ----------------------------
+
+def _text_score_ctes(name: str, texts_sql: str) -> str:
+    """``{name}(row_id, it, y_atk)`` scoring the texts of ``texts_sql`` (columns row_id, it, txt)."""
+    valid = " AND ".join(f"codes[p + {j}] >= 0" for j in range(K))
+    idx = " + ".join(f"codes[p + {j}] * {4 ** (K - 1 - j)}" for j in range(K))
+    return f"""{name}_tx AS ({texts_sql}),
+{name}_cd AS (SELECT row_id, it, list_transform(string_split(txt, ''), lambda ch: instr('ACGT', ch) - 1) AS codes
+              FROM {name}_tx),
+{name}_kp AS (SELECT row_id, it, codes, unnest(range(1, len(codes) - {K - 2})) AS p FROM {name}_cd),
+{name}_ki AS (SELECT row_id, it, CASE WHEN {valid} THEN {idx} END AS idx FROM {name}_kp),
+{name}_lg AS (SELECT t.row_id, t.it, {_logit_cols()} FROM {name}_tx t
+   LEFT JOIN {name}_ki ki ON t.row_id = ki.row_id AND t.it = ki.it
+   LEFT JOIN w ON ki.idx = w.idx GROUP BY t.row_id, t.it),
+{name} AS (SELECT row_id, it, {_argmax()} AS y_atk FROM {name}_lg)"""
+
+
+def _w04_codon_sql() -> str:
+    from .sqlgen import codon_mutation_sql
+
+    first = _text_score_ctes("cfirst", f"SELECT row_id, 1 AS it, {codon_mutation_sql('dna', 'row_id', '1', RATE)} AS txt FROM base")
+    standing = "cstanding AS (SELECT f.row_id FROM cfirst f JOIN base b ON f.row_id = b.row_id WHERE f.y_atk = b.y)"
+    rest = _text_score_ctes("crest", f"""SELECT b.row_id, t.it, {codon_mutation_sql('b.dna', 'b.row_id', 't.it', RATE)} AS txt
+        FROM base b, (SELECT CAST(unnest(range(2, {MAX_ITER} + 1)) AS INTEGER) AS it) t
+        WHERE b.row_id IN (SELECT row_id FROM cstanding)""")
+    hits = """chits AS (SELECT a.row_id, min(a.it) AS success_iteration, arg_min(a.y_atk, a.it) AS y_atk
+        FROM (SELECT * FROM cfirst UNION ALL SELECT * FROM crest) a JOIN base b ON a.row_id = b.row_id
+        WHERE a.y_atk <> b.y GROUP BY a.row_id)"""
+    body = f"""SELECT b.row_id, b.y, CAST(h.success_iteration AS INTEGER) AS success_iteration, h.y_atk,
+  CASE WHEN h.success_iteration IS NULL THEN b.dna
+       ELSE {codon_mutation_sql('b.dna', 'b.row_id', 'h.success_iteration', RATE)} END AS dna
+FROM base b LEFT JOIN chits h ON b.row_id = h.row_id"""
+    return _q(body, first, standing, rest, hits)
+
+
+@register("w04_codon_attack_50", _w04_codon_sql())
+def w04_codon_attack_50(spark, sf_dir):
+    s = labelled_seqs(spark, sf_dir)
+    found = A.first_success(s, "dna", "row_id", "y", _weights(spark), N_CLASSES, K, RATE, MAX_ITER, seed=SEED,
+                            attack="codon")
+    out = A.attack_outcome(s, "dna", "row_id", "y", found, RATE, SEED, attack="codon")
+    return out.select("row_id", "y", F.col("success_iteration").cast("int").alias("success_iteration"),
+                      "y_atk", "dna")

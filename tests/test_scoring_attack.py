@@ -84,3 +84,25 @@ def test_split_exact_size(spark, n):
                      df.select("row_id", ml.hash_unit(F.col("row_id"), 42).alias("h")).collect()), key=lambda t: t)
     want = {r for _, r in hashed[: -(-n * 2 // 10)]}
     assert {r for r, s in rows.items() if s == "test"} == want
+
+
+def test_first_success_text_path_equals_fused(spark, monkeypatch):
+    """The generic (text-building) W4 path must agree with the fused point-mutation path."""
+    import helixframe.functions.mutation as MU
+    df = fixture(spark, 25, 9)
+    w = rule_weights(spark, 4, 3)
+    fused = {tuple(r) for r in A.first_success(df, "dna", "row_id", "y", w, 4, 3, 0.1, 8, (1, 3)).collect()}
+    monkeypatch.setattr(A, "mutate", lambda kind, *a: MU.point_mutation(*a))
+    textual = {tuple(r) for r in A.first_success(df, "dna", "row_id", "y", w, 4, 3, 0.1, 8, (1, 3),
+                                                 attack="codon").collect()}
+    assert fused == textual
+
+
+def test_first_success_codon_and_require_correct(spark):
+    df = fixture(spark, 20, 11).withColumn("y_orig", F.col("y"))
+    w = rule_weights(spark, 4, 3)
+    got = A.first_success(df, "dna", "row_id", "y", w, 4, 3, 0.3, 5, attack="codon")
+    assert got.count() >= 1
+    none = A.first_success(df.withColumn("y_orig", F.col("y") + 1), "dna", "row_id", "y", w, 4, 3, 0.3, 5,
+                           require_correct=True, y_orig="y_orig")
+    assert none.count() == 0
