@@ -12,3 +12,22 @@ Every operator is a plain function over DataFrames or Columns:
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_by_value() -> None:
+    """Pickle this package's functions by value inside UDFs.
+
+    Python workers need not have the package installed or on their path (an
+    Arrow UDF defined here would otherwise fail with ``No module named``).
+    """
+    import sys
+
+    try:
+        from pyspark import cloudpickle
+
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 - older cloudpickle: workers must import the package
+        pass
+
+
+_ship_by_value()

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .draws import base_of, draw, fires
+from .codons import MUTATION_BASES
+from .draws import base_of, draw, draw_np, fires
 from .sequence import _col, aa_to_dna, codons, dna_to_aa
 
 ATTACKS = ("nucl", "codon", "bt")
@@ -71,9 +72,6 @@ def repeated_attack(kind: str, seq, row_id, iterations: int, rate: float = 0.1,
 def _mutate_batch(seqs, rows, its, rates, seed: int):
     import numpy as np
 
-    from .codons import MUTATION_BASES
-    from .draws import draw_np
-
     out = pd.Series([None] * len(seqs), index=seqs.index, dtype=object)
     ok = (seqs.notna() & rows.notna() & its.notna() & rates.notna()).to_numpy()
     if not ok.any():
