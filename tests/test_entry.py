@@ -43,3 +43,23 @@ def test_oracle_agrees(spark, name):
     dcols = [d[0] for d in cur.description]
     assert sorted(df.columns) == sorted(dcols)
     assert canon([tuple(r) for r in df.collect()], df.columns) == canon(cur.fetchall(), dcols)
+
+
+def test_udf_queries_run_where_the_package_is_not_importable(tmp_path):
+    """Python workers start in another folder: the Arrow UDFs must not need to import the package."""
+    import os
+    import subprocess
+    import sys
+
+    repo = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    script = tmp_path / "run.py"
+    script.write_text(
+        "import sys\n"
+        f"sys.path.insert(0, {repo!r})\n"
+        "from pyspark.sql import SparkSession\n"
+        "spark = SparkSession.builder.master('local[2]').config('spark.ui.enabled', 'false')"
+        ".config('spark.ui.showConsoleProgress', 'false').getOrCreate()\n"
+        "import __spark_entry__ as E\n"
+        f"print('ROWS', E.queries()['f09_point_mutation'](spark, {SF!r}).count())\n")
+    out = subprocess.run([sys.executable, str(script)], cwd=tmp_path, capture_output=True, text=True, timeout=600)
+    assert "ROWS 200" in out.stdout, out.stderr[-2000:]
