@@ -349,12 +349,18 @@ def _text_score_ctes(name: str, texts_sql: str) -> str:
 {name} AS (SELECT row_id, it, {_argmax()} AS y_atk FROM {name}_lg)"""
 
 
-def _w04_codon_sql() -> str:
-    from .sqlgen import codon_mutation_sql
+def _text_attack_sql(kind: str, seq: str, row: str, it: str) -> str:
+    from .sqlgen import aa_to_dna_sql, codon_mutation_sql, dna_to_aa_sql
 
-    first = _text_score_ctes("cfirst", f"SELECT row_id, 1 AS it, {codon_mutation_sql('dna', 'row_id', '1', RATE)} AS txt FROM base")
+    if kind == "codon":
+        return codon_mutation_sql(seq, row, it, RATE)
+    return aa_to_dna_sql(dna_to_aa_sql(seq), row, it)
+
+
+def _w04_text_sql(kind: str) -> str:
+    first = _text_score_ctes("cfirst", f"SELECT row_id, 1 AS it, {_text_attack_sql(kind, 'dna', 'row_id', '1')} AS txt FROM base")
     standing = "cstanding AS (SELECT f.row_id FROM cfirst f JOIN base b ON f.row_id = b.row_id WHERE f.y_atk = b.y)"
-    rest = _text_score_ctes("crest", f"""SELECT b.row_id, t.it, {codon_mutation_sql('b.dna', 'b.row_id', 't.it', RATE)} AS txt
+    rest = _text_score_ctes("crest", f"""SELECT b.row_id, t.it, {_text_attack_sql(kind, 'b.dna', 'b.row_id', 't.it')} AS txt
         FROM base b, (SELECT CAST(unnest(range(2, {MAX_ITER} + 1)) AS INTEGER) AS it) t
         WHERE b.row_id IN (SELECT row_id FROM cstanding)""")
     hits = """chits AS (SELECT a.row_id, min(a.it) AS success_iteration, arg_min(a.y_atk, a.it) AS y_atk
@@ -362,16 +368,25 @@ def _w04_codon_sql() -> str:
         WHERE a.y_atk <> b.y GROUP BY a.row_id)"""
     body = f"""SELECT b.row_id, b.y, CAST(h.success_iteration AS INTEGER) AS success_iteration, h.y_atk,
   CASE WHEN h.success_iteration IS NULL THEN b.dna
-       ELSE {codon_mutation_sql('b.dna', 'b.row_id', 'h.success_iteration', RATE)} END AS dna
+       ELSE {_text_attack_sql(kind, 'b.dna', 'b.row_id', 'h.success_iteration')} END AS dna
 FROM base b LEFT JOIN chits h ON b.row_id = h.row_id"""
     return _q(body, first, standing, rest, hits)
 
 
-@register("w04_codon_attack_50", _w04_codon_sql())
-def w04_codon_attack_50(spark, sf_dir):
+def _w04_text(spark, sf_dir, kind: str):
     s = labelled_seqs(spark, sf_dir)
     found = A.first_success(s, "dna", "row_id", "y", _weights(spark), N_CLASSES, K, RATE, MAX_ITER, seed=SEED,
-                            attack="codon")
-    out = A.attack_outcome(s, "dna", "row_id", "y", found, RATE, SEED, attack="codon")
+                            attack=kind)
+    out = A.attack_outcome(s, "dna", "row_id", "y", found, RATE, SEED, attack=kind)
     return out.select("row_id", "y", F.col("success_iteration").cast("int").alias("success_iteration"),
                       "y_atk", "dna")
+
+
+@register("w04_codon_attack_50", _w04_text_sql("codon"))
+def w04_codon_attack_50(spark, sf_dir):
+    return _w04_text(spark, sf_dir, "codon")
+
+
+@register("w04_bt_attack_50", _w04_text_sql("bt"))
+def w04_bt_attack_50(spark, sf_dir):
+    return _w04_text(spark, sf_dir, "bt")
