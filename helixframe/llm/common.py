@@ -76,8 +76,8 @@ def map_columns(df: DataFrame, column: str, fields: list[tuple[str, T.DataType]]
             for part in slices(batch, column, limit):
                 made = fn(part)
                 arrays = [part.column(c).cast(arrow.field(c).type) for c in kept]
-                arrays += [a if isinstance(a, pa.Array) and a.type == arrow.field(n).type
-                           else pa.array(a, arrow.field(n).type) for (n, _), a in zip(fields, made, strict=True)]
+                arrays += [a.cast(arrow.field(n).type) if isinstance(a, pa.Array) else pa.array(a, arrow.field(n).type)
+                           for (n, _), a in zip(fields, made, strict=True)]
                 yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
     return source.mapInArrow(run, schema)
