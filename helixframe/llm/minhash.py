@@ -97,8 +97,8 @@ def sketch(docs: DataFrame, text: str = "text", keep: list[str] | None = None, s
                                     ("keys", T.ArrayType(T.LongType()))], start, limit=8 << 20, keep=keep)
 
 
-def class_texts(docs: DataFrame, text: str, size: int) -> DataFrame:
-    """(class_key, text) of every row with words, for confirming links."""
+def class_keys(docs: DataFrame, text: str, size: int, name: str) -> DataFrame:
+    """Append the class key of every row's text (null without words) as column ``name``."""
 
     def start():
         hashes = Substrings()
@@ -110,8 +110,7 @@ def class_texts(docs: DataFrame, text: str, size: int) -> DataFrame:
 
         return fn
 
-    made = map_columns(docs.select(text), text, [("class_key", T.BinaryType())], start, limit=8 << 20)
-    return made.where("class_key is not null").select("class_key", F.col(text).alias("text"))
+    return map_columns(docs, text, [(name, T.BinaryType())], start, limit=8 << 20)
 
 
 def postings(classes: DataFrame, scratch: Scratch) -> DataFrame:
@@ -187,7 +186,7 @@ def near_classes(docs: DataFrame, text: str = "text", size: int = SIZE, percent:
     posts = postings(classes, scratch)
     able = posts.select("class_key").distinct()
     signed = scratch.keep(classes.join(able, "class_key", "left_semi"), "signed")
-    texts = class_texts(rows, "text", size).join(able, "class_key", "left_semi")
+    texts = class_keys(rows.select("text"), "text", size, "class_key").join(able, "class_key", "left_semi")
     texts = scratch.keep(texts.groupBy("class_key").agg(F.min("text").alias("text")), "texts")
     roots, links = None, None
     for step in range(LEADER_ROUNDS + 1):
@@ -232,3 +231,21 @@ def deduplicate(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     component = F.when(F.col("class_key").isNull(), F.col("id")).otherwise(F.col("component_id"))
     return out.select(F.col("id").alias(key), "n_shingles", component.alias("component_id"),
                       F.col("id").eqNullSafe(component).alias("kept"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SIZE,
+             percent: int = PERCENT) -> DataFrame:
+    """The rows of ``docs`` that stay: of every component the row with the least id; wordless rows all stay.
+
+    Of rows that repeat the id and the shingle set of a kept row, one stays.
+    """
+    rows, _ = near_classes(docs, text, size, percent, key)
+    first = (rows.where("component_key is not null").groupBy("component_key")
+             .agg(F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "class_key")).alias("w"))
+             .select(F.col("w.id").alias("_id"), F.col("w.class_key").alias("_class"), F.lit(True).alias("_first")))
+    made = class_keys(docs, text, size, "_class_of")
+    joined = made.join(first, made[key].eqNullSafe(first["_id"]) & (made["_class_of"] == first["_class"]), "left")
+    stay = joined.where("_class_of is null or _first")
+    # rows without words are not copies of each other
+    alone = F.when(F.col("_class_of").isNull(), F.monotonically_increasing_id())
+    return stay.withColumn("_alone", alone).dropDuplicates([key, "_class_of", "_alone"]).select(docs.columns)

@@ -357,11 +357,12 @@ def ranges(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return later.unionByName(merged).unionByName(strings)
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                   keep: list[str] | None = None) -> DataFrame:
-    """Per row: the key column (and ``keep``), ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` and ``kept`` (bytes).
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None,
+                   as_text: bool = False) -> DataFrame:
+    """Per row: the key column (and ``keep``), ``n_bytes``, ``n_removed``, ``n_spans``, ``spans`` and ``kept``.
 
-    ``spans`` are the maximal removed byte ranges.
+    ``spans`` are the maximal removed byte ranges; ``kept`` the other bytes. With ``as_text`` it is a string (null for
+    a null text): the whole characters of each kept run, since a cut may fall inside a character.
     """
     scratch = Scratch(docs.sparkSession, "suffixes")
     rows = _rows(docs, key, text)
@@ -391,7 +392,11 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
                 out[1].append(sum(b - a for a, b in spans))
                 out[2].append(len(spans))
                 out[3].append([{"start": a, "stop": b} for a, b in spans])
-                out[4].append(b"".join(data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)))
+                runs = [data[a:b] for a, b in zip(ends[::2], ends[1::2], strict=True)]
+                if not as_text:
+                    out[4].append(b"".join(runs))
+                else:
+                    out[4].append("".join(r.decode("utf-8", "ignore") for r in runs) if value.is_valid else None)
             return out
 
         return fn
@@ -399,5 +404,5 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text",
     span = T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())])
     return map_columns(joined, "text", [("n_bytes", T.LongType()), ("n_removed", T.LongType()),
                                         ("n_spans", T.LongType()), ("spans", T.ArrayType(span)),
-                                        ("kept", T.BinaryType())], start, limit=8 << 20, keep=[*others, key, "cut"]
+                                        ("kept", T.StringType() if as_text else T.BinaryType())], start, limit=8 << 20, keep=[*others, key, "cut"]
                        ).drop("cut")
