@@ -113,11 +113,20 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     rows, y = rows[order], y[order]
     idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))).astype(np.float32) + 1
     weighted = _unit(rows * idf)
-    values, axes = np.linalg.eigh((weighted.T @ weighted).astype(np.float64))
-    basis = axes[:, ::-1][:, :min(rank, len(rows))].astype(np.float32)
+    basis = _leading(weighted.astype(np.float64), min(rank, len(rows))).astype(np.float32)
     return {"projection": idf[:, None] * basis, "vectors": _unit(weighted @ basis), "labels": y.astype(np.float32)}
 
 
+def _leading(rows: np.ndarray, rank: int, rounds: int = 6) -> np.ndarray:
+    """Leading right singular vectors by subspace iteration from a fixed start."""
+    rng = np.random.Generator(np.random.PCG64(5))
+    basis = rng.standard_normal((rows.shape[1], min(rank + 16, rows.shape[1])))
+    for _ in range(rounds):
+        basis, _ = np.linalg.qr(rows.T @ (rows @ basis))
+    _, _, turn = np.linalg.svd(rows @ basis, full_matrices=False)
+    return (basis @ turn.T)[:, :rank]
+
+
 def vote(rows: np.ndarray, model: dict, neighbours: int = NEIGHBOURS) -> np.ndarray:
     """Share of label 1 among the nearest labelled vectors, weighted by cosine."""
     labels = model["labels"]
