@@ -169,6 +169,12 @@ def blocks(page: str) -> list[Block]:
     return out
 
 
+def containers(b: Block) -> list[tuple[str, ...]]:
+    top = next((i for i, step in enumerate(b.path) if step in CONTENT), None) if b.content else None
+    return [b.path[:i] for i in range(len(b.path) - 1 if top is None else min(top + 1, len(b.path) - 1), len(b.path))
+            ] or [b.path[:-1]]
+
+
 def content_text(page: str | None) -> str:
     """Main text of one page."""
     found = blocks(page) if page else []
@@ -189,13 +195,14 @@ def content_text(page: str | None) -> str:
         before = line[i - 1][1] if i else own
         after = line[i + 1][1] if i + 1 < len(line) else own
         smooth.setdefault(b.path, []).append(0.25 * before + 0.5 * own + 0.25 * after)
-    # container: the enclosing path with all text below it
+    # container: the enclosing path with all text below it; inside an article, every path up to the article's own
     below: dict[tuple[str, ...], list[float]] = {}
     for b in found:
         if not b.furniture:
-            t = below.setdefault(b.path[:-1], [0.0, 0.0])
-            t[0] += len(b.text) * ratio[b.path]
-            t[1] += len(b.text)
+            for c in containers(b):
+                t = below.setdefault(c, [0.0, 0.0])
+                t[0] += len(b.text) * ratio[b.path]
+                t[1] += len(b.text)
     fused: dict[tuple[str, ...], float] = {}
     for b in found:
         if b.path in fused:
@@ -203,8 +210,7 @@ def content_text(page: str | None) -> str:
         if b.furniture:
             fused[b.path] = 0.0
             continue
-        total, size = below[b.path[:-1]]
-        container = total / size if size else 0.0
+        container = max(total / size for total, size in map(below.get, containers(b)))
         mean = sum(smooth[b.path]) / len(smooth[b.path])
         fused[b.path] = math.sqrt(max(mean, container) * container) * (CONTENT_WEIGHT if b.content else 1.0)
     bar = SHARE * max(fused.values())
