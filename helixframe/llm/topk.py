@@ -64,7 +64,7 @@ def scores(rows: np.ndarray, queries: np.ndarray, top: float) -> np.ndarray:
     if float(np.abs(a).max()) * top * width < 2.0**53:
         return (a @ b.T).astype(np.int64)
     whole = lambda m: np.array([[int(x) for x in row] for row in m], dtype=object)
-    return (whole(a) @ whole(b).T).astype(np.int64)
+    return np.clip(whole(a) @ whole(b).T, LOW, HIGH).astype(np.int64)  # a long holds no more
 
 
 def _each(df: DataFrame, schema: str, block, init, step, finish):
