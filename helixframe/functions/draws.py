@@ -2,7 +2,8 @@
 
 A draw is a pure function of ``(seed, row_id, iteration, position)``, so the
 same row mutates the same way on 1 or 1000 executors, on a retried task, in
-DuckDB and in numpy. All steps stay below 2**63 for row ids up to ~1e15.
+DuckDB and in numpy. Inputs are reduced modulo the prime before they are
+multiplied, so every step stays below 2**63 for any row id.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ def _c(x) -> Column:
 def draw(row_id, iteration, position, seed=0) -> Column:
     """The hash draw as a bigint Column in ``[0, 2**31 - 1)``."""
     p = F.lit(PRIME).cast("bigint")
-    x = (_c(row_id).cast("bigint") * K_ROW + _c(iteration).cast("bigint") * K_ITER
-         + _c(position).cast("bigint") * K_POS + _c(seed).cast("bigint")) % p
+    x = (_c(row_id).cast("bigint") % p * K_ROW + _c(iteration).cast("bigint") % p * K_ITER
+         + _c(position).cast("bigint") % p * K_POS + _c(seed).cast("bigint") % p) % p
     x = (x * x + K_ADD1) % p
     x = (x * K_MUL1) % p
     x = (x * x + K_ADD2) % p
@@ -33,10 +34,15 @@ def draw(row_id, iteration, position, seed=0) -> Column:
 
 
 def fires(x: Column, rate) -> Column:
-    """True with probability ``rate`` (a float or a Column; in steps of 1/1000)."""
+    """True with probability ``rate`` (a float or a Column): the draw lies below that share of its range."""
     if isinstance(rate, Column):
-        return (x % 1000) < F.round(rate * F.lit(1000)).cast("bigint")
-    return (x % 1000) < F.lit(int(round(rate * 1000)))
+        return x < F.floor(rate.cast("double") * F.lit(float(PRIME)))
+    return x < F.lit(threshold(rate))
+
+
+def threshold(rate: float) -> int:
+    """The draw values below this one fire."""
+    return int(rate * float(PRIME))
 
 
 def base_of(x: Column, shift: int = 0) -> Column:
@@ -49,8 +55,8 @@ def base_of(x: Column, shift: int = 0) -> Column:
 
 def draw_np(row_id, iteration, position, seed=0) -> np.ndarray:
     """numpy twin of :func:`draw` (int64 arithmetic, broadcasts over arrays)."""
-    x = (np.asarray(row_id, dtype=np.int64) * K_ROW + np.asarray(iteration, dtype=np.int64) * K_ITER
-         + np.asarray(position, dtype=np.int64) * K_POS + np.int64(seed)) % PRIME
+    part = lambda v, k: np.fmod(np.asarray(v, dtype=np.int64), PRIME) * k  # noqa: E731 - the sign follows v, as in SQL
+    x = np.fmod(part(row_id, K_ROW) + part(iteration, K_ITER) + part(position, K_POS) + part(seed, 1), PRIME)
     x = (x * x + K_ADD1) % PRIME
     x = (x * K_MUL1) % PRIME
     x = (x * x + K_ADD2) % PRIME
@@ -59,8 +65,8 @@ def draw_np(row_id, iteration, position, seed=0) -> np.ndarray:
 
 def draw_sql(row: str, it: str, pos: str, seed: str | int = 0) -> str:
     """DuckDB text of :func:`draw` (used by the oracles)."""
-    x = (f"((CAST({row} AS BIGINT) * {K_ROW} + CAST({it} AS BIGINT) * {K_ITER} + "
-         f"CAST({pos} AS BIGINT) * {K_POS} + {seed}) % {PRIME})")
+    x = (f"((CAST({row} AS BIGINT) % {PRIME} * {K_ROW} + CAST({it} AS BIGINT) % {PRIME} * {K_ITER} + "
+         f"CAST({pos} AS BIGINT) % {PRIME} * {K_POS} + {seed} % {PRIME}) % {PRIME})")
     x = f"(({x} * {x} + {K_ADD1}) % {PRIME})"
     x = f"(({x} * {K_MUL1}) % {PRIME})"
     x = f"(({x} * {x} + {K_ADD2}) % {PRIME})"

@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .codons import MUTATION_BASES
-from .draws import base_of, draw, draw_np, fires
+from .draws import PRIME, base_of, draw, draw_np, fires
 from .sequence import _col, aa_to_dna, codons, dna_to_aa
 
 ATTACKS = ("nucl", "codon", "bt")
@@ -69,7 +69,23 @@ def repeated_attack(kind: str, seq, row_id, iterations: int, rate: float = 0.1,
 # character. For bulk mutation the same draws run vectorised over a whole Arrow
 # batch in numpy: one flat code-point array per batch, no per-character Python.
 
+SLICE = 1 << 20  # characters mutated together; longer rows go through the same arrays alone
+
+
 def _mutate_batch(seqs, rows, its, rates, seed: int):
+    """Mutate a batch in runs of rows with about SLICE characters, so memory does not follow the batch size."""
+    import numpy as np
+
+    size = seqs.str.len().fillna(0).to_numpy(dtype=np.int64)
+    if size.sum() <= SLICE or len(seqs) < 2:
+        return _mutate_rows(seqs, rows, its, rates, seed)
+    run = (np.cumsum(size) - size) // SLICE
+    cuts = [0, *(np.flatnonzero(np.diff(run)) + 1).tolist(), len(seqs)]
+    return pd.concat([_mutate_rows(*(c.iloc[a:b] for c in (seqs, rows, its, rates)), seed)
+                      for a, b in zip(cuts[:-1], cuts[1:])])
+
+
+def _mutate_rows(seqs, rows, its, rates, seed: int):
     import numpy as np
 
     out = pd.Series([None] * len(seqs), index=seqs.index, dtype=object)
@@ -87,8 +103,7 @@ def _mutate_batch(seqs, rows, its, rates, seed: int):
     pos = np.arange(total, dtype=np.int64) - np.repeat(starts, lens) + 1
     x = draw_np(np.repeat(rows[ok].to_numpy(dtype=np.int64), lens),
                 np.repeat(its[ok].to_numpy(dtype=np.int64), lens), pos, seed)
-    thr = np.repeat(np.round(rates[ok].to_numpy(dtype=np.float64) * 1000).astype(np.int64), lens)
-    fire = (x % 1000) < thr
+    fire = x < np.repeat(np.floor(rates[ok].to_numpy(dtype=np.float64) * float(PRIME)).astype(np.int64), lens)
     bases = np.array([ord(b) for b in MUTATION_BASES], dtype=np.uint32)
     buf[fire] = bases[(x[fire] // 1000) % 4]
     text = buf.tobytes().decode("utf-32-le")

@@ -16,12 +16,21 @@ def argmax(z) -> Column:
     return (F.array_position(z, F.array_max(z)) - 1).cast("int")
 
 
+def _bind(value: Column, fn) -> Column:
+    """``fn(value)`` with ``value`` evaluated once per row, not once per use inside ``fn``'s lambdas."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
+def _total(values: Column) -> Column:
+    return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+
 def softmax(z) -> Column:
-    """stable softmax ``exp(z - max) / sum``."""
+    """stable softmax ``exp(z - max) / sum``, linear in the number of classes."""
     z = _col(z)
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    total = F.aggregate(e, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(e, lambda x: x / total)
+    return _bind(F.struct(z.alias("z"), F.array_max(z).alias("m")), lambda s: _bind(
+        F.transform(s["z"], lambda x: F.exp(x - s["m"])), lambda e: _bind(
+            F.struct(e.alias("e"), _total(e).alias("t")), lambda u: F.transform(u["e"], lambda x: x / u["t"]))))
 
 
 def entropy(p) -> Column:
@@ -37,8 +46,8 @@ def top1(p) -> Column:
 
 def logsumexp(z) -> Column:
     z = _col(z)
-    m = F.array_max(z)
-    return m + F.log(F.aggregate(z, F.lit(0.0), lambda a, x: a + F.exp(x - m)))
+    return _bind(F.struct(z.alias("z"), F.array_max(z).alias("m")), lambda s: s["m"] + F.log(
+        F.aggregate(s["z"], F.lit(0.0), lambda a, x: a + F.exp(x - s["m"]))))
 
 
 def cross_entropy(z, y) -> Column:

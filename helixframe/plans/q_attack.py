@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions.draws import threshold
 from ..operators import attack as A
 from ..operators import frames as FR
 from ..operators import labels as L
@@ -63,8 +64,8 @@ def _codes_sql(src: str, keep: list[str], mutate: bool, it: str = "it", rate: fl
         inner = f"SELECT {', '.join(keep)}, {', '.join(cs)} FROM {src}"
     else:
         d = draws_nested_sql(src, keep + ["codes", "p"], "row_id", it, {str(j): f"p + {j}" for j in range(K)}, SEED)
-        thr = int(round(rate * 1000))
-        cs = [f"CASE WHEN d_{j} % 1000 < {thr} THEN [0, 3, 1, 2][CAST((d_{j} // 1000) % 4 + 1 AS INTEGER)] "
+        thr = threshold(rate)
+        cs = [f"CASE WHEN d_{j} < {thr} THEN [0, 3, 1, 2][CAST((d_{j} // 1000) % 4 + 1 AS INTEGER)] "
               f"ELSE codes[p + {j}] END AS c{j}" for j in range(K)]
         inner = f"SELECT {', '.join(keep)}, {', '.join(cs)} FROM ({d})"
     valid = " AND ".join(f"c{j} >= 0" for j in range(K))

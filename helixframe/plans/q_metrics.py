@@ -8,9 +8,10 @@ from ..functions import numeric as N
 from ..operators import labels as L
 from ..operators import metrics as X
 from ..sources import standins as S
+from ..sources.tables import table
 from .registry import register
 from .sqlgen import r6, round_cols
-from .views import with_views
+from .views import folded_sql, with_views
 
 
 def preds(spark, sf_dir):
@@ -174,18 +175,19 @@ N_CANDIDATES = 5
 
 
 def candidates(spark, sf_dir):
-    """A21 stand-in: candidate ``c`` predicts the arg-max over the first ``10 - c`` logits (step = c)."""
-    lg = S.logits(spark, sf_dir)
-    cand = spark.range(N_CANDIDATES).select(F.col("id").cast("int").alias("candidate"))
-    j = lg.crossJoin(F.broadcast(cand))  # N_CANDIDATES rows: a proven bound
-    z = F.slice("z", 1, F.lit(10) - F.col("candidate"))
-    return j.select("row_id", "candidate", F.col("candidate").alias("step"), "y", N.argmax(z).alias("y_hat"))
+    """A21 stand-in: candidate ``c`` predicts the arg-max of the ``c``-th folding of the whole vector (step = c)."""
+    emb = table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("row_id"), F.col("label").alias("y"), "embedding",
+        F.explode(F.sequence(F.lit(0), F.lit(N_CANDIDATES - 1))).alias("candidate"))
+    j = emb.select("row_id", "candidate", "y", S.folded(F.col("embedding"), 10, F.col("candidate")).alias("z"))
+    return j.select("row_id", "candidate", F.col("candidate").alias("step"), "y", N.argmax("z").alias("y_hat"))
 
 
 A21_SQL = with_views("logits", f"""
-WITH preds AS (SELECT row_id, y, c AS candidate, c AS step,
-      CAST(list_position(z[1:10 - c], list_max(z[1:10 - c])) - 1 AS INTEGER) AS y_hat
-    FROM logits, (SELECT CAST(unnest(range(0, {N_CANDIDATES})) AS INTEGER) AS c)),
+WITH fold AS (SELECT vec_id AS row_id, label AS y, c, {folded_sql('embedding', 'c')} AS z
+    FROM embeddings, (SELECT CAST(unnest(range(0, {N_CANDIDATES})) AS INTEGER) AS c)),
+preds AS (SELECT row_id, y, c AS candidate, c AS step, CAST(list_position(z, list_max(z)) - 1 AS INTEGER) AS y_hat
+    FROM fold),
 cc AS (SELECT candidate, step, label, sum(tp) AS tp, sum(t) AS n_true, sum(p) AS n_pred FROM (
     SELECT candidate, step, y AS label, CAST(y = y_hat AS BIGINT) AS tp, 1 AS t, 0 AS p FROM preds
     UNION ALL SELECT candidate, step, y_hat, 0, 0, 1 FROM preds) GROUP BY candidate, step, label),

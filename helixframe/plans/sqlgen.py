@@ -44,7 +44,9 @@ def base_sql(x: str, shift: int = 0) -> str:
 
 
 def fires_sql(x: str, rate: float) -> str:
-    return f"(({x}) % 1000 < {int(round(rate * 1000))})"
+    from ..functions.draws import threshold
+
+    return f"(({x}) < {threshold(rate)})"
 
 
 def point_mutation_sql(seq: str, row: str, it: str, rate: float, seed: int = 0) -> str:
@@ -102,8 +104,8 @@ def draws_nested_sql(source: str, keep: list[str], row: str, it: str, positions:
     names = list(positions)
     k = ", ".join(keep)
     q = (f"SELECT {k}, " + ", ".join(
-        f"(CAST({row} AS BIGINT) * {K_ROW} + CAST({it} AS BIGINT) * {K_ITER} + "
-        f"CAST({positions[n]} AS BIGINT) * {K_POS} + {seed}) % {PRIME} AS d_{n}" for n in names)
+        f"(CAST({row} AS BIGINT) % {PRIME} * {K_ROW} + CAST({it} AS BIGINT) % {PRIME} * {K_ITER} + "
+        f"CAST({positions[n]} AS BIGINT) % {PRIME} * {K_POS} + {seed} % {PRIME}) % {PRIME} AS d_{n}" for n in names)
         + f" FROM {source}")
     steps = [f"(d_{{n}} * d_{{n}} + {K_ADD1}) % {PRIME}", f"(d_{{n}} * {K_MUL1}) % {PRIME}",
              f"(d_{{n}} * d_{{n}} + {K_ADD2}) % {PRIME}", f"(d_{{n}} * {K_MUL2}) % {PRIME}"]

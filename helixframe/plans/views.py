@@ -2,6 +2,15 @@
 
 from __future__ import annotations
 
+
+def folded_sql(v: str, twist: str, width: int = 10) -> str:
+    """DuckDB text of ``sources.standins.folded``."""
+    own = (f"list_filter(range(0, len({v})), lambda j: (j + {twist} * (j // {width})) % {width} = i)")
+    return (f"list_transform(range(0, {width}), lambda i: list_reduce(list_prepend(CAST(0.0 AS DOUBLE), "
+            f"list_transform({own}, lambda j: CAST({v}[j + 1] AS DOUBLE))), lambda a, b: a + b) "
+            f"* CAST(10.0 AS DOUBLE))")
+
+
 VIEWS: dict[str, str] = {
     "seqs": """
       SELECT doc_id AS row_id,
@@ -14,7 +23,7 @@ VIEWS: dict[str, str] = {
       FROM documents""",
     "logits": """
       SELECT vec_id AS row_id, label AS y,
-             list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * 10.0) AS z
+             """ + folded_sql("embedding", "0") + """ AS z
       FROM embeddings""",
     "otu": """
       SELECT 'S' || CAST(l_suppkey AS VARCHAR) AS sample_name, l_partkey AS otu_id,

@@ -1,15 +1,14 @@
 """File readers for the reference's inputs.
 
 Schemas are declared (no inference); missing-value spellings are normalised
-to NULL after reading as text, then cast; positions become an explicit
-``row_id`` (file order within a split).
+to NULL after reading as text, then cast; columns are found by their header
+names, and rows get a unique ``row_id``.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
 
 # The text spellings pandas' CSV reader treats as missing.
 NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -23,23 +22,29 @@ def _na_to_null(c: Column) -> Column:
     return F.when(c.isin(*NA_STRINGS), F.lit(None).cast("string")).otherwise(c)
 
 
+def _named(raw: DataFrame, columns: list[str]) -> DataFrame:
+    """The listed columns by header name, with missing spellings as NULL; other columns are left out."""
+    missing = [c for c in columns if c not in raw.columns]
+    if missing:
+        raise ValueError(f"missing columns {missing}; the header has {raw.columns}")
+    return raw.select(*[_na_to_null(F.col(f"`{c}`")).alias(c) for c in columns])
+
+
 def read_sequences(spark: SparkSession, paths: dict[str, str], columns: list[str],
-                   seq_col: str = "DNA Sequence") -> DataFrame:
+                   key: str | None = None) -> DataFrame:
     """S1 + U3: labelled sequence CSVs (one per split) -> one table tagged by ``split``.
 
-    ``paths`` maps split name -> CSV path. All columns are read as text; NA
-    spellings become NULL; ``row_id`` follows the file order (increasing within
-    a split, unique across splits; assigned at the scan, before any shuffle).
+    ``paths`` maps split name -> CSV path. Columns are taken by header name and
+    read as text; NA spellings become NULL. ``row_id`` is the ``key`` column if
+    one is given; else it numbers the rows of all splits together in scan order
+    (splits in turn, unique however many scan tasks there are).
     """
-    schema = StructType([StructField(c, StringType(), True) for c in columns])
     out = None
-    for n, (name, path) in enumerate(paths.items()):
-        d = spark.read.schema(schema).option("header", True).option("multiLine", False).csv(path)
-        d = d.select(*[_na_to_null(F.col(c)).alias(c) for c in columns])
-        d = d.withColumn("split", F.lit(name)).withColumn(
-            "row_id", F.monotonically_increasing_id() + F.lit(n) * F.lit(1 << 40))
+    for name, path in paths.items():
+        raw = spark.read.option("header", True).option("multiLine", False).csv(path)
+        d = _named(raw, list(dict.fromkeys([*columns, *([key] if key else [])]))).withColumn("split", F.lit(name))
         out = d if out is None else out.unionByName(d)
-    return out
+    return out.withColumn("row_id", F.col(f"`{key}`").cast("bigint") if key else F.monotonically_increasing_id())
 
 
 def target_column(target: str) -> str:
@@ -61,9 +66,8 @@ def read_metadata(spark: SparkSession, path: str, numeric: list[str]) -> DataFra
 def read_wide_embeddings(spark: SparkSession, path: str, dim: int = 768, key: str = "sample_name",
                          weight: str = "abundance") -> DataFrame:
     """S3: CSV with ``emb_0 .. emb_{dim-1}`` -> ``(key, weight, emb array<float>)`` (index order kept)."""
-    fields = [StructField(key, StringType(), True), StructField(weight, StringType(), True)] + [
-        StructField(f"emb_{i}", StringType(), True) for i in range(dim)]
-    raw = spark.read.option("header", True).option("enforceSchema", False).schema(StructType(fields)).csv(path)
+    raw = spark.read.option("header", True).option("maxColumns", max(20480, 2 * dim)).csv(path)
+    raw = _named(raw, [key, weight, *(f"emb_{i}" for i in range(dim))])
     emb = F.array(*[F.col(f"emb_{i}").cast("float") for i in range(dim)])
     return raw.select(key, F.col(weight).cast("double").alias(weight), emb.alias("emb"))
 

@@ -11,9 +11,11 @@ from ..operators.pooling import expand_vector
 
 def write_table(df: DataFrame, path: str, fmt: str = "parquet", vec: str | None = None,
                 dim: int | None = None) -> None:
-    """Write a result; for CSV an array column is expanded back to ``emb_i`` columns."""
+    """Write a result; for CSV an array column of the declared width is expanded to ``emb_i`` columns."""
     if fmt == "csv" and vec is not None:
-        df = expand_vector(df, vec, dim or 0, digits=None)
+        if dim is None:
+            raise ValueError("a CSV vector column needs its width: dim")
+        df = expand_vector(df, vec, dim, digits=None)
         df.write.mode("overwrite").option("header", True).csv(path)
     else:
         df.write.mode("overwrite").format(fmt).save(path)

@@ -47,13 +47,24 @@ def seqs(spark: SparkSession, sf_dir: str, parallel: bool = True) -> DataFrame:
     )
 
 
-def logits(spark: SparkSession, sf_dir: str, width: int = 10) -> DataFrame:
-    """``logits(row_id, y, z)`` from ``embeddings``: the first ``width`` values x 10 as a logit vector."""
+def logits(spark: SparkSession, sf_dir: str, width: int = 10, twist=0) -> DataFrame:
+    """``logits(row_id, y, z)`` from ``embeddings``: all values folded into ``width`` sums, x 10.
+
+    Position ``j`` (0-based) goes to sum ``(j + twist * (j div width)) mod width``; a ``twist`` gives another folding
+    of the same values.
+    """
     emb = table(spark, sf_dir, "embeddings")
-    z = F.transform(F.slice("embedding", 1, width), lambda x: x.cast("double") * F.lit(10.0))
+    z = folded(F.col("embedding"), width, twist)
     return emb.select(F.col("vec_id").alias("row_id"), F.col("label").alias("y"), z.alias("z"))
 
 
+def folded(v: Column, width: int = 10, twist=0) -> Column:
+    t = twist if isinstance(twist, Column) else F.lit(twist)
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(
+        F.filter(v, lambda x, j: (j + t * F.floor(j / F.lit(width))) % F.lit(width) == i),
+        F.lit(0.0), lambda a, x: a + x.cast("double")) * F.lit(10.0))
+
+
 def otu(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``otu(sample_name, otu_id, abundance)``: supplier = sample, part = OTU, quantity = abundance.
 
