@@ -17,7 +17,6 @@ State that the reference keeps in driver dictionaries becomes keys:
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -75,10 +74,8 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
     if attack not in ATTACKS:
         raise ValueError(f"unknown attack {attack!r}")
     base = df.where(F.col(y) == F.col(y_orig)) if require_correct else df
-    # The input is read once per round; keep it cached for the rounds (a cache,
-    # not a lineage cut: a lost block is recomputed from the source).
-    source = base.select(row_id, y, seq).persist(StorageLevel.MEMORY_AND_DISK)
-    pending = source
+    # Every round scans the source again, less the rows found so far: nothing of the corpus is cached or written.
+    pending = base.select(row_id, y, seq)
     found: DataFrame | None = None
     bounds = round_bounds(max_iter, schedule)
     for n, (start, end) in enumerate(bounds):
@@ -98,7 +95,6 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
         found = hits if found is None else found.unionByName(hits)
         if n + 1 < len(bounds):
             pending = pending.join(hits.select(row_id), row_id, "left_anti")  # J6: skip finished rows
-    source.unpersist()
     return found
 
 
@@ -113,16 +109,32 @@ def attack_outcome(df: DataFrame, seq: str, row_id: str, y: str, found: DataFram
     return j.select(row_id, y, "success_iteration", "y_atk", final.alias(seq))
 
 
-def snapshots(outcome: DataFrame, seq: str, original: DataFrame, row_id: str = "row_id",
-              intervals: tuple[int, ...] = (10, 20, 30, 40, 50)) -> DataFrame:
-    """The attack state as of each saved iteration: text and ``success`` flag per row."""
-    o = outcome.join(original.select(row_id, F.col(seq).alias("_orig")), row_id)
-    o = o.select("*", F.explode(F.array(*[F.lit(t) for t in intervals])).alias("iteration"))
+def states(clean: DataFrame, found: DataFrame, row_id: str = "row_id", y: str = "y", y_orig: str = "y_orig",
+           intervals: tuple[int, ...] = (10, 20, 30, 40, 50)) -> DataFrame:
+    """Prediction state as of each saved iteration: ``(row_id, iteration, y, y_orig, y_atk, success)``.
+
+    ``clean`` has the truth and the clean prediction, ``found`` W4's first successes (over *all* tries): up to its
+    first success a row still has its original text, hence its clean prediction; from then on the successful one's.
+    """
+    j = clean.select(row_id, y, y_orig).join(found.select(row_id, "success_iteration", F.col("y_atk").alias("_ya")),
+                                             row_id, "left")
+    j = j.select("*", F.explode(F.array(*[F.lit(t) for t in intervals])).alias("iteration"))
     ok = F.coalesce(F.col("success_iteration") <= F.col("iteration"), F.lit(False))
-    return o.select(row_id, "iteration", F.when(ok, F.col(seq)).otherwise(F.col("_orig")).alias(seq),
+    return j.select(row_id, "iteration", y, y_orig, F.when(ok, F.col("_ya")).otherwise(F.col(y_orig)).alias("y_atk"),
                     ok.alias("success"))
 
 
+def snapshots(state: DataFrame, found: DataFrame, original: DataFrame, seq: str, row_id: str = "row_id",
+              rate: float = 0.1, seed: int = 0, attack: str = "nucl") -> DataFrame:
+    """The saved tables: ``(row_id, iteration, rate, y, y_hat, success, seq)``; ``y_hat`` is the state's prediction."""
+    j = state.join(original.select(row_id, seq), row_id).join(found.select(row_id, "success_iteration"), row_id, "left")
+    it = F.when(F.col("success"), F.col("success_iteration"))
+    mutated = (point_mutation_batch(seq, F.col(row_id), it, rate, seed) if attack == "nucl"
+               else mutate(attack, seq, F.col(row_id), it, rate, seed))
+    return j.select(row_id, "iteration", F.lit(float(rate)).alias("rate"), "y", F.col("y_atk").alias("y_hat"),
+                    "success", F.coalesce(mutated, F.col(seq)).alias(seq))
+
+
 def sticky_success(att: DataFrame, row_id: str = "row_id", iteration: str = "iteration",
                    y: str = "y", y_orig: str = "y_orig", y_atk: str = "y_atk",
                    carry: list[str] | None = None) -> DataFrame:
@@ -147,21 +159,26 @@ def sticky_success(att: DataFrame, row_id: str = "row_id", iteration: str = "ite
 
 def rate_sweep_steps(df: DataFrame, seq: str, row_id: str, rates: tuple[float, ...], weights: DataFrame,
                      n_classes: int, k: int = 3, seed: int = 0, iteration: int = 1) -> DataFrame:
-    """F14 + scoring: one attacked copy per rate, ``(row_id, step, rate, y_atk, seq)``.
+    """F14 + scoring: one attacked copy per rate, ``(row_id, step, rate, y_atk, digest)``.
 
-    Every step needs its attacked text, so the texts are built once (in
-    parallel over the rows), written to the checkpoint folder, and scored from
-    there; the (small) scores are joined back by ``(row_id, step)``.
+    Scores come from the fused scorer, which builds no text; the attacked text
+    leaves its task only as a 128-bit digest, so no copy of the corpus is
+    written or shuffled. ``sweep_text`` rebuilds a text from ``(row_id, rate)``.
     """
     steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(float(r)).alias("rate"))
                       for i, r in enumerate(rates)])
-    rows = df.select(row_id, seq, F.explode(steps).alias("_s"))
-    texts = rows.select(row_id, "_s.step", "_s.rate",
-                        point_mutation_batch(seq, F.col(row_id), iteration, F.col("_s.rate"), seed).alias(seq))
-    texts = materialize(texts, "sweep", key=row_id)
-    lg = kmer_logits(texts, seq, [row_id, "step"], weights, n_classes, k)
+    rows = df.select(row_id, seq, F.explode(steps).alias("_s")).select(row_id, seq, "_s.step", "_s.rate")
+    lg = attack_logits(rows, seq, row_id, F.array(F.lit(iteration)), weights, n_classes, k, F.col("rate"), seed,
+                       keys=["step", "rate"])
     scored = lg.select(row_id, "step", predict("logits").alias("y_atk"))
-    return texts.join(scored, [row_id, "step"]).select(row_id, "step", "rate", "y_atk", seq)
+    text = sweep_text(seq, row_id, F.col("rate"), seed, iteration)
+    digests = rows.select(row_id, "step", "rate", F.unhex(F.md5(text)).alias("digest"))
+    return digests.join(scored, [row_id, "step"]).select(row_id, "step", "rate", "y_atk", "digest")
+
+
+def sweep_text(seq: str, row_id: str, rate: Column, seed: int = 0, iteration: int = 1) -> Column:
+    """The attacked text of one step of the sweep."""
+    return point_mutation_batch(seq, F.col(row_id), iteration, rate, seed)
 
 
 def cascade(steps: DataFrame, text: str = "seq", row_id: str = "row_id", step: str = "step",
@@ -203,18 +220,17 @@ def success_rate_by(df: DataFrame, group: list[str], y: str = "y", y_orig: str =
     return attack_success_rate(df, y, y_orig, y_atk, group)
 
 
-def before_after(df: DataFrame, group: str = "iteration", y: str = "y", y_orig: str = "y_orig",
+def before_after(df: DataFrame, clean: DataFrame, group: str = "iteration", y: str = "y", y_orig: str = "y_orig",
                  y_atk: str = "y_atk") -> DataFrame:
-    """Metrics on clean and attacked predictions per snapshot, plus A16.
+    """Metrics on clean and attacked predictions per snapshot (or rate), plus A16.
 
-    The clean side is scored once (it does not change between snapshots) and
-    joined to every snapshot instead of being re-evaluated per snapshot.
+    ``clean`` has the truth and the clean prediction of every row; it does not
+    change between snapshots, so it is evaluated once and joined to each.
     """
     from .metrics import attack_success_rate, summary
 
     atk = summary(df, y, y_atk, group=[group]).withColumn("variant", F.lit("attacked"))
-    base = df.select("row_id", y, y_orig).dropDuplicates(["row_id"])
-    clean = summary(base, y, y_orig)
+    clean = summary(clean, y, y_orig)
     groups = df.select(group).distinct()
     clean = groups.join(F.broadcast(clean), how="cross").withColumn("variant", F.lit("clean"))
     rate = attack_success_rate(df, y, y_orig, y_atk, [group])

@@ -13,46 +13,55 @@ from ..operators import attack as A
 from ..operators import frames as FR
 from ..operators import labels as L
 from ..operators.scoring import kmer_logits, predict, rule_weights
-from ..session import materialize
+from ..session import materialize, shared_path
 from ..sources import standins as S
+from ..sources.sinks import write_snapshots
+from .q_labels import train_dictionary
 from .registry import register
-from .sqlgen import draws_nested_sql, point_mutation_sql, r6, rule_weights_sql
+from .sqlgen import dbl, draws_nested_sql, point_mutation_sql, r6, rule_weights_sql
 from .views import with_views
 
 K = 3
 RATE = 0.1
 SEED = 0
-N_CLASSES = 4          # languages in the driver's documents (checked at run time)
+N_CLASSES = 4          # label columns of the oracle texts; the Spark side counts the dictionary
+# Saved iterations, number of tries, mutation rates of the sweep.
 SNAPSHOTS = (10, 20, 30, 40, 50)
 MAX_ITER = 50
 SWEEP = (0.1, 0.2, 0.3, 0.4, 0.5)
 
 
-def _dictionary(spark, sf_dir):
-    s = S.seqs(spark, sf_dir, parallel=False)
-    return L.ids_by_first_appearance(s.where(F.col("split") == "train"), "label_name")
+def n_classes(spark, sf_dir) -> int:
+    """Number of labels in the dictionary."""
+    return train_dictionary(spark, sf_dir).count()
 
 
 def labelled_seqs(spark, sf_dir):
     """``(row_id, dna, y, split)`` with the strict label encoding."""
     s = S.seqs(spark, sf_dir)
-    return L.encode_strict(s, _dictionary(spark, sf_dir), "label_name").drop("label_name")
+    return L.encode_strict(s, train_dictionary(spark, sf_dir), "label_name").drop("label_name")
 
 
-def _weights(spark):
-    return rule_weights(spark, N_CLASSES, K, SEED)
+def scorer(spark, sf_dir) -> dict:
+    """Weights of the victim model for the labels of the dictionary."""
+    n = n_classes(spark, sf_dir)
+    return {"weights": rule_weights(spark, n, K, SEED), "n_classes": n, "k": K}
 
 
-def with_original(spark, sf_dir):
-    """``(row_id, dna, y, split, y_orig)``: the victim's prediction on the clean text.
+def clean_scores(spark, sf_dir, s=None, model=None):
+    """``(row_id, y, y_orig)``: truth and clean prediction, written once; the texts stay where they are."""
+    s = labelled_seqs(spark, sf_dir) if s is None else s
+    model = model or scorer(spark, sf_dir)
+    lg = kmer_logits(s, "dna", ["row_id", "y"], model["weights"], model["n_classes"], model["k"])
+    return materialize(lg.select("row_id", "y", predict("logits").alias("y_orig")), "clean")
 
-    Written once to the checkpoint folder: every attack query reads it several
-    times (truth, clean prediction, attacked copies), and an inner join with the
-    scores cannot be pruned away, so a lazy plan would score the texts again each time.
-    """
-    s = labelled_seqs(spark, sf_dir)
-    orig = A.score(s, "dna", "row_id", _weights(spark), N_CLASSES, K, out="y_orig")
-    return materialize(s.join(orig, "row_id"), "original", key="row_id")
+
+def attacked(spark, sf_dir):
+    """The attack over all tries: sequences, clean scores, first successes, and the state at each snapshot."""
+    s, model = labelled_seqs(spark, sf_dir), scorer(spark, sf_dir)
+    clean = clean_scores(spark, sf_dir, s, model)
+    found = A.first_success(s, "dna", "row_id", "y", **model, rate=RATE, max_iter=MAX_ITER, seed=SEED)
+    return s, clean, found, A.states(clean, found, intervals=SNAPSHOTS)
 
 
 # ---- DuckDB text ---------------------------------------------------------------------------
@@ -125,93 +134,85 @@ def _snap_iters() -> str:
                                  "FROM orig o JOIN lg USING (row_id)"))
 def m08_kmer_score(spark, sf_dir):
     s = labelled_seqs(spark, sf_dir)
-    lg = kmer_logits(s, "dna", ["row_id", "y"], _weights(spark), N_CLASSES, K)
+    model = scorer(spark, sf_dir)
+    lg = kmer_logits(s, "dna", ["row_id", "y"], model["weights"], model["n_classes"], model["k"])
     return lg.select("row_id", "y", predict("logits").alias("y_hat"),
-                     *[F.col("logits")[c].alias(f"l{c}") for c in range(N_CLASSES)])
+                     *[F.col("logits")[c].alias(f"l{c}") for c in range(model["n_classes"])])
 
 
 @register("j03_decode_labels", _q("""SELECT o.row_id, a.label_name AS y_name, b.label_name AS y_hat_name
 FROM orig o LEFT JOIN dict a ON o.y = a.id LEFT JOIN dict b ON o.y_orig = b.id"""))
 def j03_decode_labels(spark, sf_dir):
-    p = with_original(spark, sf_dir).select("row_id", "y", F.col("y_orig").alias("y_hat"))
-    d = L.decode(p, _dictionary(spark, sf_dir), "label_name")
+    p = clean_scores(spark, sf_dir).select("row_id", "y", F.col("y_orig").alias("y_hat"))
+    d = L.decode(p, train_dictionary(spark, sf_dir), "label_name")
     return d.select("row_id", "y_name", "y_hat_name")
 
 
-def _attempts(spark, sf_dir, with_text=False):
-    o = with_original(spark, sf_dir)
-    att = A.attempts(o, "dna", "row_id", list(SNAPSHOTS), _weights(spark), N_CLASSES, K, RATE, SEED,
-                     with_text=with_text)
-    return o.select("row_id", "y", "y_orig").join(att, "row_id")
+# ---- the state at the snapshots -------------------------------------------------------------
+
+# The oracle tries iteration 1 on every row and iterations 2..50 only on rows
+# still standing: the first success is the same, the work ~10x smaller.
+W04_CTES = (_attack_ctes("SELECT 1 AS it", name="first"),
+            """standing AS (SELECT f.row_id FROM first f JOIN base b ON f.row_id = b.row_id WHERE f.y_atk = b.y)""",
+            _attack_ctes(f"SELECT CAST(unnest(range(2, {MAX_ITER} + 1)) AS INTEGER) AS it", name="rest",
+                         rows="SELECT row_id FROM standing"),
+            """atk AS (SELECT * FROM first UNION ALL SELECT * FROM rest)""",
+            """hits AS (SELECT a.row_id, min(a.it) AS success_iteration, arg_min(a.y_atk, a.it) AS y_atk
+        FROM atk a JOIN base b ON a.row_id = b.row_id WHERE a.y_atk <> b.y GROUP BY a.row_id)""")
+SNAP_CTES = (*W04_CTES, f"""snap AS (SELECT o.row_id, CAST(t.it AS INTEGER) AS iteration, o.y, o.y_orig,
+          coalesce(h.success_iteration <= t.it, false) AS success,
+          CASE WHEN h.success_iteration <= t.it THEN h.y_atk ELSE o.y_orig END AS y_atk
+        FROM orig o CROSS JOIN ({_snap_iters()}) t LEFT JOIN hits h ON o.row_id = h.row_id)""")
 
 
-@register("j05_align_predictions", _q("""SELECT o.row_id, o.y, o.y_orig, a.y_atk
-FROM orig o JOIN atk a ON o.row_id = a.row_id WHERE a.it = 10""",
-                                      _attack_ctes("SELECT 10 AS it")))
+@register("j05_align_predictions", _q("SELECT row_id, y, y_orig, y_atk FROM snap WHERE iteration = 10", *SNAP_CTES))
 def j05_align_predictions(spark, sf_dir):
-    o = with_original(spark, sf_dir)
-    att = A.attempts(o, "dna", "row_id", [10], _weights(spark), N_CLASSES, K, RATE, SEED, with_text=False)
-    truth = o.select("row_id", "y")
-    return FR.align(truth, o.select("row_id", "y_orig"), att.select("row_id", "y_atk"))
+    _, clean, _, state = attacked(spark, sf_dir)
+    att = state.where("iteration = 10").select("row_id", "y_atk")
+    return FR.align(clean.select("row_id", "y"), clean.select("row_id", "y_orig"), att)
 
 
-@register("j04_copy_label", _q("""SELECT a.row_id, CAST(a.it AS INTEGER) AS iteration, a.y_atk, o.y
-FROM atk a LEFT JOIN orig o ON a.row_id = o.row_id""", _attack_ctes(_snap_iters())))
+@register("j04_copy_label", _q("SELECT row_id, iteration, y_atk, y FROM snap", *SNAP_CTES))
 def j04_copy_label(spark, sf_dir):
-    o = with_original(spark, sf_dir)
-    att = A.attempts(o, "dna", "row_id", list(SNAPSHOTS), _weights(spark), N_CLASSES, K, RATE, SEED,
-                     with_text=False)
-    return FR.copy_column(att.withColumn("y", F.lit(None).cast("int")), o, "y")
+    _, clean, _, state = attacked(spark, sf_dir)
+    att = state.select("row_id", "iteration", "y_atk", F.lit(None).cast("int").alias("y"))
+    return FR.copy_column(att, clean, "y")
 
 
 W01_CTE = """w1 AS (SELECT row_id, iteration, y, y_orig, coalesce(pin.ya, y_atk) AS y_atk, pin.it AS pinned_iteration
-FROM (SELECT a.row_id, CAST(a.it AS INTEGER) AS iteration, o.y, o.y_orig, a.y_atk,
-        first_value(CASE WHEN o.y = o.y_orig AND o.y <> a.y_atk THEN {'it': CAST(a.it AS INTEGER), 'ya': a.y_atk} END
-                    IGNORE NULLS) OVER (PARTITION BY a.row_id ORDER BY a.it
+FROM (SELECT row_id, iteration, y, y_orig, y_atk,
+        first_value(CASE WHEN y = y_orig AND y <> y_atk THEN {'it': iteration, 'ya': y_atk} END
+                    IGNORE NULLS) OVER (PARTITION BY row_id ORDER BY iteration
                                         ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS pin
-      FROM atk a JOIN orig o ON a.row_id = o.row_id))"""
-W01_SQL = _q("SELECT * FROM w1", _attack_ctes(_snap_iters()), W01_CTE)
+      FROM snap))"""
+W01_SQL = _q("SELECT * FROM w1", *SNAP_CTES, W01_CTE)
 
 
 @register("w01_sticky_success", W01_SQL)
 def w01_sticky_success(spark, sf_dir):
-    att = _attempts(spark, sf_dir).select("row_id", F.col("iteration").cast("int").alias("iteration"),
-                                          "y", "y_orig", "y_atk")
-    return A.sticky_success(att)
-
-
-def _w01_frame(spark, sf_dir):
-    return w01_sticky_success(spark, sf_dir)
+    return A.sticky_success(attacked(spark, sf_dir)[3].drop("success"))
 
 
 A16_SQL = _q(f"""SELECT iteration, {r6("coalesce(CAST(count(*) FILTER (WHERE y = y_orig AND y <> y_atk) AS DOUBLE) "
                                   "/ nullif(count(*) FILTER (WHERE y = y_orig), 0), 0.0)")} AS success_rate
-FROM w1 GROUP BY iteration""", _attack_ctes(_snap_iters()), W01_CTE)
+FROM w1 GROUP BY iteration""", *SNAP_CTES, W01_CTE)
 
 
 @register("a16_attack_success_rate", A16_SQL)
 def a16_attack_success_rate(spark, sf_dir):
-    r = A.success_rate_by(_w01_frame(spark, sf_dir), ["iteration"])
+    r = A.success_rate_by(w01_sticky_success(spark, sf_dir), ["iteration"])
     return r.select("iteration", (F.round("success_rate", 6) + F.lit(0.0)).alias("success_rate"))
 
 
 # ---- W4 / W3: first success over 50 tries, snapshots --------------------------------------
 
-# The oracle tries iteration 1 on every row and iterations 2..50 only on rows
-# still standing: the first success is the same, the work ~10x smaller.
-W04_CTES = (_attack_ctes("SELECT 1 AS it", name="first"),
-            """standing AS (SELECT f.row_id FROM first f JOIN base b ON f.row_id = b.row_id WHERE f.y_atk = b.y)""",
-            _attack_ctes(f"SELECT CAST(unnest(range(2, {MAX_ITER} + 1)) AS INTEGER) AS it", name="rest",
-                         rows="SELECT row_id FROM standing"),
-            """atk AS (SELECT * FROM first UNION ALL SELECT * FROM rest)""",
-            """hits AS (SELECT a.row_id, min(a.it) AS success_iteration, arg_min(a.y_atk, a.it) AS y_atk
-        FROM atk a JOIN base b ON a.row_id = b.row_id WHERE a.y_atk <> b.y GROUP BY a.row_id)""")
 
 
-def _w04_frames(spark, sf_dir):
+
+def first_successes(spark, sf_dir, attack: str = "nucl"):
     s = labelled_seqs(spark, sf_dir)
-    found = A.first_success(s, "dna", "row_id", "y", _weights(spark), N_CLASSES, K, RATE, MAX_ITER, seed=SEED)
-    return s, found
+    return s, A.first_success(s, "dna", "row_id", "y", **scorer(spark, sf_dir), rate=RATE, max_iter=MAX_ITER,
+                              seed=SEED, attack=attack)
 
 
 @register("w04_attack_50", _q(f"""SELECT b.row_id, b.y, CAST(h.success_iteration AS INTEGER) AS success_iteration, h.y_atk,
@@ -219,81 +220,100 @@ def _w04_frames(spark, sf_dir):
        ELSE {point_mutation_sql('b.dna', 'b.row_id', 'h.success_iteration', RATE)} END AS dna
 FROM base b LEFT JOIN hits h ON b.row_id = h.row_id""", *W04_CTES))
 def w04_attack_50(spark, sf_dir):
-    s, found = _w04_frames(spark, sf_dir)
+    s, found = first_successes(spark, sf_dir)
     out = A.attack_outcome(s, "dna", "row_id", "y", found, RATE, SEED)
     return out.select("row_id", "y", F.col("success_iteration").cast("int").alias("success_iteration"),
                       "y_atk", "dna")
 
 
-@register("w03_snapshots", _q(f"""SELECT b.row_id, CAST(t.it AS INTEGER) AS iteration,
-  coalesce(h.success_iteration <= t.it, false) AS success,
-  CASE WHEN coalesce(h.success_iteration <= t.it, false)
-       THEN {point_mutation_sql('b.dna', 'b.row_id', 'h.success_iteration', RATE)}
+W03_SQL = _q(f"""SELECT s.row_id, s.iteration, {dbl(RATE)} AS rate, s.y, s.y_atk AS y_hat, s.success,
+  CASE WHEN s.success THEN {point_mutation_sql('b.dna', 'b.row_id', 'h.success_iteration', RATE)}
        ELSE b.dna END AS dna
-FROM base b LEFT JOIN hits h ON b.row_id = h.row_id CROSS JOIN ({_snap_iters()}) t""", *W04_CTES))
+FROM snap s JOIN base b ON b.row_id = s.row_id LEFT JOIN hits h ON b.row_id = h.row_id""", *SNAP_CTES)
+
+
+@register("w03_snapshots", W03_SQL)
 def w03_snapshots(spark, sf_dir):
-    s, found = _w04_frames(spark, sf_dir)
-    out = A.attack_outcome(s, "dna", "row_id", "y", found, RATE, SEED)
-    return A.snapshots(out, "dna", s, "row_id", SNAPSHOTS)
+    s, _, found, state = attacked(spark, sf_dir)
+    return A.snapshots(state, found, s, "dna", rate=RATE, seed=SEED)
+
+
+@register("s07_snapshots", W03_SQL)
+def s07_snapshots(spark, sf_dir):
+    """The snapshots written as tables by iteration and rate, and read back."""
+    path = shared_path(spark, "snapshots")
+    write_snapshots(w03_snapshots(spark, sf_dir), path)
+    back = spark.read.parquet(path)
+    return back.select("row_id", F.col("iteration").cast("int").alias("iteration"),
+                       F.col("rate").cast("double").alias("rate"), "y", "y_hat", "success", "dna")
 
 
 @register("j06_unbroken_rows", _q("""SELECT b.row_id, b.y FROM base b
 WHERE NOT EXISTS (SELECT 1 FROM hits h WHERE h.row_id = b.row_id)""", *W04_CTES))
 def j06_unbroken_rows(spark, sf_dir):
-    s, found = _w04_frames(spark, sf_dir)
+    s, found = first_successes(spark, sf_dir)
     return s.join(found, "row_id", "left_anti").select("row_id", "y")
 
 
 # ---- J8: pin rows from an earlier snapshot ---------------------------------------------------
 
 @register("j08_overwrite_rows", _q("""SELECT a.row_id, coalesce(p.y_atk, a.y_atk) AS y_atk,
-  CAST(coalesce(p.it, a.it) AS INTEGER) AS iteration
-FROM atk a LEFT JOIN (SELECT x.row_id, x.y_atk, x.it FROM atk x JOIN orig o ON x.row_id = o.row_id
-                      WHERE x.it = 10 AND o.y = o.y_orig AND o.y <> x.y_atk) p ON a.row_id = p.row_id
-WHERE a.it = 50""", _attack_ctes("SELECT * FROM (VALUES (10), (50)) v(it)")))
+  coalesce(p.iteration, a.iteration) AS iteration
+FROM snap a LEFT JOIN (SELECT * FROM snap WHERE iteration = 10 AND y = y_orig AND y <> y_atk) p ON a.row_id = p.row_id
+WHERE a.iteration = 50""", *SNAP_CTES))
 def j08_overwrite_rows(spark, sf_dir):
-    o = with_original(spark, sf_dir)
-    att = A.attempts(o, "dna", "row_id", [10, 50], _weights(spark), N_CLASSES, K, RATE, SEED, with_text=False)
-    att = materialize(att.join(o.select("row_id", "y", "y_orig"), "row_id").withColumn(
-        "iteration", F.col("iteration").cast("int")), "attempts")
-    last = att.where(F.col("iteration") == 50).select("row_id", "y_atk", "iteration")
-    patch = att.where((F.col("iteration") == 10) & (F.col("y") == F.col("y_orig")) &
-                      (F.col("y") != F.col("y_atk"))).select("row_id", "y_atk", "iteration")
+    state = attacked(spark, sf_dir)[3]
+    last = state.where("iteration = 50").select("row_id", "y_atk", "iteration")
+    patch = state.where("iteration = 10 and y = y_orig and y <> y_atk").select("row_id", "y_atk", "iteration")
     return FR.overwrite(last, patch, "row_id")
 
 
 # ---- M10: before / after per snapshot ------------------------------------------------------
 
-M10_SQL = _q(f"""SELECT variant, iteration, {r6('accuracy')} AS accuracy, {r6('f1_macro')} AS f1_macro,
+M10_METRICS = ("accuracy", "balanced_accuracy", "f1_macro", "precision_macro", "recall_macro")
+
+
+def _m10_sql(rows: str, group: str, clean: str = "orig") -> str:
+    """Five metrics of clean and attacked predictions, and the success rate, per ``group`` of ``rows``."""
+    both = (f"SELECT 'attacked' AS variant, {group}, y, y_atk AS p FROM {rows} UNION ALL "
+            f"SELECT 'clean', g.{group}, o.y, o.y_orig FROM {clean} o, (SELECT DISTINCT {group} FROM {rows}) g")
+    return f"""SELECT m.variant, m.{group}, {', '.join(f'{r6(c)} AS {c}' for c in M10_METRICS)},
   {r6('success_rate')} AS success_rate
-FROM (
-  SELECT 'attacked' AS variant, iteration, avg(CAST(y = y_atk AS DOUBLE)) AS accuracy FROM w1 GROUP BY iteration
-  UNION ALL
-  SELECT 'clean', iteration, (SELECT avg(CAST(y = y_orig AS DOUBLE)) FROM orig) FROM (SELECT DISTINCT iteration FROM w1)
-) acc
-JOIN (
-  SELECT 'attacked' AS variant, iteration, avg(f1) AS f1_macro FROM (
-    SELECT iteration, label, CASE WHEN sum(t) + sum(p) > 0 THEN 2.0::DOUBLE * sum(tp) / (sum(t) + sum(p)) ELSE 0.0 END AS f1
-    FROM (SELECT iteration, y AS label, CAST(y = y_atk AS BIGINT) AS tp, 1 AS t, 0 AS p FROM w1
-          UNION ALL SELECT iteration, y_atk, 0, 0, 1 FROM w1) GROUP BY iteration, label) GROUP BY iteration
-  UNION ALL
-  SELECT 'clean', i.iteration, f.f1_macro FROM (SELECT DISTINCT iteration FROM w1) i, (
-    SELECT avg(f1) AS f1_macro FROM (
-      SELECT label, CASE WHEN sum(t) + sum(p) > 0 THEN 2.0::DOUBLE * sum(tp) / (sum(t) + sum(p)) ELSE 0.0 END AS f1
-      FROM (SELECT y AS label, CAST(y = y_orig AS BIGINT) AS tp, 1 AS t, 0 AS p FROM orig
-            UNION ALL SELECT y_orig, 0, 0, 1 FROM orig) GROUP BY label)) f
-) f1 USING (variant, iteration)
-JOIN (
-  SELECT iteration, coalesce(CAST(count(*) FILTER (WHERE y = y_orig AND y <> y_atk) AS DOUBLE)
-         / nullif(count(*) FILTER (WHERE y = y_orig), 0), 0.0) AS success_rate FROM w1 GROUP BY iteration
-) sr USING (iteration)""", _attack_ctes(_snap_iters()), W01_CTE)
-
-
-@register("m10_before_after", M10_SQL)
+FROM (SELECT variant, {group}, sum(tp) / sum(t) AS accuracy, avg(CASE WHEN t > 0 THEN tp / t END) AS balanced_accuracy,
+    avg(2.0::DOUBLE * tp / (t + n)) AS f1_macro, avg(CASE WHEN n > 0 THEN tp / n ELSE 0 END) AS precision_macro,
+    avg(CASE WHEN t > 0 THEN tp / t ELSE 0 END) AS recall_macro
+  FROM (SELECT variant, {group}, label, CAST(sum(tp) AS DOUBLE) AS tp, CAST(sum(t) AS DOUBLE) AS t,
+          CAST(sum(n) AS DOUBLE) AS n
+        FROM (SELECT variant, {group}, y AS label, CAST(y = p AS INT) AS tp, 1 AS t, 0 AS n FROM ({both})
+              UNION ALL SELECT variant, {group}, p, 0, 0, 1 FROM ({both})) GROUP BY ALL) GROUP BY ALL) m
+JOIN (SELECT {group}, coalesce(CAST(count(*) FILTER (WHERE y = y_orig AND y <> y_atk) AS DOUBLE)
+         / nullif(count(*) FILTER (WHERE y = y_orig), 0), 0.0) AS success_rate FROM {rows} GROUP BY ALL) r
+  ON r.{group} = m.{group}"""
+
+
+def _rounded(r, group: str):
+    return r.select("variant", group, *[(F.round(c, 6) + F.lit(0.0)).alias(c)
+                                        for c in (*M10_METRICS, "success_rate")])
+
+
+@register("m10_before_after", _q(_m10_sql("w1", "iteration"), *SNAP_CTES, W01_CTE))
 def m10_before_after(spark, sf_dir):
-    r = A.before_after(materialize(_w01_frame(spark, sf_dir), "snapshots"), "iteration")
-    return r.select("variant", "iteration", *[(F.round(c, 6) + F.lit(0.0)).alias(c)
-                                              for c in ("accuracy", "f1_macro", "success_rate")])
+    """The chain joined up: all tries -> states at the snapshots -> sticky success -> metrics and success rate."""
+    _, clean, _, state = attacked(spark, sf_dir)
+    pinned = A.sticky_success(state.drop("success"))
+    return _rounded(A.before_after(pinned, clean, "iteration"), "iteration")
+
+
+@register("m10_confusion", _q("""SELECT 'attacked' AS variant, iteration, y, y_atk AS y_hat, count(*) AS n FROM w1
+GROUP BY ALL UNION ALL SELECT 'clean', NULL, y, y_orig, count(*) FROM orig GROUP BY ALL""", *SNAP_CTES, W01_CTE))
+def m10_confusion(spark, sf_dir):
+    """Non-empty cells of the confusion matrix: attacked per snapshot, clean once."""
+    _, clean, _, state = attacked(spark, sf_dir)
+    pinned = A.sticky_success(state.drop("success"))
+    cells = pinned.groupBy(F.lit("attacked").alias("variant"), "iteration", "y", F.col("y_atk").alias("y_hat")).agg(
+        F.count("*").alias("n"))
+    return cells.unionByName(clean.groupBy(F.lit("clean").alias("variant"), F.lit(None).cast("int").alias("iteration"),
+                                           "y", F.col("y_orig").alias("y_hat")).agg(F.count("*").alias("n")))
 
 
 # ---- W2: cascade across mutation rates -------------------------------------------------------
@@ -311,26 +331,43 @@ first0 AS (SELECT seq, arg_max(y, row_id) AS lab0 FROM st
            WHERE step = 0 AND y = y_orig AND y <> y_atk GROUP BY seq),
 later AS (SELECT seq, arg_min({{'s': step, 'r': row_id, 'l': y}}, {{'s': step, 'r': row_id}}) AS e FROM st
           WHERE step > 0 AND y <> y_atk GROUP BY seq)
-SELECT st.step, st.row_id, st.seq,
+SELECT st.step, st.row_id, st.seq, st.y_orig, st.y_atk,
   CASE WHEN st.step = 0 THEN st.y
        WHEN f.lab0 IS NOT NULL THEN f.lab0
        WHEN l.e IS NOT NULL AND (l.e.s < st.step OR (l.e.s = st.step AND l.e.r < st.row_id)) THEN l.e.l
        ELSE st.y END AS y
 FROM st LEFT JOIN first0 f ON st.seq = f.seq LEFT JOIN later l ON st.seq = l.seq"""
     head, tail = body.split("\nSELECT st.step", 1)
-    return _q("SELECT st.step" + tail, *steps, head)
+    ctes = (*steps, head, "cas AS (SELECT st.step" + tail + ")")
+    rates = " ".join(f"WHEN {i} THEN {dbl(r)}" for i, r in enumerate(SWEEP))
+    rated = f"rated AS (SELECT CASE step {rates} END AS rate, row_id, y, y_orig, y_atk FROM cas)"
+    return _q("SELECT step, row_id, seq, y FROM cas", *ctes), _q(_m10_sql("rated", "rate"), *ctes, rated)
+
+
+W02_SQL, M10_SWEEP_SQL = _w02_sql()
 
 
-@register("w02_cascade", _w02_sql())
+def cascaded(spark, sf_dir):
+    """The sweep's rows (no texts) with cascaded labels, and the sequences and clean scores behind them."""
+    s, model = labelled_seqs(spark, sf_dir), scorer(spark, sf_dir)
+    clean = clean_scores(spark, sf_dir, s, model)
+    st = A.rate_sweep_steps(s, "dna", "row_id", SWEEP, **model, seed=SEED)
+    st = materialize(st.join(clean, "row_id"), "steps")  # ids, labels and digests; the cascade reads it three times
+    return s, clean, A.cascade(st, text="digest")
+
+
+@register("m10_rate_sweep", M10_SWEEP_SQL)
+def m10_rate_sweep(spark, sf_dir):
+    """Metrics and success rate per mutation rate, on the cascade's labels."""
+    _, clean, c = cascaded(spark, sf_dir)
+    return _rounded(A.before_after(c, clean, "rate"), "rate")
+
+
+@register("w02_cascade", W02_SQL)
 def w02_cascade(spark, sf_dir):
-    o = with_original(spark, sf_dir).select("row_id", "dna", "y", "y_orig")
-    st = A.rate_sweep_steps(o, "dna", "row_id", SWEEP, _weights(spark), N_CLASSES, K, SEED)
-    st = st.join(o.select("row_id", "y", "y_orig"), "row_id").select(
-        "step", "row_id", "y", "y_orig", "y_atk", F.col("dna").alias("seq"))
-    # the cascade reads the steps three times: score them once
-    st = materialize(st, "steps")
-    c = A.cascade(st, text="seq")
-    return c.select("step", "row_id", "seq", "y")
+    s, _, c = cascaded(spark, sf_dir)
+    rows = c.select("step", "row_id", "rate", "y").join(s.select("row_id", "dna"), "row_id")
+    return rows.select("step", "row_id", A.sweep_text("dna", "row_id", F.col("rate"), SEED).alias("seq"), "y")
 
 
 # ---- W4 with the codon attack (texts built per try, then scored) ----------------------------
@@ -375,9 +412,7 @@ FROM base b LEFT JOIN chits h ON b.row_id = h.row_id"""
 
 
 def _w04_text(spark, sf_dir, kind: str):
-    s = labelled_seqs(spark, sf_dir)
-    found = A.first_success(s, "dna", "row_id", "y", _weights(spark), N_CLASSES, K, RATE, MAX_ITER, seed=SEED,
-                            attack=kind)
+    s, found = first_successes(spark, sf_dir, kind)
     out = A.attack_outcome(s, "dna", "row_id", "y", found, RATE, SEED, attack=kind)
     return out.select("row_id", "y", F.col("success_iteration").cast("int").alias("success_iteration"),
                       "y_atk", "dna")

@@ -54,6 +54,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint folder."""
+    import uuid
+
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/helix-{uuid.uuid4().hex}/{name}"
+
+
 def materialize(df, name: str = "part", key: str | None = None):
     """Write ``df`` as parquet under the checkpoint folder and read it back.
 
@@ -62,11 +69,8 @@ def materialize(df, name: str = "part", key: str | None = None):
     behind it, so a lost executor never re-runs the plan that produced it.
     With ``key``, a read-back that lands in too few partitions is spread by it.
     """
-    import uuid
-
     spark = df.sparkSession
-    root = ensure_checkpoint_dir(spark)
-    path = f"{root.rstrip('/')}/helix-{uuid.uuid4().hex}/{name}"
+    path = shared_path(spark, name)
     df.write.mode("overwrite").parquet(path)
     back = spark.read.parquet(path)
     if key is None:
