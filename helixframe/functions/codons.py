@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 # The standard genetic code, DNA codon -> amino-acid residue,
 # "_" marks a stop codon. Listed in lexicographic A, C, G, T order.
 CODON_TABLE: dict[str, str] = {
@@ -32,14 +34,26 @@ MUTATION_BASES = "ATCG"
 BASE_ORDER = "ACGT"
 
 
+# The bases an ambiguity letter stands for (U is read as T).
+AMBIGUOUS: dict[str, str] = {
+    "A": "A", "C": "C", "G": "G", "T": "T", "U": "T", "R": "AG", "Y": "CT", "S": "CG", "W": "AT", "K": "GT",
+    "M": "AC", "B": "CGT", "D": "AGT", "H": "ACT", "V": "ACG", "N": "ACGT",
+}
+
+
+def ambiguous_codons() -> dict[str, str]:
+    """Codons over all letters -> residue, where every reading gives the same residue."""
+    out: dict[str, str] = {}
+    for letters in product(AMBIGUOUS, repeat=3):
+        read = {CODON_TABLE["".join(b)] for b in product(*(AMBIGUOUS[x] for x in letters))}
+        if len(read) == 1:
+            out["".join(letters)] = read.pop()
+    return out
+
+
 def residue_codons() -> dict[str, list[str]]:
     """A24 (driver side): residue -> sorted list of its codons (21 residues, stop included)."""
     out: dict[str, list[str]] = {}
     for codon in sorted(CODON_TABLE):
         out.setdefault(CODON_TABLE[codon], []).append(codon)
     return out
-
-
-def table_string() -> str:
-    """The 64 residues in codon order, so that ``codon index = 16a + 4b + c`` indexes it."""
-    return "".join(CODON_TABLE[c] for c in sorted(CODON_TABLE))

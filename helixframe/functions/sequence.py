@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .codons import CODON_TABLE, RARE_RESIDUES, STOP, UNKNOWN, residue_codons
+from .codons import ambiguous_codons, CODON_TABLE, RARE_RESIDUES, STOP, UNKNOWN, residue_codons
 from .draws import draw
 
 
@@ -75,8 +75,13 @@ def dna_to_aa(seq) -> Column:
 
 
 def translate_to_stop(seq) -> Column:
-    """translate complete codons and cut at the first stop (stop not included)."""
-    protein = F.array_join(F.transform(full_codons(seq), lookup_residue), "")
+    """translate complete codons and cut at the first stop (stop not included).
+
+    ``U`` reads as ``T``; a codon with ambiguity letters gives its residue if all its readings agree, else ``X``.
+    """
+    table = F.create_map(*[F.lit(x) for pair in ambiguous_codons().items() for x in pair])
+    protein = F.array_join(F.transform(full_codons(seq), lambda c: F.coalesce(
+        F.try_element_at(codon_map(), c), F.try_element_at(table, c), F.lit(UNKNOWN))), "")
     return F.substring_index(protein, STOP, 1)
 
 

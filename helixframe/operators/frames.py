@@ -42,10 +42,13 @@ def overwrite(base: DataFrame, patch: DataFrame, key: str = "row_id",
                       if c in cols else F.col(c) for c in base.columns])
 
 
-def append_rows(base: DataFrame, extra: DataFrame, order: str = "row_id",
+def append_rows(base: DataFrame, extra: DataFrame | None, order: str = "row_id",
                 aug_order: str | None = None) -> DataFrame:
     """Bag union by column name (missing columns -> null); the extra rows come after the base
-    rows: their ``order`` is offset past the base's maximum (a one-row aggregate, broadcast)."""
+    rows: their ``order`` is offset past the base's maximum (a one-row aggregate, broadcast). P9: an
+    augmentation that is switched off (``None``) leaves the base as it is."""
+    if extra is None:
+        return base
     top = base.agg(F.max(order).alias("_top"))
     aug_key = aug_order or order
     e = extra.crossJoin(F.broadcast(top)).withColumn(order, F.col("_top") + 1 + F.col(aug_key))

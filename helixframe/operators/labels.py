@@ -12,7 +12,16 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-SENTINEL = "not applicable"
+from ..session import materialize
+
+SENTINEL = "not applicable"  # fixed value
+MAX_LABELS = 1_000_000  # a dictionary up to this many labels is broadcast; a larger one is joined by shuffle
+
+
+def small(dictionary: DataFrame) -> DataFrame:
+    """The dictionary with a broadcast hint if its row count (one small job) allows it."""
+    rows = dictionary.limit(MAX_LABELS + 1).count()
+    return F.broadcast(dictionary) if rows <= MAX_LABELS else dictionary
 
 
 def ids_by_first_appearance(df: DataFrame, label: str, order: str = "row_id",
@@ -44,20 +53,23 @@ def inverse(dictionary: DataFrame, key: str, value: str) -> DataFrame:
 def encode_strict(df: DataFrame, dictionary: DataFrame, name: str, id_col: str = "id",
                   out: str = "y") -> DataFrame:
     """Name -> id; an unknown name raises (like a missing dictionary key)."""
-    j = df.join(dictionary.select(F.col(name).alias("_k"), F.col(id_col).alias("_id")),
-                df[name].eqNullSafe(F.col("_k")), "left")
-    checked = F.when(F.col("_id").isNull(),
+    d = dictionary.select(F.col(name).alias("_k"), F.col(id_col).alias("_id"), F.lit(True).alias("_known"))
+    j = df.join(small(d), df[name].eqNullSafe(F.col("_k")), "left")
+    checked = F.when(F.col("_known").isNull(),
                      F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(F.col(name).cast("string"),
                                                                                 F.lit("null"))))
                      ).otherwise(F.col("_id"))
-    return j.withColumn(out, checked.cast("int")).drop("_k", "_id")
+    # a filter on the same test, so that the error does not depend on whether ``out`` is read
+    j = j.where(F.when(F.col("_known").isNull(), F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(
+        F.col(name).cast("string"), F.lit("null")))).cast("boolean")).otherwise(F.lit(True)))
+    return j.withColumn(out, checked.cast("int")).drop("_k", "_id", "_known")
 
 
 def encode_lenient(df: DataFrame, dictionary: DataFrame, name: str, id_col: str = "id",
                    out: str = "y") -> DataFrame:
     """Name -> id; an unknown name gives null."""
     d = dictionary.select(F.col(name).alias("_k"), F.col(id_col).alias(out))
-    return df.join(d, df[name] == F.col("_k"), "left").drop("_k")
+    return df.join(small(d), df[name] == F.col("_k"), "left").drop("_k")
 
 
 def decode(df: DataFrame, dictionary: DataFrame, name: str, id_col: str = "id",
@@ -65,7 +77,7 @@ def decode(df: DataFrame, dictionary: DataFrame, name: str, id_col: str = "id",
     """Id -> name for each listed column (one join per column on the same small dimension)."""
     for c in cols:
         d = dictionary.select(F.col(id_col).alias(f"_{c}_id"), F.col(name).alias(f"{c}{suffix}"))
-        df = df.join(d, df[c] == F.col(f"_{c}_id"), "left").drop(f"_{c}_id")
+        df = df.join(small(d), df[c] == F.col(f"_{c}_id"), "left").drop(f"_{c}_id")
     return df
 
 
@@ -83,8 +95,7 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     out = df
     for c in cols:
         filled = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        codes = df.select(filled.alias("_v")).distinct()
-        codes = codes.select("_v", (F.row_number().over(Window.orderBy("_v")) - 1).cast("int").alias("_code"))
+        codes = numbered(df.select(filled.alias("_v")).distinct(), "_v", "_code")
         out = out.withColumn("_v", filled).join(codes, "_v", "left").drop("_v")
         if not suffix:
             out = out.drop(c)
@@ -92,6 +103,19 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     return out
 
 
+def numbered(values: DataFrame, col: str, out: str) -> DataFrame:
+    """Distinct values -> 0-based rank, without a one-task window: range partitions are numbered on their own and
+    shifted by the counts of the partitions before them (one row per partition)."""
+    ranged = values.repartitionByRange(col).sortWithinPartitions(col)
+    ranged = materialize(ranged.withColumn("_p", F.spark_partition_id()), "values")  # the partitioning must not move
+    before = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
+    before = before.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(
+        Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(col)) - 1
+    return ranged.select(col, "_p", rank.alias("_r")).join(F.broadcast(before), "_p").select(
+        col, (F.col("_r") + F.col("_before")).cast("int").alias(out))
+
+
 def distinct_labels(df: DataFrame, label: str) -> DataFrame:
     """A5: number of distinct labels, counting a missing label once (as ``unique()`` does)."""
     return df.agg((F.countDistinct(label) + F.max(F.col(label).isNull().cast("int"))).cast("bigint")

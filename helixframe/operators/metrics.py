@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.numeric import cross_entropy
+from .labels import small
 
 METRIC_ORDER = ("accuracy", "balanced_accuracy", "f1_macro", "precision_macro", "recall_macro")
 
@@ -20,11 +21,13 @@ def class_counts(df: DataFrame, y: str = "y", y_hat: str = "y_hat",
                  group: list[str] | None = None) -> DataFrame:
     """``(*group, label, tp, n_true, n_pred)`` for every label in truth or prediction."""
     group = group or []
-    both = df.select(*group, F.explode(F.array(
-        F.struct(F.col(y).alias("label"), (F.col(y) == F.col(y_hat)).cast("long").alias("tp"),
-                 F.lit(1).cast("long").alias("t"), F.lit(0).cast("long").alias("p")),
-        F.struct(F.col(y_hat).alias("label"), F.lit(0).cast("long").alias("tp"),
-                 F.lit(0).cast("long").alias("t"), F.lit(1).cast("long").alias("p")))).alias("e"))
+    # count the pairs first (k * k rows per task), then look at each pair from both sides
+    pairs = df.groupBy(*group, F.col(y).alias("_y"), F.col(y_hat).alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    none = F.lit(0).cast("long")
+    both = pairs.select(*group, F.explode(F.array(
+        F.struct(F.col("_y").alias("label"), F.when(F.col("_y") == F.col("_p"), F.col("_n")).otherwise(none).alias("tp"),
+                 F.col("_n").alias("t"), none.alias("p")),
+        F.struct(F.col("_p").alias("label"), none.alias("tp"), none.alias("t"), F.col("_n").alias("p")))).alias("e"))
     return both.groupBy(*group, F.col("e.label").alias("label")).agg(
         F.sum("e.tp").alias("tp"), F.sum("e.t").alias("n_true"), F.sum("e.p").alias("n_pred"))
 
@@ -171,7 +174,7 @@ def weighted_cross_entropy(df: DataFrame, weights: DataFrame, z: str = "z", y: s
                            label: str = "label") -> DataFrame:
     """``sum(w_y * ce) / sum(w_y)`` with per-class weights (e.g. from A7)."""
     w = weights.select(F.col(label).alias("_wl"), F.col("weight").alias("_w"))
-    j = df.join(w, df[y] == F.col("_wl"), "left")
+    j = df.join(small(w), df[y] == F.col("_wl"), "left")
     ce = cross_entropy(z, y)
     return j.agg((F.sum(F.col("_w") * ce) / F.sum("_w")).alias("weighted_ce"))
 

@@ -1,11 +1,12 @@
 """Per-sample pooling of organism embeddings (A1-A4) and abundance-matrix views.
 
-Vectors travel as ``array<float>`` between operators. Pooling sums each
-position with one aggregate expression per position: a hash aggregate with a
-partial (map-side) phase, so a sample holding a third of all rows is reduced
-inside every task before the shuffle, and only one row per sample and task
-crosses the network. For very wide vectors ``method="summarizer"`` uses Spark
-ML's ``Summarizer`` (one dense buffer per group) instead of ``dim`` columns.
+Vectors travel as ``array<float>`` of a declared width between operators; a
+vector of another width raises. Pooling cuts every vector into chunks of CHUNK
+positions and sums each position of a chunk with one aggregate expression: a
+hash aggregate with a partial (map-side) phase, so a sample holding a third of
+all rows is reduced inside every task before the shuffle, and only one row per
+sample, chunk and task crosses the network. The same plan serves every width.
+A missing element makes its position's result missing.
 """
 
 from __future__ import annotations
@@ -15,55 +16,47 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import join_checked
+CHUNK = 64  # positions summed in one row
+STEP = 1000  # copies in one block of a repeated row
 
-WIDE_LIMIT = 256  # above this many positions, per-position columns give way to Summarizer
 
+def _checked(vec: str, dim: int) -> Column:
+    """The vector, or an error if its width is not the declared one."""
+    return F.when(F.coalesce(F.size(F.col(vec)), F.lit(-1)) == dim, F.col(vec)).otherwise(
+        F.raise_error(F.concat(F.lit(f"vector of another width than {dim}: "), F.size(F.col(vec)).cast("string"))))
 
-def vector_dim(df: DataFrame, vec: str) -> int:
-    """Width of the vector column, read from one row (a one-row job)."""
-    row = df.select(F.size(vec).alias("d")).where(F.col("d") >= 0).first()
-    return int(row["d"]) if row else 0
 
+def _pooled(df: DataFrame, key: str, vec: str, dim: int, weights: list[Column]) -> DataFrame:
+    """``(key, _w, emb)``: for each weight in turn ``sum(w * v) / sum(w)`` per position, one after the other.
 
-def _position_sums(df: DataFrame, key: str, vec: str, dim: int, weight: Column | None):
-    w = weight if weight is not None else F.lit(1.0)
-    aggs = [F.sum(w * F.col(vec)[i].cast("double")).alias(f"_s{i}") for i in range(dim)]
-    aggs.append(F.sum(w).alias("_w"))
-    return df.groupBy(key).agg(*aggs)
-
-
-def _summarizer_mean(df: DataFrame, key: str, vec: str, weight: Column | None) -> DataFrame:
-    from pyspark.ml.functions import array_to_vector, vector_to_array
-    from pyspark.ml.stat import Summarizer
-
-    v = array_to_vector(F.col(vec))
-    w = weight if weight is not None else F.lit(1.0)
-    g = df.groupBy(key).agg(Summarizer.mean(v, w).alias("_m"), F.sum(w).alias("_w"))
-    return g.select(key, vector_to_array("_m").alias("emb"), "_w")
-
-
-def mean_pool(df: DataFrame, key: str = "sample_name", vec: str = "emb",
-              dim: int | None = None, method: str = "auto") -> DataFrame:
+    ``_w`` holds the weight sums. NaN stands for a missing element inside the sums and becomes null.
+    """
+    n, width = -(-dim // CHUNK), min(dim, CHUNK)
+    rows = df.select(key, _checked(vec, dim).alias("_v"), F.array(*weights).alias("_ws"))
+    cells = rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(n * len(weights) - 1))).alias("_c"), "_v", "_ws")
+    cells = cells.select(key, "_c", F.col("_ws")[F.floor(F.col("_c") / n).cast("int")].alias("_w"), F.slice(
+        "_v", (F.col("_c") % n) * CHUNK + 1, F.lit(CHUNK)).alias("_v"))
+    value = lambda i: F.coalesce(F.get(F.col("_v"), F.lit(i)).cast("double"), F.lit(float("nan")))
+    sums = cells.groupBy(key, "_c").agg(F.sum("_w").alias("_w"), *[
+        F.sum(F.col("_w") * value(i)).alias(f"_s{i}") for i in range(width)])
+    mean = [F.try_divide(F.col(f"_s{i}"), F.col("_w")) for i in range(width)]
+    chunk = F.array(*[F.when(~F.isnan(m), m) for m in mean])
+    last = dim - (n - 1) * CHUNK  # the last chunk may be shorter
+    chunk = F.when(F.col("_c") % n == n - 1, F.slice(chunk, 1, last)).otherwise(chunk)
+    back = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_c", "_w", chunk.alias("e")))).alias("_cs"))
+    return back.select(key, F.transform("_cs", lambda c: c["_w"]).alias("_w"),
+                       F.flatten(F.transform("_cs", lambda c: c["e"])).alias("emb"))
+
+
+def mean_pool(df: DataFrame, key: str = "sample_name", vec: str = "emb", *, dim: int) -> DataFrame:
     """A1: plain mean of the vectors in each group (abundance ignored, so zero-abundance groups stay)."""
-    dim = dim if dim is not None else vector_dim(df, vec)
-    if method == "summarizer" or (method == "auto" and dim > WIDE_LIMIT):
-        return _summarizer_mean(df, key, vec, None).drop("_w")
-    g = _position_sums(df, key, vec, dim, None)
-    return g.select(key, F.array(*[F.col(f"_s{i}") / F.col("_w") for i in range(dim)]).alias("emb"))
+    return _pooled(df, key, vec, dim, [F.lit(1.0)]).drop("_w")
 
 
 def weighted_mean_pool(df: DataFrame, key: str = "sample_name", vec: str = "emb",
-                       weight: str = "abundance", dim: int | None = None,
-                       method: str = "auto") -> DataFrame:
+                       weight: str = "abundance", *, dim: int) -> DataFrame:
     """A2: ``sum(w * v) / sum(w)`` per position; groups whose weights sum to 0 are dropped."""
-    dim = dim if dim is not None else vector_dim(df, vec)
-    w = F.col(weight).cast("double")
-    if method == "summarizer" or (method == "auto" and dim > WIDE_LIMIT):
-        g = _summarizer_mean(df.where(w != 0), key, vec, w)
-        return g.where(F.col("_w") != 0).drop("_w")
-    g = _position_sums(df, key, vec, dim, w).where(F.col("_w") != 0)
-    return g.select(key, F.array(*[F.col(f"_s{i}") / F.col("_w") for i in range(dim)]).alias("emb"))
+    return _pooled(df, key, vec, dim, [F.col(weight).cast("double")]).where(F.col("_w")[0] != 0).drop("_w")
 
 
 def query_vector(dim: int, head: int = 0) -> list[float]:
@@ -72,46 +65,41 @@ def query_vector(dim: int, head: int = 0) -> list[float]:
 
 
 def attention_pool(df: DataFrame, key: str = "sample_name", vec: str = "emb",
-                   weight: str = "abundance", dim: int | None = None, heads: int = 1) -> DataFrame:
+                   weight: str = "abundance", *, dim: int, heads: int = 1) -> DataFrame:
     """A3: softmax attention pooling over the abundance-repeated set, without repeating rows.
 
     Softmax attention over a set in which vector ``x`` appears ``m = int(abundance)``
     times equals attention over the distinct vectors with weights ``m * exp(q.x)``.
-    The per-group maximum of ``q.x`` is subtracted for stability: a first
-    aggregate (partial + final, skew safe) finds it, and a join brings it back
-    (broadcast after a size check: one row per group).
+    The per-group maximum of ``q.x`` is subtracted for stability: one aggregate
+    (partial + final, skew safe) finds it for all heads, and one join brings it
+    back (adaptive execution picks its form from the size it sees).
     Groups whose multiplicities sum to 0 are dropped. ``heads`` outputs are
     concatenated.
     """
-    dim = dim if dim is not None else vector_dim(df, vec)
     m = F.col(weight).cast("int")
     base = df.select(key, vec, m.alias("_m")).where(F.col("_m") > 0)
-    outs = []
+    score = []
     for h in range(heads):
-        q = query_vector(dim, h)
         # One fold over the array: a 64-term expression tree compiles to a method
         # too large for the JIT and ran ~5x slower.
-        qa = F.array(*[F.lit(x) for x in q])
+        qa = F.array(*[F.lit(x) for x in query_vector(dim, h)])
         s = F.aggregate(F.zip_with(F.col(vec), qa, lambda a, b: a.cast("double") * b), F.lit(0.0),
                         lambda acc, x: acc + x)
-        scored = base.withColumn("_s", s / F.lit(math.sqrt(dim)))
-        top = scored.groupBy(key).agg(F.max("_s").alias("_top"))
-        weighted = join_checked(scored, top, key).select(
-            key, vec, (F.col("_m") * F.exp(F.col("_s") - F.col("_top"))).alias("_ww"))
-        pooled = _position_sums(weighted, key, vec, dim, F.col("_ww"))
-        outs.append(pooled.select(key, *[(F.col(f"_s{i}") / F.col("_w")).alias(f"_h{h}_{i}")
-                                       for i in range(dim)]))
-    res = outs[0]
-    for o in outs[1:]:
-        res = res.join(o, key)
-    cols = [F.col(f"_h{h}_{i}") for h in range(heads) for i in range(dim)]
-    return res.select(key, F.array(*cols).alias("emb"))
+        score.append((s / F.lit(math.sqrt(dim))).alias(f"_s{h}"))
+    scored = base.select(key, vec, "_m", *score)
+    top = scored.groupBy(key).agg(*[F.max(f"_s{h}").alias(f"_top{h}") for h in range(heads)])
+    weights = [F.col("_m") * F.exp(F.col(f"_s{h}") - F.col(f"_top{h}")) for h in range(heads)]
+    return _pooled(scored.join(top, key), key, vec, dim, weights).drop("_w")
 
 
 def repeat_rows(df: DataFrame, weight: str = "abundance") -> DataFrame:
     """A4: repeat each row ``int(weight)`` times (0 or negative -> no rows); adds ``copy`` (0-based)."""
     n = F.greatest(F.col(weight).cast("int"), F.lit(0))
-    return df.select("*", F.posexplode(F.array_repeat(F.lit(1), n)).alias("copy", "_one")).drop("_one")
+    # two levels, so that one huge weight builds no huge array: blocks of STEP copies, then the copies of a block
+    blocks = F.when(n > 0, F.sequence(F.lit(0), F.floor((n - 1) / STEP).cast("int")))
+    rows = df.select("*", n.alias("_n"), F.explode(blocks).alias("_b"))
+    inside = F.sequence(F.col("_b") * STEP, F.least(F.col("_n"), (F.col("_b") + 1) * STEP) - 1)
+    return rows.select(*df.columns, F.explode(inside).alias("copy"))
 
 
 def expand_vector(df: DataFrame, vec: str = "emb", dim: int = 64, prefix: str = "emb_",

@@ -70,6 +70,59 @@ def a03_attention_pool(spark, sf_dir):
     return P.expand_vector(pooled, dim=EMB_DIM)
 
 
+WIDE = 768  # the reference's width: the 64 values twelve times over, each repeat scaled by its number
+_WIDE_SQL = """wide AS (SELECT sample_name, abundance, (j - 1) * 64 + i AS i, CAST(v AS DOUBLE) * j AS v
+  FROM (SELECT sample_name, abundance, unnest(emb) AS v, generate_subscripts(emb, 1) AS i FROM otu_emb),
+       (SELECT unnest(range(1, 13)) AS j))"""
+
+
+def wide(spark, sf_dir):
+    def scaled(j: int):
+        return F.transform("emb", lambda x: x.cast("double") * F.lit(float(j)))
+
+    return S.otu_emb(spark, sf_dir).withColumn("emb", F.concat(*(scaled(j) for j in range(1, WIDE // EMB_DIM + 1))))
+
+
+@register("a01_wide", with_views("otu_emb", f"""
+WITH {_WIDE_SQL}, s AS (SELECT sample_name, i, avg(v) AS m FROM wide GROUP BY sample_name, i)
+SELECT sample_name, CAST(i - 1 AS INTEGER) AS pos, {r6('m')} AS v FROM s"""))
+def a01_wide(spark, sf_dir):
+    return _long(P.mean_pool(wide(spark, sf_dir), dim=WIDE))
+
+
+@register("a02_wide", with_views("otu_emb", f"""
+WITH {_WIDE_SQL}, s AS (SELECT sample_name, i, sum(abundance * v) / sum(abundance) AS m FROM wide
+  GROUP BY sample_name, i HAVING sum(abundance) <> 0)
+SELECT sample_name, CAST(i - 1 AS INTEGER) AS pos, {r6('m')} AS v FROM s"""))
+def a02_wide(spark, sf_dir):
+    return _long(P.weighted_mean_pool(wide(spark, sf_dir), dim=WIDE))
+
+
+def _long(pooled):
+    rows = pooled.select("sample_name", F.posexplode("emb").alias("pos", "v"))
+    return rows.select("sample_name", "pos", (F.round("v", 6) + F.lit(0.0)).alias("v"))
+
+
+def _a03_heads_sql(heads: int) -> str:
+    parts = []
+    for h in range(heads):
+        q = P.query_vector(EMB_DIM, h)
+        dot = "(" + " + ".join(["0.0"] + [f"CAST(emb[{i + 1}] AS DOUBLE) * {dbl(q[i])}" for i in range(EMB_DIM)]) + ")"
+        parts.append(f"SELECT sample_name, emb, CAST(trunc(abundance) AS INTEGER) AS m, {h} AS h, "
+                     f"{dot} / {dbl(math.sqrt(EMB_DIM))} AS s FROM otu_emb WHERE CAST(trunc(abundance) AS INTEGER) > 0")
+    return with_views("otu_emb", f"""
+WITH b AS ({' UNION ALL '.join(parts)}),
+w AS (SELECT *, m * exp(s - max(s) OVER (PARTITION BY sample_name, h)) AS ww FROM b),
+e AS (SELECT sample_name, h, ww, unnest(emb) AS v, generate_subscripts(emb, 1) AS i FROM w)
+SELECT sample_name, CAST(h * {EMB_DIM} + i - 1 AS INTEGER) AS pos, {r6('sum(ww * CAST(v AS DOUBLE)) / sum(ww)')} AS v
+FROM e GROUP BY sample_name, h, i""")
+
+
+@register("a03_heads", _a03_heads_sql(3))
+def a03_heads(spark, sf_dir):
+    return _long(P.attention_pool(S.otu_emb(spark, sf_dir), dim=EMB_DIM, heads=3))
+
+
 A04_SQL = with_views("otu", """
 SELECT sample_name, otu_id, CAST(c.copy AS BIGINT) AS copy
 FROM otu, LATERAL (SELECT unnest(range(0, greatest(CAST(trunc(abundance) AS INTEGER), 0))) AS copy) c""")

@@ -9,6 +9,9 @@ from ..functions import sequence as Q
 from ..functions.codons import CODON_TABLE
 from ..functions.draws import K_ITER, draw_sql
 from ..sources import standins as S
+from ..functions.codons import ambiguous_codons
+from ..session import shared_path
+from ..sources import readers, sinks
 from ..sources.tables import spread, table
 from .registry import register
 from .sqlgen import (aa_to_dna_sql, base_sql, codon_mutation_sql, dna_to_aa_sql, fires_sql,
@@ -22,7 +25,39 @@ MODEL_MAX_LEN = 510  # the DNA models' input length (510 + 2 special tokens)
 
 @register("s01_read_sequences", with_views("seqs", "SELECT row_id, dna, label_name, split FROM seqs"))
 def s01_read_sequences(spark, sf_dir):
-    return S.seqs(spark, sf_dir)
+    """Sequences written as one CSV folder per split, in the source's format, and read back by header name."""
+    rows = S.seqs(spark, sf_dir, parallel=False).select(
+        F.col("label_name").alias("Drug Class"), F.col("row_id").alias("id"), F.col("dna").alias("DNA Sequence"), "split")
+    paths = {name: shared_path(spark, name) for name in ("train", "valid", "test")}
+    for name, path in paths.items():
+        rows.where(F.col("split") == name).drop("split").write.option("header", True).option("emptyValue", '""').csv(path)
+    back = readers.read_sequences(spark, paths, ["DNA Sequence", readers.target_column("dc")], key="id")
+    return back.select("row_id", F.coalesce("DNA Sequence", F.lit("")).alias("dna"),
+                       F.col(readers.target_column("dc")).alias("label_name"), "split")
+
+
+@register("s02_read_metadata", with_views("meta", "SELECT row_id, co_occur, ph, depth, env_biome, geo_loc_name FROM meta"))
+def s02_read_metadata(spark, sf_dir):
+    """Metadata written as a tab-separated folder with missing spellings, and read back."""
+    path = shared_path(spark, "meta")
+    rows = S.meta(spark, sf_dir).select("row_id", "co_occur", "ph", "depth", "env_biome", "geo_loc_name")
+    text = [F.coalesce(F.col(c).cast("string"), F.lit("NA")).alias(c) for c in rows.columns]
+    rows.select(*text).write.option("header", True).option("sep", "\t").csv(path)
+    back = readers.read_metadata(spark, path, numeric=["ph", "depth"])
+    return back.withColumn("row_id", F.col("row_id").cast("bigint"))
+
+
+@register("s03_wide_embeddings", """SELECT CAST(vec_id AS VARCHAR) AS sample_name, CAST(label AS DOUBLE) AS abundance,
+  CAST(unnest(range(0, len(embedding))) AS INTEGER) AS pos, unnest(embedding) AS v FROM embeddings""")
+def s03_wide_embeddings(spark, sf_dir):
+    """Vectors written as wide CSV columns (S6) beside an index column, and read back by name."""
+    path = shared_path(spark, "wide")
+    rows = table(spark, sf_dir, "embeddings").select(
+        F.lit(0).alias("index"), F.col("vec_id").cast("string").alias("sample_name"),
+        F.col("label").cast("double").alias("abundance"), F.col("embedding").alias("emb"))
+    sinks.write_table(rows, path, fmt="csv", vec="emb", dim=64)
+    back = readers.read_wide_embeddings(spark, path, dim=64)
+    return back.select("sample_name", "abundance", F.posexplode("emb").alias("pos", "v"))
 
 
 F01_SQL = """SELECT doc_id AS row_id, upper(regexp_replace(text, '[^A-Za-z]', '', 'g')) AS seq
@@ -58,6 +93,25 @@ def f04_translate_to_stop(spark, sf_dir):
     return S.seqs(spark, sf_dir).select("row_id", Q.translate_to_stop("dna").alias("protein"))
 
 
+# one base in five becomes an ambiguity letter, T becomes U: sequences as a laboratory reports them
+_UNSURE = "translate(regexp_replace(dna, '(....)[ACGT]', '\\1N', 'g'), 'T', 'U')"
+
+
+def _f04_ambiguous_sql() -> str:
+    table = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in ambiguous_codons().items()) + "}"
+    return with_views("seqs", f"""
+WITH p AS (SELECT row_id, array_to_string(list_transform(regexp_extract_all({_UNSURE}, '.{{3}}'),
+  lambda c: coalesce(({table})[c], 'X')), '') AS p FROM seqs)
+SELECT row_id, CASE WHEN contains(p, '_') THEN split_part(p, '_', 1) ELSE p END AS protein FROM p""")
+
+
+@register("f04_ambiguous", _f04_ambiguous_sql())
+def f04_ambiguous(spark, sf_dir):
+    unsure = F.translate(F.regexp_replace("dna", "(....)[ACGT]", "$1N"), "T", "U")
+    return S.seqs(spark, sf_dir).select("row_id", unsure.alias("dna")).select(
+        "row_id", Q.translate_to_stop("dna").alias("protein"))
+
+
 F05_SQL = """SELECT doc_id AS row_id,
   array_to_string(string_split(translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')),
                                          'UZOB', 'XXXX'), ''), ' ') AS protein

@@ -78,22 +78,3 @@ def materialize(df, name: str = "part", key: str | None = None):
     from .sources.tables import spread
 
     return spread(back, key)  # a small table reads back as one partition
-
-
-BROADCAST_MAX_ROWS = 2_000_000
-
-
-def join_checked(big, small, on, how: str = "inner", max_rows: int = BROADCAST_MAX_ROWS):
-    """Join ``big`` with a side that is *usually* small, broadcasting it only after checking its size.
-
-    ``small`` is written to the checkpoint folder first (so the count and the
-    join read the same data without recomputing it), then counted: at most
-    ``max_rows`` rows -> broadcast hash join (no shuffle of ``big``); beyond
-    that -> a regular shuffle join, where AQE splits skewed partitions.
-    """
-    from pyspark.sql import functions as F
-
-    small = materialize(small, "small-side")
-    if small.count() <= max_rows:
-        return big.join(F.broadcast(small), on, how)
-    return big.join(small, on, how)

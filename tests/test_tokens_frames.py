@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from helixframe.operators import attack as A
 from helixframe.operators import frames as FR
 from helixframe.operators import tokens as T
-from helixframe.session import join_checked, materialize
+from helixframe.session import materialize
 
 
 def test_k1_k2_k3(spark):
@@ -48,13 +48,6 @@ def test_w3_snapshots(spark):
                     (2, 10): ("ORIG2", False), (2, 20): ("ORIG2", False)}
 
 
-def test_join_checked_both_paths(spark):
-    big = spark.range(100).withColumnRenamed("id", "k")
-    small = spark.range(0, 100, 10).withColumnRenamed("id", "k").withColumn("v", F.lit(1))
-    assert join_checked(big, small, "k").count() == 10
-    assert join_checked(big, small, "k", max_rows=0).count() == 10
-
-
 def test_materialize_cuts_lineage(spark):
     df = spark.range(10).withColumn("x", F.col("id") * 2)
     m = materialize(df, "t", key="id")
