@@ -93,18 +93,22 @@ def gradient_boosting(features: list[str], label: str = "label", weight: str = "
     return Pipeline(stages=[assemble(features), gbt])
 
 
+UNKNOWN_KMER = "?"  # any k-mer with a letter other than ACGT
+
+
 def kmer_tokens(seq: Column, k: int = 3) -> Column:
     """Overlapping k-mers of an ASCII sequence as an array (binary substr: O(1) per position)."""
     raw = seq.cast("binary")
     n = F.length(raw) - F.lit(k - 1)
     pos = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    return F.transform(pos, lambda p: raw.substr(p, F.lit(k)).cast("string"))
+    cut = F.transform(pos, lambda p: raw.substr(p, F.lit(k)).cast("string"))
+    return F.transform(cut, lambda t: F.when(t.rlike(f"^[ACGT]{{{k}}}$"), t).otherwise(F.lit(UNKNOWN_KMER)))
 
 
 def sequence_classifier(k: int = 3, label: str = "label", weight: str = "weight",
                         max_iter: int = 50) -> Pipeline:
-    """M6: k-mer counts (CountVectorizer, at most ``4**k`` terms) -> multinomial logistic regression."""
-    cv = CountVectorizer(inputCol="kmers", outputCol="features", vocabSize=4 ** k)
+    """M6: k-mer counts (every ``ACGT`` k-mer and the unknown one) -> multinomial logistic regression."""
+    cv = CountVectorizer(inputCol="kmers", outputCol="features", vocabSize=4 ** k + 1)
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight, family="multinomial",
                             maxIter=max_iter)
     return Pipeline(stages=[cv, lr])
@@ -124,5 +128,7 @@ def load_model(path: str) -> PipelineModel:
 
 
 def prediction_diff(a: DataFrame, b: DataFrame, key: str = "row_id", col: str = "prediction") -> DataFrame:
-    """Rows whose predictions differ between two scorings (empty when the reload is faithful)."""
-    return a.select(key, col).exceptAll(b.select(key, col))
+    """``(rows_compared, rows_different)`` of two scorings; a row that only one side has differs."""
+    j = a.select(key, F.col(col).alias("_a")).join(b.select(key, F.col(col).alias("_b")), key, "full")
+    return j.agg(F.count("*").alias("rows_compared"),
+                 F.count_if(~F.col("_a").eqNullSafe(F.col("_b"))).alias("rows_different"))

@@ -1,4 +1,4 @@
-"""Spark ML queries: M1 (oracle), M2-M7, M11, S9 (rows-only: fitted models are not SQL)."""
+"""Spark ML queries: M1-M7, M11, S9 (fitted trees and reports have no SQL form: rows only)."""
 
 from __future__ import annotations
 
@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from ..operators import labels as L
 from ..operators import metrics as X
 from ..operators.scoring import batch_model_udf
+from ..session import materialize
 from ..sources import standins as S
 from . import ml
-from .q_attack import K as SCORER_K, N_CLASSES, SEED, labelled_seqs
+from .q_attack import K as SCORER_K, SEED, _q, labelled_seqs, n_classes
 from .registry import register
 from .sqlgen import round_cols
 from .views import with_views
@@ -66,8 +67,8 @@ def m02_assemble(spark, sf_dir):
     return v.select("row_id", vector_to_array("features").alias("features"))
 
 
-def _rf_predictions(spark, sf_dir):
-    d = _prepared(spark, sf_dir, "presence")
+def _rf_predictions(spark, sf_dir, target: str = "presence"):
+    d = _prepared(spark, sf_dir, target)
     train = ml.balanced_weights(d.where(F.col("split") == "train"), "label")
     model = ml.random_forest(NUMERIC + TEXT).fit(train)
     test = d.where(F.col("split") == "test")
@@ -79,19 +80,29 @@ def m03_random_forest(spark, sf_dir):
     return _rf_predictions(spark, sf_dir)
 
 
-@register("m04_gradient_boosting")
-def m04_gradient_boosting(spark, sf_dir):
-    d = _prepared(spark, sf_dir, "threshold")
+def _gbt_predictions(spark, sf_dir, target: str):
+    d = _prepared(spark, sf_dir, target)
     train = ml.positive_weights(d.where(F.col("split") == "train"), "label")
     model = ml.gradient_boosting(NUMERIC + TEXT).fit(train)
     return model.transform(d.where(F.col("split") == "test")).select("row_id", "label", "prediction")
 
 
+@register("m04_gradient_boosting")
+def m04_gradient_boosting(spark, sf_dir):
+    return _gbt_predictions(spark, sf_dir, "threshold")
+
+
 @register("m05_metadata_report")
 def m05_metadata_report(spark, sf_dir):
-    p = _rf_predictions(spark, sf_dir).select(F.col("label").cast("int").alias("y"),
-                                              F.col("prediction").cast("int").alias("y_hat"))
-    return round_cols(X.classification_report(p), ["precision", "recall", "f1"])
+    """The four reports: presence and threshold targets, forest and boosting."""
+    out = None
+    for target in ("presence", "threshold"):
+        for name, fit in (("forest", _rf_predictions), ("boosting", _gbt_predictions)):
+            p = fit(spark, sf_dir, target).select(F.col("label").cast("int").alias("y"),
+                                                  F.col("prediction").cast("int").alias("y_hat"))
+            r = X.classification_report(p).select(F.lit(target).alias("target"), F.lit(name).alias("model"), "*")
+            out = r if out is None else out.unionByName(r)
+    return round_cols(out, ["precision", "recall", "f1"])
 
 
 def _seq_training(spark, sf_dir):
@@ -105,16 +116,28 @@ def _fit_sequence_model(spark, sf_dir):
     return s, ml.sequence_classifier(SCORER_K).fit(train)
 
 
-@register("m06_sequence_classifier")
+# The fitted weights have no SQL form; the test rows, their labels and a bound on the accuracy do.
+M06_SQL = with_views("seqs", """
+WITH d AS (SELECT label_name, CAST(row_number() OVER (ORDER BY min(row_id)) - 1 AS INTEGER) AS id
+  FROM seqs WHERE split = 'train' GROUP BY label_name)
+SELECT s.row_id, d.id AS y, true AS beats_majority FROM seqs s JOIN d USING (label_name) WHERE s.split = 'test'""")
+
+
+@register("m06_sequence_classifier", M06_SQL)
 def m06_sequence_classifier(spark, sf_dir):
+    """Test rows, and whether the model is right at least as often as the most common class is."""
     s, model = _fit_sequence_model(spark, sf_dir)
-    out = model.transform(s.where(F.col("split") == "test"))
-    return out.select("row_id", "y", F.col("prediction").cast("int").alias("y_hat"))
+    out = model.transform(s.where(F.col("split") == "test")).select("row_id", "y", "prediction")
+    out = materialize(out, "predictions")
+    right = out.agg(F.avg((F.col("prediction") == F.col("y")).cast("double")).alias("right"))
+    most = out.groupBy("y").agg(F.count("*").alias("n")).agg((F.max("n") / F.sum("n")).alias("most"))
+    bound = right.crossJoin(most).select((F.col("right") >= F.col("most")).alias("beats_majority"))
+    return out.select("row_id", "y").crossJoin(F.broadcast(bound))  # one row
 
 
-def _numpy_kmer_model():
+def _numpy_kmer_model(c: int):
     """M7's user model: the md5-rule 3-mer weights as a numpy scorer (built once per Python worker)."""
-    k, c = SCORER_K, N_CLASSES
+    k = SCORER_K
     kms = ["".join("ACGT"[(i // 4 ** (k - 1 - j)) % 4] for j in range(k)) for i in range(4 ** k)]
     w = np.array([[int(hashlib.md5(f"{km}:{ci}:{SEED}".encode()).hexdigest()[:8], 16) % 1001 - 500
                    for ci in range(c)] for km in kms], dtype=np.float64)
@@ -123,34 +146,32 @@ def _numpy_kmer_model():
         lut[ord(b)] = i
 
     def predict(seqs: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(seqs), c))
-        for r, s in enumerate(seqs):
-            codes = lut[np.frombuffer(s.encode("ascii", "replace"), dtype=np.uint8)]
-            if len(codes) < k:
-                continue
-            win = np.lib.stride_tricks.sliding_window_view(codes, k)
-            ok = (win >= 0).all(axis=1)
-            idx = (win[ok] * (4 ** np.arange(k - 1, -1, -1))).sum(axis=1)
-            out[r] = w[idx].sum(axis=0)
-        return out
+        # one pass over the flat batch; a separator no base matches keeps windows inside a sequence
+        raw = [s.encode("ascii", "replace") for s in seqs]
+        codes = lut[np.frombuffer(b"\0".join(raw) + b"\0" * k, dtype=np.uint8)]
+        win = np.lib.stride_tricks.sliding_window_view(codes, k)
+        ok = np.flatnonzero((win >= 0).all(axis=1))
+        owner = np.repeat(np.arange(len(raw)), [len(r) + 1 for r in raw])
+        idx = (win[ok] * (4 ** np.arange(k - 1, -1, -1))).sum(axis=1)
+        return np.stack([np.bincount(owner[ok], w[idx, ci], len(raw)) for ci in range(c)], axis=1)
 
     return predict
 
 
-@register("m07_batch_scoring")
+@register("m07_batch_scoring", _q("SELECT row_id, y, y_orig AS y_hat FROM orig"))
 def m07_batch_scoring(spark, sf_dir):
-    s = labelled_seqs(spark, sf_dir)
-    scorer = batch_model_udf(_numpy_kmer_model, N_CLASSES, batch_size=32)
+    """The user model in batches; its weights follow the same rule as M8's, so the answers agree."""
+    s, n = labelled_seqs(spark, sf_dir), n_classes(spark, sf_dir)
+    scorer = batch_model_udf(lambda: _numpy_kmer_model(n), n, batch_size=32)
     lg = s.select("row_id", "y", scorer(F.col("dna")).alias("logits"))
     return lg.select("row_id", "y", (F.array_position("logits", F.array_max("logits")) - 1).cast("int").alias("y_hat"))
 
 
-@register("m11_reload_compare")
+@register("m11_reload_compare", with_views("seqs", """
+SELECT count(*) AS rows_compared, CAST(0 AS BIGINT) AS rows_different FROM seqs WHERE split = 'test'"""))
 def m11_reload_compare(spark, sf_dir):
+    """Rows scored by the model and by its saved and loaded copy, and how many differ."""
     s, model = _fit_sequence_model(spark, sf_dir)
-    path = ml.save_model(model, "sequence-classifier")
-    again = ml.load_model(path)
+    again = ml.load_model(ml.save_model(model, "sequence-classifier"))
     test = s.where(F.col("split") == "test")
-    first = model.transform(test)
-    second = again.transform(test)
-    return ml.prediction_diff(first, second)
+    return ml.prediction_diff(model.transform(test), again.transform(test))
