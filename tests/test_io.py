@@ -83,3 +83,38 @@ def test_streaming_scorer(spark):
     q.awaitTermination(120)
     out = spark.read.parquet(os.path.join(d, "out"))
     assert sorted(r["row_id"] for r in out.collect()) == [1, 2]
+
+
+def test_s1_reordered_header_extra_columns_and_unique_ids(spark):
+    d = tmp()
+    with open(os.path.join(d, "a.csv"), "w") as f:
+        f.write("label,DNA Sequence,note\n1,ACGT,x\n0,GG,NA\n")
+    os.mkdir(os.path.join(d, "b"))
+    rows = [(str(i), "ACGT") for i in range(400)]
+    spark.createDataFrame(rows, ["label", "DNA Sequence"]).repartition(200).write.option("header", True).csv(
+        os.path.join(d, "b"), mode="overwrite")
+    df = R.read_sequences(spark, {"train": os.path.join(d, "a.csv"), "test": os.path.join(d, "b")},
+                          ["DNA Sequence", "label"])
+    got = df.collect()
+    assert {r["DNA Sequence"] for r in got} == {"ACGT", "GG"} and len({r["row_id"] for r in got}) == 402
+    import pytest
+
+    with pytest.raises(ValueError, match="missing columns"):
+        R.read_sequences(spark, {"train": os.path.join(d, "a.csv")}, ["Gene Family"])
+
+
+def test_s3_missing_cells_and_extra_columns(spark):
+    d = tmp()
+    p = os.path.join(d, "emb.csv")
+    with open(p, "w") as f:
+        f.write("idx,emb_1,sample_name,abundance,emb_0\n0,2.5,S1,NA,1\n1,NA,S2,3,4\n")
+    rows = R.read_wide_embeddings(spark, p, dim=2).collect()
+    assert [(r.sample_name, r.abundance, r.emb) for r in rows] == [("S1", None, [1.0, 2.5]), ("S2", 3.0, [4.0, None])]
+
+
+def test_s6_csv_needs_a_width(spark):
+    import pytest
+
+    df = spark.createDataFrame([("S1", [1.0])], "sample_name string, emb array<double>")
+    with pytest.raises(ValueError, match="width"):
+        W.write_table(df, os.path.join(tmp(), "x"), fmt="csv", vec="emb")

@@ -93,3 +93,26 @@ def test_f12_compounds(spark):
     step1 = one(spark, M.point_mutation("s", F.col("r"), 1, 0.2), s=s, r=3)
     step2 = one(spark, M.point_mutation("s", F.col("r"), 2, 0.2), s=step1, r=3)
     assert twice == step2
+
+
+def test_draws_agree_for_huge_row_ids_and_tiny_rates(spark):
+    import duckdb
+
+    from helixframe.functions.draws import draw_sql, fires, threshold
+
+    rows = [0, 5, 2**31, 5 * 10**15, 2**62]
+    df = spark.createDataFrame([(r,) for r in rows], "r bigint")
+    got = [x.d for x in df.select(draw(F.col("r"), F.lit(3), F.lit(9), 1).alias("d")).collect()]
+    con = duckdb.connect()
+    assert got == list(draw_np(rows, 3, 9, 1))
+    assert got == [con.execute(f"SELECT {draw_sql(str(r), '3', '9', 1)}").fetchone()[0] for r in rows]
+    n = 400_000
+    many = spark.range(n).select(draw(F.col("id"), F.lit(1), F.lit(1)).alias("x"))
+    hits = many.where(fires(F.col("x"), 0.0004)).count()
+    assert 0.5 * 0.0004 * n < hits < 1.6 * 0.0004 * n and threshold(0.0) == 0
+
+
+def test_f4_ambiguous_codons_and_u(spark):
+    for text, protein in {"ATGGCNTAA": "MA", "AUGGCU": "MA", "NNNATG": "XM", "YTRTAR": "L", "GAYRAY": "DX"}.items():
+        assert one(spark, Q.translate_to_stop("s"), s=text) == protein
+    assert one(spark, Q.dna_to_aa("s"), s="GCN") == "X"
