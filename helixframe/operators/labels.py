@@ -95,7 +95,7 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     out = df
     for c in cols:
         filled = F.coalesce(F.col(c).cast("string"), F.lit("nan"))
-        codes = numbered(df.select(filled.alias("_v")).distinct(), "_v", "_code")
+        codes = numbered(df.select(filled.alias("_v")).distinct(), [F.col("_v")], "_code")
         out = out.withColumn("_v", filled).join(codes, "_v", "left").drop("_v")
         if not suffix:
             out = out.drop(c)
@@ -103,17 +103,17 @@ def label_encode(df: DataFrame, cols: list[str], suffix: str = "") -> DataFrame:
     return out
 
 
-def numbered(values: DataFrame, col: str, out: str) -> DataFrame:
-    """Distinct values -> 0-based rank, without a one-task window: range partitions are numbered on their own and
-    shifted by the counts of the partitions before them (one row per partition)."""
-    ranged = values.repartitionByRange(col).sortWithinPartitions(col)
+def numbered(values: DataFrame, order: list[Column], out: str) -> DataFrame:
+    """Append each row's 0-based rank in ``order``, without a one-task window: range partitions are numbered on their
+    own and shifted by the counts of the partitions before them (one row per partition)."""
+    ranged = values.repartitionByRange(*order)
     ranged = materialize(ranged.withColumn("_p", F.spark_partition_id()), "values")  # the partitioning must not move
     before = ranged.groupBy("_p").agg(F.count("*").alias("_n"))
     before = before.select("_p", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(
         Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
-    rank = F.row_number().over(Window.partitionBy("_p").orderBy(col)) - 1
-    return ranged.select(col, "_p", rank.alias("_r")).join(F.broadcast(before), "_p").select(
-        col, (F.col("_r") + F.col("_before")).cast("int").alias(out))
+    rank = F.row_number().over(Window.partitionBy("_p").orderBy(*order)) - 1
+    return ranged.select(*values.columns, "_p", rank.alias("_r")).join(F.broadcast(before), "_p").select(
+        *values.columns, (F.col("_r") + F.col("_before")).cast("int").alias(out))
 
 
 def distinct_labels(df: DataFrame, label: str) -> DataFrame:

@@ -5,28 +5,29 @@ the model call: ``operators.scoring.batch_model_udf`` batches rows per task.
 
 Overlapping k-mers are cut from the ASCII bytes of a sequence (binary
 ``substr`` is O(1) per position), counted with a partial/final aggregate, and a
-vocabulary is numbered over the *distinct* k-mers only (at most ``4**k`` over
-``ACGT``). Encoding joins the broadcast vocabulary and rebuilds each
+vocabulary is numbered over the *distinct* k-mers only, by range partitions.
+Encoding joins the vocabulary (broadcast if its size allows) and rebuilds each
 sequence's id list in position order; a group is one sequence, never more.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .labels import numbered, small
 
 # Special token ids (pad, unknown, class, separator), ids 0-3.
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 FIRST_ID = 4
 
 
-def kmers(df: DataFrame, seq: str, key: str, k: int = 6) -> DataFrame:
+def kmers(df: DataFrame, seq: str, key: str, k: int = 6, outer: bool = False) -> DataFrame:
     """K1 (long form): ``(key, pos, kmer)`` for every overlapping k-mer (1-based position)."""
     d = df.select(key, F.col(seq).cast("binary").alias("_raw"))
     n = F.length("_raw") - F.lit(k - 1)
     pos = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    e = d.select(key, "_raw", F.explode(pos).alias("pos"))
+    e = d.select(key, "_raw", (F.explode_outer if outer else F.explode)(pos).alias("pos"))
     return e.select(key, "pos", F.col("_raw").substr(F.col("pos"), F.lit(k)).cast("string").alias("kmer"))
 
 
@@ -39,20 +40,17 @@ def vocabulary(df: DataFrame, seq: str, key: str, k: int = 6, min_df: int = 1) -
     """K2: ``(kmer, id, df)`` numbered by document frequency (desc), ties by k-mer text; ids from 4."""
     docfreq = kmers(df, seq, key, k).select(key, "kmer").distinct().groupBy("kmer").agg(
         F.count(F.lit(1)).alias("df")).where(F.col("df") >= min_df)
-    w = Window.orderBy(F.col("df").desc(), F.col("kmer"))  # distinct k-mers only (<= 4**k over ACGT)
-    return docfreq.select("kmer", (F.row_number().over(w) + FIRST_ID - 1).cast("int").alias("id"), "df")
+    ranked = numbered(docfreq, [F.col("df").desc(), F.col("kmer")], "_rank")
+    return ranked.select("kmer", (F.col("_rank") + FIRST_ID).cast("int").alias("id"), "df")
 
 
 def encode(df: DataFrame, seq: str, key: str, vocab: DataFrame, k: int = 6) -> DataFrame:
     """K3: ``(key, ids)``: k-mer ids in position order, unknown k-mers -> ``UNK``."""
-    km = kmers(df, seq, key, k)
-    j = km.join(F.broadcast(vocab.select("kmer", "id")), "kmer", "left")
-    j = j.select(key, F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")).alias("t"))
-    ids = j.groupBy(key).agg(F.sort_array(F.collect_list("t")).alias("_t"))
-    out = ids.select(key, F.transform("_t", lambda t: t["id"]).alias("ids"))
-    # sequences shorter than k have no k-mer: an empty id list
-    return df.select(key).join(out, key, "left").select(
-        key, F.coalesce("ids", F.array().cast("array<int>")).alias("ids"))
+    km = kmers(df, seq, key, k, outer=True)  # a sequence shorter than k keeps one row without a position
+    j = km.join(small(vocab.select("kmer", "id")), "kmer", "left")
+    t = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))
+    ids = j.groupBy(key).agg(F.sort_array(F.collect_list(t)).alias("_t"))
+    return ids.select(key, F.transform("_t", lambda t: t["id"]).alias("ids"))
 
 
 def truncate(ids: Column, max_length: int = 512) -> Column:
