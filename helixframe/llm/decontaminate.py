@@ -113,18 +113,17 @@ def scan(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "ite
     names = [n for n, _ in FIELDS]
     kept = [c for c in (docs.columns if keep is None else keep) if c not in names]
     blocks = item_blocks(items, item, item_text, block_bytes)
-    out, scratch, more = docs, None, next(blocks)
-    first = True
+    out, scratch, n, more = docs, Scratch(spark, "decontaminate"), 0, next(blocks)
     while more is not None:
         block, more = more, next(blocks, None)
-        shared = spark.sparkContext.broadcast(block)
         # only the last pass may leave the text behind
         columns = kept if more is None else list(dict.fromkeys([*kept, text]))
-        out = _pass(out, shared, text, columns, window, first)
-        first = False
+        out = _pass(out, spark.sparkContext.broadcast(block), text, columns, window, first=n == 0)
         if more is not None:
-            scratch = scratch or Scratch(spark, "decontaminate")
-            out = scratch.keep(out, f"block-{shared.id if hasattr(shared, 'id') else id(shared)}")
+            out = scratch.keep(out, f"block-{n}")
+            if n:
+                scratch.drop(f"block-{n - 1}")
+        n += 1
     return out
 
 
