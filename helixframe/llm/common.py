@@ -8,6 +8,7 @@ import uuid
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -45,6 +46,18 @@ class Scratch:
         path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def hash_sample(rows: DataFrame, group: str, column: str, n: int) -> DataFrame:
+    """About ``n`` to ``2 n`` distinct values of the hash ``column`` for each value of ``group``, or all if fewer.
+
+    The least hashes are taken, by a share of the hash range that follows from an approximate distinct count (one
+    partial aggregate), so nothing is sorted or gathered and copies of one value count once. ``group`` must have few
+    values: its counts are broadcast, one row each.
+    """
+    sizes = rows.groupBy(group).agg(F.approx_count_distinct(column, 0.02).alias("_distinct"))
+    share = F.pmod(F.col(column), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    return (rows.join(F.broadcast(sizes), group).where(share * F.col("_distinct") <= 1.5 * n).drop("_distinct"))
+
+
 def slices(batch: pa.RecordBatch, column: str, limit: int):
     """Cut a batch into runs of rows with about ``limit`` bytes of ``column`` each (one row at least)."""
     col = batch.column(column)

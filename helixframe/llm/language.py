@@ -2,8 +2,8 @@
 
 Learning: letter trigrams (with word edges, lower-cased, hashed to a fixed
 number of buckets) and scripts are counted per language over a bounded sample of
-labelled documents: at most ``per_language`` documents of a language, those with
-the smallest hash of their text. Model size is languages x BUCKETS.
+labelled documents: at most ``per_language`` different texts of a language, those with
+the smallest hashes. Model size is languages x BUCKETS.
 
 Prediction, whole texts: words are runs of letters. A word's script leaves only
 the languages that were seen to use it; its score per language is the sum of its
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import map_columns, mix
+from .common import hash_sample, map_columns, mix
 
 BUCKETS = 1 << 15
 PER_LANGUAGE = 1500  # labelled documents learned from, at most, for each language
@@ -97,8 +97,9 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
     """Model of the labelled documents: languages, log probabilities [bucket, language], scripts used."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(
         F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("h"))
-    order = Window.partitionBy("lang").orderBy("h", "text")  # cut to per_language rows in every task before the shuffle
-    sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "text")
+    near = hash_sample(rows, "lang", "h", per_language).groupBy("lang", "h").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy("h")  # about 1.5 * per_language rows a language
+    sample = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_language).select("lang", "text")
     n_scripts = len(SCRIPT_NAMES)
 
     def count(batches):

@@ -4,8 +4,8 @@ Terms of a text are trigrams of character shapes (letters by case, digits,
 white space, every ASCII mark for itself), hashed to DIM buckets, plus marks for
 words and lines that repeat. Counts are damped, weighted by inverse document
 frequency and scaled to unit length; the space is spanned by the leading
-singular vectors of a bounded labelled sample (at most ``per_label`` documents
-of each label, those with the smallest hash of their text).
+singular vectors of a bounded labelled sample (at most ``per_label`` different
+texts of each label, those with the smallest hashes).
 
 The projection and the sample's vectors and labels are broadcast (their size is
 fixed by the parameters, not by the data). Every document is projected and its
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Substrings, map_columns, mix
+from .common import Substrings, hash_sample, map_columns, mix
 
 DIM = 2048  # hashed term space
 RANK = 48  # latent dimensions
@@ -91,9 +91,9 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
              .agg(F.max(label).cast("int").alias("y")))
     chosen = (docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.xxhash64(text).alias("h"))
               .join(known, "k"))
-    order = Window.partitionBy("y").orderBy("h", "k")  # cut to per_label rows in every task before the shuffle
-    ids = (chosen.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label)
-           .select("k", "y").distinct())
+    near = hash_sample(chosen, "y", "h", per_label).groupBy("y", "h").agg(F.min("k").alias("k"))
+    order = Window.partitionBy("y").orderBy("h")  # about 1.5 * per_label rows a label
+    ids = near.withColumn("n", F.row_number().over(order)).where(F.col("n") <= per_label).select("k", "y").distinct()
     sample = (docs.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(text).alias("text"))
               .join(F.broadcast(ids), "k").groupBy("k", "y").agg(F.min("text").alias("text")))
 
