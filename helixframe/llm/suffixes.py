@@ -22,7 +22,7 @@ or the same document further left). Whole texts take part as UTF-8 bytes.
    prefix of LENGTH are the repeated intervals; all but their earliest row lose
    that string.
 4. An anchor with more than HOT contexts (a very common passage in ever new
-   surroundings) is dealt out by its single strings instead: their 128-bit
+   surroundings) is dealt out by its single strings (each at its first least anchor): their 128-bit
    hashes are aggregated to the earliest start, with partial sums per task.
 5. Removed ranges are merged per document and cut out of its bytes.
 
@@ -47,7 +47,7 @@ from .common import Scratch, Substrings, map_columns
 
 LENGTH = 100
 ANCHOR = 50
-HOT = 128  # contexts of one anchor that are merged together; beyond that its strings are dealt out
+HOT = 512  # contexts of one anchor that are merged together; beyond that its strings are dealt out
 SHARD = 2048  # contexts behind one transform
 BLOCK = 16384  # contexts that are merged at a time
 SIDE = LENGTH - ANCHOR
@@ -320,7 +320,10 @@ def _strings(contexts: DataFrame) -> DataFrame:
                 prefix = hashes.prefix(data)
                 one = hashes.windows(prefix, LENGTH)
                 two = hashes.windows(hashes.prefix(data[::-1]), LENGTH)[::-1] * _SECOND
-                start = np.arange(len(one)) + max(0, at - SIDE)
+                # a string belongs to its first least anchor; its other anchors need not look at it again
+                inner = np.lib.stride_tricks.sliding_window_view(hashes.windows(prefix, ANCHOR), SIDE + 1)
+                own = np.flatnonzero(inner.argmin(axis=1) + np.arange(len(one)) == min(at, SIDE))
+                one, two, start = one[own], two[own], own + max(0, at - SIDE)
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(one.view(np.int64)), pa.array(np.ascontiguousarray(two).view(np.int64)),
                      pa.array(np.full(len(one), doc)), pa.array(start << 31 | (place & 0x7FFFFFFF))],
@@ -353,7 +356,8 @@ def ranges(rows: DataFrame, scratch: Scratch) -> DataFrame:
     contexts = scratch.keep(_contexts(asked, rows), "contexts")
     merged = scratch.keep(_merged(contexts.where("not hot")), "merged")
     strings = scratch.keep(_strings(contexts.where("hot")), "strings")
-    scratch.drop("contexts")
+    for name in ("shared", "first", "contexts"):
+        scratch.drop(name)
     return later.unionByName(merged).unionByName(strings)
 
 
