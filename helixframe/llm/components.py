@@ -28,7 +28,10 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 
 
 def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """(node, root) of every node of ``edges`` (u, v) but the roots; a root is its component's least node."""
+    """(node, root) of every node of ``edges`` (u, v) but the roots; a root is its component's least node.
+
+    Only the last round's table stays in the scratch folder.
+    """
     now = scratch.keep(edges.where("u <> v").distinct(), f"{name}-0")
     mark, step = None, 0
     while True:
@@ -36,6 +39,7 @@ def connected(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         after = scratch.keep(_star(_star(now, True), False), f"{name}-{step}")
         # stable once every node has one root above it and no root lies below another node
         got = after.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+        scratch.drop(f"{name}-{step - 1}")
         if mark == (got.n, got.s):
             return after.select(F.col("u").alias("node"), F.col("v").alias("root"))
         mark, now = (got.n, got.s), after

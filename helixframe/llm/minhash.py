@@ -14,9 +14,14 @@
    signatures; pairs with MATCHES or more are confirmed on their full sets, and
    confirmed links give components. Two such rounds, with the popular class of
    what is left, connect the bulk of every group.
-4. Lists that still span several components are searched completely: every class
-   outside the list's main component against the classes of other components.
-   No link between different components is left out, and pairs inside one are not made.
+4. Classes of lists that still span several components are searched completely on
+   their full sets: shingles in one global order, rare ones first (by counts in a
+   table of fixed size; any order is correct), and a pair above the similarity
+   shares a shingle among the first quarter of both. Classes outside a list's
+   main component meet the classes of other components there, and a pair is only
+   made if the places of the shared shingle leave room for the overlap that the
+   two sizes need. No link between components is left out, pairs inside one are
+   not made, and a class whose many rare shingles rule out every partner makes none.
 
 A similarity s makes each coordinate agree with probability s; at s = 0.75 fewer
 than 21 of 48 agree with probability below 1e-6.
@@ -38,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Scratch, Substrings, map_columns
+from .common import Scratch, Substrings, map_columns, slices
 from .components import connected
 
 SIZE = 5  # words in a shingle
@@ -46,6 +51,7 @@ PERCENT = 75  # least similarity, in hundredths
 COORDINATES = 48
 MATCHES = 21
 LEADER_ROUNDS = 2
+BUCKETS = 1 << 20  # counts that order shingles in the complete search
 STEP = 1 << 15  # shingles whose coordinates are computed together
 
 _RNG = np.random.Generator(np.random.PCG64(48))
@@ -174,6 +180,62 @@ def _open(posts: DataFrame) -> DataFrame:
     return posts.join(state.select("key", "lead"), "key")
 
 
+def _prefixes(classes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """(shingle, place, n, class_key, comp, minor): the prefix of every open class in a common order, rare first."""
+    rows = classes.join(texts, "class_key")
+    spark = rows.sparkSession
+
+    def count(batches):
+        hashes = Substrings()
+        for batch in batches:
+            for part in slices(batch, "text", 4 << 20):
+                x = np.concatenate([shingles(t, hashes, size) for t in part.column("text").to_pylist()] or [[]])
+                key, n = np.unique((x.astype(np.uint64) % np.uint64(BUCKETS)).astype(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(n)], names=["bucket", "n"])
+
+    counted = rows.select("text").mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(
+        F.sum("n").alias("n")).toArrow()  # BUCKETS rows at most
+    table = np.zeros(BUCKETS, dtype=np.int64)
+    table[np.asarray(counted.column("bucket"))] = np.asarray(counted.column("n"))
+    shared = spark.sparkContext.broadcast(table)
+
+    def cut(batches):
+        hashes = Substrings()
+        for batch in batches:
+            out = [[], [], [], [], [], []]
+            for key, comp, minor, value in zip(*(batch.column(c).to_pylist() for c in (
+                    "class_key", "comp", "minor", "text")), strict=True):
+                x = shingles(value, hashes, size)
+                x = x[np.lexsort((x, shared.value[(x % np.uint64(BUCKETS)).astype(np.int64)]))]
+                keep = len(x) - -(-percent * len(x) // 100) + 1
+                for col, v in zip(out, (x[:keep].view(np.int64), np.arange(keep), np.full(keep, len(x)),
+                                        [key] * keep, [comp] * keep, [minor] * keep), strict=True):
+                    col.append(v)
+            flat = [np.concatenate(c) if out[0] else np.zeros(0, np.int64) for c in out[:3]]
+            lists = [[v for part in c for v in part] for c in out[3:]]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat[0]), pa.array(flat[1]), pa.array(flat[2]), pa.array(lists[0], pa.binary()),
+                 pa.array(lists[1], pa.binary()), pa.array(lists[2], pa.bool_())],
+                names=["shingle", "place", "n", "class_key", "comp", "minor"])
+
+    return rows.select("class_key", "comp", "minor", "text").mapInArrow(
+        cut, "shingle long, place long, n long, class_key binary, comp binary, minor boolean")
+
+
+def _complete(left: DataFrame, texts: DataFrame, scratch: Scratch, size: int, percent: int) -> DataFrame:
+    """Every pair (u, v) of open classes of different components that can reach the similarity."""
+    classes = left.groupBy("class_key").agg(F.first("comp").alias("comp"),
+                                            F.max(F.col("comp") != F.col("lead.comp")).alias("minor"))
+    rows = scratch.keep(_prefixes(classes, texts, size, percent), "prefixes")
+    u = rows.where("minor").select("shingle", *[F.col(c).alias(f"{c}_u") for c in ("place", "n", "class_key", "comp")])
+    v = rows.select("shingle", *[F.col(c).alias(f"{c}_v") for c in ("place", "n", "class_key", "comp", "minor")])
+    room = F.least(F.col("n_u") - F.col("place_u"), F.col("n_v") - F.col("place_v"))
+    pairs = u.join(v, (u["shingle"] == v["shingle"]) & (F.col("comp_u") != F.col("comp_v"))
+                   & (~F.col("minor_v") | (F.col("class_key_u") < F.col("class_key_v")))
+                   & ((100 + percent) * room >= percent * (F.col("n_u") + F.col("n_v"))))
+    return pairs.select(F.col("class_key_u").alias("u"), F.col("class_key_v").alias("v")).distinct()
+
+
 def near_classes(docs: DataFrame, text: str = "text", size: int = SIZE, percent: int = PERCENT,
                  key: str = "doc_id") -> tuple[DataFrame, Scratch]:
     """Rows (key, n_shingles, class_key, component_key) of all documents, and the scratch folder that they live in."""
@@ -202,19 +264,18 @@ def near_classes(docs: DataFrame, text: str = "text", size: int = SIZE, percent:
                     F.max(F.struct("popularity", "class_key", "comp")).alias("second"))
                 pairs = left.join(next_lead, "key").where("comp <> second.comp").select(
                     F.col("second.class_key").alias("u"), F.col("class_key").alias("v"))
+            pairs = _collisions(pairs.where("u <> v"), signed)
         else:
-            away = left.where("comp <> lead.comp").select("key", F.col("class_key").alias("u"),
-                                                          F.col("comp").alias("comp_u"))
-            pairs = (away.join(left.select("key", F.col("class_key").alias("v"), F.col("comp").alias("comp_v"),
-                                           F.col("lead.comp").alias("main")), "key")
-                     .where((F.col("comp_u") != F.col("comp_v"))
-                            & ((F.col("comp_v") == F.col("main")) | (F.col("u") < F.col("v"))))
-                     .select("u", "v"))
-        pairs = scratch.keep(_collisions(pairs.where("u <> v"), signed), f"pairs-{step}")
+            pairs = _complete(left, texts, scratch, size, percent)
+        pairs = scratch.keep(pairs, f"pairs-{step}")
         found = confirm(pairs, texts, size, percent)
         links = scratch.keep(found if roots is None else found.unionByName(
             roots.select(F.col("node").alias("u"), F.col("root").alias("v"))), f"links-{step}")
         roots = connected(links, scratch, f"star-{step}")
+        for name in (f"open-{step}", f"pairs-{step}", *([f"links-{step - 1}"] if step else [])):
+            scratch.drop(name)
+    for name in ("classes", "postings", "signed", "texts"):  # the result reads the sketch and the last star only
+        scratch.drop(name)
     labelled = sketched.select("id", "n_shingles", "class_key")
     if roots is None:
         return labelled.withColumn("component_key", F.col("class_key")), scratch
