@@ -33,7 +33,10 @@ def canon(rows, cols):
 
 @pytest.mark.parametrize("name", ["a02_weighted_pool", "f07_dna_to_aa", "l02_pair_dictionary",
                                   "a14_classification_report", "m08_kmer_score", "w01_sticky_success",
-                                  "k03_encode", "a18_histogram"])
+                                  "k03_encode", "a18_histogram", "a01_wide", "a03_heads", "f04_ambiguous",
+                                  "f15_softmax", "l04_label_encoder", "m07_batch_scoring", "m10_before_after",
+                                  "m10_rate_sweep", "s01_read_sequences", "s02_read_metadata",
+                                  "s03_wide_embeddings", "s07_snapshots", "a21_best_candidate"])
 def test_oracle_agrees(spark, name):
     con = duckdb.connect()
     for t in TABLES:
