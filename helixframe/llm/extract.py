@@ -6,8 +6,12 @@ path's ratio is text per block, raised by punctuation and lowered by links.
 Ratios are smoothed over neighbouring blocks in page order, fused with the
 ratio of the enclosing container path (so a headline or a one-word paragraph
 shares its container's weight), and paths below a share of the best fused ratio
-are dropped. Steps of a path that HTML itself or their class, id or role names
-as page furniture weigh nothing; an ``article`` or ``main`` container weighs more.
+are dropped. Steps of a path that HTML itself names as page furniture, or hides,
+weigh nothing; an ``article`` or ``main`` container weighs more. A step whose
+class, id or role names furniture weighs less, once for every such step. That
+does not hold for ``article`` and ``main``, for headings inside them, and for an
+element that holds one (unless a longer one stands beside it under no such name:
+comments and teasers are articles too).
 
 Text of a block: character references decoded, white space runs as one space,
 trimmed; blocks are joined by an empty line.
@@ -50,41 +54,63 @@ FURNITURE_WORDS = frozenset(
 PUNCTUATION = re.compile(r"[.,;:!?…。，；：！？、¿¡]")
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^']*'|[^>\"'])*)(?:>|\Z)|<[!?][^>]*(?:>|\Z)",
                    re.S)
-NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
-HIDING = re.compile(r"\bhidden(?=[\s=/]|$)|aria-hidden\s*=\s*[\"']?true|display\s*:\s*none", re.I)
+ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 #: A path stays if its fused ratio is at least this share of the page's best.
 SHARE = 0.15
 CONTENT_WEIGHT = 4.0
+#: Weight of a step that is named as furniture.
+NAMED_WEIGHT = 0.2
 
 #: Elements that an opening block element closes: an open paragraph, and items of the same kind.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"),
         "th": ("td", "th")}
 
 
+@dataclass(eq=False)
+class Step:
+    """An open element."""
+
+    tag: str
+    role: bool  # furniture by its element, or hidden
+    named: bool  # furniture by its class, id or role
+    furniture: bool  # furniture, or inside it
+    content: bool  # content, or inside it
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
-    furniture: bool
-    content: bool
+    steps: tuple[Step, ...]
     text: str
     links: int
+    path: tuple[str, ...] = ()
+    furniture: bool = False
+    content: bool = False
+    weight: float = 1.0
 
 
-def names_furniture(attributes: str) -> bool:
-    for groups in NAMES.findall(attributes):
-        value = "".join(groups)
-        words = {w.lower() for w in WORD.findall(value)} | set(re.split(r"[^a-z0-9]+", value.lower()))
-        if words & FURNITURE_WORDS:
-            return True
-    return False
+def marks(tag: str, attributes: str, inside_content: bool) -> tuple[bool, bool]:
+    """Whether the attributes hide an element, and whether they name it as furniture."""
+    hidden, words = False, set()
+    for name, *groups in ATTRIBUTE.findall(attributes):
+        name, value = name.lower(), "".join(groups)
+        if name == "hidden" or (name == "aria-hidden" and value.strip().lower() == "true") or (
+                name == "style" and NO_DISPLAY.search(value)):
+            hidden = True
+        elif name in ("class", "role") or (name == "id" and tag not in HEADINGS):  # a heading's id is its text
+            words |= {w.lower() for w in WORD.findall(value)} | set(re.split(r"[^a-z0-9]+", value.lower()))
+    if tag in CONTENT or (inside_content and tag in HEADINGS):
+        return hidden, False
+    return hidden, bool(words & (FURNITURE_WORDS - {"header"} if inside_content else FURNITURE_WORDS))
 
 
 def blocks(page: str) -> list[Block]:
     """Text blocks in page order with their tag paths."""
     out: list[Block] = []
-    stack: list[tuple[str, str, bool, bool]] = []  # tag, step, furniture, content
+    stack: list[Step] = []
     buffer: list[str] = []
     links = 0
 
@@ -93,25 +119,23 @@ def blocks(page: str) -> list[Block]:
         if buffer:
             text = " ".join(entities.unescape("".join(buffer)).split())
             if text:
-                furniture, content = (stack[-1][2], stack[-1][3]) if stack else (False, False)
-                path = tuple(s for t, s, _, _ in stack if t in BLOCKS)
-                out.append(Block(path, furniture, content, text, links))
+                out.append(Block(tuple(stack), text, links))
             buffer.clear()
         links = 0
 
     def add(text: str) -> None:
         nonlocal links
         buffer.append(text)
-        if any(t == "a" for t, _, _, _ in stack):
+        if any(s.tag == "a" for s in stack):
             links += len(text)
 
     def close(tags: tuple[str, ...], until: frozenset[str]) -> None:
         for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in tags:
+            if stack[i].tag in tags:
                 flush()
                 del stack[i:]
                 return
-            if stack[i][0] in until:
+            if stack[i].tag in until:
                 return
 
     at, raw = 0, None
@@ -133,16 +157,16 @@ def blocks(page: str) -> list[Block]:
         tag, attributes = m[2].lower(), m[3]
         if m[1]:
             if tag in BLOCKS:
-                if any(t == tag for t, _, _, _ in stack):
+                if any(s.tag == tag for s in stack):
                     flush()
-                    while stack.pop()[0] != tag:
+                    while stack.pop().tag != tag:
                         pass
             else:
                 for i in range(len(stack) - 1, -1, -1):
-                    if stack[i][0] == tag:
+                    if stack[i].tag == tag:
                         del stack[i]
                         break
-                    if stack[i][0] in BLOCKS:
+                    if stack[i].tag in BLOCKS:
                         break
             continue
         if tag in RAW:
@@ -160,19 +184,55 @@ def blocks(page: str) -> list[Block]:
             if tag in ENDS:
                 close(ENDS[tag], frozenset(("ul", "ol", "dl", "table", "menu")))
             flush()
-        inside_content = bool(stack) and stack[-1][3]
-        named = bool(attributes) and (names_furniture(attributes) or HIDING.search(attributes) is not None)
-        role = tag in FURNITURE or (tag == "header" and not inside_content) or (named and tag not in ("html", "body"))
-        furniture = (bool(stack) and stack[-1][2]) or role
-        stack.append((tag, f"{tag}!" if role else tag, furniture, inside_content or tag in CONTENT))
+        inside_content = bool(stack) and stack[-1].content
+        hidden, named = marks(tag, attributes, inside_content) if attributes and tag not in ("html", "body") else (
+            False, False)
+        role = tag in FURNITURE or (tag == "header" and not inside_content) or hidden
+        stack.append(Step(tag, role, named, role or (bool(stack) and stack[-1].furniture),
+                          inside_content or tag in CONTENT))
     flush()
+    settle(out)
     return out
 
 
+def settle(found: list[Block]) -> None:
+    """Names that count, then paths, of the blocks of a page."""
+    size: dict[Step, int] = {}  # text of each article outside the articles in it
+    around: dict[Step, tuple[Step, ...]] = {}
+    for b in found:
+        b.furniture, b.content = (b.steps[-1].furniture, b.steps[-1].content) if b.steps else (False, False)
+        if b.content and not b.furniture:
+            i = max(i for i, s in enumerate(b.steps) if s.tag in CONTENT)
+            size[b.steps[i]] = size.get(b.steps[i], 0) + len(b.text)
+            for j in range(i + 1):
+                if b.steps[j].tag in CONTENT or b.steps[j].named:
+                    around.setdefault(b.steps[j], b.steps[:j])
+                    size.setdefault(b.steps[j], 0)
+    inner: dict[Step, int] = {}  # longest article in a named element
+    under: dict[Step | None, int] = {}  # longest article with that innermost named element around it
+    for s in size:
+        if s.tag in CONTENT:
+            names = [e for e in around[s] if e.named]
+            for e in names:
+                inner[e] = max(inner.get(e, 0), size[s])
+            last = names[-1] if names else None
+            under[last] = max(under.get(last, 0), size[s])
+    plain = {e for e, n in inner.items() if max(under.get(o, 0) for o in [None, *(o for o in around[e] if o.named)]) <= n}
+    for e in plain:
+        e.named = False
+    for b in found:
+        kept = [s for s in b.steps if s.tag in BLOCKS or s.role or s.named]
+        b.path = tuple(s.tag + "!" * s.role + "?" * s.named for s in kept)
+        b.weight = NAMED_WEIGHT ** sum(s.named for s in kept)
+
+
 def containers(b: Block) -> list[tuple[str, ...]]:
+    """Paths around a block: its parent's, inside an article all up to the article's; none beyond a named one."""
+    n = len(b.path)
     top = next((i for i, step in enumerate(b.path) if step in CONTENT), None) if b.content else None
-    return [b.path[:i] for i in range(len(b.path) - 1 if top is None else min(top + 1, len(b.path) - 1), len(b.path))
-            ] or [b.path[:-1]]
+    first = max(n - 1 if top is None else min(top + 1, n - 1), 0)
+    first = max([first, *(i + 1 for i, step in enumerate(b.path) if step.endswith("?"))])
+    return [b.path[:i] for i in range(first, n)] or [b.path]
 
 
 def content_text(page: str | None) -> str:
@@ -190,10 +250,10 @@ def content_text(page: str | None) -> str:
     ratio = {p: n / k * (1 + 10 * marks / n) * (1 - links / n) for p, (n, k, marks, links) in totals.items()}
     # smooth over neighbours in page order, furniture apart, then average back per path
     smooth: dict[tuple[str, ...], list[float]] = {}
-    line = [(b, 0.0 if b.furniture else ratio[b.path]) for b in found]
-    for i, (b, own) in enumerate(line):
-        before = line[i - 1][1] if i else own
-        after = line[i + 1][1] if i + 1 < len(line) else own
+    line = [(0.0 if b.furniture else ratio[b.path], b.weight) for b in found]
+    for i, b in enumerate(found):
+        near = [line[j] if 0 <= j < len(line) else line[i] for j in (i - 1, i, i + 1)]
+        before, own, after = (value * min(weight, b.weight) for value, weight in near)
         smooth.setdefault(b.path, []).append(0.25 * before + 0.5 * own + 0.25 * after)
     # container: the enclosing path with all text below it; inside an article, every path up to the article's own
     below: dict[tuple[str, ...], list[float]] = {}
@@ -201,7 +261,7 @@ def content_text(page: str | None) -> str:
         if not b.furniture:
             for c in containers(b):
                 t = below.setdefault(c, [0.0, 0.0])
-                t[0] += len(b.text) * ratio[b.path]
+                t[0] += len(b.text) * ratio[b.path] * b.weight
                 t[1] += len(b.text)
     fused: dict[tuple[str, ...], float] = {}
     for b in found:

@@ -41,3 +41,22 @@ def test_clashing_columns_and_empty_table(spark):
                                "page_id long, html string, text string")
     assert sorted((r.page_id, r.text) for r in X.extract(df).collect()) == [(1, "x"), (1, "x"), (2, "")]
     assert X.extract(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize(("page", "text"), [
+    (f"<div class='container with-sidebar'><article class='post comments-open'><p>{LONG}</p></article></div>",
+     LONG.strip()),
+    (f"<main class=search><article><header class=entry-header><h1>Head</h1></header><h2 id=related-work>Related</h2>"
+     f"<p>{LONG}</p><h2 id=social-security class=banner>Social</h2><p>{LONG}</p></article></main>",
+     f"Head\n\nRelated\n\n{LONG.strip()}\n\nSocial\n\n{LONG.strip()}"),
+    (f"<div class='overflow-hidden p-4'><p>{LONG}</p></div><div data-id='search-1'><p>{LONG}</p></div>",
+     f"{LONG.strip()}\n\n{LONG.strip()}"),
+    (f"<div class='widget'><p>{LONG}</p></div><div style='display: none'><p>{LONG}</p></div>", LONG.strip()),
+    (f"<article><p>{LONG * 3}</p><section id=related-work><p>{LONG * 3}</p></section></article>",
+     f"{(LONG * 3).strip()}\n\n{(LONG * 3).strip()}"),
+    (f"<article><p>{LONG}</p><div id=comments><ol class=comment-list><li><article class=comment-body><p>First, "
+     "and best!</p></article></ol></div></article><div class=related><article><p>Read this, too.</p></article></div>",
+     LONG.strip()),
+])
+def test_furniture_words_do_not_empty_the_main_text(page, text):
+    assert X.content_text(page) == text
