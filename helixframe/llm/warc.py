@@ -15,11 +15,17 @@ Spark's text writer (CRLF CRLF between records), ``read`` parses them back.
 Defined cases: null html is an empty payload; a null or empty URI has no
 WARC-Target-URI header; line ends in header values become %0D and %0A;
 identical pages give identical records, one for each row; extra columns are
-ignored.
+ignored. Without ``decode_all`` only the references in REFERENCES are decoded,
+in the text alone, as the registered SQL has it; with it every numeric and every
+HTML5 named reference is, in text and title, a decoded white space being a space.
 """
 
 from __future__ import annotations
 
+import html as entities
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,6 +39,8 @@ BLOCK = (r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figcapt
 TAG = r"<[/!?a-zA-Z][^>]*>"
 REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
               ("&amp;", "&"))
+REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{0,31});?")
+SPACES = str.maketrans(dict.fromkeys("\t\n\f\r\xa0", " "))
 
 
 def _uuid(*parts: Column) -> Column:
@@ -89,17 +97,35 @@ def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: st
         F.col("digest")))))
 
 
-def plain_text(payload: Column) -> Column:
-    """Visible text: one line per block element, inner white space as one space, named references decoded."""
+def decode_references(text: str | None) -> str | None:
+    """The text with every character reference decoded, once."""
+    if not text or "&" not in text:
+        return text
+    return REFERENCE.sub(lambda m: entities.unescape(m[0]).translate(SPACES), text)
+
+
+def _decoded(c: Column) -> Column:
+    @F.arrow_udf("string")
+    def decode(texts: pa.Array) -> pa.Array:
+        return pa.array([decode_references(t) for t in texts.to_pylist()], pa.string())
+
+    return decode(c)
+
+
+def plain_text(payload: Column, decode_all: bool = False) -> Column:
+    """Visible text: one line per block element, inner white space as one space, references decoded."""
     text = F.regexp_replace(payload, HIDDEN, " ")
     text = F.regexp_replace(text, r"[\r\n\t\f ]+", " ")
     text = F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), TAG, "")
-    for name, char in REFERENCES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+    if decode_all:
+        text = _decoded(text)
+    else:
+        for name, char in REFERENCES:
+            text = F.replace(text, F.lit(name), F.lit(char))
     return F.btrim(F.regexp_replace(text, r"[ \n]*\n[ \n]*", "\n"), F.lit(" \n"))
 
 
-def derive(records: DataFrame) -> DataFrame:
+def derive(records: DataFrame, decode_all: bool = False) -> DataFrame:
     """Metadata and conversion records of the response records; other columns pass through."""
     own = ["type", "record_id", "target_uri", "refers_to", "headers", "block"]
     others = [c for c in records.columns if c not in own]
@@ -107,10 +133,11 @@ def derive(records: DataFrame) -> DataFrame:
     rows = records.where("type = 'response'").select(
         *others, "record_id", "target_uri", "headers", F.substring("block", F.lit(1), split - 1).alias("http"),
         F.expr(f"substring(block, instr(block, '{CRLF * 2}') + 4)").alias("payload"))
+    title = F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1)
     rows = rows.withColumns({
         "digest": header(F.col("headers"), "WARC-Payload-Digest"), "date": header(F.col("headers"), "WARC-Date"),
-        "text": plain_text(F.col("payload")),
-        "title": F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1),
+        "text": plain_text(F.col("payload"), decode_all),
+        "title": _decoded(title) if decode_all else title,
         "language": F.regexp_extract("payload", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1)})
     # computed once: the arrays below use the text and the fields several times
     rows = rows.select(*others, "record_id", "target_uri", "date", "digest", F.inline(F.array(F.struct(

@@ -42,3 +42,16 @@ def test_files_round_trip(spark, tmp_path):
 
 def test_empty_table(spark):
     assert warc.derive(warc.responses(pages(spark).limit(0))).count() == 0
+
+
+def test_every_reference_is_decoded(spark):
+    page = ("<html lang=en><head><title>A &amp; B &#8217;c&rsquo;\n&#13;&#10;X: y</title></head><body><p>&copy; x &middot; y&#8217;s "
+            "&#x2019;&#X41; &amp;lt; &lt;b&gt; &CounterClockwiseContourIntegral; &nosuch; &#10;a&nbsp;b &copy2 R&D &</p></body></html>")
+    rows = spark.createDataFrame([(1, "http://a/", page), (2, None, None)], "page_id long, url string, html string")
+    made = {(r.page_id, r.type): r for r in warc.derive(warc.responses(rows), decode_all=True).collect()}
+    text = "© x · y’s ’A &lt; <b> ∳ &nosuch;  a b ©2 R&D &"
+    assert made[1, "conversion"].block == text and made[2, "conversion"].block == ""
+    head = {h.name: h.value for h in made[1, "conversion"].headers}
+    assert head["Content-Length"] == str(len(text.encode()))
+    assert head["WARC-Block-Digest"] == "sha256:" + hashlib.sha256(text.encode()).hexdigest()
+    assert made[1, "metadata"].block.startswith("title: A & B ’c’ X: y\r\nlanguage: en\r\n")
