@@ -4,9 +4,11 @@ A page is read once into text blocks, each with its root-to-leaf tag path. Per
 path, text length, punctuation and link text are summed over its blocks; the
 path's ratio is text per block, raised by punctuation and lowered by links.
 Ratios are smoothed over neighbouring blocks in page order, fused with the
-ratio of the enclosing container path (so a headline or a one-word paragraph
-shares its container's weight), and paths below a share of the best fused ratio
-are dropped. Steps of a path that HTML itself names as page furniture, or hides,
+ratio of the best enclosing container path up to the content root (so a headline,
+a one-word paragraph or a list of short entries shares the weight of the text it
+stands in), and paths below a share of the best fused ratio are dropped. The root
+is the ``article`` or ``main``; on a page without, the innermost element with
+nearly all text of weight that leaves out no headline, list or table. Steps of a path that HTML itself names as page furniture, or hides,
 weigh nothing; an ``article`` or ``main`` container weighs more. A step whose
 class, id or role names furniture weighs less, once for every such step. That
 does not hold for ``article`` and ``main``, for headings inside them, and for an
@@ -57,6 +59,8 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:\"[^\"]*\"|'[^
 ATTRIBUTE = re.compile(r"([^\s\"'>/=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+LISTS = frozenset("ul ol dl table blockquote pre".split())
+LAYOUT = frozenset("html body div center section table tbody tr td".split())
 WORD = re.compile(r"[A-Za-z][a-z]*|[A-Z]+")
 
 #: A path stays if its fused ratio is at least this share of the page's best.
@@ -90,6 +94,7 @@ class Block:
     furniture: bool = False
     content: bool = False
     weight: float = 1.0
+    top: int | None = None  # place of the content root in the path, if inside it (-1: the page)
 
 
 def marks(tag: str, attributes: str, inside_content: bool) -> tuple[bool, bool]:
@@ -220,18 +225,56 @@ def settle(found: list[Block]) -> None:
     plain = {e for e, n in inner.items() if max(under.get(o, 0) for o in [None, *(o for o in around[e] if o.named)]) <= n}
     for e in plain:
         e.named = False
+    for b in found:
+        b.weight = NAMED_WEIGHT ** sum(s.named for s in b.steps)
+    whole = not any(b.content and not b.furniture for b in found)
+    root = content_root(found) if whole else None
     for b in found:
         kept = [s for s in b.steps if s.tag in BLOCKS or s.role or s.named]
-        b.path = tuple(s.tag + "!" * s.role + "?" * s.named for s in kept)
-        b.weight = NAMED_WEIGHT ** sum(s.named for s in kept)
+        b.path = tuple(s.tag + "!" * s.role + "?" * s.named + "*" * (s is root) for s in kept)
+        is_top = [s.tag in CONTENT if b.content else s is root for s in kept]
+        b.top = is_top.index(True) if any(is_top) else -1 if whole and root is None else None
+
+
+def content_root(found: list[Block]) -> Step | None:
+    """The element with the text of a page without an article; none: the page itself."""
+    root, depth = None, 0
+    inside = [(b, b.weight * (len(b.text) - min(b.links, len(b.text)))
+               * (len(b.text) + 10 * len(PUNCTUATION.findall(b.text)))) for b in found if not b.furniture]
+    while True:
+        share: dict[Step, float] = {}
+        total = 0.0
+        for b, mass in inside:  # by the block's own ratio
+            total += mass
+            if len(b.steps) > depth:
+                share[b.steps[depth]] = share.get(b.steps[depth], 0.0) + mass
+        best = max(share, key=share.get, default=None)
+        if best is None or share[best] < (1 - SHARE) * total:
+            return root
+        within = [(b, mass) for b, mass in inside if len(b.steps) > depth and b.steps[depth] is best]
+        if best.tag in BLOCKS and (best.tag not in LAYOUT or len(within) < 2):
+            return root
+        heads, texts = set(), set()
+        for b, _ in inside:
+            if (len(b.steps) > depth and b.steps[depth] is best) or 2 * b.links > len(b.text):
+                continue
+            below = b.steps[depth:]
+            if any(s.named for s in below):
+                continue
+            tags = {s.tag for s in below}
+            if not below or tags & LISTS or below[0].tag in HEADINGS:
+                return root
+            (heads if tags & HEADINGS else texts).add(below[0])
+        if heads & texts:
+            return root
+        root, inside, depth = (best if best.tag in BLOCKS else root), within, depth + 1
 
 
 def containers(b: Block) -> list[tuple[str, ...]]:
-    """Paths around a block: its parent's, inside an article all up to the article's; none beyond a named one."""
+    """Paths around a block: its parent's, inside the content root all up to the root's; none beyond a named one."""
     n = len(b.path)
-    top = next((i for i, step in enumerate(b.path) if step in CONTENT), None) if b.content else None
-    first = max(n - 1 if top is None else min(top + 1, n - 1), 0)
-    first = max([first, *(i + 1 for i, step in enumerate(b.path) if step.endswith("?"))])
+    first = max(n - 1 if b.top is None else min(b.top + 1, n - 1), 0)
+    first = max([first, *(i + 1 for i, step in enumerate(b.path) if "?" in step)])
     return [b.path[:i] for i in range(first, n)] or [b.path]
 
 
@@ -255,14 +298,16 @@ def content_text(page: str | None) -> str:
         near = [line[j] if 0 <= j < len(line) else line[i] for j in (i - 1, i, i + 1)]
         before, own, after = (value * min(weight, b.weight) for value, weight in near)
         smooth.setdefault(b.path, []).append(0.25 * before + 0.5 * own + 0.25 * after)
-    # container: the enclosing path with all text below it; inside an article, every path up to the article's own
+    # container: the enclosing path with all text below it; inside the content root, every path up to the root's own
     below: dict[tuple[str, ...], list[float]] = {}
+    around: dict[tuple[str, ...], list[tuple[str, ...]]] = {}
     for b in found:
-        if not b.furniture:
-            for c in containers(b):
+        if not b.furniture and b.path not in around:
+            around[b.path] = containers(b)
+            for c in around[b.path]:
                 t = below.setdefault(c, [0.0, 0.0])
-                t[0] += len(b.text) * ratio[b.path] * b.weight
-                t[1] += len(b.text)
+                t[0] += totals[b.path][0] * ratio[b.path] * b.weight
+                t[1] += totals[b.path][0]
     fused: dict[tuple[str, ...], float] = {}
     for b in found:
         if b.path in fused:
@@ -270,7 +315,7 @@ def content_text(page: str | None) -> str:
         if b.furniture:
             fused[b.path] = 0.0
             continue
-        container = max(total / size for total, size in map(below.get, containers(b)))
+        container = max(total / size for total, size in map(below.get, around[b.path]))
         mean = sum(smooth[b.path]) / len(smooth[b.path])
         fused[b.path] = math.sqrt(max(mean, container) * container) * (CONTENT_WEIGHT if b.content else 1.0)
     bar = SHARE * max(fused.values())

@@ -60,3 +60,29 @@ def test_clashing_columns_and_empty_table(spark):
 ])
 def test_furniture_words_do_not_empty_the_main_text(page, text):
     assert X.content_text(page) == text
+
+
+PARAGRAPH = "<p>" + "word, " * 8 + "word " * 70 + "</p>"
+ITEMS = [f"entry number {i} without any mark" for i in range(6)]
+
+
+@pytest.mark.parametrize("short", [
+    "<ul>" + "".join(f"<li>{i}" for i in ITEMS) + "</ul>",
+    "<table><tr>" + "<tr>".join(f"<td>{i}</td>" for i in ITEMS) + "</table>",
+    "<div><dl>" + "".join(f"<dt>{i}" for i in ITEMS) + "</dl></div>",
+    "<div><h2>" + ITEMS[0] + "</h2><div>" + "".join(f"<div>{i}</div>" for i in ITEMS[1:]) + "</div></div>",
+])
+@pytest.mark.parametrize("page", [
+    "<div>{p}{p}{s}{p}{p}</div>", "<body><div class=nav><a>x</a></div><div><div>{p}{p}</div>{s}<div>{p}{p}</div></div></body>",
+    "<div><section><h2>T</h2>{p}{p}{p}{p}</section><section><h2>U</h2><p>See.</p>{s}</section></div>", "{p}{p}{s}{p}{p}",
+    "<body><div><a>Home</a><a>About</a></div><div class=widget>{p}{p}{p}{p}{s}</div></body>"])
+def test_short_entries_inside_the_text_stay(page, short):
+    found = X.content_text(page.format(p=PARAGRAPH, s=short)).split("\n\n")
+    assert [t for t in found if t.startswith("entry")] == ITEMS
+    assert sum(t.startswith("word") for t in found) == 4
+
+
+def test_unnamed_boilerplate_beside_the_text_goes():
+    text = X.content_text(f"<body><div><ul><li><a>Home page</a><li><a>About us</a></ul></div><div>{PARAGRAPH * 4}</div>"
+                          "<div><div><p>made by</p></div></div></body>")
+    assert text.count("\n\n") == 3 and "Home" not in text and "made by" not in text
