@@ -3,9 +3,9 @@
 Terms of a text are trigrams of character shapes (letters by case, digits,
 white space, every ASCII mark for itself), hashed to DIM buckets, plus marks for
 words and lines that repeat. Counts are damped, weighted by inverse document
-frequency and scaled to unit length; the space is spanned by the leading
-singular vectors of a bounded labelled sample (at most ``per_label`` different
-texts of each label, those with the smallest hashes).
+frequency over all documents and scaled to unit length; the space is spanned by
+the leading singular vectors of a bounded labelled sample (at most ``per_label``
+different texts of each label, those with the smallest hashes).
 
 The projection and the sample's vectors and labels are broadcast (their size is
 fixed by the parameters, not by the data). Every document is projected and its
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Substrings, hash_sample, map_columns, mix
+from .common import Substrings, hash_sample, map_columns, mix, slices
 
 DIM = 2048  # hashed term space
 RANK = 48  # latent dimensions
@@ -84,6 +84,27 @@ def _unit(rows: np.ndarray) -> np.ndarray:
     return np.divide(rows, norm, out=np.zeros_like(rows), where=norm > 0)
 
 
+def document_frequencies(docs: DataFrame, text: str = "text") -> tuple[int, np.ndarray]:
+    """Number of documents with a text, and of those with each term: int64[DIM]."""
+
+    def partial(batches):
+        hashes = Substrings()
+        seen, n = np.zeros(DIM, dtype=np.int64), 0
+        for b in batches:
+            for part in slices(b, "text", 8 << 20):
+                for t in part.column("text").to_pylist():
+                    seen += term_counts(t, hashes) > 0
+                n += part.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1)), pa.array(np.append(seen, n))],
+                                         names=["term", "n"])
+
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(text).alias("text"))
+    got = rows.mapInArrow(partial, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(DIM + 1, dtype=np.int64)
+    out[np.asarray(got.column("term"))] = np.asarray(got.column("n"))
+    return int(out[DIM]), out[:DIM]
+
+
 def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "quality",
           per_label: int = PER_LABEL, rank: int = RANK) -> dict:
     """Model from the labelled documents: projection, latent vectors, labels."""
@@ -111,7 +132,8 @@ def learn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     y, h = np.asarray(got.column("y")), np.asarray(got.column("h"))
     order = np.lexsort((y, h))
     rows, y = rows[order], y[order]
-    idf = np.log((1 + len(rows)) / (1 + (rows > 0).sum(axis=0))).astype(np.float32) + 1
+    total, having = document_frequencies(docs, text)
+    idf = np.log((1 + total) / (1 + having)).astype(np.float32) + 1
     weighted = _unit(rows * idf)
     basis = _leading(weighted.astype(np.float64), min(rank, len(rows))).astype(np.float32)
     return {"projection": idf[:, None] * basis, "vectors": _unit(weighted @ basis), "labels": y.astype(np.float32)}

@@ -37,3 +37,21 @@ def test_defined_cases(spark):
     got = Q.score(docs, Q.learn(docs, some)).collect()
     assert [r.score for r in got[:2]] == [1.0, 1.0] and len(got) == 4
     assert Q.score(docs.limit(0), Q.learn(docs.limit(0), some)).count() == 0
+
+
+def test_document_frequencies_cover_all_documents(spark):
+    texts = ["good text", "good text", "also good", "$$$ %%%", None, "", "x x\n\nx x"] * 3
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(4)
+    rows = Q._matrix([t for t in texts if t is not None], Q.Substrings())
+    n, having = Q.document_frequencies(docs)
+    assert n == 18 and (having == (rows > 0).sum(axis=0)).all()
+    # the weights follow the corpus beside the labelled texts
+    labels = spark.createDataFrame([(0, 1), (3, 0)], "doc_id long, quality int")
+    few, more = (Q.learn(d, labels)["projection"] for d in (docs.where("doc_id in (0, 3)"), docs))
+    scale = lambda p: np.linalg.norm(p, axis=1)
+    idf = lambda n, having: np.log((1 + n) / (1 + having)) + 1
+    both = Q._matrix([texts[0], texts[3]], Q.Substrings())
+    for p, want in ((few, idf(2, (both > 0).sum(axis=0))), (more, idf(n, having))):
+        weighted = Q._unit(both * want.astype(np.float32))
+        basis = Q._leading(weighted.astype(np.float64), 2)
+        assert np.allclose(scale(p), want * np.linalg.norm(basis, axis=1), atol=1e-4)
