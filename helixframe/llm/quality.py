@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Substrings, hash_sample, map_columns, mix, slices
+from .common import BASE, Substrings, hash_sample, map_columns, mix, slices
 
 DIM = 2048  # hashed term space
 RANK = 48  # latent dimensions
@@ -37,7 +37,7 @@ PER_LABEL = 1500  # labelled documents of each label learned from, at most
 NEIGHBOURS = 15
 THRESHOLD = 0.3
 BLOCK = 256  # documents whose cosines are computed at a time
-STEP = 1 << 20  # bytes of one text looked at together
+STEP = 1 << 20  # bytes of one text looked at together; terms go on across slices
 
 _SHAPE = np.zeros(256, dtype=np.uint8)
 _SHAPE[:] = np.arange(256) % 128
@@ -57,24 +57,56 @@ def term_counts(text: str | None, hashes: Substrings) -> np.ndarray:
     counts = np.zeros(DIM)
     raw = np.frombuffer((text or "").encode("utf-8"), dtype=np.uint8)
     total = 0
+    words, lines = Units(hashes), Units(hashes)
+    last = None  # hash of the word before
+    hashed, sizes = [], []  # of all lines
     for a in range(0, len(raw), STEP):
-        data = raw[a:a + STEP]
-        s = _SHAPE[data].astype(np.uint64)
+        data, done = raw[a:a + STEP], a + STEP >= len(raw)
+        s = _SHAPE[raw[max(0, a - 2):a + STEP]].astype(np.uint64)  # two bytes of the slice before
         if len(s) >= 3:
             gram = (s[:-2] << np.uint64(14)) | (s[1:-1] << np.uint64(7)) | s[2:]
             counts += np.bincount((mix(gram) % np.uint64(DIM - REPEATS)).astype(np.int64), minlength=DIM)
             total += len(s) - 2
         prefix = hashes.prefix(data)
-        for bucket, ends in ((DIM - 2, _SPACE[data]), (DIM - 1, data == 10)):
-            edge = np.diff(ends.astype(np.int8), prepend=1, append=1)
-            start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-            if len(start) > 1:
-                unit = hashes.spans(prefix, start, stop)
-                same = unit[1:] == unit[:-1] if bucket == DIM - 2 else np.diff(np.sort(unit)) == 0
-                counts[bucket] += 3.0 * (stop - start)[1:][same].sum()
+        unit, size = words.closed(prefix, _SPACE[data], done)
+        if len(unit):
+            same = np.append(last is not None and unit[0] == last, unit[1:] == unit[:-1])
+            counts[DIM - 2] += 3.0 * size[same].sum()
+            last = unit[-1]
+        unit, size = lines.closed(prefix, data == 10, done)
+        hashed.append(unit)
+        sizes.append(size)
+    if hashed:
+        unit, size = np.concatenate(hashed), np.concatenate(sizes)
+        order = np.argsort(unit)
+        counts[DIM - 1] += 3.0 * size[order][1:][np.diff(unit[order]) == 0].sum()
     return np.sqrt(counts / max(1, total)).astype(np.float32)
 
 
+class Units:
+    """Hashes and lengths of the words or lines of a text that is read in slices."""
+
+    def __init__(self, hashes: Substrings):
+        self.hashes, self.open, self.length = hashes, 0, 0
+
+    def closed(self, prefix: np.ndarray, ends: np.ndarray, done: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The units that end in this slice; one that reaches its end stays open, unless the text is done."""
+        edge = np.diff(ends.astype(np.int8), prepend=1, append=1)
+        start, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        part, size = (prefix[stop] - prefix[start]) * self.hashes.down[start], stop - start
+        if self.length:
+            if not ends[0]:
+                part[0] = (self.open + pow(BASE, self.length, 1 << 64) * int(part[0])) % (1 << 64)
+                size[0] += self.length
+            else:
+                part, size = np.append(np.uint64(self.open), part), np.append(self.length, size)
+            self.length = 0
+        if not done and not ends[-1]:
+            self.open, self.length = int(part[-1]), int(size[-1])
+            part, size = part[:-1], size[:-1]
+        return mix(part), size
+
+
 def _matrix(texts: list[str | None], hashes: Substrings) -> np.ndarray:
     return np.stack([term_counts(t, hashes) for t in texts]) if texts else np.zeros((0, DIM), np.float32)
 

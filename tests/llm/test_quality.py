@@ -55,3 +55,34 @@ def test_document_frequencies_cover_all_documents(spark):
         weighted = Q._unit(both * want.astype(np.float32))
         basis = Q._leading(weighted.astype(np.float64), 2)
         assert np.allclose(scale(p), want * np.linalg.norm(basis, axis=1), atol=1e-4)
+
+
+def plain_counts(text):
+    """Term counts of a whole text, one by one."""
+    raw = text.encode()
+    counts, grams = np.zeros(Q.DIM), [Q._SHAPE[list(raw[i:i + 3])] for i in range(len(raw) - 2)]
+    for a, b, c in grams:
+        gram = np.array([(int(a) << 14) | (int(b) << 7) | int(c)], np.uint64)
+        counts[int(Q.mix(gram)[0] % np.uint64(Q.DIM - Q.REPEATS))] += 1
+    words, lines = raw.split(), [x for x in raw.split(b"\n") if x]
+    counts[Q.DIM - 2] = 3 * sum(len(b) for a, b in zip(words, words[1:]) if a == b)
+    counts[Q.DIM - 1] = 3 * (sum(map(len, lines)) - sum(map(len, set(lines))))
+    return np.sqrt(counts / max(1, len(grams))).astype(np.float32)
+
+
+def test_terms_do_not_depend_on_slices(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["", "ab", "\n\n", "one one\none one\n\ntwo é é\none one", " a" * 9 + "\nlong line of words\nb\nlong line of words"]
+    texts += ["".join(rng.choice(list("aab \n"), 60)) for _ in range(20)]
+    for step in (1, 2, 3, 7, 16, 1 << 20):
+        monkeypatch.setattr(Q, "STEP", step)
+        for t in texts:
+            assert (Q.term_counts(t, Q.Substrings()) == plain_counts(t)).all(), (step, t)
+
+
+def test_line_that_repeats_beyond_a_megabyte():
+    line, other = "the very same line", "".join(f"{i:x}\n" for i in range(250_000))
+    size = len(line) * 2 + len(other) + 1
+    assert size > Q.STEP
+    got = Q.term_counts(f"{line}\n{other}{line}", Q.Substrings())
+    assert got[Q.DIM - 1] == np.float32(np.sqrt(3 * len(line) / (size - 2)))
