@@ -190,6 +190,26 @@ def f12_repeated_attack(spark, sf_dir):
         "row_id", M.repeated_attack("nucl", "dna", F.col("row_id"), F12_ITERS, RATE).alias("seq"))
 
 
+def _f12_rounds_sql(attack: str) -> str:
+    """One nested query a round: these attacks read whole codons, so a round needs the one before."""
+    rows = "SELECT row_id, dna FROM seqs"
+    for i in range(1, F12_ITERS + 1):
+        seq = (codon_mutation_sql("dna", "row_id", str(i), RATE) if attack == "codon" else
+               aa_to_dna_sql(dna_to_aa_sql("dna"), "row_id", str(i)))
+        rows = f"SELECT row_id, {seq} AS dna FROM ({rows})"
+    return f"SELECT row_id, {attack!r} AS attack, dna AS seq FROM ({rows})"
+
+
+@register("f12_repeated_attack_codons", with_views("seqs", f"""
+{_f12_rounds_sql('codon')} UNION ALL {_f12_rounds_sql('bt')}"""))
+def f12_repeated_attack_codons(spark, sf_dir):
+    """F12 by codons and by back-translation."""
+    s = S.seqs(spark, sf_dir)
+    arms = [s.select("row_id", F.lit(a).alias("attack"),
+                     M.repeated_attack(a, "dna", F.col("row_id"), F12_ITERS, RATE).alias("seq")) for a in ("codon", "bt")]
+    return arms[0].unionByName(arms[1])
+
+
 @register("f13_attack_dispatch", with_views("seqs", f"""
 SELECT row_id, attack,
   CASE attack WHEN 'nucl' THEN {point_mutation_sql('dna', 'row_id', '1', RATE)}

@@ -116,3 +116,20 @@ def test_f4_ambiguous_codons_and_u(spark):
     for text, protein in {"ATGGCNTAA": "MA", "AUGGCU": "MA", "NNNATG": "XM", "YTRTAR": "L", "GAYRAY": "DX"}.items():
         assert one(spark, Q.translate_to_stop("s"), s=text) == protein
     assert one(spark, Q.dna_to_aa("s"), s="GCN") == "X"
+
+
+def test_f12_row_repeats_codons_and_back_translation(spark):
+    from helixframe.plans import q_sequence as P
+    from helixframe.sources import standins as S
+
+    SF001 = "/root/testdata/sf0.001"
+    got = {(r.row_id, r.attack): r.seq for r in P.f12_repeated_attack_codons(spark, SF001).collect()}
+    want = S.seqs(spark, SF001).select("row_id", F.col("dna").alias("s"))
+    for attack in ("codon", "bt"):
+        step = want
+        for i in range(1, P.F12_ITERS + 1):
+            step = spark.createDataFrame(step.select(
+                "row_id", M.mutate(attack, "s", F.col("row_id"), i, P.RATE).alias("s")).collect(), "row_id bigint, s string")
+        rows = step.collect()
+        assert rows and all(got[r.row_id, attack] == r.s for r in rows)
+    assert len(got) == 2 * want.count()
