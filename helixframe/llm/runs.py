@@ -103,6 +103,21 @@ class Fingerprints:
         return low
 
 
+def _kinds(key: np.ndarray) -> np.ndarray:
+    """Numbers from 0 for the values of ``key``, in rising order."""
+    n = len(key)
+    bits = max(n, 1).bit_length()
+    if n and int(key.max()).bit_length() + bits < 64:  # values and places sort as one number
+        packed = np.sort((key << bits) | np.arange(n))
+        order, ranked = packed & ((1 << bits) - 1), packed >> bits
+    else:
+        order = np.argsort(key, kind="stable")
+        ranked = key[order]
+    kinds = np.empty(n, dtype=np.int64)
+    kinds[order] = np.cumsum(np.r_[False, ranked[1:] != ranked[:-1]][:n])
+    return kinds
+
+
 class Grammar:
     """Nonterminals of the sequences ``x`` (cut at ``bounds``) and the positions at which they are derived.
 
@@ -128,7 +143,7 @@ class Grammar:
             a = np.flatnonzero(((np.arange(len(symbol)) - begin) % 2 == 0)[:-1] & ~fresh[1:])
             if not len(a):
                 break
-            kinds = np.unique(self._pairs(symbol, a), return_inverse=True)[1]
+            kinds = _kinds(self._pairs(symbol, a))
             symbol, place = self._replace(symbol, place, a, kinds)
         for c in ("first", "mid", "end", "node", "place"):
             got = getattr(self, c)
@@ -142,10 +157,13 @@ class Grammar:
         n = len(symbol) - 1
         inside = self.end_of[place[:-1]] == self.end_of[place[1:]]
         key = self._pairs(symbol, np.arange(n))
-        kinds, counts = np.unique(key, return_inverse=True, return_counts=True)[1:]
+        kinds = _kinds(key)
+        counts = np.bincount(kinds)
         weight = np.where(inside, counts[kinds], 0)
-        # the more frequent of two overlapping pairs wins, the smaller kind if they tie
-        ahead = (weight[:-1] > weight[1:]) | ((weight[:-1] == weight[1:]) & (kinds[:-1] < kinds[1:]))
+        # the more frequent of two overlapping pairs wins; ties go by a scattered number, so that a repeated passage,
+        # whose pairs are all as frequent, shrinks by a share a round and not by one pair
+        lot = mix(kinds.astype(np.uint64))
+        ahead = (weight[:-1] > weight[1:]) | ((weight[:-1] == weight[1:]) & (lot[:-1] < lot[1:]))
         same = (kinds[:-1] == kinds[1:]) & inside[:-1] & inside[1:]
         wins = weight >= 2
         wins[:-1] &= ahead | same
@@ -158,10 +176,11 @@ class Grammar:
         # a rule needs two uses
         used = np.bincount(kinds[a], minlength=len(counts))
         a = a[used[kinds[a]] >= 2]
-        return a, np.unique(kinds[a], return_inverse=True)[1]
+        return a, (np.cumsum(used >= 2) - 1)[kinds[a]]
 
     def _replace(self, symbol, place, a, kinds):
-        one = np.unique(kinds, return_index=True)[1]
+        one = np.empty(int(kinds.max()) + 1, dtype=np.int64)
+        one[kinds[::-1]] = np.arange(len(kinds) - 1, -1, -1)  # the first use of each kind
         ends = np.r_[place[1:], 0]
         lasts = np.flatnonzero(np.r_[self.end_of[place[1:]] != self.end_of[place[:-1]], True])
         ends[lasts] = self.end_of[place[lasts]]
