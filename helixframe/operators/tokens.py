@@ -6,21 +6,32 @@ the model call: ``operators.scoring.batch_model_udf`` batches rows per task.
 Overlapping k-mers are cut from the ASCII bytes of a sequence (binary
 ``substr`` is O(1) per position), counted with a partial/final aggregate, and a
 vocabulary is numbered over the *distinct* k-mers only, by range partitions.
-Encoding joins the vocabulary (broadcast if its size allows) and rebuilds each
-sequence's id list in position order; a group is one sequence, never more.
+
+Encoding is map-only. Over an alphabet of ``a`` letters a k-mer is a number below
+``a ** k`` (its letters as digits), so the vocabulary is one dense array of ids
+indexed by that number, ``MAX_CODES`` at most, sent to the tasks with the
+function; each Arrow batch is one pass of numpy over its bytes. No position
+becomes a row and nothing is joined or regrouped. Vocabularies over other texts
+are joined by shuffle (``encode_by_join``).
 """
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .labels import numbered, small
+from .labels import numbered
 
 # Special token ids (pad, unknown, class, separator), ids 0-3.
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
 FIRST_ID = 4
 
+DNA = "ACGT"
+MAX_CODES = 1 << 20  # entries of a dense id array (4 MB): 10-mers of DNA
+RUN = 1 << 22  # bytes encoded together
+
 
 def kmers(df: DataFrame, seq: str, key: str, k: int = 6, outer: bool = False) -> DataFrame:
     """K1 (long form): ``(key, pos, kmer)`` for every overlapping k-mer (1-based position)."""
@@ -44,10 +55,85 @@ def vocabulary(df: DataFrame, seq: str, key: str, k: int = 6, min_df: int = 1) -
     return ranked.select("kmer", (F.col("_rank") + FIRST_ID).cast("int").alias("id"), "df")
 
 
-def encode(df: DataFrame, seq: str, key: str, vocab: DataFrame, k: int = 6) -> DataFrame:
-    """K3: ``(key, ids)``: k-mer ids in position order, unknown k-mers -> ``UNK``."""
+def dense_ids(vocab: DataFrame, k: int, alphabet: str = DNA) -> np.ndarray:
+    """Ids by k-mer number over ``alphabet`` (``UNK`` where the vocabulary has none); ``len(alphabet) ** k`` entries.
+
+    K-mers with letters outside the alphabet have no number: they raise, so that no known k-mer turns unknown.
+    """
+    size = len(alphabet) ** k
+    if size > MAX_CODES:
+        raise ValueError(f"{len(alphabet)} letters and k = {k} make {size} k-mers, more than {MAX_CODES}: encode_by_join")
+    own = vocab.select("kmer", "id").where(F.col("kmer").rlike(f"^[{alphabet}]{{{k}}}$"))
+    rows, total = own.collect(), vocab.count()
+    if len(rows) != total:
+        raise ValueError(f"{total - len(rows)} k-mers are not {k} letters of {alphabet}: encode_by_join")
+    ids = np.full(size, UNK, dtype=np.int32)
+    for r in rows:
+        number = 0
+        for letter in r["kmer"]:
+            number = number * len(alphabet) + alphabet.index(letter)
+        ids[number] = r["id"]
+    return ids
+
+
+def kmer_numbers(data: np.ndarray, k: int, alphabet: str = DNA) -> np.ndarray:
+    """The number of the k-mer at every byte but the last ``k - 1``; -1 where it has another letter."""
+    code = np.full(256, -1, dtype=np.int32)
+    code[np.frombuffer(alphabet.encode(), np.uint8)] = np.arange(len(alphabet))
+    c, n = code[data], max(len(data) - k + 1, 0)
+    number, bad = np.zeros(n, dtype=np.int32), np.zeros(n, dtype=bool)
+    for j in range(k):
+        number = number * len(alphabet) + c[j:j + n]
+        bad |= c[j:j + n] < 0
+    number[bad] = -1
+    return number
+
+
+def _encode_batch(texts: pa.Array, ids: np.ndarray, k: int, alphabet: str, limit: int | None) -> pa.Array:
+    """Id lists of a batch, in runs of about ``RUN`` bytes."""
+    missing = np.asarray(texts.is_null())
+    raw = pa.compute.fill_null(texts, "").cast(pa.large_binary())
+    if limit is not None:
+        raw = pa.compute.binary_slice(raw, 0, limit + k - 1)
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2], np.uint8) if raw.buffers()[2] else np.zeros(0, dtype=np.uint8)
+    lens = np.maximum(np.diff(offsets) - (k - 1), 0)
+    full = np.append(ids, np.int32(UNK))  # number -1 reads the last entry
+    out, cuts = [], [0, *(np.flatnonzero(np.diff((offsets[:-1] - offsets[0]) // RUN)) + 1).tolist(), len(raw)]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        first, last = int(offsets[a]), int(offsets[b])
+        number = kmer_numbers(data[first:last], k, alphabet)
+        stay = np.ones(len(number), dtype=bool)  # windows across two sequences go
+        for j in range(1, k):
+            over = offsets[a + 1:b] - first - j
+            stay[over[(over >= 0) & (over < len(number))]] = False
+        # a sequence shorter than k has no window of its own, and every window over its end has gone
+        out.append(full[number[stay]])
+    flat = np.concatenate(out) if out else np.zeros(0, dtype=np.int32)
+    mask = pa.array(missing) if missing.any() else None
+    starts = np.concatenate([[0], np.cumsum(lens)]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts), pa.array(flat), mask=mask)
+
+
+def encode(df: DataFrame, seq: str, key: str, vocab: DataFrame, k: int = 6, alphabet: str = DNA,
+           limit: int | None = None) -> DataFrame:
+    """K3: ``(key, ids)``: k-mer ids in position order, unknown k-mers -> ``UNK``; a null sequence has no ids.
+
+    With ``limit`` only the first ``limit`` positions are encoded (what K4 and K5 keep)."""
+    ids = dense_ids(vocab, k, alphabet)
+
+    @F.arrow_udf("array<int>")
+    def numbers(texts: pa.Array) -> pa.Array:
+        return _encode_batch(texts, ids, k, alphabet, limit)
+
+    return df.select(key, numbers(F.coalesce(F.col(seq), F.lit(""))).alias("ids"))
+
+
+def encode_by_join(df: DataFrame, seq: str, key: str, vocab: DataFrame, k: int = 6) -> DataFrame:
+    """K3 for vocabularies over any texts: joins them to the positions and rebuilds each sequence's id list in
+    position order; a group is one sequence, never more."""
     km = kmers(df, seq, key, k, outer=True)  # a sequence shorter than k keeps one row without a position
-    j = km.join(small(vocab.select("kmer", "id")), "kmer", "left")
+    j = km.join(vocab.select("kmer", "id"), "kmer", "left")
     t = F.when(F.col("pos").isNotNull(), F.struct("pos", F.coalesce("id", F.lit(UNK)).alias("id")))
     ids = j.groupBy(key).agg(F.sort_array(F.collect_list(t)).alias("_t"))
     return ids.select(key, F.transform("_t", lambda t: t["id"]).alias("ids"))

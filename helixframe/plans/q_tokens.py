@@ -41,8 +41,8 @@ def k02_vocabulary(spark, sf_dir):
     return _train_vocab(spark, sf_dir)
 
 
-def _encoded(spark, sf_dir):
-    return T.encode(S.seqs(spark, sf_dir), "dna", "row_id", _train_vocab(spark, sf_dir), K)
+def _encoded(spark, sf_dir, limit=None):
+    return T.encode(S.seqs(spark, sf_dir), "dna", "row_id", _train_vocab(spark, sf_dir), K, limit=limit)
 
 
 @register("k03_encode", with_views("seqs", f"""WITH {KM}, {VOCAB}, {ENC}
@@ -55,7 +55,7 @@ def k03_encode(spark, sf_dir):
 @register("k04_truncate", with_views("seqs", f"""WITH {KM}, {VOCAB}, {ENC}
 SELECT row_id, array_to_string(list_concat([2], ids[1:{MAX_LENGTH - 2}], [3]), ' ') AS ids FROM enc"""))
 def k04_truncate(spark, sf_dir):
-    e = _encoded(spark, sf_dir)
+    e = _encoded(spark, sf_dir, MAX_LENGTH - 2)
     return e.select("row_id", _ids_text(T.truncate(F.col("ids"), MAX_LENGTH)).alias("ids"))
 
 
@@ -67,6 +67,6 @@ SELECT row_id,
                               list_transform(range(0, {MAX_LENGTH} - len(ids)), lambda x: 0)), ' ') AS attention_mask
 FROM tr"""))
 def k05_pad(spark, sf_dir):
-    e = _encoded(spark, sf_dir)
+    e = _encoded(spark, sf_dir, MAX_LENGTH - 2)
     ids, mask = T.pad(T.truncate(F.col("ids"), MAX_LENGTH), MAX_LENGTH)
     return e.select("row_id", _ids_text(ids).alias("input_ids"), _ids_text(mask).alias("attention_mask"))

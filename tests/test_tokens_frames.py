@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from helixframe.functions import mutation as M
 from helixframe.operators import attack as A
 from helixframe.operators import frames as FR
 from helixframe.operators import tokens as T
@@ -39,13 +40,51 @@ def test_j8_overwrite_and_j4_copy(spark):
 
 
 def test_w3_snapshots(spark):
-    outcome = spark.createDataFrame([(1, 0, 15, 1, "MUT"), (2, 0, None, None, "ORIG2")],
-                                    "row_id bigint, y int, success_iteration int, y_atk int, dna string")
-    orig = spark.createDataFrame([(1, "ORIG1"), (2, "ORIG2")], "row_id bigint, dna string")
-    snap = {(r["row_id"], r["iteration"]): (r["dna"], r["success"])
-            for r in A.snapshots(outcome, "dna", orig, "row_id", (10, 20)).collect()}
-    assert snap == {(1, 10): ("ORIG1", False), (1, 20): ("MUT", True),
-                    (2, 10): ("ORIG2", False), (2, 20): ("ORIG2", False)}
+    clean = spark.createDataFrame([(1, 0, 0), (2, 0, 3)], "row_id bigint, y int, y_orig int")
+    found = spark.createDataFrame([(1, 15, 1)], "row_id bigint, success_iteration int, y_atk int")
+    orig = spark.createDataFrame([(1, "ACGTACGTACGTACGTACGT"), (2, "ORIG2")], "row_id bigint, dna string")
+    state = A.states(clean, found, intervals=(10, 20))
+    snap = {(r["row_id"], r["iteration"]): r for r in A.snapshots(state, found, orig, "dna", rate=0.5).collect()}
+    mutated = orig.select(M.point_mutation("dna", F.col("row_id"), 15, 0.5).alias("m")).first()["m"]
+    assert snap[1, 10]["dna"] == "ACGTACGTACGTACGTACGT" and mutated != "ACGTACGTACGTACGTACGT"
+    assert snap[1, 20]["dna"] == mutated and snap[2, 20]["dna"] == "ORIG2"
+    assert {k: (r["y_hat"], r["success"]) for k, r in snap.items()} == {
+        (1, 10): (0, False), (1, 20): (1, True), (2, 10): (3, False), (2, 20): (3, False)}
+
+
+def test_k3_dense_array_equals_the_join(spark):
+    import random
+
+    import pytest
+
+    rng = random.Random(1)
+    rows = [(i, "".join(rng.choice("ACGTN") for _ in range(rng.randint(0, 40)))) for i in range(200)]
+    rows += [(300, None), (301, ""), (302, "AC"), (303, "ACG"), (304, "éACGTé"), (305, "ACGT" * 5000)]
+    df = spark.createDataFrame(rows, "row_id bigint, dna string").repartition(3)
+    vocab = spark.createDataFrame([("ACG", 4), ("TTT", 5), ("GTA", 6), ("CGT", 9)], "kmer string, id int")
+    fast = {r["row_id"]: r["ids"] for r in T.encode(df, "dna", "row_id", vocab, 3).collect()}
+    slow = {r["row_id"]: r["ids"] for r in T.encode_by_join(df, "dna", "row_id", vocab, 3).collect()}
+    assert fast == slow
+    cut = {r["row_id"]: r["ids"] for r in T.encode(df, "dna", "row_id", vocab, 3, limit=7).collect()}
+    assert cut == {k: v[:7] for k, v in slow.items()}
+    old, T.RUN = T.RUN, 50  # many runs a batch
+    try:
+        assert {r["row_id"]: r["ids"] for r in T.encode(df, "dna", "row_id", vocab, 3).collect()} == slow
+    finally:
+        T.RUN = old
+    with pytest.raises(ValueError, match="encode_by_join"):
+        T.encode(df, "dna", "row_id", spark.createDataFrame([("ANG", 4)], "kmer string, id int"), 3)
+    with pytest.raises(ValueError, match="encode_by_join"):
+        T.dense_ids(vocab, 12)
+
+
+def test_k3_plan_has_no_exchange_behind_the_scan(spark, tmp_path, capsys):
+    df = spark.range(0, 640, numPartitions=64).select(F.col("id").alias("row_id"), F.lit("ACGTTGCA").alias("dna"))
+    df.write.parquet(f"{tmp_path}/s")
+    vocab = spark.createDataFrame([("ACG", 4)], "kmer string, id int")
+    T.encode(spark.read.parquet(f"{tmp_path}/s"), "dna", "row_id", vocab, 3).explain()
+    plan = capsys.readouterr().out
+    assert "ArrowEvalPython" in plan and "Exchange" not in plan and "Join" not in plan
 
 
 def test_materialize_cuts_lineage(spark):
