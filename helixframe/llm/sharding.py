@@ -25,6 +25,8 @@ table gives an empty result; input columns named ``size``, ``shard`` or ``slot``
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -72,19 +74,13 @@ class Cells:
         self.open, self.leaves = [], None
         if not self.rows:
             return
-        spark = keys.sparkSession
-        root = spark.range(1).select(
-            F.lit("").alias("cell"), F.lit(0).cast("long").alias("base"), F.lit(0).cast("long").alias("before"),
-            F.lit(None).cast("long").alias("text_base"), F.lit(totals.lo).alias("least"),
-            F.lit(totals.hi).alias("greatest"))
-        opened = self._step(root)
-        current = keys.withColumn("cell", F.lit(""))
+        same = len(os.path.commonprefix([totals.lo, totals.hi]))
+        self.first = self._probe(same)
+        zero, text_base = F.lit(0).cast("long"), F.lit(0 if same >= WIDTH else None).cast("long")
+        current = keys.select("place", "size", F.lit("").alias("parent"), F.substring("place", 1, self.first).alias("cell"),
+                              zero.alias("base"), zero.alias("before"), text_base.alias("text_base"))
         closed = []
         while True:
-            self.open.append(opened)
-            current = current.join(F.broadcast(opened.withColumnRenamed("cell", "parent")),
-                                   F.col("cell") == F.col("parent")).select(
-                "place", "size", "parent", F.expr("substr(place, 1, upto)").alias("cell"), "base", "before", "text_base")
             order = Window.partitionBy("parent").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
             counted = scratch.keep(_counts(current).select(
                 "cell", "bytes", "rows", "least", "greatest", "text_base",
@@ -94,9 +90,12 @@ class Cells:
             wide = self._wide()
             closed.append(counted.where(~wide))
             opened = scratch.keep(self._step(counted.where(wide)), f"open{len(closed)}")
-            current = current.select("place", "size", "cell")
             if opened.isEmpty():
                 break
+            self.open.append(opened)
+            current = current.select("place", "size", "cell").join(
+                F.broadcast(opened.withColumnRenamed("cell", "parent")), F.col("cell") == F.col("parent")).select(
+                "place", "size", "parent", F.expr("substr(place, 1, upto)").alias("cell"), "base", "before", "text_base")
         self.leaves = closed[0]
         for more in closed[1:]:
             self.leaves = self.leaves.unionByName(more)
@@ -118,13 +117,18 @@ class Cells:
         return cells.select("cell", "base", "before", upto.cast("int").alias("upto"),
                             F.when(_one_text(), F.coalesce("text_base", "base")).alias("text_base"))
 
+    @staticmethod
+    def _probe(same: int) -> int:
+        """Digits of the sub-cells of rows that share ``same`` digits."""
+        return min(same + STEP, WIDTH) if same < WIDTH else same + STEP
+
     def splitters(self) -> list[int]:
         """Rows before each shard but the first."""
         if not self.rows or self.n < 2:
             return [0] * (self.n - 1)
         n, total = self.n, self.bytes
         targets = F.explode(F.array(*[F.lit(j) for j in range(1, n)])).alias("j")
-        goal = (F.col("j") * F.lit(total)).cast("long")  # in n-ths of a byte
+        goal = F.col("j").cast("long") * F.lit(total).cast("long")  # in n-ths of a byte
         # rows that agree in text and key have one size and can be cut anywhere
         alike = (F.col("least") == F.col("greatest")) & (F.col("rows") > 1)
         inner = F.when(alike, F.expr(f"(j * {total}L - {n} * base) div ({n} * (bytes div rows))"))
@@ -146,7 +150,7 @@ class Cells:
 
     def cell_of(self, rows: DataFrame) -> DataFrame:
         """Append ``cell``, the leaf that holds the row's ``place``."""
-        out = rows.withColumn("cell", F.lit(""))
+        out = rows.withColumn("cell", F.substring("place", 1, self.first))
         for opened in self.open:
             step = opened.select(F.col("cell").alias("_parent"), "upto")
             out = out.join(F.broadcast(step), F.col("cell") == F.col("_parent"), "left")

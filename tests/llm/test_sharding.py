@@ -58,6 +58,8 @@ def test_against_a_full_sort(spark, seed, n, tolerance):
 def test_equal_rows_are_cut_by_count(spark):
     rows = [(5, "the same row " * 3)] * 500 + [(i, "other") for i in range(20)]
     assert run(spark, rows, 8) == brute(rows, 8)
+    rows = [(i, "one text only") for i in range(300)]
+    assert run(spark, rows, 8) == brute(rows, 8)
 
 
 def test_balance_slots_and_groups(spark):
