@@ -4,15 +4,17 @@ State that the reference keeps in driver dictionaries becomes keys:
 
 * W4 (first success over up to ``max_iter`` tries): a failed try leaves the
   sequence unchanged, so tries are independent functions of ``(row_id,
-  iteration)`` and run in parallel. Tries go in growing rounds; rows that
-  succeeded leave by ``left_anti`` join, and each round's (small) result is
-  written to the shared checkpoint folder, so later rounds never recompute
-  earlier scoring and a lost executor only re-runs its own tasks.
+  iteration)`` and run in parallel, point mutations in numpy over Arrow batches
+  (``tries``). Tries go in growing rounds; rows that succeeded leave by
+  ``left_anti`` join, and each round's (small) result is written to the shared
+  checkpoint folder, so later rounds never recompute earlier scoring and a lost
+  executor only re-runs its own tasks.
 * W1 (sticky first success over snapshots): a window per ``row_id`` whose
   frame runs from the first snapshot to the current one. A row id owns one row
   per snapshot, so no window partition can grow with the data.
-* W2 (cascade across mutation rates keyed by text): per-text aggregates plus a
-  join on the text; hot texts are reduced map-side before the shuffle.
+* W2 (cascade across mutation rates keyed by text): texts travel as digests; only
+  digests that occur more than once are looked at, since a text that occurs once
+  keeps its label, and the few changed labels are joined back.
 """
 
 from __future__ import annotations
@@ -23,12 +25,13 @@ from pyspark.sql import functions as F
 from ..functions.mutation import ATTACKS, mutate, point_mutation_batch
 from ..session import materialize
 from .scoring import attack_logits, kmer_logits, predict
+from .tries import mutated_texts, try_logits, weight_matrix
 
 
 def score(df: DataFrame, seq: str, key: str, weights: DataFrame, n_classes: int, k: int = 3,
           out: str = "y_hat") -> DataFrame:
     """M8 predictions ``(key, out)`` for the sequences in ``df``."""
-    lg = kmer_logits(df, seq, [key], weights, n_classes, k)
+    lg = try_logits(df, seq, key, [], [(0, 0.0)], weight_matrix(weights, n_classes, k), k)
     return lg.select(key, predict("logits").alias(out))
 
 
@@ -59,7 +62,7 @@ def round_bounds(max_iter: int, schedule: tuple[int, ...] = (1, 4, 10, 35)) -> l
 
 def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFrame, n_classes: int,
                   k: int = 3, rate: float = 0.1, max_iter: int = 50,
-                  schedule: tuple[int, ...] = (1, 4, 10, 35), seed: int = 0, attack: str = "nucl",
+                  schedule: tuple[int, ...] = (1, 9, 40), seed: int = 0, attack: str = "nucl",
                   require_correct: bool = False, y_orig: str | None = None) -> DataFrame:
     """Per row, the first try ``1..max_iter`` whose prediction differs from ``y``.
 
@@ -78,10 +81,13 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
     pending = base.select(row_id, y, seq)
     found: DataFrame | None = None
     bounds = round_bounds(max_iter, schedule)
+    matrix = weight_matrix(weights, n_classes, k) if attack == "nucl" else None
     for n, (start, end) in enumerate(bounds):
         its = F.sequence(F.lit(start), F.lit(end))
         if attack == "nucl":
-            lg = attack_logits(pending, seq, row_id, its, weights, n_classes, k, rate, seed, keys=[y])
+            tries = [(i, rate) for i in range(start, end + 1)]
+            lg = try_logits(pending, seq, row_id, [y], tries, matrix, k, seed).withColumn(
+                "iteration", F.col("try") + F.lit(start))
         else:
             tries = pending.select(row_id, y, F.explode(its).alias("iteration"), seq)
             tries = tries.withColumn(seq, mutate(attack, seq, F.col(row_id), F.col("iteration"), rate, seed))
@@ -161,24 +167,18 @@ def rate_sweep_steps(df: DataFrame, seq: str, row_id: str, rates: tuple[float, .
                      n_classes: int, k: int = 3, seed: int = 0, iteration: int = 1) -> DataFrame:
     """F14 + scoring: one attacked copy per rate, ``(row_id, step, rate, y_atk, digest)``.
 
-    Scores come from the fused scorer, which builds no text; the attacked text
-    leaves its task only as a 128-bit digest, so no copy of the corpus is
-    written or shuffled. ``sweep_text`` rebuilds a text from ``(row_id, rate)``.
+    Each sequence is drawn once, mutated once per rate, scored and digested in one pass; the attacked text leaves its
+    task only as a 128-bit digest, so no copy of the corpus is written or shuffled. ``sweep_texts`` gives the texts.
     """
-    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(float(r)).alias("rate"))
-                      for i, r in enumerate(rates)])
-    rows = df.select(row_id, seq, F.explode(steps).alias("_s")).select(row_id, seq, "_s.step", "_s.rate")
-    lg = attack_logits(rows, seq, row_id, F.array(F.lit(iteration)), weights, n_classes, k, F.col("rate"), seed,
-                       keys=["step", "rate"])
-    scored = lg.select(row_id, "step", predict("logits").alias("y_atk"))
-    text = sweep_text(seq, row_id, F.col("rate"), seed, iteration)
-    digests = rows.select(row_id, "step", "rate", F.unhex(F.md5(text)).alias("digest"))
-    return digests.join(scored, [row_id, "step"]).select(row_id, "step", "rate", "y_atk", "digest")
+    tries = [(iteration, r) for r in rates]
+    lg = try_logits(df, seq, row_id, [], tries, weight_matrix(weights, n_classes, k), k, seed, digest=True)
+    rate = F.element_at(F.array(*[F.lit(float(r)) for r in rates]), F.col("try") + 1)
+    return lg.select(row_id, F.col("try").alias("step"), rate.alias("rate"), predict("logits").alias("y_atk"), "digest")
 
 
-def sweep_text(seq: str, row_id: str, rate: Column, seed: int = 0, iteration: int = 1) -> Column:
-    """The attacked text of one step of the sweep."""
-    return point_mutation_batch(seq, F.col(row_id), iteration, rate, seed)
+def sweep_texts(seq: str, row_id: str, rates: tuple[float, ...], seed: int = 0, iteration: int = 1) -> Column:
+    """The attacked texts of all steps of the sweep, in order."""
+    return mutated_texts(F.col(seq), F.col(row_id), iteration, list(rates), seed)
 
 
 def cascade(steps: DataFrame, text: str = "seq", row_id: str = "row_id", step: str = "step",
@@ -190,26 +190,27 @@ def cascade(steps: DataFrame, text: str = "seq", row_id: str = "row_id", step: s
     record, for a text not yet recorded, the first row (in ``(step, row_id)``
     order) whose prediction differs from its label. A row of a later step whose
     text is already recorded at that point takes the recorded label.
-    
-    ``steps`` is read three times (two aggregates and the join): pass a
-    materialised table, not a plan that scores sequences.
+
+    A text that occurs once keeps its label, so one aggregate counts the texts
+    and only rows of repeated ones take part; the changed labels are joined back
+    by ``(row_id, step)``. ``steps`` is read several times: pass a materialised
+    table, not a plan that scores sequences.
     """
-    s0 = steps.where((F.col(step) == 0) & (F.col(label) == F.col(y_orig)) & (F.col(label) != F.col(y_atk)))
+    repeated = steps.groupBy(text).agg(F.count("*").alias("_n")).where("_n > 1").select(text)
+    some = materialize(steps.join(repeated, text, "left_semi"), "repeated")
+    s0 = some.where((F.col(step) == 0) & (F.col(label) == F.col(y_orig)) & (F.col(label) != F.col(y_atk)))
     first = s0.groupBy(text).agg(F.max_by(label, row_id).alias("_lab0"))
-    later = steps.where((F.col(step) > 0) & (F.col(label) != F.col(y_atk)))
+    later = some.where((F.col(step) > 0) & (F.col(label) != F.col(y_atk)))
     later = later.groupBy(text).agg(F.min_by(F.struct(F.col(step).alias("s"), F.col(row_id).alias("r"),
                                                       F.col(label).alias("l")),
                                              F.struct(F.col(step), F.col(row_id))).alias("_e"))
-    rec = first.join(later, text, "full")
-    j = steps.join(rec, text, "left")
-    cur = F.struct(F.col(step), F.col(row_id))
-    from_first = F.col("_lab0").isNotNull()
-    earlier = F.col("_e").isNotNull() & (F.struct(F.col("_e.s"), F.col("_e.r")) < cur)
-    new_label = (F.when(F.col(step) == 0, F.col(label))
-                 .when(from_first, F.col("_lab0"))
-                 .when(earlier, F.col("_e.l"))
-                 .otherwise(F.col(label)))
-    return j.select(*[new_label.alias(label) if c == label else F.col(c) for c in steps.columns])
+    j = some.join(first.join(later, text, "full"), text)
+    earlier = F.struct(F.col("_e.s"), F.col("_e.r")) < F.struct(F.col(step), F.col(row_id))
+    new_label = F.when(F.col("_lab0").isNotNull(), F.col("_lab0")).when(earlier, F.col("_e.l"))
+    changed = j.where(F.col(step) > 0).select(row_id, step, new_label.alias("_new")).where(
+        F.col("_new").isNotNull())
+    out = steps.join(materialize(changed, "changed"), [row_id, step], "left")
+    return out.select(*[F.coalesce("_new", label).alias(label) if c == label else F.col(c) for c in steps.columns])
 
 
 def success_rate_by(df: DataFrame, group: list[str], y: str = "y", y_orig: str = "y_orig",

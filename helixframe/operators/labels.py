@@ -4,6 +4,10 @@ Dictionaries are built from *distinct* labels, so the only global (one-task)
 step - numbering the labels - runs over a handful of rows, never fact rows.
 Position semantics of the reference (first appearance, last wins) become
 ``min`` / ``max_by`` over an explicit ``row_id``.
+
+Joins with a dictionary carry no hint: the planner broadcasts it if the size it
+knows is below ``spark.sql.autoBroadcastJoinThreshold`` (written dictionaries
+have a known size), and joins by shuffle beyond that.
 """
 
 from __future__ import annotations
@@ -15,13 +19,6 @@ from pyspark.sql.types import StringType
 from ..session import materialize
 
 SENTINEL = "not applicable"  # fixed value
-MAX_LABELS = 1_000_000  # a dictionary up to this many labels is broadcast; a larger one is joined by shuffle
-
-
-def small(dictionary: DataFrame) -> DataFrame:
-    """The dictionary with a broadcast hint if its row count (one small job) allows it."""
-    rows = dictionary.limit(MAX_LABELS + 1).count()
-    return F.broadcast(dictionary) if rows <= MAX_LABELS else dictionary
 
 
 def ids_by_first_appearance(df: DataFrame, label: str, order: str = "row_id",
@@ -54,7 +51,7 @@ def encode_strict(df: DataFrame, dictionary: DataFrame, name: str, id_col: str =
                   out: str = "y") -> DataFrame:
     """Name -> id; an unknown name raises (like a missing dictionary key)."""
     d = dictionary.select(F.col(name).alias("_k"), F.col(id_col).alias("_id"), F.lit(True).alias("_known"))
-    j = df.join(small(d), df[name].eqNullSafe(F.col("_k")), "left")
+    j = df.join(d, df[name].eqNullSafe(F.col("_k")), "left")
     checked = F.when(F.col("_known").isNull(),
                      F.raise_error(F.concat(F.lit("unknown label: "), F.coalesce(F.col(name).cast("string"),
                                                                                 F.lit("null"))))
@@ -69,7 +66,7 @@ def encode_lenient(df: DataFrame, dictionary: DataFrame, name: str, id_col: str
                    out: str = "y") -> DataFrame:
     """Name -> id; an unknown name gives null."""
     d = dictionary.select(F.col(name).alias("_k"), F.col(id_col).alias(out))
-    return df.join(small(d), df[name] == F.col("_k"), "left").drop("_k")
+    return df.join(d, df[name] == F.col("_k"), "left").drop("_k")
 
 
 def decode(df: DataFrame, dictionary: DataFrame, name: str, id_col: str = "id",
@@ -77,7 +74,7 @@ def decode(df: DataFrame, dictionary: DataFrame, name: str, id_col: str = "id",
     """Id -> name for each listed column (one join per column on the same small dimension)."""
     for c in cols:
         d = dictionary.select(F.col(id_col).alias(f"_{c}_id"), F.col(name).alias(f"{c}{suffix}"))
-        df = df.join(small(d), df[c] == F.col(f"_{c}_id"), "left").drop(f"_{c}_id")
+        df = df.join(d, df[c] == F.col(f"_{c}_id"), "left").drop(f"_{c}_id")
     return df
 
 
@@ -123,9 +120,17 @@ def distinct_labels(df: DataFrame, label: str) -> DataFrame:
 
 
 def distinct_rows(df: DataFrame, order: str = "row_id") -> DataFrame:
-    """Full-row distinct (all columns but ``order``), keeping the first copy's ``order``."""
+    """Full-row distinct (all columns but ``order``), keeping the first copy's ``order``.
+
+    Hashes of the rows are counted first; only rows whose hash occurs more than once are compared as a whole, so
+    unique rows are not shuffled (the few repeated hashes are joined back, by broadcast while they are few). A collision
+    of hashes costs a comparison, not a row.
+    """
     keys = [c for c in df.columns if c != order]
-    return df.groupBy(*keys).agg(F.min(order).alias(order))
+    d = df.withColumn("_h", F.xxhash64(*keys))
+    repeated = d.groupBy("_h").agg(F.count("*").alias("_n")).where("_n > 1").select("_h")
+    copies = d.join(repeated, "_h", "left_semi").groupBy(*keys).agg(F.min(order).alias(order))
+    return d.join(repeated, "_h", "left_anti").select(*keys, order).unionByName(copies)
 
 
 def class_weights(df: DataFrame, label: str) -> DataFrame:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 CHUNK = 64  # positions summed in one row
 STEP = 1000  # copies in one block of a repeated row
+BAND = 64  # width of a score band: exp(64) leaves room for 1e280 rows
 
 
 def _checked(vec: str, dim: int) -> Column:
@@ -26,26 +27,57 @@ def _checked(vec: str, dim: int) -> Column:
         F.raise_error(F.concat(F.lit(f"vector of another width than {dim}: "), F.size(F.col(vec)).cast("string"))))
 
 
-def _pooled(df: DataFrame, key: str, vec: str, dim: int, weights: list[Column]) -> DataFrame:
+def _pooled(df: DataFrame, key: str, vec: str, dim: int, weights: list[Column],
+            scales: list[Column] | None = None) -> DataFrame:
     """``(key, _w, emb)``: for each weight in turn ``sum(w * v) / sum(w)`` per position, one after the other.
 
-    ``_w`` holds the weight sums. NaN stands for a missing element inside the sums and becomes null.
+    ``_w`` holds the weight sums. NaN stands for a missing element inside the sums and becomes null. With ``scales``
+    (whole numbers) a weight counts ``exp(BAND * scale)`` times: rows are summed per scale, and the few sums of a
+    group are brought to its largest scale at the end, so no weight overflows and none is shifted by hand.
     """
     n, width = -(-dim // CHUNK), min(dim, CHUNK)
-    rows = df.select(key, _checked(vec, dim).alias("_v"), F.array(*weights).alias("_ws"))
-    cells = rows.select(key, F.explode(F.sequence(F.lit(0), F.lit(n * len(weights) - 1))).alias("_c"), "_v", "_ws")
-    cells = cells.select(key, "_c", F.col("_ws")[F.floor(F.col("_c") / n).cast("int")].alias("_w"), F.slice(
-        "_v", (F.col("_c") % n) * CHUNK + 1, F.lit(CHUNK)).alias("_v"))
+    parts = n * len(weights)  # chunks of the result
+    rows = df.select(key, _checked(vec, dim).alias("_v"), F.array(*weights).alias("_ws"),
+                     *([F.array(*scales).alias("_ks")] if scales else []))
+    if parts > 1:
+        rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("_c"))
+        which = F.floor(F.col("_c") / n).cast("int")
+        piece = F.slice("_v", (F.col("_c") % n) * CHUNK + 1, F.lit(CHUNK)) if n > 1 else F.col("_v")
+    else:
+        which, piece = F.lit(0), F.col("_v")
+    by = [key, *(["_c"] if parts > 1 else []), *(["_k"] if scales else [])]
+    cells = rows.select(key, *(["_c"] if parts > 1 else []), F.get("_ws", which).alias("_w"),
+                        *([F.get("_ks", which).alias("_k")] if scales else []), piece.alias("_v"))
     value = lambda i: F.coalesce(F.get(F.col("_v"), F.lit(i)).cast("double"), F.lit(float("nan")))
-    sums = cells.groupBy(key, "_c").agg(F.sum("_w").alias("_w"), *[
+    sums = cells.groupBy(*by).agg(F.sum("_w").alias("_w"), *[
         F.sum(F.col("_w") * value(i)).alias(f"_s{i}") for i in range(width)])
-    mean = [F.try_divide(F.col(f"_s{i}"), F.col("_w")) for i in range(width)]
-    chunk = F.array(*[F.when(~F.isnan(m), m) for m in mean])
+    if parts == 1 and not scales:
+        mean = [F.try_divide(F.col(f"_s{i}"), F.col("_w")) for i in range(width)]
+        return sums.select(key, F.array("_w").alias("_w"), F.array(*[F.when(~F.isnan(m), m) for m in mean]).alias("emb"))
+    c, k = F.col("_c") if parts > 1 else F.lit(0), F.col("_k") if scales else F.lit(0).cast("long")
     last = dim - (n - 1) * CHUNK  # the last chunk may be shorter
-    chunk = F.when(F.col("_c") % n == n - 1, F.slice(chunk, 1, last)).otherwise(chunk)
-    back = sums.groupBy(key).agg(F.sort_array(F.collect_list(F.struct("_c", "_w", chunk.alias("e")))).alias("_cs"))
-    return back.select(key, F.transform("_cs", lambda c: c["_w"]).alias("_w"),
-                       F.flatten(F.transform("_cs", lambda c: c["e"])).alias("emb"))
+    total = F.array(*[F.col(f"_s{i}") for i in range(width)])
+    total = F.when(c % n == n - 1, F.slice(total, 1, last)).otherwise(total)
+    cell = F.struct(c.alias("c"), k.alias("k"), F.col("_w").alias("w"), total.alias("s"))
+    back = sums.groupBy(key).agg(F.collect_list(cell).alias("_cs"))  # chunks of a vector, a few scales each
+    ordered = F.transform(F.sequence(F.lit(0), F.lit(parts - 1)), lambda i: F.filter("_cs", lambda x: x["c"] == i))
+    merged = F.transform(ordered, _one_scale)
+    back = back.select(key, merged.alias("_m"))
+    mean = lambda m: F.transform(m["s"], lambda x: F.try_divide(x, m["w"]))
+    back = back.select(key, F.transform("_m", lambda m: m["w"]).alias("_w"), F.flatten(F.transform("_m", mean)).alias("emb"))
+    return back.select(key, "_w", F.transform("emb", lambda x: F.when(~F.isnan(x), x)).alias("emb"))
+
+
+def _one_scale(cells: Column) -> Column:
+    """The sums of one chunk over all its scales, at the largest of them."""
+    top = F.array_max(F.transform(cells, lambda x: x["k"]))
+    factor = lambda x: F.exp((x["k"] - top).cast("double") * float(BAND))
+    first = F.get(cells, F.lit(0))
+    rest = F.slice(cells, 2, F.greatest(F.size(cells) - 1, F.lit(0)))
+    scaled = lambda x: F.struct((x["w"] * factor(x)).alias("w"),
+                                F.transform(x["s"], lambda v: v * factor(x)).alias("s"))
+    return F.aggregate(rest, scaled(first), lambda acc, x: F.struct(
+        (acc["w"] + scaled(x)["w"]).alias("w"), F.zip_with(acc["s"], scaled(x)["s"], lambda p, q: p + q).alias("s")))
 
 
 def mean_pool(df: DataFrame, key: str = "sample_name", vec: str = "emb", *, dim: int) -> DataFrame:
@@ -70,11 +102,11 @@ def attention_pool(df: DataFrame, key: str = "sample_name", vec: str = "emb",
 
     Softmax attention over a set in which vector ``x`` appears ``m = int(abundance)``
     times equals attention over the distinct vectors with weights ``m * exp(q.x)``.
-    The per-group maximum of ``q.x`` is subtracted for stability: one aggregate
-    (partial + final, skew safe) finds it for all heads, and one join brings it
-    back (adaptive execution picks its form from the size it sees).
-    Groups whose multiplicities sum to 0 are dropped. ``heads`` outputs are
-    concatenated.
+    A score is split into ``BAND * scale + rest``: rows are summed with ``m * exp(rest)``
+    per scale (partial + final aggregate, skew safe) and a group's few scales are merged
+    at its largest, so scores of any size are stable without knowing the group's
+    maximum first: one pass, no join. Groups whose multiplicities sum to 0 are
+    dropped. ``heads`` outputs are concatenated.
     """
     m = F.col(weight).cast("int")
     base = df.select(key, vec, m.alias("_m")).where(F.col("_m") > 0)
@@ -87,9 +119,9 @@ def attention_pool(df: DataFrame, key: str = "sample_name", vec: str = "emb",
                         lambda acc, x: acc + x)
         score.append((s / F.lit(math.sqrt(dim))).alias(f"_s{h}"))
     scored = base.select(key, vec, "_m", *score)
-    top = scored.groupBy(key).agg(*[F.max(f"_s{h}").alias(f"_top{h}") for h in range(heads)])
-    weights = [F.col("_m") * F.exp(F.col(f"_s{h}") - F.col(f"_top{h}")) for h in range(heads)]
-    return _pooled(scored.join(top, key), key, vec, dim, weights).drop("_w")
+    scales = [F.coalesce(F.floor(F.col(f"_s{h}") / BAND), F.lit(0)).cast("long") for h in range(heads)]
+    weights = [F.col("_m") * F.exp(F.col(f"_s{h}") - scales[h] * float(BAND)) for h in range(heads)]
+    return _pooled(scored, key, vec, dim, weights, scales).drop("_w")
 
 
 def repeat_rows(df: DataFrame, weight: str = "abundance") -> DataFrame:

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .labels import numbered
+from .tries import pieces
 
 # Special token ids (pad, unknown, class, separator), ids 0-3.
 PAD, UNK, CLS, SEP = 0, 1, 2, 3
@@ -34,12 +35,16 @@ RUN = 1 << 22  # bytes encoded together
 
 
 def kmers(df: DataFrame, seq: str, key: str, k: int = 6, outer: bool = False) -> DataFrame:
-    """K1 (long form): ``(key, pos, kmer)`` for every overlapping k-mer (1-based position)."""
-    d = df.select(key, F.col(seq).cast("binary").alias("_raw"))
+    """K1 (long form): ``(key, pos, kmer)`` for every overlapping k-mer (1-based position).
+
+    Sequences are cut into overlapping pieces first, so a very long one is no single row's array of positions and its
+    pieces are dealt out."""
+    d = pieces(df, seq, [key], k).select(key, "at", F.col("piece").cast("binary").alias("_raw"))
     n = F.length("_raw") - F.lit(k - 1)
     pos = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    e = d.select(key, "_raw", (F.explode_outer if outer else F.explode)(pos).alias("pos"))
-    return e.select(key, "pos", F.col("_raw").substr(F.col("pos"), F.lit(k)).cast("string").alias("kmer"))
+    e = d.select(key, "at", "_raw", (F.explode_outer if outer else F.explode)(pos).alias("_p"))
+    return e.select(key, (F.col("at") + F.col("_p")).alias("pos"),
+                    F.col("_raw").substr(F.col("_p"), F.lit(k)).cast("string").alias("kmer"))
 
 
 def kmer_counts(df: DataFrame, seq: str, key: str, k: int = 6) -> DataFrame:

@@ -6,7 +6,9 @@ a ``weightCol`` built from the A7/A8 aggregates, never by resampling rows.
 
 from __future__ import annotations
 
+import math
 import uuid
+from fractions import Fraction
 
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
@@ -31,31 +33,31 @@ def split(df: DataFrame, key: str = "row_id", test_fraction: float = 0.2, seed:
                          .otherwise(F.lit("train")))
 
 
-def split_exact(df: DataFrame, key: str = "row_id", test_fraction: float = 0.2, seed: int = 42,
-                bucket_bits: int = 16) -> DataFrame:
+def split_exact(df: DataFrame, key: str = "row_id", test_fraction: float = 0.2, seed: int = 42) -> DataFrame:
     """M1, exact size: the ``ceil(test_fraction * n)`` rows with the smallest ``(hash, key)`` are test.
 
-    Rows are counted per hash bucket (partial/final aggregate); a running sum
-    over the buckets (at most ``2**bucket_bits`` rows) finds the boundary
-    bucket, and only that bucket's rows are ranked.
+    Rows are counted per value of the hash's upper half (partial/final aggregate, 65,536 counts at most); a running
+    sum finds the half in which the boundary falls, and the same is done with the lower halves inside it. So the boundary
+    is one hash value; only the rows that have it (an n-th of 2**32) are ranked by key.
     """
-    h = hash_unit(F.col(key), seed)
-    d = df.withColumn("_h", h).withColumn("_b", F.shiftright(F.col("_h"), 32 - bucket_bits))
-    counts = d.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    w = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    cum = counts.withColumn("_cum", F.sum("_n").over(w))
-    total = counts.agg(F.sum("_n").alias("_tot"))
-    need = total.select(F.ceil(F.col("_tot") * F.lit(test_fraction)).cast("bigint").alias("_m"))
-    cum = cum.crossJoin(F.broadcast(need))  # one row
-    edge = cum.where((F.col("_cum") >= F.col("_m")) & (F.col("_cum") - F.col("_n") < F.col("_m"))).select(
-        F.col("_b").alias("_edge"), (F.col("_m") - (F.col("_cum") - F.col("_n"))).alias("_take"))
-    d = d.join(F.broadcast(edge), F.lit(True), "left")  # at most one row; none when nothing is test
-    inside = d.where(F.col("_b") == F.col("_edge"))
-    ranked = inside.withColumn("_r", F.row_number().over(Window.partitionBy("_b").orderBy("_h", key)))
-    ranked = ranked.withColumn("split", F.when(F.col("_r") <= F.col("_take"), "test").otherwise("train"))
-    rest = d.where(F.col("_edge").isNull() | (F.col("_b") != F.col("_edge"))).withColumn(
-        "split", F.when(F.col("_b") < F.col("_edge"), "test").otherwise("train"))
+    d = df.withColumn("_h", hash_unit(F.col(key), seed))
+    total = d.count()
+    need, inside = math.ceil(Fraction(str(test_fraction)) * total), d
+    edge = 0
+    for shift in (16, 0):
+        part = F.shiftright(F.col("_h"), shift)
+        counts = inside.groupBy(part.alias("_b")).agg(F.count(F.lit(1)).alias("_n"))
+        upto = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+        found = counts.withColumn("_upto", upto).where(F.col("_upto") >= need).orderBy("_b").select(
+            "_b", (F.col("_upto") - F.col("_n")).alias("_before")).first()
+        if not total or not need or found is None:
+            return df.withColumn("split", F.lit("train"))
+        edge, need = found["_b"], need - found["_before"]
+        inside = inside.where(part == edge)
     cols = df.columns + ["split"]
+    rank = F.row_number().over(Window.partitionBy("_h").orderBy(key))
+    ranked = d.where(F.col("_h") == edge).withColumn("split", F.when(rank <= need, "test").otherwise("train"))
+    rest = d.where(F.col("_h") != edge).withColumn("split", F.when(F.col("_h") < edge, "test").otherwise("train"))
     return rest.select(*cols).unionByName(ranked.select(*cols))
 
 

@@ -12,7 +12,8 @@ from ..functions.draws import threshold
 from ..operators import attack as A
 from ..operators import frames as FR
 from ..operators import labels as L
-from ..operators.scoring import kmer_logits, predict, rule_weights
+from ..operators.scoring import predict, rule_weights
+from ..operators.tries import try_logits, weight_matrix
 from ..session import materialize, shared_path
 from ..sources import standins as S
 from ..sources.sinks import write_snapshots
@@ -29,37 +30,44 @@ N_CLASSES = 4          # label columns of the oracle texts; the Spark side count
 SNAPSHOTS = (10, 20, 30, 40, 50)
 MAX_ITER = 50
 SWEEP = (0.1, 0.2, 0.3, 0.4, 0.5)
+# Tries of the rounds: point mutations cost little beside a round's scan, built texts cost more.
+ROUNDS = {"nucl": (1, 9, 40), "codon": (1, 4, 10, 35), "bt": (1, 4, 10, 35)}
 
 
-def n_classes(spark, sf_dir) -> int:
-    """Number of labels in the dictionary."""
-    return train_dictionary(spark, sf_dir).count()
+def dictionary(spark, sf_dir):
+    """The label dictionary, written once a query: a handful of rows whose size the planner knows."""
+    return materialize(train_dictionary(spark, sf_dir), "dictionary")
 
 
-def labelled_seqs(spark, sf_dir):
+def labelled_seqs(spark, sf_dir, d=None):
     """``(row_id, dna, y, split)`` with the strict label encoding."""
     s = S.seqs(spark, sf_dir)
-    return L.encode_strict(s, train_dictionary(spark, sf_dir), "label_name").drop("label_name")
+    return L.encode_strict(s, dictionary(spark, sf_dir) if d is None else d, "label_name").drop("label_name")
 
 
-def scorer(spark, sf_dir) -> dict:
+def scorer(spark, d) -> dict:
     """Weights of the victim model for the labels of the dictionary."""
-    n = n_classes(spark, sf_dir)
+    n = d.count()
     return {"weights": rule_weights(spark, n, K, SEED), "n_classes": n, "k": K}
 
 
-def clean_scores(spark, sf_dir, s=None, model=None):
+def victim(spark, sf_dir):
+    """Labelled sequences and the victim model."""
+    d = dictionary(spark, sf_dir)
+    return labelled_seqs(spark, sf_dir, d), scorer(spark, d)
+
+
+def clean_scores(s, model):
     """``(row_id, y, y_orig)``: truth and clean prediction, written once; the texts stay where they are."""
-    s = labelled_seqs(spark, sf_dir) if s is None else s
-    model = model or scorer(spark, sf_dir)
-    lg = kmer_logits(s, "dna", ["row_id", "y"], model["weights"], model["n_classes"], model["k"])
+    matrix = weight_matrix(**model)
+    lg = try_logits(s, "dna", "row_id", ["y"], [(0, 0.0)], matrix, model["k"])
     return materialize(lg.select("row_id", "y", predict("logits").alias("y_orig")), "clean")
 
 
 def attacked(spark, sf_dir):
     """The attack over all tries: sequences, clean scores, first successes, and the state at each snapshot."""
-    s, model = labelled_seqs(spark, sf_dir), scorer(spark, sf_dir)
-    clean = clean_scores(spark, sf_dir, s, model)
+    s, model = victim(spark, sf_dir)
+    clean = clean_scores(s, model)
     found = A.first_success(s, "dna", "row_id", "y", **model, rate=RATE, max_iter=MAX_ITER, seed=SEED)
     return s, clean, found, A.states(clean, found, intervals=SNAPSHOTS)
 
@@ -133,9 +141,8 @@ def _snap_iters() -> str:
                                  f"{', '.join(f'lg.l{c}' for c in range(N_CLASSES))} "
                                  "FROM orig o JOIN lg USING (row_id)"))
 def m08_kmer_score(spark, sf_dir):
-    s = labelled_seqs(spark, sf_dir)
-    model = scorer(spark, sf_dir)
-    lg = kmer_logits(s, "dna", ["row_id", "y"], model["weights"], model["n_classes"], model["k"])
+    s, model = victim(spark, sf_dir)
+    lg = try_logits(s, "dna", "row_id", ["y"], [(0, 0.0)], weight_matrix(**model), model["k"])
     return lg.select("row_id", "y", predict("logits").alias("y_hat"),
                      *[F.col("logits")[c].alias(f"l{c}") for c in range(model["n_classes"])])
 
@@ -143,8 +150,9 @@ def m08_kmer_score(spark, sf_dir):
 @register("j03_decode_labels", _q("""SELECT o.row_id, a.label_name AS y_name, b.label_name AS y_hat_name
 FROM orig o LEFT JOIN dict a ON o.y = a.id LEFT JOIN dict b ON o.y_orig = b.id"""))
 def j03_decode_labels(spark, sf_dir):
-    p = clean_scores(spark, sf_dir).select("row_id", "y", F.col("y_orig").alias("y_hat"))
-    d = L.decode(p, train_dictionary(spark, sf_dir), "label_name")
+    d = dictionary(spark, sf_dir)
+    p = clean_scores(labelled_seqs(spark, sf_dir, d), scorer(spark, d))
+    d = L.decode(p.select("row_id", "y", F.col("y_orig").alias("y_hat")), d, "label_name")
     return d.select("row_id", "y_name", "y_hat_name")
 
 
@@ -210,9 +218,10 @@ def a16_attack_success_rate(spark, sf_dir):
 
 
 def first_successes(spark, sf_dir, attack: str = "nucl"):
-    s = labelled_seqs(spark, sf_dir)
-    return s, A.first_success(s, "dna", "row_id", "y", **scorer(spark, sf_dir), rate=RATE, max_iter=MAX_ITER,
-                              seed=SEED, attack=attack)
+    d = dictionary(spark, sf_dir)
+    s = labelled_seqs(spark, sf_dir, d)
+    return s, A.first_success(s, "dna", "row_id", "y", **scorer(spark, d), rate=RATE, max_iter=MAX_ITER,
+                              seed=SEED, attack=attack, schedule=ROUNDS[attack])
 
 
 @register("w04_attack_50", _q(f"""SELECT b.row_id, b.y, CAST(h.success_iteration AS INTEGER) AS success_iteration, h.y_atk,
@@ -349,25 +358,28 @@ W02_SQL, M10_SWEEP_SQL = _w02_sql()
 
 def cascaded(spark, sf_dir):
     """The sweep's rows (no texts) with cascaded labels, and the sequences and clean scores behind them."""
-    s, model = labelled_seqs(spark, sf_dir), scorer(spark, sf_dir)
-    clean = clean_scores(spark, sf_dir, s, model)
+    s, model = victim(spark, sf_dir)
+    clean = clean_scores(s, model)
     st = A.rate_sweep_steps(s, "dna", "row_id", SWEEP, **model, seed=SEED)
-    st = materialize(st.join(clean, "row_id"), "steps")  # ids, labels and digests; the cascade reads it three times
-    return s, clean, A.cascade(st, text="digest")
+    st = materialize(st.join(clean, "row_id"), "steps")  # ids, labels and digests; the cascade reads it several times
+    return clean, A.cascade(st, text="digest")
 
 
 @register("m10_rate_sweep", M10_SWEEP_SQL)
 def m10_rate_sweep(spark, sf_dir):
     """Metrics and success rate per mutation rate, on the cascade's labels."""
-    _, clean, c = cascaded(spark, sf_dir)
+    clean, c = cascaded(spark, sf_dir)
     return _rounded(A.before_after(c, clean, "rate"), "rate")
 
 
 @register("w02_cascade", W02_SQL)
 def w02_cascade(spark, sf_dir):
-    s, _, c = cascaded(spark, sf_dir)
-    rows = c.select("step", "row_id", "rate", "y").join(s.select("row_id", "dna"), "row_id")
-    return rows.select("step", "row_id", A.sweep_text("dna", "row_id", F.col("rate"), SEED).alias("seq"), "y")
+    _, c = cascaded(spark, sf_dir)
+    labels = c.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("step", "y"))).alias("ys"))  # one row a step
+    rows = S.seqs(spark, sf_dir).select("row_id", "dna").join(labels, "row_id")
+    texts = rows.select("row_id", "ys", A.sweep_texts("dna", "row_id", SWEEP, SEED).alias("t"))
+    each = texts.select("row_id", F.explode(F.arrays_zip("ys", "t")).alias("e"))
+    return each.select("e.ys.step", "row_id", F.col("e.t").alias("seq"), "e.ys.y")
 
 
 # ---- W4 with the codon attack (texts built per try, then scored) ----------------------------

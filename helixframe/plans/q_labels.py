@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import frames as FR
 from ..operators import labels as L
+from ..session import materialize
 from ..sources import standins as S
 from ..sources.tables import table
 from .registry import register
@@ -51,17 +52,20 @@ def l04_label_encoder(spark, sf_dir):
 WITH {TRAIN_DICT_SQL} SELECT s.row_id, s.split, d.id AS y FROM seqs s JOIN d ON s.label_name = d.label_name"""))
 def j01_label_encode_strict(spark, sf_dir):
     s = S.seqs(spark, sf_dir).select("row_id", "split", "label_name")
-    return L.encode_strict(s, train_dictionary(spark, sf_dir), "label_name").drop("label_name")
+    d = materialize(train_dictionary(spark, sf_dir), "dictionary")
+    return L.encode_strict(s, d, "label_name").drop("label_name")
 
 
 @register("j02_label_encode_lenient", """
 WITH d AS (SELECT lang, CAST(row_number() OVER (ORDER BY min(doc_id)) - 1 AS INTEGER) AS id
-           FROM documents WHERE source = 'src0' GROUP BY lang)
+           FROM documents WHERE source = 'src0' AND lang <> (SELECT max(lang) FROM documents) GROUP BY lang)
 SELECT doc_id AS row_id, d.id AS y FROM documents LEFT JOIN d ON documents.lang = d.lang""")
 def j02_label_encode_lenient(spark, sf_dir):
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("row_id"), "lang", "source")
-    # a dictionary from one source only: labels it never saw map to null
-    d = L.ids_by_first_appearance(docs.where(F.col("source") == "src0"), "lang")
+    # a dictionary from one source and without the last language: labels it never saw map to null
+    last = docs.agg(F.max("lang").alias("_last"))  # one row
+    known = docs.where(F.col("source") == "src0").join(F.broadcast(last), F.col("lang") != F.col("_last")).drop("_last")
+    d = L.ids_by_first_appearance(known, "lang")
     return L.encode_lenient(docs.select("row_id", "lang"), d, "lang").select("row_id", "y")
 
 

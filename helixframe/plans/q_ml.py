@@ -13,7 +13,7 @@ from ..operators.scoring import batch_model_udf
 from ..session import materialize
 from ..sources import standins as S
 from . import ml
-from .q_attack import K as SCORER_K, SEED, _q, labelled_seqs, n_classes
+from .q_attack import K as SCORER_K, SEED, _q, dictionary, labelled_seqs
 from .registry import register
 from .sqlgen import round_cols
 from .views import with_views
@@ -161,7 +161,8 @@ def _numpy_kmer_model(c: int):
 @register("m07_batch_scoring", _q("SELECT row_id, y, y_orig AS y_hat FROM orig"))
 def m07_batch_scoring(spark, sf_dir):
     """The user model in batches; its weights follow the same rule as M8's, so the answers agree."""
-    s, n = labelled_seqs(spark, sf_dir), n_classes(spark, sf_dir)
+    d = dictionary(spark, sf_dir)
+    s, n = labelled_seqs(spark, sf_dir, d), d.count()
     scorer = batch_model_udf(lambda: _numpy_kmer_model(n), n, batch_size=32)
     lg = s.select("row_id", "y", scorer(F.col("dna")).alias("logits"))
     return lg.select("row_id", "y", (F.array_position("logits", F.array_max("logits")) - 1).cast("int").alias("y_hat"))

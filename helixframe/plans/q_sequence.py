@@ -10,6 +10,7 @@ from ..functions.codons import CODON_TABLE
 from ..functions.draws import K_ITER, draw_sql
 from ..sources import standins as S
 from ..functions.codons import ambiguous_codons
+from ..operators.tries import mutated_texts
 from ..session import shared_path
 from ..sources import readers, sinks
 from ..sources.tables import spread, table
@@ -236,12 +237,10 @@ def _f14_sql() -> str:
 @register("f14_rate_sweep", _f14_sql())
 def f14_rate_sweep(spark, sf_dir):
     s = S.seqs(spark, sf_dir)
-    arms = [s.select("row_id", F.lit(r).alias("rate"),
-                     M.point_mutation_batch("dna", F.col("row_id"), 1, r).alias("seq")) for r in RATES]
-    out = arms[0]
-    for a in arms[1:]:
-        out = out.unionByName(a)
-    return out
+    texts = s.select("row_id", mutated_texts(F.col("dna"), F.col("row_id"), 1, RATES).alias("t"))
+    rates = F.array(*[F.lit(r) for r in RATES])
+    each = texts.select("row_id", F.explode(F.arrays_zip(rates.alias("rate"), F.col("t").alias("seq"))).alias("e"))
+    return each.select("row_id", "e.rate", "e.seq")
 
 
 @register("a24_codons_by_residue", with_views("seqs", f"""

@@ -77,7 +77,7 @@ def test_same_result_on_1_and_8_partitions(spark):
 @pytest.mark.parametrize("n", [1, 7, 100, 1001])
 def test_split_exact_size(spark, n):
     df = spark.range(n).withColumnRenamed("id", "row_id")
-    got = ml.split_exact(df, "row_id", 0.2, 42, bucket_bits=4)
+    got = ml.split_exact(df, "row_id", 0.2, 42)
     rows = {r["row_id"]: r["split"] for r in got.collect()}
     assert len(rows) == n
     hashed = sorted(((int(h), r) for r, h in
