@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions.mutation import ATTACKS, mutate, point_mutation_batch
 from ..session import materialize
+from .frames import keep_correct
 from .scoring import attack_logits, kmer_logits, predict
 from .tries import mutated_texts, try_logits, weight_matrix
 
@@ -76,7 +77,7 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
     """
     if attack not in ATTACKS:
         raise ValueError(f"unknown attack {attack!r}")
-    base = df.where(F.col(y) == F.col(y_orig)) if require_correct else df
+    base = keep_correct(df, y, y_orig) if require_correct else df
     # Every round scans the source again, less the rows found so far: nothing of the corpus is cached or written.
     pending = base.select(row_id, y, seq)
     found: DataFrame | None = None

@@ -43,8 +43,8 @@ def pair_dictionary(df: DataFrame, label: str, name: str, order: str = "row_id")
 
 
 def inverse(dictionary: DataFrame, key: str, value: str) -> DataFrame:
-    """L3: swap a one-to-one dictionary's columns."""
-    return dictionary.select(F.col(value).alias(key), F.col(key).alias(value))
+    """L3: a one-to-one dictionary read the other way: ``(value, key)``."""
+    return dictionary.select(value, key)
 
 
 def encode_strict(df: DataFrame, dictionary: DataFrame, name: str, id_col: str = "id",

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.labels import numbered
+
 # The text spellings pandas' CSV reader treats as missing.
 NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
               "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -72,17 +74,81 @@ def read_wide_embeddings(spark: SparkSession, path: str, dim: int = 768, key: st
     return raw.select(key, F.col(weight).cast("double").alias(weight), emb.alias("emb"))
 
 
+# A BIOM 1.0 file is one JSON text. It is read as records between closing brackets, which Spark's text source deals
+# out by byte ranges, so many tasks read one file and no task holds it: a cell of the sparse form, a row of the dense form
+# and a list inside an axis entry's metadata are a record each.
+_KEY = r'(?s)^.*(?<!\\)"%s"\s*:\s*\['
+_NUMBERS = r"^\s*,?\s*\[([-+0-9.eE,\s]*)$"
+_ID = r'\{\s*"id"\s*:\s*("(?:[^"\\]|\\.)*")'
+
+_CUT_ID = r'\{\s*"id"\s*:\s*"(?:[^"\\]|\\.)*$'
+
+
+def _biom_records(spark: SparkSession, path: str) -> DataFrame:
+    """``(value, at)``: the texts between closing brackets with their place in the file's order."""
+    raw = spark.read.option("lineSep", "]").text(path)
+    return raw.select("value", F.struct(F.col("_metadata.file_block_start").alias("block"),
+                                        F.monotonically_increasing_id().alias("line")).alias("at"))
+
+
+def _place(at) -> Column:
+    return F.struct(F.lit(at["block"]).alias("block"), F.lit(at["line"]).alias("line"))
+
+
+def _axis(records: DataFrame, name: str, marks: dict, n: int | None) -> DataFrame:
+    """``(place, id)`` of the entries of ``rows`` or ``columns``, numbered from 0 in file order."""
+    begin = marks[name]
+    later = [marks[m] for m in ("rows", "columns", "data") if marks[m] and marks[m] > begin]
+    inside = F.col("at") >= _place(begin)
+    if later:
+        inside &= F.col("at") < _place(min(later))
+    body = F.when(F.col("at") == _place(begin), F.regexp_replace("value", _KEY % name, "")).otherwise(F.col("value"))
+    entries = records.where(inside)
+    if not entries.where(body.rlike(_CUT_ID)).isEmpty():
+        raise ValueError(f"{name}: an id holds a closing bracket, which separates the records")
+    ids = entries.select("at", F.posexplode(F.regexp_extract_all(body, F.lit(_ID), 1)).alias("k", "q"))
+    ids = ids.select("at", "k", F.get_json_object(F.concat(F.lit('{"x":'), "q", F.lit("}")), "$.x").alias("id"))
+    axis = numbered(ids, [F.col("at"), F.col("k")], "place").select("place", "id")
+    if n is not None and axis.count() != n:
+        raise ValueError(f"{name}: {axis.count()} ids of the form {{\"id\": ..., the shape says {n}")
+    return axis
+
+
 def read_biom_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """BIOM 1.0 JSON (sparse) -> ``(triples, otu_ids, sample_ids)``.
+    """BIOM 1.0 JSON, sparse or dense -> ``(triples, otu_ids, sample_ids)``.
 
     ``triples(otu_id, sample_id, abundance)`` holds the non-zero cells; the two
-    axis lists keep all-zero rows and columns.
+    axis lists keep all-zero rows and columns. Keys may stand in any order; an axis entry begins with its id, which
+    holds no closing bracket. A file
+    without ``data``, ``rows`` or ``columns``, of another matrix type (sparse if none is named), or whose axes differ
+    from its shape, if it has one, raises.
     """
-    doc = spark.read.option("multiLine", True).json(path)
-    rows = doc.select(F.posexplode("rows").alias("r", "row")).select("r", F.col("row.id").alias("otu_id"))
-    cols = doc.select(F.posexplode("columns").alias("c", "col")).select("c", F.col("col.id").alias("sample_id"))
-    cells = doc.select(F.explode("data").alias("cell")).select(
-        F.col("cell")[0].cast("int").alias("r"), F.col("cell")[1].cast("int").alias("c"),
-        F.col("cell")[2].cast("double").alias("abundance"))
-    triples = cells.join(rows, "r").join(cols, "c").select("otu_id", "sample_id", "abundance")
-    return triples, rows.select("otu_id"), cols.select("sample_id")
+    records = _biom_records(spark, path)
+    v = F.col("value")
+    kind = F.regexp_extract(v, r'(?<!\\)"matrix_type"\s*:\s*"(\w+)"', 1)
+    size = lambda i: F.regexp_extract(v, r'(?s)(?<!\\)"shape"\s*:\s*\[\s*(\d+)\s*,\s*(\d+)\s*$', i)
+    marks = records.agg(*[F.min(F.when(v.rlike(_KEY % m), F.col("at"))).alias(m) for m in ("rows", "columns", "data")],
+                        F.max(kind).alias("kind"), F.max(size(1)).alias("r"), F.max(size(2)).alias("c")).first().asDict()
+    missing = [m for m in ("rows", "columns", "data") if not marks[m]]
+    if missing or marks["kind"] not in ("sparse", "dense", ""):
+        raise ValueError(f"not a BIOM 1.0 text: without {missing}, matrix type {marks['kind']!r}")
+    rows, cols = (_axis(records, m, marks, int(marks[n]) if marks[n] else None) for m, n in (("rows", "r"), ("columns", "c")))
+    begin = _place(marks["data"])
+    body = F.when(F.col("at") == begin, F.regexp_replace("value", _KEY % "data", "")).otherwise(v)
+    lists = records.where(F.col("at") >= begin).select("at", body.alias("body"))
+    end = lists.where(~F.col("body").rlike(_NUMBERS)).agg(F.min("at").alias("end")).first()["end"]
+    lists = lists.where(F.col("at") < _place(end)) if end else lists
+    numbers = F.split(F.regexp_extract("body", _NUMBERS, 1), ",")
+    if marks["kind"] != "dense":
+        cell = lists.select(numbers.alias("n"))
+        cells = cell.select(F.trim(F.col("n")[0]).cast("int").alias("r"), F.trim(F.col("n")[1]).cast("int").alias("c"),
+                            F.trim(F.col("n")[2]).cast("double").alias("abundance"))
+    else:
+        lines = numbered(lists.select("at", numbers.alias("n")), [F.col("at")], "r")
+        cells = lines.select("r", F.posexplode("n").alias("c", "x")).select(
+            "r", "c", F.trim("x").cast("double").alias("abundance"))
+    cells = cells.where("abundance != 0")
+    triples = cells.join(rows.select(F.col("place").alias("r"), F.col("id").alias("otu_id")), "r").join(
+        cols.select(F.col("place").alias("c"), F.col("id").alias("sample_id")), "c")
+    return (triples.select("otu_id", "sample_id", "abundance"), rows.select(F.col("id").alias("otu_id")),
+            cols.select(F.col("id").alias("sample_id")))

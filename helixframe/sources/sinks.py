@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.numeric import run_stamp
+from ..operators.labels import numbered
 from ..operators.pooling import expand_vector
 
 
@@ -31,3 +32,43 @@ def write_report(metrics: DataFrame, path: str) -> None:
     lines = metrics.select(F.concat_ws("\t", run_stamp(), F.format_string("%s: %.4f", "metric", "value"))
                            .alias("value"))
     lines.coalesce(1).write.mode("append").text(path)
+
+
+def write_biom_json(triples: DataFrame, otu_ids: DataFrame, sample_ids: DataFrame, path: str, dense: bool = False) -> None:
+    """A BIOM 1.0 text of the cells ``(otu_id, sample_id, abundance)`` and both axes (all-zero ones included).
+
+    The format is one JSON text, so one task writes its lines, as they come sorted; nothing is gathered.
+    """
+    rows, cols = (numbered(d.select(F.col(c).cast("string").alias("id")), [F.col("id")], "k")
+                  for d, c in ((otu_ids, "otu_id"), (sample_ids, "sample_id")))
+    n_rows, n_cols = rows.count(), cols.count()
+    cells = triples.select(F.col("otu_id").cast("string").alias("o"), F.col("sample_id").cast("string").alias("s"),
+                           "abundance").join(rows.select(F.col("id").alias("o"), F.col("k").alias("r")), "o").join(
+        cols.select(F.col("id").alias("s"), F.col("k").alias("c")), "s").select("r", "c", "abundance")
+    if dense:
+        grid = rows.select(F.col("k").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("c"))
+        full = grid.join(cells, ["r", "c"], "left").groupBy("r").agg(F.sort_array(F.collect_list(
+            F.struct("c", F.coalesce("abundance", F.lit(0.0)).alias("x")))).alias("xs"))
+        data = full.select(F.col("r"), F.lit(0).alias("c"), F.array_join(
+            F.transform("xs", lambda x: x["x"].cast("string")), ",").alias("t"))
+    else:
+        data = cells.select("r", "c", F.concat_ws(",", "r", "c", F.col("abundance").cast("string")).alias("t"))
+    first = cells.agg(F.min(F.struct("r", "c")).alias("m")).select("m.r", "m.c").first() if not dense else (0, 0)
+    comma = lambda is_first, text: F.concat(F.when(is_first, "").otherwise(","), text)
+    entry = F.concat(F.lit('{"id": '), F.regexp_extract(F.to_json(F.struct("id")), r'(?s)^\{"id":(.*)\}$', 1),
+                     F.lit(', "metadata": null}'))
+    kind = "dense" if dense else "sparse"
+    spark = triples.sparkSession
+    fixed = spark.createDataFrame([
+        (0, 0, 0, f'{{"id": null, "format": "Biological Observation Matrix 1.0.0", "type": "OTU table", '
+                  f'"matrix_type": "{kind}", "matrix_element_type": "float", "shape": [{n_rows}, {n_cols}],'),
+        (1, 0, 0, '"rows": ['), (3, 0, 0, '], "columns": ['), (5, 0, 0, '], "data": ['), (7, 0, 0, "]}")],
+        "section int, a int, b int, value string")
+    at = lambda n, a, b: [F.lit(n).alias("section"), F.col(a).alias("a"), b.alias("b")]
+    zero = F.lit(0)
+    lines = fixed.unionByName(rows.select(*at(2, "k", zero), comma(F.col("k") == 0, entry).alias("value")))
+    lines = lines.unionByName(cols.select(*at(4, "k", zero), comma(F.col("k") == 0, entry).alias("value")))
+    is_first = (F.col("r") == first[0]) & (F.col("c") == first[1]) if first else F.lit(True)
+    lines = lines.unionByName(data.select(*at(6, "r", F.col("c")), comma(is_first, F.concat(
+        F.lit("["), "t", F.lit("]"))).alias("value")))
+    lines.coalesce(1).sortWithinPartitions("section", "a", "b").select("value").write.mode("overwrite").text(path)

@@ -4,6 +4,7 @@ import json
 import os
 import tempfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from helixframe.operators.scoring import rule_weights
@@ -63,6 +64,76 @@ def test_s4_biom_json(spark):
     assert otus.count() == 3 and samples.count() == 2
 
 
+BIOM_ROWS = ["o1", "o[2", 'q"uote', "o,4", "é5"]
+
+
+@pytest.mark.parametrize("dense", [False, True])
+@pytest.mark.parametrize("data_first", [False, True])
+@pytest.mark.parametrize("indent", [None, 1])
+def test_s4_forms_orders_and_metadata(spark, dense, data_first, indent):
+    cells = {(0, 0): 5.0, (2, 1): 1.5, (4, 2): -2e-3, (3, 0): 7.0}
+    rows = [{"id": r, "metadata": {"taxonomy": ["k__[B]", "p]__", "x"], "n": [1, 2, 3]}} for r in BIOM_ROWS]
+    columns = [{"id": f"s{c}", "metadata": None} for c in range(3)]
+    data = ([[cells.get((r, c), 0.0) for c in range(3)] for r in range(5)] if dense
+            else [[r, c, v] for (r, c), v in cells.items()] + [[1, 1, 0]])
+    head = {"id": "table", "matrix_type": "dense" if dense else "sparse", "shape": [5, 3]}
+    parts = [("data", data), ("rows", rows), ("columns", columns)]
+    doc = head | dict(parts if data_first else parts[::-1]) | {"comment": "[1,2,3] ]"}
+    p = os.path.join(tmp(), "t.biom")
+    with open(p, "w") as f:
+        json.dump(doc, f, indent=indent)
+    triples, otus, samples = R.read_biom_json(spark, p)
+    assert {tuple(r) for r in triples.collect()} == {(BIOM_ROWS[r], f"s{c}", v) for (r, c), v in cells.items()}
+    assert sorted(r[0] for r in otus.collect()) == sorted(BIOM_ROWS) and samples.count() == 3
+
+
+def test_s4_one_file_is_read_by_many_tasks_and_round_trips(spark):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        rows = [(f"o{r}", f"s{c}", float(r * c % 7) + 0.25) for r in range(300) for c in range(9) if (r + c) % 3]
+        t = spark.createDataFrame(rows, "otu_id string, sample_id string, abundance double")
+        otus = spark.range(310).select(F.concat(F.lit("o"), "id").alias("otu_id"))
+        samples = spark.range(9).select(F.concat(F.lit("s"), "id").alias("sample_id"))
+        for dense in (False, True):
+            path = os.path.join(tmp(), "b")
+            W.write_biom_json(t, otus, samples, path, dense=dense)
+            assert R._biom_records(spark, path).select(F.spark_partition_id()).distinct().count() > 3
+            back, o, s = R.read_biom_json(spark, path)
+            assert sorted(map(tuple, back.collect())) == sorted(rows)
+            assert o.count() == 310 and s.count() == 9
+            part = next(x for x in os.listdir(path) if x.startswith("part-"))
+            with open(os.path.join(path, part)) as f:
+                assert json.load(f)["shape"] == [310, 9]  # a valid JSON text
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_s4_refuses_what_it_cannot_read(spark):
+    for doc in ({"rows": [], "columns": []}, {"matrix_type": "other", "rows": [], "columns": [], "data": []},
+                {"rows": [{"id": "a]b"}], "columns": [{"id": "s"}], "data": []},
+                {"shape": [2, 1], "rows": [{"id": "a"}], "columns": [{"id": "s"}], "data": []}):
+        p = os.path.join(tmp(), "t.biom")
+        with open(p, "w") as f:
+            json.dump(doc, f)
+        with pytest.raises(ValueError):
+            R.read_biom_json(spark, p)
+    p = os.path.join(tmp(), "t.biom")
+    with open(p, "w") as f:
+        json.dump({"rows": [{"id": "a"}], "columns": [{"id": "s"}], "data": []}, f)
+    triples, otus, samples = R.read_biom_json(spark, p)
+    assert triples.count() == 0 and otus.count() == samples.count() == 1
+
+
+def test_k6_batches_and_padding(spark):
+    from helixframe.operators.batching import pad_batches
+
+    df = spark.createDataFrame([(0, [5]), (31, [6, 7, 8]), (32, [9, 9]), (70, [])], "row_id bigint, ids array<int>")
+    got = {r["row_id"]: (r["batch"], r["longest"], r["ids"], r["attention_mask"]) for r in pad_batches(df).collect()}
+    assert got == {0: (0, 3, [5, 0, 0], [1, 0, 0]), 31: (0, 3, [6, 7, 8], [1, 1, 1]), 32: (1, 2, [9, 9], [1, 1]),
+                   70: (2, 0, [], [])}
+
+
 def test_s7_snapshots_partitioned(spark):
     d = tmp()
     df = spark.createDataFrame([(1, 10, 0.1, "A"), (2, 20, 0.1, "C")], "row_id bigint, iteration int, rate double, seq string")
