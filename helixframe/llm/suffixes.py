@@ -21,13 +21,16 @@ or the same document further left). Whole texts take part as UTF-8 bytes.
    between the two rows, for equal bytes; else 0). Runs of rows with a common
    prefix of LENGTH are the repeated intervals; all but their earliest row lose
    that string.
-4. An anchor with more than HOT contexts (a very common passage in ever new
-   surroundings) is dealt out by its single strings (each at its first least anchor): their 128-bit
-   hashes are aggregated to the earliest start, with partial sums per task.
+4. Every anchor's contexts are dealt to merges of GROUP at random, so one task never gets all of a very common
+   anchor. Where an anchor has more than one merge, the strings that no merge has settled (the earliest of their
+   merge) go on: the range of starts is halved, contexts are grouped by the bytes that all strings of a half
+   share, groups of one leave, and the rest are merged again, until every group is a single merge. Equal strings stay in
+   one group all the way, and each round settles all but one of a merge's equal strings or lengthens the shared
+   bytes, so a few rounds do.
 5. Removed ranges are merged per document and cut out of its bytes.
 
-Each shuffle is by anchor, context or document; hot anchors only meet in joins,
-whose large partitions adaptive execution splits, or in partial aggregates.
+Each shuffle is by anchor and lot, context or document; a hot anchor's rows only meet in joins, whose large partitions
+adaptive execution splits, or in partial aggregates.
 
 Defined cases: null text counts as empty; texts below LENGTH bytes lose nothing;
 rows that repeat an id count as one document (the order is id, then start), so
@@ -37,6 +40,8 @@ columns other than id and text are ignored.
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -47,15 +52,13 @@ from .common import Scratch, Substrings, map_columns
 
 LENGTH = 100
 ANCHOR = 50
-HOT = 512  # contexts of one anchor that are merged together; beyond that its strings are dealt out
+GROUP = 256  # contexts of one anchor that are merged together
 SHARD = 2048  # contexts behind one transform
-BLOCK = 16384  # contexts that are merged at a time
+BLOCK = 8192  # contexts that one batch of merges holds
 SIDE = LENGTH - ANCHOR
 COLUMNS = ANCHOR + 2 * SIDE
 STEP = 1 << 20  # bytes of one text hashed together
 
-_SECOND = np.uint64(0xD6E8FEB86659FD93)
-
 #: UTF-8 has no bytes 0xC0 and 0xC1, so bytes below move up by one and 0 ends a text.
 _SYMBOL = np.arange(256, dtype=np.uint8)
 _SYMBOL[:0xC0] += 1
@@ -137,9 +140,9 @@ def _occurrences(rows: DataFrame, with_context: bool) -> DataFrame:
 
 
 def _contexts(asked: DataFrame, rows: DataFrame) -> DataFrame:
-    """Fetch the bytes of asked contexts: (h, hot, doc, place, context), one row each."""
+    """Fetch the bytes of asked contexts: (h, n, doc, place, context), one row each."""
     per_doc = asked.groupBy("doc", F.col("place").bitwiseAND(0x7FFFFFFF).alias("tag")).agg(
-        F.collect_list(F.struct("h", "place", "hot")).alias("asked"))
+        F.collect_list(F.struct("h", "place", "n")).alias("asked"))
     found = rows.join(per_doc, ["doc", "tag"])
 
     def run(batches):
@@ -150,16 +153,16 @@ def _contexts(asked: DataFrame, rows: DataFrame) -> DataFrame:
                 out = [[], [], [], [], []]
                 for a in asked_here.as_py():
                     at = a["place"] >> 31
-                    for col, v in zip(out, (a["h"], a["hot"], doc, a["place"],
+                    for col, v in zip(out, (a["h"], a["n"], doc, a["place"],
                                             data[max(0, at - SIDE):at + ANCHOR + SIDE]), strict=True):
                         col.append(v)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.bool_()), pa.array(out[2], pa.int64()),
+                    [pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()),
                      pa.array(out[3], pa.int64()), pa.array(out[4], pa.binary())],
-                    names=["h", "hot", "doc", "place", "context"])
+                    names=["h", "n", "doc", "place", "context"])
 
     return found.select("doc", "text", "asked").mapInArrow(
-        run, "h long, hot boolean, doc long, place long, context binary")
+        run, "h long, n long, doc long, place long, context binary")
 
 
 # --- transforms
@@ -247,95 +250,105 @@ def repeated(group: np.ndarray, rows: np.ndarray, earliest: np.ndarray, shard: i
     return out
 
 
-def _block(held: list[tuple]) -> pa.RecordBatch | None:
-    """Removed ranges (doc, tag, start, stop) of a block of contexts (h, doc, place, context), sorted by h."""
-    h, doc, place = (np.array(x, dtype=np.int64) for x in list(zip(*held, strict=True))[:3])
+def halves(level: int) -> list[tuple[int, int]]:
+    """The ranges of starts (first, last) of a round: all starts, halved ``level`` times where that is possible."""
+    spans = [(0, SIDE)]
+    for _ in range(level):
+        spans = [p for a, b in spans for p in ([(a, (a + b) // 2), ((a + b) // 2 + 1, b)] if b > a else [(a, b)])]
+    return spans
+
+
+def _block(held: list[tuple], level: int) -> pa.RecordBatch | None:
+    """Results of a block of contexts (key, lot, n, doc, place, open, context) sorted by key and lot.
+
+    Rows with a start and stop are removed ranges; rows with a key and context are what the next round looks at."""
+    doc, place, several, open_ = (np.array([x[k] for x in held], dtype=np.int64) for k in (3, 4, 2, 5))
     at = place >> 31
     rows = np.zeros((len(held), COLUMNS), dtype=np.uint8)
     inside = np.zeros((len(held), COLUMNS), dtype=bool)
     lead = SIDE - np.minimum(at, SIDE)
-    sizes = np.array([len(x[3]) for x in held])
-    flat = np.frombuffer(b"".join(x[3] for x in held), dtype=np.uint8)
+    sizes = np.array([len(x[6]) for x in held])
+    flat = np.frombuffer(b"".join(x[6] for x in held), dtype=np.uint8)
     line = np.arange(COLUMNS)
     inside[:] = (line >= lead[:, None]) & (line < (lead + sizes)[:, None])
     rows[inside] = _SYMBOL[flat]
-    group = np.zeros(len(h), dtype=np.int64)
-    group[1:] = np.cumsum(h[1:] != h[:-1])
-    group = group.astype(np.uint16)
+    fresh = [False] + [x[:2] != y[:2] for x, y in zip(held[1:], held[:-1], strict=True)]
+    group = np.cumsum(fresh).astype(np.uint16)
     order = np.lexsort((at, doc))
-    later = np.ones(len(h), dtype=np.int64)
+    later = np.ones(len(held), dtype=np.int64)
     later[1:] = (np.diff(doc[order]) != 0) | (np.diff(at[order]) != 0)
-    earliest = np.empty(len(h), dtype=np.int64)
+    earliest = np.empty(len(held), dtype=np.int64)
     earliest[order] = np.cumsum(later)  # equal for one start in rows of one id
-    hit = repeated(group, rows, earliest)
-    hit &= inside[:, :SIDE + 1] & inside[:, LENGTH - 1:]  # strings of real bytes only
-    return _ranges(hit, doc, place, at - SIDE)
+    # strings of real bytes only, and those that are still open
+    real = inside[:, :SIDE + 1] & inside[:, LENGTH - 1:] & ((open_[:, None] >> np.arange(SIDE + 1)) & 1).astype(bool)
+    hit = repeated(group, rows, earliest) & real
+    out = [*_ranges(hit, doc, place, at - SIDE)]
+    left = real & ~hit & (several > GROUP)[:, None]
+    cols: list[list] = [[], [], [], [], []]
+    for first, last in halves(level + 1):
+        some = np.flatnonzero(left[:, first:last + 1].any(axis=1))
+        bits = (left[some, first:last + 1] << np.arange(first, last + 1)).sum(axis=1)
+        for i, b in zip(some.tolist(), bits.tolist(), strict=True):
+            key = blake2b(rows[i, last:first + LENGTH].tobytes() + held[i][0], digest_size=16, salt=bytes([first]))
+            for col, v in zip(cols, (key.digest(), doc[i], place[i], b, held[i][6]), strict=True):
+                col.append(v)
+    n, m = len(out[0]), len(cols[0])
+    if not n + m:
+        return None
+    none = [None] * n
+    arrays = [pa.array(np.concatenate([out[0], np.array(cols[1], dtype=np.int64)])),
+              pa.array(np.concatenate([out[1], np.array(cols[2], dtype=np.int64)])),
+              pa.array([*out[2], *[None] * m], pa.int64()), pa.array([*out[3], *[None] * m], pa.int64()),
+              pa.array(none + cols[0], pa.binary()), pa.array(none + cols[3], pa.int64()),
+              pa.array(none + cols[4], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["doc", "place", "start", "stop", "key", "open", "context"])
 
 
-def _ranges(hit: np.ndarray, doc: np.ndarray, place: np.ndarray, origin: np.ndarray) -> pa.RecordBatch | None:
-    """Runs of hit starts as byte ranges."""
+def _ranges(hit: np.ndarray, doc: np.ndarray, place: np.ndarray, origin: np.ndarray):
+    """Runs of hit starts as byte ranges: doc, place, start, stop."""
     step = np.diff(np.pad(hit, ((0, 0), (1, 1))).astype(np.int8), axis=1)
     row, a = np.nonzero(step == 1)
     b = np.nonzero(step == -1)[1]
-    if not len(row):
-        return None
-    return pa.RecordBatch.from_arrays(
-        [pa.array(doc[row]), pa.array(place[row] & 0x7FFFFFFF), pa.array(origin[row] + a),
-         pa.array(origin[row] + b - 1 + LENGTH)], names=["doc", "tag", "start", "stop"])
-
-
-RANGES = "doc long, tag long, start long, stop long"
+    return doc[row], place[row], origin[row] + a, origin[row] + b - 1 + LENGTH
 
 
-def _merged(contexts: DataFrame) -> DataFrame:
-    """Ranges from the transforms of contexts; a block ends at an anchor's end."""
+def _round(contexts: DataFrame, level: int) -> DataFrame:
+    """Merges of contexts (key, n, doc, place, open, context), dealt by key and lot; a block ends at a lot's end."""
+    columns = ["key", "lot", "n", "doc", "place", "open", "context"]
 
     def run(batches):
-        held, last = [], None
+        held = []
         for batch in batches:
-            for row in zip(*(batch.column(c).to_pylist() for c in ("h", "doc", "place", "context")), strict=True):
-                if len(held) >= BLOCK and row[0] != last:
-                    if (out := _block(held)) is not None:
+            for row in zip(*(batch.column(c).to_pylist() for c in columns), strict=True):
+                if len(held) >= BLOCK and row[:2] != held[-1][:2]:
+                    if (out := _block(held, level)) is not None:
                         yield out
                     held = []
                 held.append(row)
-                last = row[0]
-        if held and (out := _block(held)) is not None:
+        if held and (out := _block(held, level)) is not None:
             yield out
 
-    dealt = contexts.repartition(F.col("h")).sortWithinPartitions("h", "doc", "place")
-    return dealt.select("h", "doc", "place", "context").mapInArrow(run, RANGES)
-
-
-def _strings(contexts: DataFrame) -> DataFrame:
-    """Ranges from the single strings of contexts: every string's earliest start is found by aggregation."""
-
-    def run(batches):
-        hashes = Substrings()
-        for batch in batches:
-            for doc, place, context in zip(*(batch.column(c).to_pylist() for c in ("doc", "place", "context")),
-                                           strict=True):
-                data = np.frombuffer(context, dtype=np.uint8)
-                at = place >> 31
-                prefix = hashes.prefix(data)
-                one = hashes.windows(prefix, LENGTH)
-                two = hashes.windows(hashes.prefix(data[::-1]), LENGTH)[::-1] * _SECOND
-                # a string belongs to its first least anchor; its other anchors need not look at it again
-                inner = np.lib.stride_tricks.sliding_window_view(hashes.windows(prefix, ANCHOR), SIDE + 1)
-                own = np.flatnonzero(inner.argmin(axis=1) + np.arange(len(one)) == min(at, SIDE))
-                one, two, start = one[own], two[own], own + max(0, at - SIDE)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(one.view(np.int64)), pa.array(np.ascontiguousarray(two).view(np.int64)),
-                     pa.array(np.full(len(one), doc)), pa.array(start << 31 | (place & 0x7FFFFFFF))],
-                    names=["a", "b", "doc", "place"])
-
-    strings = contexts.select("doc", "place", "context").mapInArrow(run, "a long, b long, doc long, place long")
-    least = strings.groupBy("a", "b").agg(F.min(F.struct("doc", "place")).alias("first"))
-    start = F.shiftright("place", 31)
-    later = strings.join(least, ["a", "b"]).where(
-        (F.col("doc") != F.col("first.doc")) | (start != F.shiftright("first.place", 31)))
-    return later.select("doc", F.col("place").bitwiseAND(0x7FFFFFFF).alias("tag"), start.alias("start"),
-                        (start + LENGTH).alias("stop"))
+    lots = F.ceil(F.col("n") / GROUP)
+    dealt = contexts.withColumn("lot", F.pmod(F.xxhash64("doc", "place"), lots)).repartition("key", "lot")
+    return dealt.sortWithinPartitions("key", "lot", "doc", "place").select(*columns).mapInArrow(
+        run, "doc long, place long, start long, stop long, key binary, open long, context binary")
+
+
+def _settle(contexts: DataFrame, scratch: Scratch) -> DataFrame:
+    """Ranges (doc, tag, start, stop) from the merges of all contexts (h, n, doc, place, context), round by round."""
+    todo = contexts.select(F.col("h").cast("string").cast("binary").alias("key"), "n", "doc", "place",
+                           F.lit((1 << (SIDE + 1)) - 1).alias("open"), "context")
+    found, level = None, 0
+    while True:
+        done = scratch.keep(_round(todo, level), f"round{level}")
+        cut = done.where("key is null").select("doc", F.col("place").bitwiseAND(0x7FFFFFFF).alias("tag"), "start", "stop")
+        found = cut if found is None else found.unionByName(cut)
+        left = done.where("key is not null")
+        counts = left.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+        if counts.isEmpty():
+            return found
+        todo = left.join(counts, "key").select("key", "n", "doc", "place", "open", "context")
+        level += 1
 
 
 def ranges(rows: DataFrame, scratch: Scratch) -> DataFrame:
@@ -352,13 +365,12 @@ def ranges(rows: DataFrame, scratch: Scratch) -> DataFrame:
     later = scratch.keep(later, "later")
     scratch.drop("found")
     several = first.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    asked = first.join(several, "h").select("h", "first.doc", "first.place", (F.col("n") > HOT).alias("hot"))
+    asked = first.join(several, "h").select("h", "first.doc", "first.place", "n")
     contexts = scratch.keep(_contexts(asked, rows), "contexts")
-    merged = scratch.keep(_merged(contexts.where("not hot")), "merged")
-    strings = scratch.keep(_strings(contexts.where("hot")), "strings")
+    merged = _settle(contexts, scratch)
     for name in ("shared", "first", "contexts"):
         scratch.drop(name)
-    return later.unionByName(merged).unionByName(strings)
+    return later.unionByName(merged)
 
 
 def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", keep: list[str] | None = None,

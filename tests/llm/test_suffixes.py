@@ -52,15 +52,30 @@ def run(spark, rows):
     return sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest()) for r in got)
 
 
-@pytest.mark.parametrize(("hot", "shard", "block"), [(128, 2048, 16384), (6, 5, 20)])
-def test_against_brute_force(spark, monkeypatch, hot, shard, block):
-    monkeypatch.setattr(S, "HOT", hot)
+@pytest.mark.parametrize(("group", "shard", "block"), [(S.GROUP, S.SHARD, S.BLOCK), (6, 5, 20), (2, 3, 7)])
+def test_against_brute_force(spark, monkeypatch, group, shard, block):
+    monkeypatch.setattr(S, "GROUP", group)
     monkeypatch.setattr(S, "BLOCK", block)
     monkeypatch.setattr(S, "SHARD", shard)
     rows = corpus()
     assert run(spark, rows) == brute(rows)
 
 
+def test_a_common_line_in_more_surroundings_than_a_merge_holds(spark):
+    rng = random.Random(8)
+    line = "".join(rng.choice("abcdef ") for _ in range(130))
+    rows = [(i, "".join(rng.choice("ab") for _ in range(rng.randint(0, 60))) + line
+             + "".join(rng.choice("ab") for _ in range(rng.randint(0, 60)))) for i in range(3 * S.GROUP + 40)]
+    assert run(spark, rows) == brute(rows)
+
+
+def test_halves():
+    for level in range(8):
+        spans = S.halves(level)
+        assert [x for a, b in spans for x in range(a, b + 1)] == list(range(S.SIDE + 1))
+    assert all(a == b for a, b in S.halves(6))
+
+
 def test_empty_table_and_whole_characters(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert S.remove_repeats(df).count() == 0
