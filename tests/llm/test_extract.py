@@ -86,3 +86,50 @@ def test_unnamed_boilerplate_beside_the_text_goes():
     text = X.content_text(f"<body><div><ul><li><a>Home page</a><li><a>About us</a></ul></div><div>{PARAGRAPH * 4}</div>"
                           "<div><div><p>made by</p></div></div></body>")
     assert text.count("\n\n") == 3 and "Home" not in text and "made by" not in text
+
+
+COMMENTS = "<p>I do not agree, frankly. Has anybody read it? " + "It is wrong, and long, and wrong again. " * 8 + "</p>"
+
+
+@pytest.mark.parametrize("times", [1, 3, 40])
+@pytest.mark.parametrize("page", [
+    "<article><h1>Head</h1>{p}{p}<section class=comments>{c}</section></article>",
+    "<article><h1>Head</h1>{p}{p}<div id=comments><h2>Replies</h2>{c}</div></article>",
+    "<main><h1>Head</h1>{p}{p}<div class='sidebar left'>{c}</div></main>",
+    "<div class=page><h1>Head</h1>{p}{p}</div><div class=comments>{c}</div>",
+    "<div class=page><h1>Head</h1>{p}{p}</div><div class=sidebar>{c}</div>",
+    "<div class=cookie-notice>{c}</div><div class=page><h1>Head</h1>{p}{p}</div>",
+    "<div class='site-header top-bar'>{c}</div><div><h1>Head</h1>{p}{p}<div class=relatedArticles>{c}</div></div>",
+])
+def test_named_furniture_goes_whatever_its_length(page, times):
+    text = X.content_text(page.format(p=f"<p>{LONG}</p>", c=COMMENTS * times))
+    assert text == f"Head\n\n{LONG.strip()}\n\n{LONG.strip()}"
+
+
+def test_words_that_only_look_like_furniture_stay():
+    for name in ("with-sidebar", "related-work", "no-comments", "advertising-history", "headerless", "share-prices"):
+        assert X.content_text(f"<div><p>{LONG}</p><section class='{name}'><p>{LONG}</p></section></div>").count("proper") == 6
+
+
+def test_buttons_and_hidden_pieces_inside_a_line_go():
+    page = f"<article><p>{LONG}<button>Press me</button> <span hidden>no <b>never</b></span>end.</p></article>"
+    assert X.content_text(page) == LONG.strip() + " end."
+
+
+@pytest.mark.parametrize("page", [
+    "<article>" + "<div>x" * 10_000, "<div>" * 10_000 + f"<p>{LONG}</p>", "<div><p>x.</p>" * 5_000, "<a " * 350_000,
+    "<a href=\"x' " * 100_000, "<!--" * 250_000, "<script" * 150_000, "<p><b><i>x" * 100_000, "</div></p></b>" * 70_000,
+    "<ul><li>" * 20_000 + "x", "<table><tr><td>x" * 20_000, "&" * 1_000_000, "a < b " * 150_000, "<" * 1_000_000,
+    "<div class=comments>x" * 5_000, "<article><div class=comments>x. " * 3_000, "<div a='" + "b c=\"" * 100_000])
+def test_hostile_pages_take_time_and_memory_of_their_length(page):
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    X.content_text(page)
+    assert time.process_time() - began < 15
+    tracemalloc.start()
+    X.content_text(page[:200_000])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6
