@@ -15,9 +15,9 @@ Spark's text writer (CRLF CRLF between records), ``read`` parses them back.
 Defined cases: null html is an empty payload; a null or empty URI has no
 WARC-Target-URI header; line ends in header values become %0D and %0A;
 identical pages give identical records, one for each row; extra columns are
-ignored. Without ``decode_all`` only the references in REFERENCES are decoded,
-in the text alone, as the registered SQL has it; with it every numeric and every
-HTML5 named reference is, in text and title, a decoded white space being a space.
+ignored. Every numeric and every HTML5 named reference is decoded, once, in text
+and title; a decoded white space is a space. An element or comment that never
+ends hides nothing, a tag that never ends is text.
 """
 
 from __future__ import annotations
@@ -31,14 +31,22 @@ from pyspark.sql import functions as F
 
 VERSION = "WARC/1.1"
 CRLF = "\r\n"
-
-#: Elements whose content is not text, elements that end a line, named references that are decoded.
-HIDDEN = r"(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<template\b.*?</template\s*>|<title\b.*?</title\s*>|<!--.*?-->"
-BLOCK = (r"(?i)</?(address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h1|h2|h3|h4|h5|h6"
-         r"|head|header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*>")
-TAG = r"<[/!?a-zA-Z][^>]*>"
-REFERENCES = (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"), ("&nbsp;", " "),
-              ("&amp;", "&"))
+DATE = "1970-01-01T00:00:00Z"
+
+#: Elements whose content is not text, elements that end a line.
+HIDDEN = ("script", "style", "template", "title")
+BLOCK = re.compile(
+    r"</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|figcaption|figure|footer|form|h[1-6]|head|header|hr|html|li"
+    r"|main|nav|ol|p|pre|section|table|td|th|tr|ul)\b[^>]*+>", re.I | re.A)
+TAG = re.compile(r"<[/!?a-zA-Z][^>]*+>")
+SPACE = re.compile(r"[\r\n\t\f ]+")
+LINE_END = re.compile(r"[ \n]*\n[ \n]*")
+OPENING = re.compile(rf"<({'|'.join(HIDDEN)})\b|<!--", re.I | re.A)
+CLOSING = {"": re.compile("-->")} | {t: re.compile(rf"</{t}\s*+>", re.I | re.A) for t in HIDDEN}
+TITLE = re.compile(r"<title[^>]*+>", re.I)
+TITLE_END = re.compile(r"</title", re.I)
+HTML = re.compile(r"<html[^>]*+", re.I)
+LANGUAGE = re.compile(r"\blang=[\"']?([A-Za-z-]+)", re.I | re.A)
 REFERENCE = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[a-zA-Z][a-zA-Z0-9]{0,31});?")
 SPACES = str.maketrans(dict.fromkeys("\t\n\f\r\xa0", " "))
 
@@ -71,87 +79,139 @@ def header(headers: Column, name: str) -> Column:
     return F.get(F.transform(found, lambda h: h["value"]), F.lit(0))
 
 
-def _record(kind: str, record_id: Column, refers: Column, uri: Column, date: Column, content_type: str,
-            block: Column, source_digest: Column) -> Column:
+def _record(kind: str | Column, record_id: Column, refers: Column, uri: Column, date: Column, content_type: str | Column,
+            block: Column, block_digest: Column, source_digest: Column) -> Column:
+    response = isinstance(kind, str)
+    kind, content_type = (F.lit(c) if isinstance(c, str) else c for c in (kind, content_type))
     return F.struct(
-        F.lit(kind).alias("type"), record_id.alias("record_id"), uri.alias("target_uri"), refers.alias("refers_to"),
-        _headers(("WARC-Type", F.lit(kind)), ("WARC-Record-ID", record_id), ("WARC-Refers-To", refers),
-                 ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", _digest(block)),
-                 ("WARC-Payload-Digest" if kind == "response" else "WARC-Source-Payload-Digest", source_digest),
-                 ("Content-Type", F.lit(content_type)),
+        kind.alias("type"), record_id.alias("record_id"), uri.alias("target_uri"), refers.alias("refers_to"),
+        _headers(("WARC-Type", kind), ("WARC-Record-ID", record_id), ("WARC-Refers-To", refers),
+                 ("WARC-Target-URI", uri), ("WARC-Date", date), ("WARC-Block-Digest", block_digest),
+                 ("WARC-Payload-Digest" if response else "WARC-Source-Payload-Digest", source_digest),
+                 ("Content-Type", content_type),
                  ("Content-Length", F.octet_length(block).cast("string"))).alias("headers"),
         block.alias("block"))
 
 
+def _sources(pages: DataFrame, key: str, url: str, html: str, date: str) -> DataFrame:
+    """What the records of a page are made of: the key, id, target URI, date, payload, its digest and the HTTP head."""
+    rows = pages.select(F.col(key), _line(F.coalesce(F.col(url), F.lit(""))).alias("target_uri"),
+                        F.coalesce(F.col(html), F.lit("")).alias("payload"))
+    rows = rows.withColumn("digest", _digest(F.col("payload")))
+    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
+                    F.octet_length("payload").cast("string"))
+    return rows.select(key, _uuid(F.lit("response"), F.col(key).cast("string"), F.col("target_uri"), F.col("digest"))
+                       .alias("record_id"), "target_uri", F.lit(date).alias("date"), "digest", "payload", http.alias("http"))
+
+
 def responses(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
-              date: str = "1970-01-01T00:00:00Z") -> DataFrame:
+              date: str = DATE) -> DataFrame:
     """Response records of raw pages, with the key column beside them."""
-    rows = pages.select(F.col(key), F.inline(F.array(F.struct(
-        _line(F.coalesce(F.col(url), F.lit(""))).alias("uri"), F.coalesce(F.col(html), F.lit("")).alias("payload"),
-        _digest(F.coalesce(F.col(html), F.lit(""))).alias("digest")))))
-    http = F.concat(F.lit(f"HTTP/1.1 200 OK{CRLF}Content-Type: text/html; charset=utf-8{CRLF}Content-Length: "),
-                    F.octet_length("payload").cast("string"), F.lit(CRLF + CRLF), F.col("payload"))
+    rows = _sources(pages, key, url, html, date)
+    block = F.concat(F.col("http"), F.lit(CRLF + CRLF), F.col("payload"))
+    rows = rows.select(key, "record_id", "target_uri", "date", "digest", block.alias("_block"))
+    rows = rows.withColumn("_digest", _digest(F.col("_block")))
     return rows.select(key, F.inline(F.array(_record(
-        "response", _uuid(F.lit("response"), F.col(key).cast("string"), F.col("uri"), F.col("digest")),
-        F.lit(None).cast("string"), F.col("uri"), F.lit(date), "application/http; msgtype=response", http,
-        F.col("digest")))))
+        "response", F.col("record_id"), F.lit(None).cast("string"), F.col("target_uri"), F.col("date"),
+        "application/http; msgtype=response", F.col("_block"), F.col("_digest"), F.col("digest")))))
 
 
-def decode_references(text: str | None) -> str | None:
+def decode_references(text: str) -> str:
     """The text with every character reference decoded, once."""
-    if not text or "&" not in text:
+    if "&" not in text:
         return text
     return REFERENCE.sub(lambda m: entities.unescape(m[0]).translate(SPACES), text)
 
 
-def _decoded(c: Column) -> Column:
-    @F.arrow_udf("string")
-    def decode(texts: pa.Array) -> pa.Array:
-        return pa.array([decode_references(t) for t in texts.to_pylist()], pa.string())
-
-    return decode(c)
-
-
-def plain_text(payload: Column, decode_all: bool = False) -> Column:
+def _shown(page: str) -> str:
+    """The page without comments and the elements whose content is not text, a space for each."""
+    out, at, ends = [], 0, dict.fromkeys(CLOSING, True)
+    while True:
+        m = OPENING.search(page, at)
+        if m is None:
+            out.append(page[at:])
+            return "".join(out)
+        kind = (m[1] or "").lower()
+        # one search without a result is the last of its kind: no later one would find an end either
+        end = CLOSING[kind].search(page, m.end()) if ends[kind] else None
+        if end is None:
+            ends[kind] = False
+            out.append(page[at:m.end()])
+            at = m.end()
+        else:
+            out += (page[at:m.start()], " ")
+            at = end.end()
+
+
+def plain_text(page: str) -> str:
     """Visible text: one line per block element, inner white space as one space, references decoded."""
-    text = F.regexp_replace(payload, HIDDEN, " ")
-    text = F.regexp_replace(text, r"[\r\n\t\f ]+", " ")
-    text = F.regexp_replace(F.regexp_replace(text, BLOCK, "\n"), TAG, "")
-    if decode_all:
-        text = _decoded(text)
-    else:
-        for name, char in REFERENCES:
-            text = F.replace(text, F.lit(name), F.lit(char))
-    return F.btrim(F.regexp_replace(text, r"[ \n]*\n[ \n]*", "\n"), F.lit(" \n"))
-
-
-def derive(records: DataFrame, decode_all: bool = False) -> DataFrame:
+    text = SPACE.sub(" ", _shown(page))
+    cut = text.rfind(">") + 1  # behind the last > no tag ends
+    text = TAG.sub("", BLOCK.sub("\n", text[:cut])) + text[cut:]
+    return LINE_END.sub("\n", decode_references(text)).strip(" \n")
+
+
+def title(page: str) -> str:
+    """The text of the first title, as one line."""
+    m = TITLE.search(page)
+    end = m and TITLE_END.search(page, m.end())
+    return SPACE.sub(" ", decode_references(page[m.end():end.start()])).strip(" ") if end else ""
+
+
+def language(page: str) -> str:
+    """The language that the html element names."""
+    for m in HTML.finditer(page):
+        found = LANGUAGE.findall(m[0])
+        if found:
+            return found[-1]
+    return ""
+
+
+def _read_payload(payload: Column) -> Column:
+    @F.arrow_udf("struct<text:string,title:string,language:string>")
+    def read_pages(pages: pa.Array) -> pa.Array:
+        rows = [(plain_text(p), title(p), language(p)) for p in (x.as_py() for x in pages)]
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.StructArray.from_arrays([pa.array(c, pa.string()) for c in cols], names=["text", "title", "language"])
+
+    return read_pages(payload)
+
+
+def _derived(rows: DataFrame, others: list[str]) -> DataFrame:
+    """Metadata and conversion records of source rows."""
+    rows = rows.withColumn("_read", _read_payload(F.col("payload")))
+    fields = F.concat(
+        F.lit("title: "), _line(F.col("_read.title")), F.lit(CRLF), F.lit("language: "), F.col("_read.language"), F.lit(CRLF),
+        F.lit("source-digest: "), F.col("digest"), F.lit(CRLF),
+        F.array_join(F.transform(F.split("http", CRLF), lambda h: F.concat(F.lit("source-header: "), h)), CRLF), F.lit(CRLF))
+    kinds = F.array(F.struct(F.lit("metadata").alias("_kind"), F.lit("application/warc-fields").alias("_type"),
+                             fields.alias("_block")),
+                    F.struct(F.lit("conversion").alias("_kind"), F.lit("text/plain; charset=utf-8").alias("_type"),
+                             F.col("_read.text").alias("_block")))
+    made = rows.select(*others, "record_id", "target_uri", "date", "digest", F.inline(kinds))
+    made = made.withColumn("_digest", _digest(F.col("_block")))  # once a block
+    return made.select(*others, F.inline(F.array(_record(
+        F.col("_kind"), _uuid(F.col("_kind"), F.col("record_id"), F.col("_digest")), F.col("record_id"),
+        F.col("target_uri"), F.col("date"), F.col("_type"), F.col("_block"), F.col("_digest"), F.col("digest")))))
+
+
+def derive(records: DataFrame) -> DataFrame:
     """Metadata and conversion records of the response records; other columns pass through."""
     own = ["type", "record_id", "target_uri", "refers_to", "headers", "block"]
     others = [c for c in records.columns if c not in own]
     split = F.instr("block", CRLF + CRLF)
     rows = records.where("type = 'response'").select(
-        *others, "record_id", "target_uri", "headers", F.substring("block", F.lit(1), split - 1).alias("http"),
+        *others, "record_id", "target_uri", header(F.col("headers"), "WARC-Date").alias("date"),
+        header(F.col("headers"), "WARC-Payload-Digest").alias("digest"),
+        F.substring("block", F.lit(1), split - 1).alias("http"),
         F.expr(f"substring(block, instr(block, '{CRLF * 2}') + 4)").alias("payload"))
-    title = F.regexp_extract("payload", r"(?is)<title[^>]*>(.*?)</title", 1)
-    rows = rows.withColumns({
-        "digest": header(F.col("headers"), "WARC-Payload-Digest"), "date": header(F.col("headers"), "WARC-Date"),
-        "text": plain_text(F.col("payload"), decode_all),
-        "title": _decoded(title) if decode_all else title,
-        "language": F.regexp_extract("payload", r"(?i)<html[^>]*\blang=[\"']?([A-Za-z-]+)", 1)})
-    # computed once: the arrays below use the text and the fields several times
-    rows = rows.select(*others, "record_id", "target_uri", "date", "digest", F.inline(F.array(F.struct(
-        "text", F.concat(
-            F.lit("title: "), _line(F.btrim(F.regexp_replace("title", r"[\r\n\t\f ]+", " "))), F.lit(CRLF),
-            F.lit("language: "), F.col("language"), F.lit(CRLF),
-            F.lit("source-digest: "), F.col("digest"), F.lit(CRLF),
-            F.array_join(F.transform(F.split("http", CRLF), lambda h: F.concat(F.lit("source-header: "), h)), CRLF),
-            F.lit(CRLF)).alias("fields")))))
-    made = lambda kind, content_type, block: _record(
-        kind, _uuid(F.lit(kind), F.col("record_id"), _digest(F.col(block))), F.col("record_id"), F.col("target_uri"),
-        F.col("date"), content_type, F.col(block), F.col("digest"))
-    return rows.select(*others, F.inline(F.array(made("metadata", "application/warc-fields", "fields"),
-                                                 made("conversion", "text/plain; charset=utf-8", "text"))))
+    return _derived(rows, others)
+
+
+def derive_pages(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html",
+                 date: str = DATE) -> DataFrame:
+    """``derive(responses(pages))`` without putting the response blocks together and taking them apart again."""
+    return _derived(_sources(pages, key, url, html, date), [key])
 
 
 def serialize(records: DataFrame) -> DataFrame:
