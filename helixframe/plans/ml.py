@@ -11,7 +11,8 @@ import uuid
 from fractions import Fraction
 
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
+                                       RandomForestClassifier)
 from pyspark.ml.feature import CountVectorizer, VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -95,6 +96,45 @@ def gradient_boosting(features: list[str], label: str = "label", weight: str = "
     return Pipeline(stages=[assemble(features), gbt])
 
 
+def _tree_sql(node, features: list[str], leaf) -> str:
+    """One tree as nested SQL conditions on the feature columns; ``leaf`` gives a leaf's text."""
+    if node.subtreeDepth() == 0:
+        return leaf(node)
+    split = node.split()
+    return (f"CASE WHEN `{features[split.featureIndex()]}` <= {split.threshold()!r}D "
+            f"THEN {_tree_sql(node.leftChild(), features, leaf)} ELSE {_tree_sql(node.rightChild(), features, leaf)} END")
+
+
+def ensemble_expression(model: PipelineModel, features: list[str]) -> Column:
+    """The prediction of a fitted binary forest or boosted ensemble as a column expression over the feature columns.
+
+    A forest adds up each tree's share of class 1 in the leaf (ties go to class 0); boosting the weighted leaf values.
+    The text grows with the model (100 trees of at most 31 splits), not with the data. Features are continuous (the
+    assembler attaches no categories) and not missing.
+    """
+    ensemble = model.stages[-1]
+
+    def share(node) -> str:
+        counts = list(node.impurityStats().stats())
+        return f"{counts[1] / sum(counts)!r}D"
+
+    if isinstance(ensemble, GBTClassificationModel):
+        terms = [f"{w!r}D * ({_tree_sql(t._java_obj.rootNode(), features, lambda n: f'{n.prediction()!r}D')})"
+                 for t, w in zip(ensemble.trees, ensemble.treeWeights, strict=True)]
+        bar = 0.0
+    else:
+        terms = [f"({_tree_sql(t._java_obj.rootNode(), features, share)})" for t in ensemble.trees]
+        bar = len(terms) / 2
+    # one array folded at the end: a sum of a hundred nested conditions would be one deep expression
+    total = F.aggregate(F.array(*[F.expr(t) for t in terms]), F.lit(0.0), lambda acc, x: acc + x)
+    return F.when(total > bar, 1.0).otherwise(0.0)
+
+
+def beside_expression(model: PipelineModel, features: list[str], rows: DataFrame) -> DataFrame:
+    """``rows`` with the model's ``prediction`` and the exported expression's ``by_expression``."""
+    return model.transform(rows).withColumn("by_expression", ensemble_expression(model, features))
+
+
 UNKNOWN_KMER = "?"  # any k-mer with a letter other than ACGT
 
 

@@ -1,4 +1,4 @@
-"""Spark ML queries: M1-M7, M11, S9 (fitted trees and reports have no SQL form: rows only)."""
+"""Spark ML queries: M1-M7, M11, S9 (a fitted model has no SQL form: it is checked against its exported expression)."""
 
 from __future__ import annotations
 
@@ -15,7 +15,6 @@ from ..sources import standins as S
 from . import ml
 from .q_attack import K as SCORER_K, SEED, _q, dictionary, labelled_seqs
 from .registry import register
-from .sqlgen import round_cols
 from .views import with_views
 
 TEST_FRACTION = 0.2
@@ -58,51 +57,85 @@ def _prepared(spark, sf_dir, label_kind: str):
     return ml.split(enc, "row_id", TEST_FRACTION, 42)
 
 
-@register("m02_assemble")
+_TEST = f"('0x' || substr(md5('42:' || CAST(row_id AS VARCHAR)), 1, 8))::BIGINT < {int(round(TEST_FRACTION * 2 ** 32))}"
+# Test rows and labels of the two targets, after P7.
+_LABELLED = {
+    "presence": """SELECT row_id, CASE WHEN co_occur = 'not applicable' THEN 0 ELSE 1 END AS label FROM meta
+      WHERE ph IS NOT NULL""",
+    "threshold": """SELECT row_id, CASE WHEN CAST(co_occur AS DOUBLE) > 0.3 THEN 1 ELSE 0 END AS label FROM meta
+      WHERE ph IS NOT NULL AND co_occur IS DISTINCT FROM 'not applicable'"""}
+
+
+def _test_sql(target: str) -> str:
+    return f"SELECT row_id, CAST(label AS DOUBLE) AS label, true AS agrees FROM ({_LABELLED[target]}) WHERE {_TEST}"
+
+
+@register("m02_assemble", with_views("meta", """
+SELECT * FROM (SELECT row_id, ph AS f0, depth AS f1, elevation AS f2,
+  CAST(dense_rank() OVER (ORDER BY coalesce(env_biome, 'nan')) - 1 AS DOUBLE) AS f3,
+  CAST(dense_rank() OVER (ORDER BY coalesce(geo_loc_name, 'nan')) - 1 AS DOUBLE) AS f4 FROM meta)
+WHERE f0 IS NOT NULL AND f1 IS NOT NULL AND f2 IS NOT NULL"""))
 def m02_assemble(spark, sf_dir):
+    """The assembled vectors, flattened again."""
     from pyspark.ml.functions import vector_to_array
 
     d = _prepared(spark, sf_dir, "presence")
-    v = ml.assemble(NUMERIC + TEXT).transform(d)
-    return v.select("row_id", vector_to_array("features").alias("features"))
+    v = ml.assemble(NUMERIC + TEXT).transform(d).select("row_id", vector_to_array("features").alias("v"))
+    return v.select("row_id", *[F.col("v")[i].alias(f"f{i}") for i in range(len(NUMERIC + TEXT))])
 
 
-def _rf_predictions(spark, sf_dir, target: str = "presence"):
+def _predictions(spark, sf_dir, target: str, kind: str):
+    """Test rows with the model's prediction and that of its exported expression."""
     d = _prepared(spark, sf_dir, target)
-    train = ml.balanced_weights(d.where(F.col("split") == "train"), "label")
-    model = ml.random_forest(NUMERIC + TEXT).fit(train)
-    test = d.where(F.col("split") == "test")
-    return model.transform(test).select("row_id", "label", "prediction")
+    train = d.where(F.col("split") == "train")
+    if kind == "forest":
+        model = ml.random_forest(NUMERIC + TEXT).fit(ml.balanced_weights(train, "label"))
+    else:
+        model = ml.gradient_boosting(NUMERIC + TEXT).fit(ml.positive_weights(train, "label"))
+    rows = ml.beside_expression(model, NUMERIC + TEXT, d.where(F.col("split") == "test"))
+    return rows.select("row_id", "label", "prediction", "by_expression")
 
 
-@register("m03_random_forest")
-def m03_random_forest(spark, sf_dir):
-    return _rf_predictions(spark, sf_dir)
+def _agreement(p):
+    return p.select("row_id", "label", (F.col("prediction") == F.col("by_expression")).alias("agrees"))
 
 
-def _gbt_predictions(spark, sf_dir, target: str):
-    d = _prepared(spark, sf_dir, target)
-    train = ml.positive_weights(d.where(F.col("split") == "train"), "label")
-    model = ml.gradient_boosting(NUMERIC + TEXT).fit(train)
-    return model.transform(d.where(F.col("split") == "test")).select("row_id", "label", "prediction")
+@register("m03_random_forest", with_views("meta", _test_sql("presence")))
+def m03_random_forest(spark, sf_dir):
+    """Test rows, and whether the forest and its column expression predict the same."""
+    return _agreement(_predictions(spark, sf_dir, "presence", "forest"))
 
 
-@register("m04_gradient_boosting")
+@register("m04_gradient_boosting", with_views("meta", _test_sql("threshold")))
 def m04_gradient_boosting(spark, sf_dir):
-    return _gbt_predictions(spark, sf_dir, "threshold")
+    return _agreement(_predictions(spark, sf_dir, "threshold", "boosting"))
+
+
+M05_SQL = with_views("meta", f"""
+WITH t AS (SELECT 'presence' AS target, label FROM ({_test_sql('presence')})
+  UNION ALL SELECT 'threshold', label FROM ({_test_sql('threshold')}))
+SELECT target, model, row, support, true AS agrees FROM (
+  SELECT target, CAST(CAST(label AS INTEGER) AS VARCHAR) AS row, count(*) AS support FROM t GROUP BY ALL
+  UNION ALL SELECT target, row, count(*) FROM t, (VALUES ('accuracy'), ('macro avg'), ('weighted avg')) r(row) GROUP BY ALL),
+  (VALUES ('forest'), ('boosting')) m(model)""")
 
 
-@register("m05_metadata_report")
+@register("m05_metadata_report", M05_SQL)
 def m05_metadata_report(spark, sf_dir):
-    """The four reports: presence and threshold targets, forest and boosting."""
+    """The four reports (presence and threshold targets, forest and boosting), each figure from the model's and from the
+    expression's predictions: rows and supports, and whether all figures agree."""
     out = None
     for target in ("presence", "threshold"):
-        for name, fit in (("forest", _rf_predictions), ("boosting", _gbt_predictions)):
-            p = fit(spark, sf_dir, target).select(F.col("label").cast("int").alias("y"),
-                                                  F.col("prediction").cast("int").alias("y_hat"))
-            r = X.classification_report(p).select(F.lit(target).alias("target"), F.lit(name).alias("model"), "*")
+        for kind in ("forest", "boosting"):
+            p = materialize(_predictions(spark, sf_dir, target, kind), "predictions")
+            a, b = (X.classification_report(p.select(F.col("label").cast("int").alias("y"), F.col(c).cast("int").alias("y_hat")))
+                    for c in ("prediction", "by_expression"))
+            same = [F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) for c in ("precision", "recall", "f1", "support")]
+            r = a.alias("a").join(b.alias("b"), F.col("a.row") == F.col("b.row"), "left").select(
+                F.lit(target).alias("target"), F.lit(kind).alias("model"), "a.row", "a.support",
+                (same[0] & same[1] & same[2] & same[3]).alias("agrees"))
             out = r if out is None else out.unionByName(r)
-    return round_cols(out, ["precision", "recall", "f1"])
+    return out
 
 
 def _seq_training(spark, sf_dir):
