@@ -71,7 +71,7 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
     (rows never broken are absent: join back with ``left`` to keep them).
     Rounds grow (``schedule``) because most rows break early: the first round
     tries every row once, later rounds try only the rows still standing.
-    ``attack`` is ``nucl`` (scored without building texts), ``codon`` or ``bt``
+    ``attack`` is ``nucl`` or ``codon`` (scored batch by batch, no text leaves its task) or ``bt``
     (texts built per try, then scored). With ``require_correct`` only rows whose
     clean prediction ``y_orig`` is right are attacked.
     """
@@ -82,12 +82,12 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
     pending = base.select(row_id, y, seq)
     found: DataFrame | None = None
     bounds = round_bounds(max_iter, schedule)
-    matrix = weight_matrix(weights, n_classes, k) if attack == "nucl" else None
+    matrix = weight_matrix(weights, n_classes, k) if attack != "bt" else None
     for n, (start, end) in enumerate(bounds):
         its = F.sequence(F.lit(start), F.lit(end))
-        if attack == "nucl":
+        if matrix is not None:
             tries = [(i, rate) for i in range(start, end + 1)]
-            lg = try_logits(pending, seq, row_id, [y], tries, matrix, k, seed).withColumn(
+            lg = try_logits(pending, seq, row_id, [y], tries, matrix, k, seed, attack=attack).withColumn(
                 "iteration", F.col("try") + F.lit(start))
         else:
             tries = pending.select(row_id, y, F.explode(its).alias("iteration"), seq)

@@ -22,18 +22,19 @@ from pyspark.sql import functions as F
 from ..functions.codons import BASE_ORDER, MUTATION_BASES
 from ..functions.draws import draw_np, threshold
 
-PIECE = 1 << 20  # characters of a piece, without the overlap
+PIECE = 3 << 18  # characters of a piece, without the overlap: whole codons
 RUN = 1 << 20  # characters worked on together
 
 
 def pieces(df: DataFrame, seq: str, keys: list[str], k: int = 1, size: int = PIECE) -> DataFrame:
-    """``(keys, at, piece)``: substrings of ``size + k - 1`` characters every ``size``, so that each k-mer lies in
+    """``(keys, at, piece, last)``: substrings of ``size + k - 1`` characters every ``size``, so that each k-mer lies in
     exactly one; dealt out by key and piece. An empty or null sequence is one empty piece."""
     s = F.coalesce(F.col(seq), F.lit(""))
     windows = F.greatest(F.length(s) - (k - 1), F.lit(1))
     starts = F.sequence(F.lit(0), (F.floor((windows - 1) / size) * size).cast("int"), F.lit(size))
-    cut = df.select(*keys, s.alias("_s"), F.explode(starts).alias("at"))
-    cut = cut.select(*keys, "at", F.substring("_s", F.col("at") + 1, F.lit(size + k - 1)).alias("piece"))
+    cut = df.select(*keys, s.alias("_s"), windows.alias("_n"), F.explode(starts).alias("at"))
+    cut = cut.select(*keys, "at", F.substring("_s", F.col("at") + 1, F.lit(size + k - 1)).alias("piece"),
+                     (F.col("at") + size >= F.col("_n")).alias("last"))
     return cut.repartition(*keys, "at")
 
 
@@ -59,6 +60,14 @@ def mutated(chars: np.ndarray, x: np.ndarray, rate: float) -> np.ndarray:
     return np.where(x < threshold(rate), bases[(x // 1000) % 4], chars)
 
 
+def codons_mutated(chars: np.ndarray, row: np.ndarray, iteration: int, place: np.ndarray, rate: float, seed: int) -> np.ndarray:
+    """The characters with the drawn letters where their codon's draw fires; a place behind the end (character 0) is
+    filled only then, as a last codon of one or two letters becomes one of three."""
+    x = draw_np(row, iteration, (place - 1) // 3 + 1, seed)
+    bases = np.array([ord(b) for b in MUTATION_BASES], dtype=np.uint32)
+    return np.where(x < threshold(rate), bases[(x // (1000 * 4 ** ((place - 1) % 3))) % 4], chars)
+
+
 def split_text(chars: np.ndarray, offsets: np.ndarray) -> list[str]:
     text = chars.tobytes().decode("utf-32-le")
     return [text[a:b] for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
@@ -97,7 +106,7 @@ def _sums(chars, offsets, weights, k):
     return out
 
 
-def _tries(ids: pa.Array, at: pa.Array, texts: pa.Array, tries, weights, k, seed, size, digest):
+def _tries(ids: pa.Array, at: pa.Array, texts: pa.Array, tries, weights, k, seed, size, digest, attack="nucl"):
     """Struct array ``(sums, digests)`` of a batch of pieces: T * C numbers and T * 16 bytes a piece."""
     n_classes, n = weights.shape[1], len(texts)
     ids, at = np.asarray(ids, dtype=np.int64), np.asarray(at, dtype=np.int64)
@@ -112,9 +121,12 @@ def _tries(ids: pa.Array, at: pa.Array, texts: pa.Array, tries, weights, k, seed
         for t, (iteration, rate) in enumerate(tries):
             new = chars
             if rate > 0:
-                if iteration not in drawn:
-                    drawn = {iteration: draw_np(row, iteration, place, seed)}
-                new = mutated(chars, drawn[iteration], rate)
+                if attack == "codon":
+                    new = codons_mutated(chars, row, iteration, place, rate, seed)
+                else:
+                    if iteration not in drawn:
+                        drawn = {iteration: draw_np(row, iteration, place, seed)}
+                    new = mutated(chars, drawn[iteration], rate)
             sums[a:b, t] = _sums(new, offsets, weights, k)
             if digest:
                 for i, text in enumerate(split_text(new, offsets)):
@@ -125,20 +137,29 @@ def _tries(ids: pa.Array, at: pa.Array, texts: pa.Array, tries, weights, k, seed
 
 
 def try_logits(df: DataFrame, seq: str, row_id: str, keys: list[str], tries: list[tuple[int, float]],
-               weights: np.ndarray, k: int = 3, seed: int = 0, digest: bool = False, size: int = PIECE) -> DataFrame:
+               weights: np.ndarray, k: int = 3, seed: int = 0, digest: bool = False, size: int = PIECE,
+               attack: str = "nucl") -> DataFrame:
     """``(row_id, keys..., try, logits[, digest])`` for every row and every try (its place in ``tries``).
 
-    A rate of 0 is the clean sequence. ``digest`` adds a 128-bit digest of the attacked text, equal for equal texts.
+    A rate of 0 is the clean sequence. ``attack`` is ``nucl`` (point mutation) or ``codon``. ``digest`` adds a 128-bit digest of the attacked text, equal for equal texts.
     """
     n_classes = weights.shape[1]
     tries = [(int(i), float(r)) for i, r in tries]
 
     @F.arrow_udf("struct<sums:array<bigint>,digests:binary>")
     def score(ids: pa.Array, at: pa.Array, texts: pa.Array) -> pa.Array:
-        return _tries(ids, at, texts, tries, weights, k, seed, size, digest)
+        return _tries(ids, at, texts, tries, weights, k, seed, size, digest, attack)
 
     by = [row_id, *keys]
-    scored = pieces(df, seq, by, k, size).select(
+    cut = pieces(df, seq, by, k, size)
+    if attack == "codon":
+        if digest or size % 3:
+            raise ValueError("codon tries have no digests, and pieces of whole codons")
+        # the last piece gets empty places up to a whole codon
+        gap = F.pmod(-(F.col("at") + F.length("piece")), F.lit(3))
+        padded = F.concat("piece", F.repeat(F.lit("\0"), gap))
+        cut = cut.withColumn("piece", F.when(F.col("last"), padded).otherwise(F.col("piece")))
+    scored = cut.select(
         *by, "at", score(F.col(row_id).cast("bigint"), F.col("at"), F.col("piece")).alias("_r"))
     each = scored.select(*by, "at", "_r", F.explode(F.sequence(F.lit(0), F.lit(len(tries) - 1))).alias("try"))
     cell = [F.get("_r.sums", F.col("try") * n_classes + c).alias(f"l{c}") for c in range(n_classes)]

@@ -30,8 +30,8 @@ N_CLASSES = 4          # label columns of the oracle texts; the Spark side count
 SNAPSHOTS = (10, 20, 30, 40, 50)
 MAX_ITER = 50
 SWEEP = (0.1, 0.2, 0.3, 0.4, 0.5)
-# Tries of the rounds: point mutations cost little beside a round's scan, built texts cost more.
-ROUNDS = {"nucl": (1, 9, 40), "codon": (1, 4, 10, 35), "bt": (1, 4, 10, 35)}
+# Tries of the rounds: tries scored in batches cost little beside a round's scan, built texts cost more.
+ROUNDS = {"nucl": (1, 9, 40), "codon": (1, 9, 40), "bt": (1, 4, 10, 35)}
 
 
 def dictionary(spark, sf_dir):

@@ -94,7 +94,7 @@ def test_first_success_text_path_equals_fused(spark, monkeypatch):
     fused = {tuple(r) for r in A.first_success(df, "dna", "row_id", "y", w, 4, 3, 0.1, 8, (1, 3)).collect()}
     monkeypatch.setattr(A, "mutate", lambda kind, *a: MU.point_mutation(*a))
     textual = {tuple(r) for r in A.first_success(df, "dna", "row_id", "y", w, 4, 3, 0.1, 8, (1, 3),
-                                                 attack="codon").collect()}
+                                                 attack="bt").collect()}
     assert fused == textual
 
 

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helixframe.functions.mutation import point_mutation
+from helixframe.functions.mutation import codon_mutation, point_mutation
 from helixframe.operators import attack as A
 from helixframe.operators import labels as L
 from helixframe.operators import pooling as P
@@ -38,6 +38,19 @@ def test_tries_equal_the_jvm_scorer(spark, monkeypatch, size, run):
     assert clean == {i: v for (i, u), v in got.items() if u == 0}
 
 
+@pytest.mark.parametrize("size", [3 << 18, 3, 9, 60])
+def test_codon_tries_equal_scoring_the_mutated_text(spark, size):
+    df = fixture(spark, 60, 5, letters="ACGTN")
+    w = rule_weights(spark, 4, 3)
+    tries = [(1, 0.3), (2, 0.3), (2, 0.9)]
+    got = {(r["row_id"], r["try"]): r["logits"] for r in R.try_logits(
+        df, "dna", "row_id", [], tries, R.weight_matrix(w, 4, 3), 3, size=size, attack="codon").collect()}
+    for t, (it, rate) in enumerate(tries):
+        texts = df.select("row_id", codon_mutation("dna", F.col("row_id"), it, rate).alias("dna"))
+        plain = {r["row_id"]: r["logits"] for r in kmer_logits(texts, "dna", ["row_id"], w, 4, 3).collect()}
+        assert plain == {i: v for (i, u), v in got.items() if u == t}
+
+
 def test_digests_agree_exactly_for_equal_texts(spark):
     df = fixture(spark, 60).union(spark.createDataFrame([(i, "AC", 0) for i in range(2000, 2040)], "a long, b string, c int"))
     w = R.weight_matrix(rule_weights(spark, 4, 3), 4, 3)
