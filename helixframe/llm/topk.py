@@ -14,12 +14,14 @@ products of floor(1024 * x)) inside tasks, and only per-query counts leave them:
 
 No task and no shuffle ever holds a query's candidates together, so a vector
 repeated in a third of the rows costs one histogram bin. Queries are a stated
-set and are taken in blocks of a bounded number; the driver holds one block of
-queries and one row of state per query of the block.
+set and are taken in blocks of a bounded number. A block's result is written and its broadcast destroyed before the
+next block begins, so the driver and the tasks hold one block of queries and one row of state per query of it.
 
 Defined cases: rows with a null id, a null vector, or a null or non-finite
 component take no part; vectors of unequal length are compared as if the
 shorter one ended in zeros; a candidate with the query's own id is no partner;
+a component so large that 1024 times it is no double counts as the largest one, and a
+score that a long cannot hold as the nearest long;
 repeated candidate rows count as rows of their own; a query with fewer than k
 candidates returns all of them; repeated query ids keep the first vector in
 array order.
@@ -32,10 +34,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import Scratch
+
 SCALE = 1024
 QUERY_BLOCK = 2048  # queries scored at a time
 ROWS = 2048  # candidates scored at a time in a task
 BINS = 1024
+FAR = np.finfo(np.float64).max
 
 
 def unpack(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -52,7 +57,9 @@ def unpack(ids: pa.Array, vectors: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         out = np.zeros((len(size), width))
         out[np.arange(width) < size[:, None]] = flat
     fine = np.isfinite(out).all(axis=1)
-    return key[fine], np.floor(out[fine] * SCALE)
+    with np.errstate(over="ignore"):
+        scaled = np.floor(out[fine] * SCALE)
+    return key[fine], np.clip(scaled, -FAR, FAR)
 
 
 def scores(rows: np.ndarray, queries: np.ndarray, top: float) -> np.ndarray:
@@ -120,12 +127,17 @@ def _bounds(df, block, k):
                                  F.max("kth").alias("kth")).collect()
 
 
+def _gap(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    return high.astype(np.int64).view(np.uint64) - low.astype(np.int64).view(np.uint64)
+
+
 def _refine(df, block, live, low, high, need, of_value=None, descending=True):
     """One histogram pass over [low, high] of the live queries; returns per query (bin low, bin high, counted before).
 
     ``of_value``: histogram the ids of candidates with this score instead of the scores.
     """
-    width = np.maximum(1, -(-(high - low + 1) // BINS))
+    # unsigned differences: a range may be wider than a long
+    width = _gap(high, low) // np.uint64(BINS) + np.uint64(1)
 
     def init(n):
         return {"bins": np.zeros((len(live), BINS), np.int32)}
@@ -139,8 +151,8 @@ def _refine(df, block, live, low, high, need, of_value=None, descending=True):
         else:
             row, q = np.nonzero(~own & (s == of_value) & (ids[:, None] >= low) & (ids[:, None] <= high))
             value = ids[row]
-        at = (value - low[q]) // width[q]
-        np.add.at(state["bins"], (q, at), 1)
+        at = _gap(value, low[q]) // width[q]
+        np.add.at(state["bins"], (q, at.astype(np.int64)), 1)
 
     def finish(state):
         q, at = np.nonzero(state["bins"])
@@ -177,8 +189,8 @@ def _select(df, block, keys, k):
         for r in got:
             q = live[r.q]
             need[q] -= r.cum - r.n
-            new = low[q] + r.bin * width[r.q]
-            high[q] = min(high[q], new + width[r.q] - 1)
+            new = int(low[q]) + r.bin * int(width[r.q])
+            high[q] = min(int(high[q]), new + int(width[r.q]) - 1)
             low[q] = new
             if low[q] == high[q]:
                 value[q], same[q] = low[q], r.n
@@ -199,8 +211,8 @@ def _select(df, block, keys, k):
             for r in got:
                 q = live[r.q]
                 need[q] -= r.cum - r.n
-                new = low[q] + r.bin * width[r.q]
-                high[q] = min(high[q], new + width[r.q] - 1)
+                new = int(low[q]) + r.bin * int(width[r.q])
+                high[q] = min(int(high[q]), new + int(width[r.q]) - 1)
                 low[q] = new
                 if low[q] == high[q] or need[q] == r.n:
                     bound[q] = high[q]
@@ -220,6 +232,7 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 10, id: str = "ve
              .agg(F.min(F.col(vector).cast("array<double>")).alias("vector")))
     total = asked.count()
     blocks = max(1, -(-total * 4 // (3 * query_block)))  # room for uneven hashing
+    scratch = Scratch(spark, "topk")
     found = None
     for b in range(blocks):
         rows = asked if blocks == 1 else asked.where(F.pmod(F.xxhash64("id"), F.lit(blocks)) == b)
@@ -234,10 +247,13 @@ def search(candidates: DataFrame, queries: DataFrame, k: int = 10, id: str = "ve
             row, q = np.nonzero(~own & ((s > value) | ((s == value) & (ids[:, None] <= bound))))
             return [keys[q], ids[row], s[row, q]]
 
-        part = _each(df, "query_id long, vec_id long, score long", block, lambda n: None, step, lambda state: None)
-        found = part if found is None else found.unionByName(part)
+        part = scratch.keep(_each(df, "query_id long, vec_id long, score long", block, lambda n: None, step,
+                                  lambda state: None), f"found/block={b}")
+        block.destroy()
+        found = part if found is None else found
     if found is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    found = spark.read.schema(found.schema).parquet(f"{scratch.root}/found")  # all blocks, one scan
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")  # k rows, more only for repeated ids
     return (found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
             .select("query_id", "rank", "vec_id", "score"))

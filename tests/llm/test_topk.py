@@ -56,3 +56,31 @@ def test_large_components_stay_exact(spark):
 def test_unequal_lengths_end_in_zeros(spark):
     rows = [(0, [1.0, 1.0]), (1, [1.0]), (2, [1.0, 1.0, 5.0])]
     assert [(v, s) for _, _, v, s in run(spark, rows)] == [(2, 2 * 1024 * 1024), (1, 1024 * 1024)]
+
+
+def test_five_blocks_leave_one_scan(spark, capsys):
+    rows = [(i, [((i * 37) % 101) / 100, ((i * 53) % 89) / 100]) for i in range(1, 900)]
+    queries = {i for i, _ in rows if i % 100 == 0}
+    import numpy as np
+
+    rows = [(i, [float(np.float32(x)) for x in v]) for i, v in rows]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    out = topk.search(df, df.where("vec_id % 100 = 0"), k=3, query_block=2)
+    out.explain()
+    plan = capsys.readouterr().out
+    assert "Union" not in plan and "MapInArrow" not in plan and plan.count("FileScan") == 1
+    assert sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in out.collect()) == brute(rows, queries, 3)
+
+
+def test_huge_components_and_saturated_sums(spark):
+    rows = [(100, [1e306, 1.0]), (1, [1e306, 0.0]), (2, [-1e306, 0.0]), (3, [0.0, 5.0]), (4, [1e200, 2.0]), (200, [0.0, 1.0]),
+            *[(10 + i, [-1e300, float(i)]) for i in range(5)]]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in topk.search(df, df.where("vec_id % 100 = 0"), k=3).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    top, low = 2 ** 63 - 1, -2 ** 63
+    assert sorted(got[100])[:2] == [(1, 1, top), (2, 4, top)] and sorted(got[100])[2][1] == 3
+    assert sorted(got[200]) == [(1, 3, 5 * 2 ** 20), (2, 14, 4 * 2 ** 20), (3, 13, 3 * 2 ** 20)]
+    worst = topk.search(df, df.where("vec_id = 100"), k=10).orderBy("rank").collect()[-1]
+    assert worst.score == low and len(got) == 2
