@@ -55,11 +55,6 @@ def cross_entropy(z, y) -> Column:
     return logsumexp(z) - F.element_at(_col(z), (_col(y) + 1).cast("int"))
 
 
-def fmt4(x) -> Column:
-    """four decimals."""
-    return F.format_string("%.4f", _col(x))
-
-
 def run_stamp() -> Column:
     """``yyyyMMdd_HHmmss`` of the query's start time."""
     return F.date_format(F.current_timestamp(), "yyyyMMdd_HHmmss")

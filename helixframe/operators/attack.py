@@ -50,9 +50,9 @@ def attempts(df: DataFrame, seq: str, row_id: str, iterations: list[int], weight
     return out
 
 
-def round_bounds(max_iter: int, schedule: tuple[int, ...] = (1, 4, 10, 35)) -> list[tuple[int, int]]:
+def round_bounds(max_iter: int, schedule: tuple[int, ...] = (1, 4, 10, 35), start: int = 1) -> list[tuple[int, int]]:
     """Iteration ranges of the rounds: sizes from ``schedule`` (the last one repeats) up to ``max_iter``."""
-    out, start, i = [], 1, 0
+    out, i = [], 0
     while start <= max_iter:
         size = schedule[min(i, len(schedule) - 1)]
         end = min(start + size - 1, max_iter)
@@ -64,7 +64,8 @@ def round_bounds(max_iter: int, schedule: tuple[int, ...] = (1, 4, 10, 35)) -> l
 def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFrame, n_classes: int,
                   k: int = 3, rate: float = 0.1, max_iter: int = 50,
                   schedule: tuple[int, ...] = (1, 9, 40), seed: int = 0, attack: str = "nucl",
-                  require_correct: bool = False, y_orig: str | None = None) -> DataFrame:
+                  require_correct: bool = False, y_orig: str | None = None, known: DataFrame | None = None,
+                  start: int = 1) -> DataFrame:
     """Per row, the first try ``1..max_iter`` whose prediction differs from ``y``.
 
     Returns ``(row_id, success_iteration, y_atk)`` for the rows that were broken
@@ -73,15 +74,18 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
     tries every row once, later rounds try only the rows still standing.
     ``attack`` is ``nucl`` or ``codon`` (scored batch by batch, no text leaves its task) or ``bt``
     (texts built per try, then scored). With ``require_correct`` only rows whose
-    clean prediction ``y_orig`` is right are attacked.
+    clean prediction ``y_orig`` is right are attacked. With ``known`` the successes
+    of the tries before ``start`` are given (``clean_and_first``).
     """
     if attack not in ATTACKS:
         raise ValueError(f"unknown attack {attack!r}")
     base = keep_correct(df, y, y_orig) if require_correct else df
     # Every round scans the source again, less the rows found so far: nothing of the corpus is cached or written.
     pending = base.select(row_id, y, seq)
-    found: DataFrame | None = None
-    bounds = round_bounds(max_iter, schedule)
+    found = known
+    if known is not None:
+        pending = pending.join(known.select(row_id), row_id, "left_anti")
+    bounds = round_bounds(max_iter, schedule, start)
     matrix = weight_matrix(weights, n_classes, k) if attack != "bt" else None
     for n, (start, end) in enumerate(bounds):
         its = F.sequence(F.lit(start), F.lit(end))
@@ -105,6 +109,16 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
     return found
 
 
+def clean_and_first(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFrame, n_classes: int, k: int = 3,
+                    rate: float = 0.1, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+    """The clean predictions ``(row_id, y, y_orig)`` and the successes of the first try, from one pass over the texts."""
+    lg = try_logits(df, seq, row_id, [y], [(0, 0.0), (1, rate)], weight_matrix(weights, n_classes, k), k, seed)
+    both = materialize(lg.select(row_id, y, "try", predict("logits").alias("_p")), "clean")
+    hits = both.where((F.col("try") == 1) & (F.col("_p") != F.col(y)))
+    return (both.where("try = 0").select(row_id, y, F.col("_p").alias("y_orig")),
+            hits.select(row_id, F.lit(1).alias("success_iteration"), F.col("_p").alias("y_atk")))
+
+
 def attack_outcome(df: DataFrame, seq: str, row_id: str, y: str, found: DataFrame,
                    rate: float = 0.1, seed: int = 0, attack: str = "nucl") -> DataFrame:
     """Every row with its final text: the mutated text of its first success, else the original."""

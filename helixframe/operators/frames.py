@@ -1,4 +1,4 @@
-"""Frame plumbing: projections, position joins, overwrites, unions, counts."""
+"""Frame plumbing: projections, position joins, overwrites, unions, counts."""
 
 from __future__ import annotations
 
@@ -56,15 +56,6 @@ def append_rows(base: DataFrame, extra: DataFrame | None, order: str = "row_id",
     return base.unionByName(e, allowMissingColumns=True)
 
 
-def tag_splits(**splits: DataFrame) -> DataFrame:
-    """One table for several splits, tagged by a ``split`` column."""
-    out = None
-    for name, df in splits.items():
-        t = df.withColumn("split", F.lit(name))
-        out = t if out is None else out.unionByName(t, allowMissingColumns=True)
-    return out
-
-
 def row_counts(df: DataFrame, group: list[str] | None = None) -> DataFrame:
     """``count(*)`` (per group)."""
     return df.groupBy(*(group or [])).agg(F.count(F.lit(1)).alias("n"))

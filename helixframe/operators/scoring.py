@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from ..functions.codons import BASE_ORDER, MUTATION_BASES
 from ..functions.draws import draw, fires
 
-MAX_K = 8  # 4**8 = 65,536 weight rows: the broadcast bound
+MAX_K = 8  # 4**8 = 65,536 weight rows: the broadcast bound; longer k-mers are joined by shuffle
 
 
 def kmer_of_index(idx: Column, k: int) -> Column:
@@ -46,8 +46,8 @@ def rule_weight(kmer: Column, c: int, seed: int = 0) -> Column:
 
 def rule_weights(spark: SparkSession, n_classes: int, k: int = 3, seed: int = 0) -> DataFrame:
     """``(idx, w0 .. w{C-1})``: one row per k-mer, built from the md5 rule."""
-    if not 1 <= k <= MAX_K:
-        raise ValueError(f"k must be in 1..{MAX_K}")
+    if not 1 <= k <= 15:  # 4**15 numbers fit the k-mer text's arithmetic
+        raise ValueError("k must be in 1..15")
     ids = spark.range(4 ** k).select(F.col("id").alias("idx"))
     km = kmer_of_index(F.col("idx"), k)
     return ids.select("idx", *[rule_weight(km, c, seed).alias(f"w{c}") for c in range(n_classes)])
@@ -91,8 +91,15 @@ def _positions(seq: Column, k: int) -> Column:
     return F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
 
 
-def _sum_logits(long: DataFrame, keys: list[str], weights: DataFrame, n_classes: int) -> DataFrame:
-    j = long.join(F.broadcast(weights), "idx", "left")  # 4**k rows: a proven bound
+def _sum_logits(long: DataFrame, keys: list[str], weights: DataFrame, n_classes: int, k: int) -> DataFrame:
+    if k > MAX_K:  # equal k-mers of a sequence are counted before the join, absent ones (null) leave it
+        counts = long.where("idx IS NOT NULL").groupBy(*keys, "idx").agg(F.count("*").alias("_n"))
+        hit = counts.join(weights, "idx").select(*keys, *[(F.col(f"w{c}") * F.col("_n")).alias(f"w{c}")
+                                                         for c in range(n_classes)])
+        none = long.select(*keys).distinct()  # sequences without any k-mer score 0
+        j = hit.unionByName(none.select(*keys, *[F.lit(0).cast("bigint").alias(f"w{c}") for c in range(n_classes)]))
+    else:
+        j = long.join(F.broadcast(weights), "idx", "left")  # 4**k rows: a proven bound
     g = j.groupBy(*keys).agg(*[F.coalesce(F.sum(f"w{c}"), F.lit(0)).cast("bigint").alias(f"l{c}")
                               for c in range(n_classes)])
     return g.select(*keys, F.array(*[F.col(f"l{c}") for c in range(n_classes)]).alias("logits"))
@@ -105,7 +112,7 @@ def kmer_logits(df: DataFrame, seq: str, keys: list[str], weights: DataFrame, n_
     long = df.select(*keys, raw).select(*keys, "_raw", F.explode_outer(_positions(F.col("_raw"), k)).alias("_p"))
     codes = [base_code(_byte_at(F.col("_raw"), F.col("_p") + j)) for j in range(k)]
     long = _with_codes(long, keys, codes)
-    return _sum_logits(long, keys, weights, n_classes)
+    return _sum_logits(long, keys, weights, n_classes, k)
 
 
 def attack_logits(df: DataFrame, seq: str, row_id: str, iterations: Column, weights: DataFrame,
@@ -123,7 +130,7 @@ def attack_logits(df: DataFrame, seq: str, row_id: str, iterations: Column, weig
     it = F.col("iteration")
     codes = [_mutated_code(raw, rid, it, F.col("_p") + j, rate, seed) for j in range(k)]
     long = _with_codes(long, [row_id, "iteration", *keys], codes)
-    return _sum_logits(long, [row_id, "iteration", *keys], weights, n_classes)
+    return _sum_logits(long, [row_id, "iteration", *keys], weights, n_classes, k)
 
 
 def predict(logits: str = "logits") -> Column:

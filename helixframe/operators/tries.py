@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from ..functions.codons import BASE_ORDER, MUTATION_BASES
 from ..functions.draws import draw_np, threshold
+from .scoring import MAX_K
 
 PIECE = 3 << 18  # characters of a piece, without the overlap: whole codons
 RUN = 1 << 20  # characters worked on together
@@ -40,6 +41,8 @@ def pieces(df: DataFrame, seq: str, keys: list[str], k: int = 1, size: int = PIE
 
 def weight_matrix(weights: DataFrame, n_classes: int, k: int) -> np.ndarray:
     """The scorer's ``4**k`` rows as an array, with a row of zeros behind them for k-mers of other letters."""
+    if k > MAX_K:
+        raise ValueError(f"k = {k}: beyond {MAX_K} the weights are joined, see scoring.kmer_logits")
     out = np.zeros((4 ** k + 1, n_classes), dtype=np.int64)
     for r in weights.collect():  # 4**k rows
         out[r["idx"]] = [r[f"w{c}"] for c in range(n_classes)]

@@ -67,8 +67,9 @@ def clean_scores(s, model):
 def attacked(spark, sf_dir):
     """The attack over all tries: sequences, clean scores, first successes, and the state at each snapshot."""
     s, model = victim(spark, sf_dir)
-    clean = clean_scores(s, model)
-    found = A.first_success(s, "dna", "row_id", "y", **model, rate=RATE, max_iter=MAX_ITER, seed=SEED)
+    clean, first = A.clean_and_first(s, "dna", "row_id", "y", **model, rate=RATE, seed=SEED)
+    found = A.first_success(s, "dna", "row_id", "y", **model, rate=RATE, max_iter=MAX_ITER, seed=SEED,
+                            schedule=ROUNDS["nucl"][1:], known=first, start=2)
     return s, clean, found, A.states(clean, found, intervals=SNAPSHOTS)
 
 

@@ -36,7 +36,9 @@ def canon(rows, cols):
                                   "k03_encode", "a18_histogram", "a01_wide", "a03_heads", "f04_ambiguous",
                                   "f15_softmax", "l04_label_encoder", "m07_batch_scoring", "m10_before_after",
                                   "m10_rate_sweep", "s01_read_sequences", "s02_read_metadata",
-                                  "s03_wide_embeddings", "s07_snapshots", "a21_best_candidate"])
+                                  "s03_wide_embeddings", "s07_snapshots", "a21_best_candidate", "w02_cascade",
+                                  "f14_rate_sweep", "s04_biom", "k06_batch_padding", "a15_named_confusion", "m02_assemble",
+                                  "m03_random_forest", "p08_keep_correct", "s08_report_file", "w04_codon_attack_50"])
 def test_oracle_agrees(spark, name):
     con = duckdb.connect()
     for t in TABLES:

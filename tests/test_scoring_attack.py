@@ -66,6 +66,16 @@ def test_first_success_brute_force(spark):
     assert found == brute
 
 
+def test_long_kmers_are_joined_by_shuffle(spark):
+    df = fixture(spark, 12, 3)
+    w = rule_weights(spark, 2, 9)
+    rows = {r["idx"]: (r["w0"], r["w1"]) for r in w.collect()}
+    got = {r["row_id"]: r["logits"] for r in kmer_logits(df, "dna", ["row_id"], w, 2, 9).collect()}
+    assert got == {r["row_id"]: brute_logits(r["dna"], rows, 9) for r in df.collect()}
+    with pytest.raises(ValueError, match="joined"):
+        A.score(df, "dna", "row_id", w, 2, 9)
+
+
 def test_same_result_on_1_and_8_partitions(spark):
     df = fixture(spark, 30, 7)
     w = rule_weights(spark, 4, 3)

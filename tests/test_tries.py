@@ -92,6 +92,17 @@ def test_a_long_sequence_is_work_for_many_tasks(spark):
     assert pos == {(1, "ACG"), (2, "CGT")}
 
 
+def test_first_try_with_the_clean_pass_changes_nothing(spark):
+    df = fixture(spark, 40, 8, letters="ACGT").where("dna IS NOT NULL")
+    w = rule_weights(spark, 4, 3)
+    plain = {tuple(r) for r in A.first_success(df, "dna", "row_id", "y", w, 4, 3, 0.1, 12).collect()}
+    clean, first = A.clean_and_first(df, "dna", "row_id", "y", w, 4, 3, 0.1)
+    split = A.first_success(df, "dna", "row_id", "y", w, 4, 3, 0.1, 12, (4, 20), known=first, start=2)
+    assert plain == {tuple(r) for r in split.collect()} and len(plain) > 20
+    want = {r["row_id"]: r["y_hat"] for r in A.score(df, "dna", "row_id", w, 4).collect()}
+    assert {r["row_id"]: r["y_orig"] for r in clean.collect()} == want
+
+
 def brute_cascade(rows):
     rec, out = {}, []
     zero = sorted((r for r in rows if r[0] == 0), key=lambda r: r[1])
