@@ -25,8 +25,8 @@ s AS (SELECT j, arg_min(i, (CASE WHEN NOT cut AND abs({SHARDS} * start - j * tot
     THEN 0 ELSE 1 END, abs({SHARDS} * start - j * total), i)) AS first
   FROM b, (SELECT coalesce(sum(size), 0) AS total FROM d), range(1, {SHARDS}) r(j) GROUP BY j)
 SELECT doc_id, CAST(size AS BIGINT) AS size,
-  CAST(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(range(1, 2 * size - 1, 2),
-    lambda p: CAST('0x' || substr(hex(encode(x)), p, 2) AS BIGINT))),
+  CAST(xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(regexp_extract_all(hex(encode(x)), '..'),
+    lambda b: CAST('0x' || b AS BIGINT))),
     lambda a, v: xor(a >> 8, t[(xor(a, v) & 255) + 1]))) AS BIGINT) AS text_crc32,
   'bytes' AS law, CAST((SELECT count(*) FROM s WHERE s.first <= o.i) AS INTEGER) AS shard,
   CAST(i - coalesce((SELECT max(first) FROM s WHERE s.first <= o.i), 0) AS BIGINT) AS slot,
