@@ -26,7 +26,7 @@ from ..functions.mutation import ATTACKS, mutate, point_mutation_batch
 from ..session import materialize
 from .frames import keep_correct
 from .scoring import attack_logits, kmer_logits, predict
-from .tries import mutated_texts, try_logits, weight_matrix
+from .tries import codon_mutated_text, mutated_texts, try_logits, weight_matrix
 
 
 def score(df: DataFrame, seq: str, key: str, weights: DataFrame, n_classes: int, k: int = 3,
@@ -119,13 +119,21 @@ def clean_and_first(df: DataFrame, seq: str, row_id: str, y: str, weights: DataF
             hits.select(row_id, F.lit(1).alias("success_iteration"), F.col("_p").alias("y_atk")))
 
 
+def _attacked_text(attack: str, seq: str, row_id: str, iteration: Column, rate: float, seed: int) -> Column:
+    """The text of one try (null without an iteration), in batches where the attack has a batch form."""
+    if attack == "nucl":
+        return point_mutation_batch(seq, F.col(row_id), iteration, rate, seed)
+    if attack == "codon":
+        return codon_mutated_text(F.col(seq), F.col(row_id), iteration, rate, seed)
+    return mutate(attack, seq, F.col(row_id), iteration, rate, seed)
+
+
 def attack_outcome(df: DataFrame, seq: str, row_id: str, y: str, found: DataFrame,
                    rate: float = 0.1, seed: int = 0, attack: str = "nucl") -> DataFrame:
     """Every row with its final text: the mutated text of its first success, else the original."""
     j = df.select(row_id, y, seq).join(found, row_id, "left")
     it = F.col("success_iteration")
-    mutated = (point_mutation_batch(seq, F.col(row_id), it, rate, seed) if attack == "nucl"
-               else mutate(attack, seq, F.col(row_id), it, rate, seed))
+    mutated = _attacked_text(attack, seq, row_id, it, rate, seed)
     final = F.when(it.isNull(), F.col(seq)).otherwise(mutated)
     return j.select(row_id, y, "success_iteration", "y_atk", final.alias(seq))
 
@@ -150,8 +158,7 @@ def snapshots(state: DataFrame, found: DataFrame, original: DataFrame, seq: str,
     """The saved tables: ``(row_id, iteration, rate, y, y_hat, success, seq)``; ``y_hat`` is the state's prediction."""
     j = state.join(original.select(row_id, seq), row_id).join(found.select(row_id, "success_iteration"), row_id, "left")
     it = F.when(F.col("success"), F.col("success_iteration"))
-    mutated = (point_mutation_batch(seq, F.col(row_id), it, rate, seed) if attack == "nucl"
-               else mutate(attack, seq, F.col(row_id), it, rate, seed))
+    mutated = _attacked_text(attack, seq, row_id, it, rate, seed)
     return j.select(row_id, "iteration", F.lit(float(rate)).alias("rate"), "y", F.col("y_atk").alias("y_hat"),
                     "success", F.coalesce(mutated, F.col(seq)).alias(seq))
 

@@ -63,7 +63,7 @@ def mutated(chars: np.ndarray, x: np.ndarray, rate: float) -> np.ndarray:
     return np.where(x < threshold(rate), bases[(x // 1000) % 4], chars)
 
 
-def codons_mutated(chars: np.ndarray, row: np.ndarray, iteration: int, place: np.ndarray, rate: float, seed: int) -> np.ndarray:
+def codons_mutated(chars: np.ndarray, row: np.ndarray, iteration, place: np.ndarray, rate: float, seed: int) -> np.ndarray:
     """The characters with the drawn letters where their codon's draw fires; a place behind the end (character 0) is
     filled only then, as a last codon of one or two letters becomes one of three."""
     x = draw_np(row, iteration, (place - 1) // 3 + 1, seed)
@@ -195,3 +195,25 @@ def mutated_texts(seq, row_id, iteration: int, rates: list[float], seed: int = 0
         return pd.Series(made, index=s.index, dtype=object)
 
     return texts(F.coalesce(seq, F.lit("")), row_id.cast("bigint"))
+
+
+def codon_mutated_text(seq, row_id, iteration, rate: float, seed: int = 0):
+    """F10 in batches: equal to ``mutation.codon_mutation``; null where an input is null."""
+
+    @F.pandas_udf("string")
+    def texts(s: pd.Series, ids: pd.Series, its: pd.Series) -> pd.Series:
+        ok = s.notna() & ids.notna() & its.notna()
+        rows = [t + "\0" * (-len(t) % 3) for t in s[ok]]
+        lens = np.array([len(t) for t in rows], dtype=np.int64)
+        ids, its = ids[ok].to_numpy(dtype=np.int64), its[ok].to_numpy(dtype=np.int64)
+        made = []
+        for a, b in runs(lens, RUN):
+            chars, offsets = characters(pa.array(rows[a:b], pa.string()))
+            place = np.arange(len(chars)) - np.repeat(offsets[:-1], lens[a:b]) + 1
+            new = codons_mutated(chars, np.repeat(ids[a:b], lens[a:b]), np.repeat(its[a:b], lens[a:b]), place, rate, seed)
+            made += [t.rstrip("\0") for t in split_text(new, offsets)]
+        out = pd.Series([None] * len(s), index=s.index, dtype=object)
+        out[ok] = made
+        return out
+
+    return texts(seq, row_id.cast("bigint"), iteration.cast("bigint"))

@@ -51,6 +51,14 @@ def test_codon_tries_equal_scoring_the_mutated_text(spark, size):
         assert plain == {i: v for (i, u), v in got.items() if u == t}
 
 
+def test_codon_texts_equal_the_column_form(spark):
+    df = fixture(spark, 50, 6).withColumn("it", F.when(F.col("row_id") % 5 != 0, F.col("row_id") % 7))
+    got = df.select("row_id", R.codon_mutated_text(F.col("dna"), F.col("row_id"), F.col("it"), 0.4).alias("m"),
+                    codon_mutation("dna", F.col("row_id"), F.col("it"), 0.4).alias("want"), "it", "dna").collect()
+    assert all(r["m"] == r["want"] for r in got if r["it"] is not None and r["dna"] is not None)
+    assert all(r["m"] is None for r in got if r["it"] is None or r["dna"] is None)
+
+
 def test_digests_agree_exactly_for_equal_texts(spark):
     df = fixture(spark, 60).union(spark.createDataFrame([(i, "AC", 0) for i in range(2000, 2040)], "a long, b string, c int"))
     w = R.weight_matrix(rule_weights(spark, 4, 3), 4, 3)
