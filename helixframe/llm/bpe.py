@@ -11,8 +11,9 @@ on). The longest such chain, weighted by len(u), is a sufficient lookahead: a
 token that ends that many bytes before the end of what was read is stable. The
 transducer reads a block, merges it, emits the stable tokens and goes on with
 the rest, so memory is one block however long the piece is. Short
-pieces are merged many at once, and a memo of words, bounded in entries, holds
-the results.
+pieces are merged many at once, and a memo of short words, bounded in bytes, holds
+the results. A long text is encoded part by part, cut where a piece always starts,
+so word lists are those of one part.
 
 Decoding. Token bytes are fed to an incremental UTF-8 machine that keeps the
 open bytes of a character between tokens; malformed bytes become U+FFFD.
@@ -25,6 +26,7 @@ from __future__ import annotations
 import codecs
 import heapq
 import json
+import sys
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +42,9 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 #: What the split pattern's library calls white space (the Unicode property).
 SPACES = r"\t-\r\x20\x85\xA0  -     　"
 
-MEMO_ENTRIES = 600_000  # words that a task remembers
+MEMO_BYTES = 64 << 20  # of the words that a task remembers
+ENTRY = 100  # bytes of a dictionary entry beside its key and value
+PART = 1 << 20  # characters of a long text that are split into words together, about
 SHORT = 64  # bytes; pieces up to here are merged many at once, longer ones go through the transducer's blocks
 NONE = np.int32(2**31 - 1)
 
@@ -115,6 +119,7 @@ class Encoder:
         self.cut = regex.compile("|".join(regex.escape(s) for s in sorted(special, key=len, reverse=True))
                                  or r"(?!)")
         self.words: dict[str, bytes | None] = {}  # what follows a space -> packed ids; None: needs its neighbours
+        self.held = 0  # bytes of the words remembered
 
     # -- merging
 
@@ -250,31 +255,60 @@ class Encoder:
                               np.array([self.special[m[0]]], dtype="<u4").tobytes()]
                     at = m.end()
                 out[i] = b"".join([*parts, self.encode_batch([text[at:]])[0]])
+            elif len(text) > PART:
+                out[i] = b"".join([self._plain([part])[0] for part in self.parts(text)])
             else:
                 plain.append((i, text))
-        split = [t.split(" ") for _, t in plain]
-        new = set().union(*(p[1:] for p in split)) - self.words.keys() if split else set()
-        if len(self.words) + len(new) > MEMO_ENTRIES:
-            self.words.clear()
-            new = set().union(*(p[1:] for p in split))
-        alone = [w for w in new if w and w[0] not in self.spaces and w[-1] not in self.spaces]
-        self.words.update(dict.fromkeys(new))
-        self.words.update(zip(alone, self._spaced(alone), strict=True))
+        for (i, _), ids in zip(plain, self._plain([t for _, t in plain]), strict=True):
+            out[i] = ids
+        return out
+
+    def parts(self, text: str):
+        """Parts of a long text, each cut before a space between two characters that are not white space."""
+        start, last = 0, len(text) - 1
+        while last - start > PART:
+            at = text.find(" ", start + PART, last)
+            while at > 0 and (text[at - 1] in self.spaces or text[at + 1] in self.spaces):
+                at = text.find(" ", at + 1, last)
+            if at < 0:
+                break
+            yield text[start:at]
+            start = at
+        yield text[start:]
+
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """Packed ids of texts without special tokens."""
+        split = [t.split(" ") for t in texts]
         words, slow = self.words, []
-        first = self._pieces([p[0] for p in split])
-        for (i, text), parts, head in zip(plain, split, first, strict=True):
+        new = set().union(*(p[1:] for p in split)) - words.keys() if split else set()
+        alone = [w for w in new if w and w[0] not in self.spaces and w[-1] not in self.spaces]
+        words.update(dict.fromkeys(new))
+        words.update(zip(alone, self._spaced(alone), strict=True))
+        out = self._pieces([p[0] for p in split])
+        for i, parts in enumerate(split):
             if len(parts) == 1:
-                out[i] = head
                 continue
             tail = [words[w] for w in parts[1:]]
             if None in tail or not parts[0] or parts[0][-1] in self.spaces:
-                slow.append((i, text))
+                slow.append(i)
             else:
-                out[i] = head + b"".join(tail)
-        for (i, _), got in zip(slow, self._pieces([t for _, t in slow]), strict=True):
+                out[i] += b"".join(tail)
+        for i, got in zip(slow, self._pieces([texts[i] for i in slow]), strict=True):
             out[i] = got
+        self._remember(new)
         return out
 
+    def _remember(self, new: set[str]) -> None:
+        """Of words just met, keep the short ones; beyond the memo's bound, begin anew."""
+        for w in new:
+            if len(w) > SHORT:
+                del self.words[w]
+            else:
+                self.held += ENTRY + sys.getsizeof(w) + sys.getsizeof(self.words[w])
+        if self.held > MEMO_BYTES:
+            self.words.clear()
+            self.held = 0
+
     def encode(self, text: str | None) -> bytes:
         return self.encode_batch([text])[0]
 

@@ -67,6 +67,25 @@ def test_blocks_do_not_change_the_tokens(encoder):
             encoder.block = block
 
 
+def test_long_texts_go_part_by_part_and_the_memo_is_bounded(encoder, library, monkeypatch):
+    rng = random.Random(7)
+    words = ["a", "the", "\n", "é", "it's", "", "日本", "🙂x", "\t", "tab\t", "x" * 80, " ", "end.", "<|endoftext|>"]
+    texts = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 400))) for _ in range(40)]
+    texts += [" " * 500, " a" * 300, "a " * 300, "a" * 500 + " b", "x" * 99 + "  " * 99]
+    for part in (1, 7, 64):
+        monkeypatch.setattr(bpe, "PART", part)
+        for text in texts:
+            assert "".join(encoder.parts(text)) == text
+            assert encoder.encode(text) == ids(library, text)
+    monkeypatch.setattr(bpe, "MEMO_BYTES", 2000)
+    encoder.words.clear()
+    encoder.held = 0
+    for n in range(300):
+        text = f"some {n} words {n * 7919} " + "y" * n + " and more"
+        assert encoder.encode(text) == ids(library, text)
+        assert encoder.held <= 2000 and len(encoder.words) <= 20 and max(map(len, encoder.words), default=0) <= bpe.SHORT
+
+
 def test_lookahead_of_a_small_merge_list():
     # b"ab" joins first; a chain through c needs both left parts
     size = {0: b"a", 1: b"b", 2: b"c", 3: b"ab", 4: b"cab"}
