@@ -29,6 +29,7 @@ from pyspark.sql import types as T
 from .common import hash_sample, map_columns, mix
 
 BUCKETS = 1 << 15
+PART = 1 << 20  # characters whose trigrams are looked at together, about
 PER_LANGUAGE = 1500  # labelled documents learned from, at most, for each language
 SWITCH = 8.0  # log-probability cost of a change of language between two words
 SCRIPT_SHARE = 0.005  # a language uses a script that holds this share of its letters
@@ -131,6 +132,36 @@ def learn(docs: DataFrame, text: str = "text", lang: str = "lang", per_language:
     return {"langs": langs, "prob": prob.astype(np.float32), "uses": uses & (scripts > 0)}
 
 
+def parts(text: str):
+    """Parts of a text (offset, part) of about PART characters, each cut before a character that is no letter."""
+    start = 0
+    while len(text) - start > PART:
+        stop = start + PART
+        while stop < len(text) and text[stop].isalpha():
+            stop += 1
+        yield start, text[start:stop]
+        start = stop
+    yield start, text[start:]
+
+
+def scored_words(texts: list[str | None], letters: Letters, model: dict) -> tuple[np.ndarray, ...]:
+    """Start and stop in its text, text number and scores of every word; one part of a long text at a time."""
+    runs: list[tuple[int, int, list[str | None]]] = []  # first text, offset in it, texts or the part of one
+    for i, t in enumerate(texts):
+        if t is not None and len(t) > PART:
+            runs += [(i, a, [part]) for a, part in parts(t)]
+        elif runs and runs[-1][1] == 0 and len(texts[i - 1] or "") <= PART:
+            runs[-1][2].append(t)
+        else:
+            runs.append((i, 0, [t]))
+    found = []
+    for first, at, run in runs:
+        w = Words(run, letters)
+        shift = at - w.offset[w.doc]
+        found.append((w.start + shift, w.stop + shift, w.doc + first, word_scores(w, model)))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+
 def word_scores(w: Words, model: dict) -> np.ndarray:
     """Score of every word per language; languages that do not use the word's script are out."""
     out = np.zeros((len(w.start), len(model["langs"])), dtype=np.float32)
@@ -192,28 +223,27 @@ def identify(docs: DataFrame, model: dict, text: str = "text", keep: list[str] |
         langs = np.array(model["langs"], dtype=object)
 
         def fn(batch):
-            w = Words(batch.column(text).to_pylist(), letters)
             n_docs = batch.num_rows
-            if not len(langs) or not len(w.start):
+            if not len(langs) or not n_docs:
                 return [[UNKNOWN] * n_docs, np.zeros(n_docs), [[]] * n_docs]
-            n = np.bincount(w.doc, minlength=n_docs)
+            begin, end, doc, score = scored_words(batch.column(text).to_pylist(), letters, model)
+            n = np.bincount(doc, minlength=n_docs)
             first = np.cumsum(n) - n
-            label = viterbi(word_scores(w, model), first, n)
+            label = viterbi(score, first, n)
             weight = np.zeros((n_docs, len(langs)))
-            np.add.at(weight, (w.doc, label), w.size)
+            np.add.at(weight, (doc, label), end - begin)
             total = weight.sum(axis=1)
             best = weight.argmax(axis=1)
             share = np.where(total > 0, weight[np.arange(n_docs), best] / np.maximum(total, 1), 0.0)
             # a span runs from its first word's start to its last word's end
             new = np.ones(len(label), dtype=bool)
-            new[1:] = (label[1:] != label[:-1]) | (w.doc[1:] != w.doc[:-1])
+            new[1:] = (label[1:] != label[:-1]) | (doc[1:] != doc[:-1])
             a = np.flatnonzero(new)
-            b = np.append(a[1:], len(label)) - 1
+            b = np.append(a[1:], len(label))[:len(a)] - 1
             spans = pa.StructArray.from_arrays(
-                [pa.array(w.start[a] - w.offset[w.doc[a]], pa.int64()),
-                 pa.array(w.stop[b] - w.offset[w.doc[a]], pa.int64()), pa.array(langs[label[a]], pa.string())],
+                [pa.array(begin[a], pa.int64()), pa.array(end[b], pa.int64()), pa.array(langs[label[a]], pa.string())],
                 names=["start", "stop", "lang"])
-            edges = np.searchsorted(w.doc[a], np.arange(n_docs + 1)).astype(np.int32)
+            edges = np.searchsorted(doc[a], np.arange(n_docs + 1)).astype(np.int32)
             return [np.where(total > 0, langs[best], UNKNOWN), share,
                     pa.ListArray.from_arrays(pa.array(edges), spans)]
 
