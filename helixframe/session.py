@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -54,11 +55,23 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared checkpoint folder."""
-    import uuid
+def scratch_folder(spark: SparkSession, label: str) -> str:
+    """A fresh folder under the shared checkpoint folder; its file system deletes it when the application ends.
+
+    Frames read intermediates lazily, so no earlier moment is known to be safe.
+    """
+    sc = spark.sparkContext
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    folder = sc._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(sc._jsc.hadoopConfiguration())
+    files.mkdirs(folder)
+    files.deleteOnExit(folder)
+    return path
+
 
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/helix-{uuid.uuid4().hex}/{name}"
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name for one intermediate."""
+    return f"{scratch_folder(spark, 'helix')}/{name}"
 
 
 def materialize(df, name: str = "part", key: str | None = None):

@@ -2,7 +2,10 @@
 
 import json
 import os
+import subprocess
+import sys
 import tempfile
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -189,3 +192,21 @@ def test_s6_csv_needs_a_width(spark):
     df = spark.createDataFrame([("S1", [1.0])], "sample_name string, emb array<double>")
     with pytest.raises(ValueError, match="width"):
         W.write_table(df, os.path.join(tmp(), "x"), fmt="csv", vec="emb")
+
+
+def test_intermediates_go_when_the_application_ends(tmp_path):
+    code = f"""
+import glob
+from pyspark.sql import SparkSession
+spark = (SparkSession.builder.master("local[1]").config("spark.ui.enabled", "false")
+         .config("spark.checkpoint.dir", "{tmp_path}").getOrCreate())
+from helixframe.session import materialize
+assert materialize(spark.range(5)).count() == 5
+assert glob.glob("{tmp_path}/**/*.parquet", recursive=True)
+"""
+    subprocess.run([sys.executable, "-c", code], check=True, cwd=os.path.dirname(os.path.dirname(__file__)), timeout=300)
+    for _ in range(100):  # the JVM ends a moment after Python
+        if not list(tmp_path.rglob("*.parquet")):
+            break
+        time.sleep(0.2)
+    assert not list(tmp_path.rglob("helix-*")) and not list(tmp_path.rglob("*.parquet"))
