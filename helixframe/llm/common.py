@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import gc
-import uuid
 
 import numpy as np
 import pyarrow as pa
@@ -12,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..session import ensure_checkpoint_dir
+from ..session import scratch_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,12 +24,12 @@ class Scratch:
 
     ``keep`` writes a frame and reads it back: its lineage is cut, a lost
     executor re-runs only its own tasks, and the shuffles behind it can go.
-    ``drop`` deletes what is no longer needed.
+    ``drop`` deletes what is no longer needed; the rest goes when the application ends.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
-        self.root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+        self.root = scratch_folder(spark, label)
 
     def keep(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
