@@ -53,16 +53,26 @@ def base_of(x: Column, shift: int = 0) -> Column:
     return F.lit(MUTATION_BASES).substr(idx.cast("int"), F.lit(1))
 
 
-def draw_np(row_id, iteration, position, seed=0) -> np.ndarray:
-    """numpy twin of :func:`draw` (int64 arithmetic, broadcasts over arrays)."""
+def draw_sum(row_id, iteration, position, seed=0) -> np.ndarray:
+    """The linear part of a draw: sums of rows, positions and iterations may be added up one by one."""
     part = lambda v, k: np.fmod(np.asarray(v, dtype=np.int64), PRIME) * k  # noqa: E731 - the sign follows v, as in SQL
-    x = np.fmod(part(row_id, K_ROW) + part(iteration, K_ITER) + part(position, K_POS) + part(seed, 1), PRIME)
+    return part(row_id, K_ROW) + part(iteration, K_ITER) + part(position, K_POS) + part(seed, 1)
+
+
+def draw_of_sum(x: np.ndarray) -> np.ndarray:
+    """The draw from its linear part."""
+    x = np.fmod(x, PRIME)
     x = (x * x + K_ADD1) % PRIME
     x = (x * K_MUL1) % PRIME
     x = (x * x + K_ADD2) % PRIME
     return (x * K_MUL2) % PRIME
 
 
+def draw_np(row_id, iteration, position, seed=0) -> np.ndarray:
+    """numpy twin of :func:`draw` (int64 arithmetic, broadcasts over arrays)."""
+    return draw_of_sum(draw_sum(row_id, iteration, position, seed))
+
+
 def draw_sql(row: str, it: str, pos: str, seed: str | int = 0) -> str:
     """DuckDB text of :func:`draw` (used by the oracles)."""
     x = (f"((CAST({row} AS BIGINT) % {PRIME} * {K_ROW} + CAST({it} AS BIGINT) % {PRIME} * {K_ITER} + "
