@@ -223,13 +223,7 @@ SELECT row_id, attack,
               ELSE {aa_to_dna_sql(dna_to_aa_sql('dna'), 'row_id', '1')} END AS seq
 FROM seqs, (VALUES ('nucl'), ('codon'), ('bt')) a(attack)"""))
 def f13_attack_dispatch(spark, sf_dir):
-    attacks = spark.createDataFrame([(a,) for a in M.ATTACKS], "attack string")
-    s = S.seqs(spark, sf_dir).crossJoin(F.broadcast(attacks))  # 3 rows: a proven bound
-    rid = F.col("row_id")
-    seq = F.when(F.col("attack") == "nucl", M.mutate("nucl", "dna", rid, 1, RATE)) \
-        .when(F.col("attack") == "codon", M.mutate("codon", "dna", rid, 1, RATE)) \
-        .otherwise(M.mutate("bt", "dna", rid, 1, RATE))
-    return s.select("row_id", "attack", seq.alias("seq"))
+    return _by_attack(S.seqs(spark, sf_dir), M.ATTACKS, (1,))
 
 
 def _f14_sql() -> str:
