@@ -187,8 +187,9 @@ def _f12_sql() -> str:
 
 @register("f12_repeated_attack", _f12_sql())
 def f12_repeated_attack(spark, sf_dir):
-    return S.seqs(spark, sf_dir).select(
-        "row_id", M.repeated_attack("nucl", "dna", F.col("row_id"), F12_ITERS, RATE).alias("seq"))
+    s = S.seqs(spark, sf_dir).select("row_id", "dna")
+    return attacked_texts(s, "dna", "row_id", [("nucl", RATE, range(1, F12_ITERS + 1))]).select(
+        "row_id", F.col("t")[0].alias("seq"))
 
 
 def _f12_rounds_sql(attack: str) -> str:

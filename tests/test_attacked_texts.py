@@ -42,7 +42,7 @@ def test_equal_to_the_columns(spark, attack, n, monkeypatch):
         assert (r.got, r.other) == (r.want, r.want_other)
 
 
-@pytest.mark.parametrize("name", ["f12_repeated_attack_codons", "f13_attack_dispatch"])
+@pytest.mark.parametrize("name", ["f12_repeated_attack_codons", "f12_repeated_attack", "f13_attack_dispatch"])
 def test_f12_f13_texts_are_built_in_batches(spark, name):
     """One pass over the texts, without an interpreted function per character."""
     text = plan(getattr(q_sequence, name)(spark, SF001))
