@@ -26,7 +26,7 @@ from ..functions.mutation import ATTACKS, mutate, point_mutation_batch
 from ..session import materialize
 from .frames import keep_correct
 from .scoring import attack_logits, kmer_logits, predict
-from .tries import codon_mutated_text, mutated_texts, try_logits, weight_matrix
+from .tries import attacked_texts, codon_mutated_text, mutated_texts, try_logits, weight_matrix
 
 
 def score(df: DataFrame, seq: str, key: str, weights: DataFrame, n_classes: int, k: int = 3,
@@ -156,11 +156,14 @@ def states(clean: DataFrame, found: DataFrame, row_id: str = "row_id", y: str =
 def snapshots(state: DataFrame, found: DataFrame, original: DataFrame, seq: str, row_id: str = "row_id",
               rate: float = 0.1, seed: int = 0, attack: str = "nucl") -> DataFrame:
     """The saved tables: ``(row_id, iteration, rate, y, y_hat, success, seq)``; ``y_hat`` is the state's prediction."""
-    j = state.join(original.select(row_id, seq), row_id).join(found.select(row_id, "success_iteration"), row_id, "left")
-    it = F.when(F.col("success"), F.col("success_iteration"))
-    mutated = _attacked_text(attack, seq, row_id, it, rate, seed)
-    return j.select(row_id, "iteration", F.lit(float(rate)).alias("rate"), "y", F.col("y_atk").alias("y_hat"),
-                    "success", F.coalesce(mutated, F.col(seq)).alias(seq))
+    # the text of a success is the same at every snapshot: it is built once a row, which the snapshots wait beside
+    states = state.groupBy(row_id).agg(F.collect_list(F.struct("iteration", "y", "y_atk", "success")).alias("_s"))
+    j = original.select(row_id, seq).join(states, row_id).join(found.select(row_id, "success_iteration"), row_id, "left")
+    j = attacked_texts(j, seq, row_id, [(attack, rate, ())], "_t", seed, iteration="success_iteration")
+    j = j.select(row_id, seq, "_t", F.explode("_s").alias("_s"))
+    mutated = F.when(F.col("_s.success"), F.col("_t")[0])
+    return j.select(row_id, "_s.iteration", F.lit(float(rate)).alias("rate"), "_s.y", F.col("_s.y_atk").alias("y_hat"),
+                    "_s.success", F.coalesce(mutated, F.col(seq)).alias(seq))
 
 
 def sticky_success(att: DataFrame, row_id: str = "row_id", iteration: str = "iteration",
@@ -199,7 +202,7 @@ def rate_sweep_steps(df: DataFrame, seq: str, row_id: str, rates: tuple[float, .
 
 
 def sweep_texts(seq: str, row_id: str, rates: tuple[float, ...], seed: int = 0, iteration: int = 1) -> Column:
-    """The attacked texts of all steps of the sweep, in order."""
+    """The attacked texts of all steps of the sweep, in order (``tries.attacked_texts`` for whole tables)."""
     return mutated_texts(F.col(seq), F.col(row_id), iteration, list(rates), seed)
 
 
