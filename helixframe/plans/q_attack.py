@@ -13,7 +13,7 @@ from ..operators import attack as A
 from ..operators import frames as FR
 from ..operators import labels as L
 from ..operators.scoring import predict, rule_weights
-from ..operators.tries import try_logits, weight_matrix
+from ..operators.tries import attacked_texts, try_logits, weight_matrix
 from ..session import materialize, shared_path
 from ..sources import standins as S
 from ..sources.sinks import write_snapshots
@@ -377,8 +377,8 @@ def m10_rate_sweep(spark, sf_dir):
 def w02_cascade(spark, sf_dir):
     _, c = cascaded(spark, sf_dir)
     labels = c.groupBy("row_id").agg(F.sort_array(F.collect_list(F.struct("step", "y"))).alias("ys"))  # one row a step
-    rows = S.seqs(spark, sf_dir).select("row_id", "dna").join(labels, "row_id")
-    texts = rows.select("row_id", "ys", A.sweep_texts("dna", "row_id", SWEEP, SEED).alias("t"))
+    rows = S.seqs(spark, sf_dir).select("row_id", F.coalesce("dna", F.lit("")).alias("dna")).join(labels, "row_id")
+    texts = attacked_texts(rows, "dna", "row_id", [("nucl", r, (1,)) for r in SWEEP], seed=SEED)
     each = texts.select("row_id", F.explode(F.arrays_zip("ys", "t")).alias("e"))
     return each.select("e.ys.step", "row_id", F.col("e.t").alias("seq"), "e.ys.y")
 

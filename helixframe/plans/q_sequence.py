@@ -10,7 +10,7 @@ from ..functions.codons import CODON_TABLE
 from ..functions.draws import K_ITER, draw_sql
 from ..sources import standins as S
 from ..functions.codons import ambiguous_codons
-from ..operators.tries import attacked_texts, mutated_texts
+from ..operators.tries import attacked_texts
 from ..session import shared_path
 from ..sources import readers, sinks
 from ..sources.tables import spread, table
@@ -237,7 +237,8 @@ def _f14_sql() -> str:
 @register("f14_rate_sweep", _f14_sql())
 def f14_rate_sweep(spark, sf_dir):
     s = S.seqs(spark, sf_dir)
-    texts = s.select("row_id", mutated_texts(F.col("dna"), F.col("row_id"), 1, RATES).alias("t"))
+    s = s.select("row_id", F.coalesce("dna", F.lit("")).alias("dna"))
+    texts = attacked_texts(s, "dna", "row_id", [("nucl", r, (1,)) for r in RATES])
     rates = F.array(*[F.lit(r) for r in RATES])
     each = texts.select("row_id", F.explode(F.arrays_zip(rates.alias("rate"), F.col("t").alias("seq"))).alias("e"))
     return each.select("row_id", "e.rate", "e.seq")
