@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from ..functions.mutation import ATTACKS, mutate, point_mutation_batch
 from ..session import materialize
 from .frames import keep_correct
-from .scoring import attack_logits, kmer_logits, predict
-from .tries import attacked_texts, codon_mutated_text, mutated_texts, try_logits, weight_matrix
+from .scoring import MAX_K, attack_logits, kmer_logits, predict
+from .tries import attacked_texts, mutated_texts, try_logits, weight_matrix
 
 
 def score(df: DataFrame, seq: str, key: str, weights: DataFrame, n_classes: int, k: int = 3,
@@ -72,8 +72,8 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
     (rows never broken are absent: join back with ``left`` to keep them).
     Rounds grow (``schedule``) because most rows break early: the first round
     tries every row once, later rounds try only the rows still standing.
-    ``attack`` is ``nucl`` or ``codon`` (scored batch by batch, no text leaves its task) or ``bt``
-    (texts built per try, then scored). With ``require_correct`` only rows whose
+    All attacks are scored batch by batch, no text leaves its task; only back-translations (``bt``) under a model of
+    k-mers beyond ``MAX_K`` letters are built per try, then scored. With ``require_correct`` only rows whose
     clean prediction ``y_orig`` is right are attacked. With ``known`` the successes
     of the tries before ``start`` are given (``clean_and_first``).
     """
@@ -86,7 +86,7 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
     if known is not None:
         pending = pending.join(known.select(row_id), row_id, "left_anti")
     bounds = round_bounds(max_iter, schedule, start)
-    matrix = weight_matrix(weights, n_classes, k) if attack != "bt" else None
+    matrix = weight_matrix(weights, n_classes, k) if attack != "bt" or k <= MAX_K else None
     for n, (start, end) in enumerate(bounds):
         its = F.sequence(F.lit(start), F.lit(end))
         if matrix is not None:
@@ -119,22 +119,12 @@ def clean_and_first(df: DataFrame, seq: str, row_id: str, y: str, weights: DataF
             hits.select(row_id, F.lit(1).alias("success_iteration"), F.col("_p").alias("y_atk")))
 
 
-def _attacked_text(attack: str, seq: str, row_id: str, iteration: Column, rate: float, seed: int) -> Column:
-    """The text of one try (null without an iteration), in batches where the attack has a batch form."""
-    if attack == "nucl":
-        return point_mutation_batch(seq, F.col(row_id), iteration, rate, seed)
-    if attack == "codon":
-        return codon_mutated_text(F.col(seq), F.col(row_id), iteration, rate, seed)
-    return mutate(attack, seq, F.col(row_id), iteration, rate, seed)
-
-
 def attack_outcome(df: DataFrame, seq: str, row_id: str, y: str, found: DataFrame,
                    rate: float = 0.1, seed: int = 0, attack: str = "nucl") -> DataFrame:
     """Every row with its final text: the mutated text of its first success, else the original."""
     j = df.select(row_id, y, seq).join(found, row_id, "left")
-    it = F.col("success_iteration")
-    mutated = _attacked_text(attack, seq, row_id, it, rate, seed)
-    final = F.when(it.isNull(), F.col(seq)).otherwise(mutated)
+    j = attacked_texts(j, seq, row_id, [(attack, rate, ())], "_t", seed, iteration="success_iteration")
+    final = F.when(F.col("success_iteration").isNull(), F.col(seq)).otherwise(F.col("_t")[0])
     return j.select(row_id, y, "success_iteration", "y_atk", final.alias(seq))
 
 
