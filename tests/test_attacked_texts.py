@@ -87,3 +87,14 @@ def test_f14_back_translations_are_scored_without_texts(spark, monkeypatch):
     monkeypatch.undo()
     monkeypatch.setattr(A, "kmer_logits", None)
     assert A.first_success(df, "dna", "row_id", "y", **model, **args).count() == len(scored)
+
+
+def test_f15_one_draw_a_codon(monkeypatch):
+    drawn = []
+    draw = R.draw_of_sum
+    monkeypatch.setattr(R, "draw_of_sum", lambda x: drawn.append(len(x)) or draw(x))
+    import numpy as np
+
+    weights = np.arange(65 * 4, dtype=np.int64).reshape(65, 4)
+    R._tries(pa.array([1]), pa.array([0]), pa.array(["ACG" * 100]), [(1, 0.1), (2, 0.1)], weights, 3, 0, R.PIECE, False, "codon")
+    assert drawn == [100, 100]
