@@ -10,14 +10,18 @@ import math
 import uuid
 from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (GBTClassificationModel, GBTClassifier, LogisticRegression,
                                        RandomForestClassifier)
-from pyspark.ml.feature import CountVectorizer, VectorAssembler
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import labels as L
+from ..operators.tokens import kmer_numbers
+from ..operators.tries import RUN, runs
 from ..session import ensure_checkpoint_dir
 
 
@@ -135,25 +139,41 @@ def beside_expression(model: PipelineModel, features: list[str], rows: DataFrame
     return model.transform(rows).withColumn("by_expression", ensemble_expression(model, features))
 
 
-UNKNOWN_KMER = "?"  # any k-mer with a letter other than ACGT
-
-
-def kmer_tokens(seq: Column, k: int = 3) -> Column:
-    """Overlapping k-mers of an ASCII sequence as an array (binary substr: O(1) per position)."""
-    raw = seq.cast("binary")
-    n = F.length(raw) - F.lit(k - 1)
-    pos = F.when(n >= 1, F.sequence(F.lit(1), n)).otherwise(F.array().cast("array<int>"))
-    cut = F.transform(pos, lambda p: raw.substr(p, F.lit(k)).cast("string"))
-    return F.transform(cut, lambda t: F.when(t.rlike(f"^[ACGT]{{{k}}}$"), t).otherwise(F.lit(UNKNOWN_KMER)))
-
-
-def sequence_classifier(k: int = 3, label: str = "label", weight: str = "weight",
-                        max_iter: int = 50) -> Pipeline:
-    """M6: k-mer counts (every ``ACGT`` k-mer and the unknown one) -> multinomial logistic regression."""
-    cv = CountVectorizer(inputCol="kmers", outputCol="features", vocabSize=4 ** k + 1)
+def kmer_counts(seq: Column, k: int = 3) -> Column:
+    """How often each k-mer stands in an ASCII sequence: an array by k-mer number (``tokens.kmer_numbers``), the last place
+    for any k-mer with a letter other than ``ACGT``. A missing sequence has none."""
+    @F.arrow_udf("array<double>")
+    def counts(texts: pa.Array) -> pa.Array:
+        made = [count_kmers(texts.slice(a, b - a), k) for a, b in
+                runs(np.asarray(pa.compute.utf8_length(texts), dtype=np.int64), RUN)]
+        size = 4 ** k + 1
+        flat = np.concatenate([m.ravel() for m in made]).astype(np.float64) if made else np.zeros(0)
+        return pa.ListArray.from_arrays(np.arange(len(texts) + 1, dtype=np.int32) * size, flat)
+
+    return counts(F.coalesce(seq, F.lit("")))
+
+
+def count_kmers(texts: pa.Array, k: int) -> np.ndarray:
+    raw = texts.cast(pa.large_binary())
+    offsets = np.frombuffer(raw.buffers()[1], np.int64)[raw.offset:raw.offset + len(raw) + 1]
+    data = np.frombuffer(raw.buffers()[2] or b"", np.uint8)[offsets[0]:offsets[-1]]
+    offsets, size = offsets - offsets[0], 4 ** k + 1
+    number = kmer_numbers(data, k)
+    number[number < 0] = size - 1
+    inside = np.ones(len(number), dtype=bool)
+    for j in range(1, k):  # windows over the end of a text
+        over = offsets[1:] - j
+        inside[over[(over >= 0) & (over < len(number))]] = False
+    owner = np.repeat(np.arange(len(texts), dtype=np.int64), np.diff(np.minimum(offsets, len(number))))
+    return np.bincount((owner * size + number)[inside], minlength=len(texts) * size).reshape(len(texts), size)
+
+
+def sequence_classifier(label: str = "label", weight: str = "weight", max_iter: int = 50) -> Pipeline:
+    """M6: k-mer counts (every ``ACGT`` k-mer and the unknown one, ``kmer_counts`` as a vector) -> multinomial logistic
+    regression. A k-mer that no training row has gets no weight."""
     lr = LogisticRegression(featuresCol="features", labelCol=label, weightCol=weight, family="multinomial",
                             maxIter=max_iter)
-    return Pipeline(stages=[cv, lr])
+    return Pipeline(stages=[lr])
 
 
 def save_model(model: PipelineModel, name: str = "model") -> str:

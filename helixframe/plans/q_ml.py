@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
 from ..operators import labels as L
@@ -139,14 +140,16 @@ def m05_metadata_report(spark, sf_dir):
 
 
 def _seq_training(spark, sf_dir):
+    """The rows with their k-mer counts, written once: fitting and scoring read them, not the texts."""
     s = labelled_seqs(spark, sf_dir).withColumn("label", F.col("y").cast("double"))
-    return s.withColumn("kmers", ml.kmer_tokens(F.col("dna"), SCORER_K))
+    s = s.select("row_id", "y", "split", "label", ml.kmer_counts(F.col("dna"), SCORER_K).alias("kmers"))
+    return materialize(s, "kmers", key="row_id").withColumn("features", array_to_vector("kmers"))
 
 
 def _fit_sequence_model(spark, sf_dir):
     s = _seq_training(spark, sf_dir)
     train = ml.balanced_weights(s.where(F.col("split") == "train"), "label")
-    return s, ml.sequence_classifier(SCORER_K).fit(train)
+    return s, ml.sequence_classifier().fit(train)
 
 
 # The fitted weights have no SQL form; the test rows, their labels and a bound on the accuracy do.
