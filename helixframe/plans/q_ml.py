@@ -87,7 +87,8 @@ def m02_assemble(spark, sf_dir):
 
 def _predictions(spark, sf_dir, target: str, kind: str):
     """Test rows with the model's prediction and that of its exported expression."""
-    d = _prepared(spark, sf_dir, target)
+    # spread by key: the trees' rows, with their hundred bag counts each, are read by many tasks on every pass
+    d = materialize(_prepared(spark, sf_dir, target), "prepared", key="row_id")
     train = d.where(F.col("split") == "train")
     if kind == "forest":
         model = ml.random_forest(NUMERIC + TEXT).fit(ml.balanced_weights(train, "label"))
