@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from .labels import numbered
 from .tries import pieces
@@ -31,6 +32,7 @@ FIRST_ID = 4
 
 DNA = "ACGT"
 MAX_CODES = 1 << 20  # entries of a dense id array (4 MB): 10-mers of DNA
+MAX_NUMBERED = 15  # letters of a k-mer over DNA whose number fits 31 bits
 RUN = 1 << 22  # bytes encoded together
 
 
@@ -47,9 +49,101 @@ def kmers(df: DataFrame, seq: str, key: str, k: int = 6, outer: bool = False) ->
                     F.col("_raw").substr(F.col("_p"), F.lit(k)).cast("string").alias("kmer"))
 
 
+def _letters(numbers: np.ndarray, k: int) -> np.ndarray:
+    """The k-mers of the numbers, as bytes of their letters."""
+    digits = np.stack([(numbers // 4 ** (k - 1 - j)) % 4 for j in range(k)], axis=1)
+    return np.frombuffer(DNA.encode(), np.uint8)[digits]
+
+
+def _piece_counts(raw: bytes, k: int) -> tuple[np.ndarray, np.ndarray, dict]:
+    """The numbers of a piece's k-mers over ``ACGT`` with their counts, and the counts of its other k-mers."""
+    n = max(len(raw) - k + 1, 0)
+    number = kmer_numbers(np.frombuffer(raw, np.uint8), k) if k <= MAX_NUMBERED else np.full(n, -1, dtype=np.int32)
+    own, counts = np.unique(number[number >= 0], return_counts=True)
+    others: dict[bytes, int] = {}
+    for i in np.flatnonzero(number < 0).tolist():
+        others[raw[i:i + k]] = others.get(raw[i:i + k], 0) + 1
+    return own, counts, others
+
+
 def kmer_counts(df: DataFrame, seq: str, key: str, k: int = 6) -> DataFrame:
-    """K1: ``(key, kmer, n)`` occurrences of each k-mer in each sequence."""
-    return kmers(df, seq, key, k).groupBy(key, "kmer").agg(F.count(F.lit(1)).alias("n"))
+    """K1: ``(key, kmer, n)`` occurrences of each k-mer in each sequence.
+
+    A piece's k-mers are counted where it is read and travel as one packed row, two short buffers. The packed rows of
+    a key stand side by side after a sort and are added up one key at a time, so no table of all (key, k-mer) groups is held."""
+    cut = pieces(df, seq, [key], k).select(key, F.col("piece").cast("binary").alias("_raw"))
+    other = "array<struct<kmer:binary,n:bigint>>"
+
+    @F.arrow_udf(f"struct<numbers:binary,counts:binary,others:{other}>")
+    def packed(raws: pa.Array) -> pa.Array:
+        rows = []
+        for raw in raws:
+            own, counts, others = _piece_counts(raw.as_py(), k)
+            rows.append({"numbers": own.astype(np.int32).tobytes(), "counts": counts.astype(np.int32).tobytes(),
+                         "others": [{"kmer": t, "n": n} for t, n in others.items()]})
+        return pa.array(rows, pa.struct([("numbers", pa.binary()), ("counts", pa.binary()), (
+            "others", pa.list_(pa.struct([("kmer", pa.binary()), ("n", pa.int64())])))]))
+
+    side = cut.select(key, packed("_raw").alias("_p")).repartition(key).sortWithinPartitions(key)
+    side = side.select(key, "_p.numbers", "_p.counts", "_p.others")
+
+    def added(batches):
+        """One list ``(key, numbers, counts, others)`` a key."""
+        last = None
+        for batch in batches:
+            rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            for name, numbers, counts, others in rows:
+                numbers, counts = np.frombuffer(numbers, np.int32), np.frombuffer(counts, np.int32).astype(np.int64)
+                if last is None or last[0] != name:
+                    if last is not None:
+                        yield last
+                    last = [name, numbers, counts, {}]
+                else:
+                    own, place = np.unique(np.concatenate([last[1], numbers]), return_inverse=True)
+                    total = np.zeros(len(own), dtype=np.int64)
+                    np.add.at(total, place, np.concatenate([last[2], counts]))
+                    last[1:3] = own, total
+                for o in others:
+                    last[3][o["kmer"]] = last[3].get(o["kmer"], 0) + o["n"]
+        if last is not None:
+            yield last
+
+    def unpacked(batches):
+        names, sizes, numbers, counts = [], [], [], []
+        schema = None
+
+        def out():
+            ids = pa.array(names, key_type).take(pa.array(np.repeat(np.arange(len(names)), sizes)))
+            own = np.concatenate(numbers)
+            texts = pa.FixedSizeBinaryArray.from_buffers(pa.binary(k), len(own), [None, pa.py_buffer(
+                np.ascontiguousarray(_letters(own, k)))]).cast(pa.binary())
+            return pa.RecordBatch.from_arrays([ids, texts, pa.array(np.concatenate(counts), pa.int64())],
+                                              names=[key, "kmer", "n"])
+
+        def peeked():
+            nonlocal schema
+            for batch in batches:
+                schema = batch.schema
+                yield batch
+
+        for name, own, n, others in added(peeked()):
+            key_type = schema.field(0).type
+            if len(own):
+                names.append(name)
+                sizes.append(len(own))
+                numbers.append(own)
+                counts.append(n)
+            if others:
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(others), key_type), pa.array(list(others), pa.binary()),
+                                                  pa.array(list(others.values()), pa.int64())], names=[key, "kmer", "n"])
+            if sum(sizes) >= RUN // 16:
+                yield out()
+                names, sizes, numbers, counts = [], [], [], []
+        if names:
+            yield out()
+
+    schema = S.StructType([df.schema[key], S.StructField("kmer", S.BinaryType()), S.StructField("n", S.LongType())])
+    return side.mapInArrow(unpacked, schema).select(key, F.col("kmer").cast("string").alias("kmer"), "n")
 
 
 def vocabulary(df: DataFrame, seq: str, key: str, k: int = 6, min_df: int = 1) -> DataFrame:
