@@ -13,11 +13,15 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CHUNK = 64  # positions summed in one row
 STEP = 1000  # copies in one block of a repeated row
+WIDE_RUN = 1 << 20  # numbers of wide vectors added up together
 BAND = 64  # width of a score band: exp(64) leaves room for 1e280 rows
 
 
@@ -35,6 +39,8 @@ def _pooled(df: DataFrame, key: str, vec: str, dim: int, weights: list[Column],
     (whole numbers) a weight counts ``exp(BAND * scale)`` times: rows are summed per scale, and the few sums of a
     group are brought to its largest scale at the end, so no weight overflows and none is shifted by hand.
     """
+    if dim > CHUNK and len(weights) == 1 and scales is None:
+        return _wide(df, key, vec, dim, weights[0])
     n, width = -(-dim // CHUNK), min(dim, CHUNK)
     parts = n * len(weights)  # chunks of the result
     rows = df.select(key, _checked(vec, dim).alias("_v"), F.array(*weights).alias("_ws"),
@@ -68,6 +74,56 @@ def _pooled(df: DataFrame, key: str, vec: str, dim: int, weights: list[Column],
     return back.select(key, "_w", F.transform("emb", lambda x: F.when(~F.isnan(x), x)).alias("emb"))
 
 
+def _wide(df: DataFrame, key: str, vec: str, dim: int, weight: Column) -> DataFrame:
+    """``_pooled`` of one weight for wide vectors: numpy adds up the rows of a key inside each run of an Arrow batch, and the
+    partial sums of a key, side by side after a sort, are added up one key at a time."""
+    rows = df.select(key, weight.cast("double").alias("_w"), _checked(vec, dim).cast("array<double>").alias("_v"))
+    step = max(WIDE_RUN // dim, 1)
+
+    def record(schema, names, w, n, sums):
+        flat = pa.array(np.ascontiguousarray(sums).ravel())
+        lists = pa.ListArray.from_arrays(np.arange(len(w) + 1, dtype=np.int32) * dim, flat)
+        return pa.RecordBatch.from_arrays([names, pa.array(w), pa.array(n, pa.int64()), lists],
+                                          names=[key, "_w", "_n", "_s"])
+
+    def partial(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part = batch.slice(a, step)
+                names = part.column(0).dictionary_encode(null_encoding="encode")
+                code = np.asarray(names.indices)
+                order = np.argsort(code, kind="stable")
+                given = np.asarray(part.column(1).is_valid())[order]
+                w = np.where(given, np.asarray(part.column(1).fill_null(0.0))[order], 0.0)
+                v = np.asarray(part.column(2).flatten().fill_null(float("nan"))).reshape(-1, dim)[order]
+                v = np.where(given[:, None], v * w[:, None], 0.0)  # a row without a weight does not count
+                starts = np.flatnonzero(np.diff(code[order], prepend=-1))
+                yield record(part.schema, names.dictionary.take(pa.array(code[order][starts])), np.add.reduceat(w, starts),
+                             np.add.reduceat(given.astype(np.int64), starts), np.add.reduceat(v, starts, axis=0))
+
+    def merged(batches):
+        last = schema = None
+        for batch in batches:
+            schema = batch.schema
+            for i, (name, w, n) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True)):
+                s = np.asarray(batch.column(3)[i].values)
+                if last is not None and last[0] == name:
+                    last = [name, last[1] + w, last[2] + n, last[3] + s]
+                    continue
+                if last is not None:
+                    yield record(schema, pa.array([last[0]], schema.field(0).type), [last[1]], [last[2]], last[3])
+                last = [name, w, n, s]
+        if last is not None:
+            yield record(schema, pa.array([last[0]], schema.field(0).type), [last[1]], [last[2]], last[3])
+
+    schema = T.StructType([df.schema[key], T.StructField("_w", T.DoubleType()), T.StructField("_n", T.LongType()),
+                           T.StructField("_s", T.ArrayType(T.DoubleType()))])
+    sums = rows.mapInArrow(partial, schema).repartition(key).sortWithinPartitions(key).mapInArrow(merged, schema)
+    w = F.when(F.col("_n") > 0, F.col("_w"))
+    sums = sums.select(key, w.alias("_w"), F.transform("_s", lambda x: F.try_divide(x, w)).alias("emb"))
+    return sums.select(key, F.array("_w").alias("_w"), F.transform("emb", lambda x: F.when(~F.isnan(x), x)).alias("emb"))
+
+
 def _one_scale(cells: Column) -> Column:
     """The sums of one chunk over all its scales, at the largest of them."""
     top = F.array_max(F.transform(cells, lambda x: x["k"]))

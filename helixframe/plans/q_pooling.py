@@ -80,7 +80,10 @@ def wide(spark, sf_dir):
     def scaled(j: int):
         return F.transform("emb", lambda x: x.cast("double") * F.lit(float(j)))
 
-    return S.otu_emb(spark, sf_dir).withColumn("emb", F.concat(*(scaled(j) for j in range(1, WIDE // EMB_DIM + 1))))
+    # rows of a sample stand together before they are widened, so a task's sums are few; a range of (sample, OTU) may
+    # end inside a large sample
+    rows = S.otu_emb(spark, sf_dir).repartitionByRange("sample_name", "otu_id").sortWithinPartitions("sample_name")
+    return rows.withColumn("emb", F.concat(*(scaled(j) for j in range(1, WIDE // EMB_DIM + 1))))
 
 
 @register("a01_wide", with_views("otu_emb", f"""
