@@ -144,8 +144,9 @@ def read_biom_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
         cells = cell.select(F.trim(F.col("n")[0]).cast("int").alias("r"), F.trim(F.col("n")[1]).cast("int").alias("c"),
                             F.trim(F.col("n")[2]).cast("double").alias("abundance"))
     else:
-        lines = numbered(lists.select("at", numbers.alias("n")), [F.col("at")], "r")
-        cells = lines.select("r", F.posexplode("n").alias("c", "x")).select(
+        # the lines are numbered as texts and split afterwards: a list of a line's numbers is many times its size
+        lines = numbered(lists.select("at", "body"), [F.col("at")], "r")
+        cells = lines.select("r", F.posexplode(numbers).alias("c", "x")).select(
             "r", "c", F.trim("x").cast("double").alias("abundance"))
     cells = cells.where("abundance != 0")
     triples = cells.join(rows.select(F.col("place").alias("r"), F.col("id").alias("otu_id")), "r").join(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,6 +35,28 @@ def write_report(metrics: DataFrame, path: str) -> None:
     lines.coalesce(1).write.mode("append").text(path)
 
 
+def dense_lines(rows: DataFrame, cells: DataFrame, n_cols: int) -> DataFrame:
+    """``(r, c, t)``: every row's numbers as text, zeros where it has no cell. Only the cells are joined and grouped; a row's
+    line is written out where its cells are, a few lines at a time."""
+    of_row = cells.groupBy("r").agg(F.collect_list(F.struct(
+        F.col("c").cast("int").alias("c"), F.coalesce("abundance", F.lit(0.0)).cast("string").alias("x"))).alias("xs"))
+    given = rows.join(of_row, "r", "left").select(F.col("r").cast("bigint").alias("r"), "xs.c", "xs.x")
+    step = max((1 << 20) // max(n_cols, 1), 1)
+
+    def lines(batches):
+        for batch in batches:
+            for a in range(0, batch.num_rows, step):
+                part, texts = batch.slice(a, step), []
+                for places, values in zip(part.column(1).to_pylist(), part.column(2).to_pylist(), strict=True):
+                    line = ["0.0"] * n_cols
+                    for c, x in zip(places or [], values or [], strict=True):
+                        line[c] = x
+                    texts.append(",".join(line))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(texts, pa.string())], names=["r", "t"])
+
+    return given.mapInArrow(lines, "r bigint, t string").select("r", F.lit(0).alias("c"), "t")
+
+
 def write_biom_json(triples: DataFrame, otu_ids: DataFrame, sample_ids: DataFrame, path: str, dense: bool = False) -> None:
     """A BIOM 1.0 text of the cells ``(otu_id, sample_id, abundance)`` and both axes (all-zero ones included).
 
@@ -46,11 +69,7 @@ def write_biom_json(triples: DataFrame, otu_ids: DataFrame, sample_ids: DataFram
                            "abundance").join(rows.select(F.col("id").alias("o"), F.col("k").alias("r")), "o").join(
         cols.select(F.col("id").alias("s"), F.col("k").alias("c")), "s").select("r", "c", "abundance")
     if dense:
-        grid = rows.select(F.col("k").alias("r"), F.explode(F.sequence(F.lit(0), F.lit(n_cols - 1))).alias("c"))
-        full = grid.join(cells, ["r", "c"], "left").groupBy("r").agg(F.sort_array(F.collect_list(
-            F.struct("c", F.coalesce("abundance", F.lit(0.0)).alias("x")))).alias("xs"))
-        data = full.select(F.col("r"), F.lit(0).alias("c"), F.array_join(
-            F.transform("xs", lambda x: x["x"].cast("string")), ",").alias("t"))
+        data = dense_lines(rows.select(F.col("k").alias("r")), cells, n_cols)
     else:
         data = cells.select("r", "c", F.concat_ws(",", "r", "c", F.col("abundance").cast("string")).alias("t"))
     first = cells.agg(F.min(F.struct("r", "c")).alias("m")).select("m.r", "m.c").first() if not dense else (0, 0)
