@@ -65,15 +65,15 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
                   k: int = 3, rate: float = 0.1, max_iter: int = 50,
                   schedule: tuple[int, ...] = (1, 9, 40), seed: int = 0, attack: str = "nucl",
                   require_correct: bool = False, y_orig: str | None = None, known: DataFrame | None = None,
-                  start: int = 1) -> DataFrame:
+                  start: int = 1, bt_batches: bool = False) -> DataFrame:
     """Per row, the first try ``1..max_iter`` whose prediction differs from ``y``.
 
     Returns ``(row_id, success_iteration, y_atk)`` for the rows that were broken
     (rows never broken are absent: join back with ``left`` to keep them).
     Rounds grow (``schedule``) because most rows break early: the first round
     tries every row once, later rounds try only the rows still standing.
-    All attacks are scored batch by batch, no text leaves its task; only back-translations (``bt``) under a model of
-    k-mers beyond ``MAX_K`` letters are built per try, then scored. With ``require_correct`` only rows whose
+    ``attack`` is ``nucl`` or ``codon`` (scored batch by batch, no text leaves its task) or ``bt``
+    (with ``bt_batches`` likewise, for k-mers of up to ``MAX_K`` letters; else texts built per try, then scored). With ``require_correct`` only rows whose
     clean prediction ``y_orig`` is right are attacked. With ``known`` the successes
     of the tries before ``start`` are given (``clean_and_first``).
     """
@@ -86,7 +86,7 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
     if known is not None:
         pending = pending.join(known.select(row_id), row_id, "left_anti")
     bounds = round_bounds(max_iter, schedule, start)
-    matrix = weight_matrix(weights, n_classes, k) if attack != "bt" or k <= MAX_K else None
+    matrix = weight_matrix(weights, n_classes, k) if attack != "bt" or bt_batches and k <= MAX_K else None
     for n, (start, end) in enumerate(bounds):
         its = F.sequence(F.lit(start), F.lit(end))
         if matrix is not None:

@@ -222,7 +222,7 @@ def first_successes(spark, sf_dir, attack: str = "nucl"):
     d = dictionary(spark, sf_dir)
     s = labelled_seqs(spark, sf_dir, d)
     return s, A.first_success(s, "dna", "row_id", "y", **scorer(spark, d), rate=RATE, max_iter=MAX_ITER,
-                              seed=SEED, attack=attack, schedule=ROUNDS[attack])
+                              seed=SEED, attack=attack, schedule=ROUNDS[attack], bt_batches=True)
 
 
 @register("w04_attack_50", _q(f"""SELECT b.row_id, b.y, CAST(h.success_iteration AS INTEGER) AS success_iteration, h.y_atk,

@@ -79,7 +79,7 @@ def test_f14_back_translations_are_scored_without_texts(spark, monkeypatch):
     df = materialize(spark.createDataFrame([(i, i % 4, "ACGTNACGTTTAGGACCA" * (1 + i % 7) + "A" * (i % 3)) for i in range(60)],
                                            "row_id bigint, y int, dna string"))
     model = {"weights": rule_weights(spark, 4, 3), "n_classes": 4, "k": 3}
-    args = dict(max_iter=6, schedule=(1, 5), attack="bt")
+    args = dict(max_iter=6, schedule=(1, 5), attack="bt", bt_batches=True)
     scored = sorted(map(tuple, A.first_success(df, "dna", "row_id", "y", **model, **args).collect()))
     monkeypatch.setattr(A, "MAX_K", 0)  # the path of longer k-mers
     built = sorted(map(tuple, A.first_success(df, "dna", "row_id", "y", **model, **args).collect()))
