@@ -19,6 +19,8 @@ State that the reference keeps in driver dictionaries becomes keys:
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,7 +67,7 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
                   k: int = 3, rate: float = 0.1, max_iter: int = 50,
                   schedule: tuple[int, ...] = (1, 9, 40), seed: int = 0, attack: str = "nucl",
                   require_correct: bool = False, y_orig: str | None = None, known: DataFrame | None = None,
-                  start: int = 1, bt_batches: bool = False) -> DataFrame:
+                  start: int = 1, bt_batches: bool = False, prepare: Callable[[Column], Column] | None = None) -> DataFrame:
     """Per row, the first try ``1..max_iter`` whose prediction differs from ``y``.
 
     Returns ``(row_id, success_iteration, y_atk)`` for the rows that were broken
@@ -75,7 +77,8 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
     ``attack`` is ``nucl`` or ``codon`` (scored batch by batch, no text leaves its task) or ``bt``
     (with ``bt_batches`` likewise, for k-mers of up to ``MAX_K`` letters; else texts built per try, then scored). With ``require_correct`` only rows whose
     clean prediction ``y_orig`` is right are attacked. With ``known`` the successes
-    of the tries before ``start`` are given (``clean_and_first``).
+    of the tries before ``start`` are given (``clean_and_first``). ``prepare`` turns the column ``seq`` into the
+    sequences, in each round only for the rows it tries.
     """
     if attack not in ATTACKS:
         raise ValueError(f"unknown attack {attack!r}")
@@ -89,12 +92,13 @@ def first_success(df: DataFrame, seq: str, row_id: str, y: str, weights: DataFra
     matrix = weight_matrix(weights, n_classes, k) if attack != "bt" or bt_batches and k <= MAX_K else None
     for n, (start, end) in enumerate(bounds):
         its = F.sequence(F.lit(start), F.lit(end))
+        rows = pending if prepare is None else pending.withColumn(seq, prepare(F.col(seq)))
         if matrix is not None:
             tries = [(i, rate) for i in range(start, end + 1)]
-            lg = try_logits(pending, seq, row_id, [y], tries, matrix, k, seed, attack=attack).withColumn(
+            lg = try_logits(rows, seq, row_id, [y], tries, matrix, k, seed, attack=attack).withColumn(
                 "iteration", F.col("try") + F.lit(start))
         else:
-            tries = pending.select(row_id, y, F.explode(its).alias("iteration"), seq)
+            tries = rows.select(row_id, y, F.explode(its).alias("iteration"), seq)
             tries = tries.withColumn(seq, mutate(attack, seq, F.col(row_id), F.col("iteration"), rate, seed))
             lg = kmer_logits(tries, seq, [row_id, "iteration", y], weights, n_classes, k)
         hits = lg.select(row_id, "iteration", predict("logits").alias("y_atk"), y).where(

@@ -26,20 +26,25 @@ from .scoring import MAX_K
 
 PIECE = 3 << 18  # characters of a piece, without the overlap: whole codons
 RUN = 1 << 20  # characters worked on together
+TRIED = 1 << 16  # characters tried together: their draws and k-mers stay in the processor's cache over the tries
 GAP = 0x110000  # no character: fills a text up to a whole codon
 CODONS = sorted(CODON_TABLE)  # by number: letters as digits over BASE_ORDER
 
 
 def pieces(df: DataFrame, seq: str, keys: list[str], k: int = 1, size: int = PIECE) -> DataFrame:
     """``(keys, at, piece, last)``: substrings of ``size + k - 1`` characters every ``size``, so that each k-mer lies in
-    exactly one; dealt out by key and piece. An empty or null sequence is one empty piece."""
+    exactly one; dealt out by key and piece. An empty or null sequence is one empty piece.
+
+    The number of partitions is given: few bytes may be much work (a piece is tried many times), so they are not put
+    together by size.
+    """
     s = F.coalesce(F.col(seq), F.lit(""))
     windows = F.greatest(F.length(s) - (k - 1), F.lit(1))
     starts = F.sequence(F.lit(0), (F.floor((windows - 1) / size) * size).cast("int"), F.lit(size))
     cut = df.select(*keys, s.alias("_s"), windows.alias("_n"), F.explode(starts).alias("at"))
     cut = cut.select(*keys, "at", F.substring("_s", F.col("at") + 1, F.lit(size + k - 1)).alias("piece"),
                      (F.col("at") + size >= F.col("_n")).alias("last"))
-    return cut.repartition(*keys, "at")
+    return cut.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys, "at")
 
 
 def weight_matrix(weights: DataFrame, n_classes: int, k: int) -> np.ndarray:
@@ -183,16 +188,15 @@ def runs(lens: np.ndarray, size: int):
     yield from zip(cuts[:-1], cuts[1:], strict=True)
 
 
-def _sums(chars, offsets, weights, k):
-    """Per text and class the sum of the weights of its k-mers."""
-    size = len(weights) - 1
+def _codes(chars: np.ndarray, size: int) -> np.ndarray:
     code = np.full(128, -size, dtype=np.int32)  # any such letter makes the k-mer's number negative
     code[[ord(b) for b in BASE_ORDER]] = np.arange(4)
-    c = code[np.minimum(chars, 127)]
-    n = len(c) - k + 1
-    out = np.zeros((len(offsets) - 1, weights.shape[1]), dtype=np.int64)
-    if n <= 0:
-        return out
+    return code[np.minimum(chars, 127)]
+
+
+def _numbers(c: np.ndarray, offsets: np.ndarray, size: int, k: int) -> np.ndarray:
+    """The number of the k-mer at every letter but the last ``k - 1``; ``size`` for other letters and over a text's end."""
+    n = max(len(c) - k + 1, 0)
     number = np.zeros(n, dtype=np.int32)
     for j in range(k):
         number *= 4
@@ -201,6 +205,14 @@ def _sums(chars, offsets, weights, k):
     for j in range(1, k):  # windows over the end of a text
         over = offsets[1:] - j
         number[over[(over >= 0) & (over < n)]] = size
+    return number
+
+
+def _number_sums(number, offsets, weights):
+    n, size = len(number), len(weights) - 1
+    out = np.zeros((len(offsets) - 1, weights.shape[1]), dtype=np.int64)
+    if not n:
+        return out
     if (size + 1) * len(out) <= 2 * n:  # k-mers counted per text
         owner = np.repeat(np.arange(len(out), dtype=np.int64) * (size + 1), np.diff(np.minimum(offsets, n)))
         counts = np.bincount(owner + number, minlength=(size + 1) * len(out))
@@ -211,6 +223,56 @@ def _sums(chars, offsets, weights, k):
     return out
 
 
+def _sums(chars, offsets, weights, k):
+    """Per text and class the sum of the weights of its k-mers."""
+    size = len(weights) - 1
+    return _number_sums(_numbers(_codes(chars, size), offsets, size, k), offsets, weights)
+
+
+class Clean:
+    """The k-mers of clean texts, and the sums of tries that replace some letters: only k-mers over a replaced letter are
+    counted anew."""
+
+    def __init__(self, chars: np.ndarray, offsets: np.ndarray, weights: np.ndarray, k: int):
+        self.chars, self.offsets, self.weights, self.k = chars, offsets, weights, k
+        self.size = len(weights) - 1
+        self.code = _codes(chars, self.size)
+        self.number = _numbers(self.code, offsets, self.size, k)
+        n = len(self.number)
+        self.counts = None
+        if (self.size + 1) * (len(offsets) - 1) <= 2 * n:  # else the counts are larger than the texts
+            self.own = np.repeat(np.arange(len(offsets) - 1, dtype=np.int64) * (self.size + 1),
+                                 np.diff(np.minimum(offsets, n)))
+            self.counts = np.bincount(self.own + self.number, minlength=(self.size + 1) * (len(offsets) - 1))
+        self.inside = np.ones(n, dtype=bool)
+        for j in range(1, k):
+            over = offsets[1:] - j
+            self.inside[over[(over >= 0) & (over < n)]] = False
+
+    def sums_of(self, new: np.ndarray) -> np.ndarray:
+        n, k = len(self.number), self.k
+        if self.counts is None:
+            return _sums(new, self.offsets, self.weights, k)
+        counts = self.counts
+        other = np.flatnonzero(new != self.chars)
+        if len(other):
+            code = self.code.copy()
+            code[other] = _codes(new[other], self.size)
+            mark = np.zeros(len(new) + k - 1, dtype=bool)  # window i is marked at i + k - 1, its last letter
+            for j in range(k):
+                mark[other + j] = True
+            at = np.flatnonzero(mark[k - 1:k - 1 + n] & self.inside)
+            number = code[at]
+            for j in range(1, k):
+                number *= 4
+                number += code[at + j]
+            number[number < 0] = self.size
+            own = self.own[at]
+            counts = counts + np.bincount(own + number, minlength=len(counts))
+            counts -= np.bincount(own + self.number[at], minlength=len(counts))
+        return counts.reshape(-1, self.size + 1) @ self.weights
+
+
 def _tries(ids: pa.Array, at: pa.Array, texts: pa.Array, tries, weights, k, seed, size, digest, attack="nucl"):
     """Struct array ``(sums, digests)`` of a batch of pieces: T * C numbers and T * 16 bytes a piece."""
     n_classes, n = weights.shape[1], len(texts)
@@ -218,7 +280,7 @@ def _tries(ids: pa.Array, at: pa.Array, texts: pa.Array, tries, weights, k, seed
     sums = np.zeros((n, len(tries), n_classes), dtype=np.int64)
     digests = [[b""] * len(tries) for _ in range(n)]
     lens = np.asarray(pa.compute.utf8_length(texts), dtype=np.int64)
-    for a, b in runs(lens, RUN):
+    for a, b in runs(lens, min(RUN, TRIED)):
         chars, offsets = characters(texts.slice(a, b - a))
         if attack == "nucl":
             count = lens[a:b]
@@ -227,6 +289,7 @@ def _tries(ids: pa.Array, at: pa.Array, texts: pa.Array, tries, weights, k, seed
             count, place = codon_places(offsets, at[a:b])
         known = np.repeat(draw_sum(ids[a:b], 0, 0, seed), count) + draw_sum(0, 0, place)
         number = codon_numbers(chars, offsets) if attack == "bt" else None
+        clean = Clean(chars, offsets, weights, k) if attack != "bt" else None
         drawn: dict[int, np.ndarray] = {}
         for t, (iteration, rate) in enumerate(tries):
             new, ends = chars, offsets
@@ -239,7 +302,7 @@ def _tries(ids: pa.Array, at: pa.Array, texts: pa.Array, tries, weights, k, seed
                     new = codons_mutated(chars, offsets, drawn[iteration], rate)
                 else:
                     new = mutated(chars, drawn[iteration], rate)
-            sums[a:b, t] = _sums(new, ends, weights, k)
+            sums[a:b, t] = _sums(new, ends, weights, k) if clean is None else clean.sums_of(new)
             if digest:
                 for i, text in enumerate(split_text(new, offsets)):
                     digests[a + i][t] = hashlib.md5(text[:size].encode()).digest()

@@ -39,9 +39,9 @@ def dictionary(spark, sf_dir):
     return materialize(train_dictionary(spark, sf_dir), "dictionary")
 
 
-def labelled_seqs(spark, sf_dir, d=None):
-    """``(row_id, dna, y, split)`` with the strict label encoding."""
-    s = S.seqs(spark, sf_dir)
+def labelled_seqs(spark, sf_dir, d=None, raw: bool = False):
+    """``(row_id, dna, y, split)`` with the strict label encoding (J1); with ``raw`` the texts as ``dna``."""
+    s = S.seqs(spark, sf_dir, raw=raw)
     return L.encode_strict(s, dictionary(spark, sf_dir) if d is None else d, "label_name").drop("label_name")
 
 
@@ -66,10 +66,12 @@ def clean_scores(s, model):
 
 def attacked(spark, sf_dir):
     """The attack over all tries: sequences, clean scores, first successes, and the state at each snapshot."""
-    s, model = victim(spark, sf_dir)
+    d = dictionary(spark, sf_dir)
+    s, model = labelled_seqs(spark, sf_dir, d), scorer(spark, d)
     clean, first = A.clean_and_first(s, "dna", "row_id", "y", **model, rate=RATE, seed=SEED)
-    found = A.first_success(s, "dna", "row_id", "y", **model, rate=RATE, max_iter=MAX_ITER, seed=SEED,
-                            schedule=ROUNDS["nucl"][1:], known=first, start=2)
+    found = A.first_success(labelled_seqs(spark, sf_dir, d, raw=True), "dna", "row_id", "y", **model, rate=RATE,
+                            max_iter=MAX_ITER, seed=SEED, schedule=ROUNDS["nucl"][1:], known=first, start=2,
+                            prepare=S.text_to_dna)
     return s, clean, found, A.states(clean, found, intervals=SNAPSHOTS)
 
 
@@ -220,9 +222,10 @@ def a16_attack_success_rate(spark, sf_dir):
 
 def first_successes(spark, sf_dir, attack: str = "nucl"):
     d = dictionary(spark, sf_dir)
-    s = labelled_seqs(spark, sf_dir, d)
-    return s, A.first_success(s, "dna", "row_id", "y", **scorer(spark, d), rate=RATE, max_iter=MAX_ITER,
-                              seed=SEED, attack=attack, schedule=ROUNDS[attack], bt_batches=True)
+    found = A.first_success(labelled_seqs(spark, sf_dir, d, raw=True), "dna", "row_id", "y", **scorer(spark, d), rate=RATE,
+                            max_iter=MAX_ITER, seed=SEED, attack=attack, schedule=ROUNDS[attack], bt_batches=True,
+                            prepare=S.text_to_dna)
+    return labelled_seqs(spark, sf_dir, d), found
 
 
 @register("w04_attack_50", _q(f"""SELECT b.row_id, b.y, CAST(h.success_iteration AS INTEGER) AS success_iteration, h.y_atk,
