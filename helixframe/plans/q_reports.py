@@ -9,7 +9,7 @@ from ..operators import frames as FR
 from ..operators import labels as L
 from ..operators import metrics as X
 from ..operators import tokens as T
-from ..session import shared_path
+from ..session import materialize, shared_path
 from ..sources import readers, sinks
 from ..sources import standins as S
 from . import q_attack as QA
@@ -121,12 +121,13 @@ UNION ALL SELECT form, 'axis', kind, CAST(n AS DOUBLE) FROM (SELECT 'rows' AS ki
 def s04_biom(spark, sf_dir):
     """The abundance table written as a sparse and as a dense BIOM text, and read back; all-zero samples stay."""
     otu = S.otu(spark, sf_dir)
-    cells = otu.select("otu_id", F.col("sample_name").alias("sample_id"), "abundance")
+    cells = materialize(otu.select("otu_id", F.col("sample_name").alias("sample_id"), "abundance"), "otu")
+    frames = (cells.where("abundance <> 0"), cells.select("otu_id").distinct(), cells.select("sample_id").distinct())
+    matrix = sinks.biom_matrix(*frames)
     out = None
     for form in ("sparse", "dense"):
         path = shared_path(spark, form)
-        sinks.write_biom_json(cells.where("abundance <> 0"), cells.select("otu_id").distinct(),
-                              cells.select("sample_id").distinct(), path, dense=form == "dense")
+        sinks.write_biom_json(*frames, path, dense=form == "dense", compression="lz4", matrix=matrix)
         triples, rows, cols = readers.read_biom_json(spark, path)
         back = triples.withColumnRenamed("sample_id", "sample_name")
         for name, axis in (("rows", rows), ("columns", cols)):

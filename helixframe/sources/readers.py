@@ -7,10 +7,12 @@ names, and rows get a unique ``row_id``.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.labels import numbered
+from ..session import materialize
+from .number_lists import CELLS, LISTS, list_cells, number_lists
 
 # The text spellings pandas' CSV reader treats as missing.
 NA_STRINGS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
@@ -74,25 +76,25 @@ def read_wide_embeddings(spark: SparkSession, path: str, dim: int = 768, key: st
     return raw.select(key, F.col(weight).cast("double").alias(weight), emb.alias("emb"))
 
 
-# A BIOM 1.0 file is one JSON text. It is read as records between closing brackets, which Spark's text source deals
-# out by byte ranges, so many tasks read one file and no task holds it: a cell of the sparse form, a row of the dense form
-# and a list inside an axis entry's metadata are a record each.
+# A BIOM 1.0 text is read as records between closing brackets, which Spark's text source deals out by byte ranges (of a
+# compressed text: by its parts), so many tasks read one text and no task holds it: a cell of the sparse form, a row of the
+# dense form and a list inside an axis entry's metadata are a record each.
 _KEY = r'(?s)^.*(?<!\\)"%s"\s*:\s*\['
-_NUMBERS = r"^\s*,?\s*\[([-+0-9.eE,\s]*)$"
 _ID = r'\{\s*"id"\s*:\s*("(?:[^"\\]|\\.)*")'
 
 _CUT_ID = r'\{\s*"id"\s*:\s*"(?:[^"\\]|\\.)*$'
 
 
 def _biom_records(spark: SparkSession, path: str) -> DataFrame:
-    """``(value, at)``: the texts between closing brackets with their place in the file's order."""
+    """``(value, at)``: the texts between closing brackets with their place in the file's order (a folder's files by name)."""
     raw = spark.read.option("lineSep", "]").text(path)
-    return raw.select("value", F.struct(F.col("_metadata.file_block_start").alias("block"),
+    return raw.select("value", F.struct(F.col("_metadata.file_path").alias("file"),
+                                        F.col("_metadata.file_block_start").alias("block"),
                                         F.monotonically_increasing_id().alias("line")).alias("at"))
 
 
 def _place(at) -> Column:
-    return F.struct(F.lit(at["block"]).alias("block"), F.lit(at["line"]).alias("line"))
+    return F.struct(*[F.lit(at[k]).alias(k) for k in ("file", "block", "line", "sub")])
 
 
 def _axis(records: DataFrame, name: str, marks: dict, n: int | None) -> DataFrame:
@@ -103,10 +105,14 @@ def _axis(records: DataFrame, name: str, marks: dict, n: int | None) -> DataFram
     if later:
         inside &= F.col("at") < _place(min(later))
     body = F.when(F.col("at") == _place(begin), F.regexp_replace("value", _KEY % name, "")).otherwise(F.col("value"))
-    entries = records.where(inside)
-    if not entries.where(body.rlike(_CUT_ID)).isEmpty():
+    # few and long records: dealt out anew, and looked through once
+    spark = records.sparkSession
+    entries = records.where(inside).repartition(spark.sparkContext.defaultParallelism, "at")
+    entries = materialize(entries.select("at", F.regexp_extract_all(body, F.lit(_ID), 1).alias("q"),
+                                         body.rlike(_CUT_ID).alias("cut")), name)
+    if not entries.where("cut").isEmpty():
         raise ValueError(f"{name}: an id holds a closing bracket, which separates the records")
-    ids = entries.select("at", F.posexplode(F.regexp_extract_all(body, F.lit(_ID), 1)).alias("k", "q"))
+    ids = entries.select("at", F.posexplode("q").alias("k", "q"))
     ids = ids.select("at", "k", F.get_json_object(F.concat(F.lit('{"x":'), "q", F.lit("}")), "$.x").alias("id"))
     axis = numbered(ids, [F.col("at"), F.col("k")], "place").select("place", "id")
     if n is not None and axis.count() != n:
@@ -123,32 +129,36 @@ def read_biom_json(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     without ``data``, ``rows`` or ``columns``, of another matrix type (sparse if none is named), or whose axes differ
     from its shape, if it has one, raises.
     """
-    records = _biom_records(spark, path)
+    # one pass over the text, however long its lists of zeros are: what is kept are other records and the non-zero numbers
+    read = _biom_records(spark, path).select("value", "at.*").mapInArrow(number_lists, LISTS)
+    read = materialize(read, "biom").withColumn("at", F.struct("file", "block", "line", "sub"))
+    records = read.where("value IS NOT NULL").select("value", "at")
     v = F.col("value")
+    has = lambda key, found: F.when(v.contains(f'"{key}"'), found)  # noqa: E731  (an axis' text is long to search by pattern)
     kind = F.regexp_extract(v, r'(?<!\\)"matrix_type"\s*:\s*"(\w+)"', 1)
     size = lambda i: F.regexp_extract(v, r'(?s)(?<!\\)"shape"\s*:\s*\[\s*(\d+)\s*,\s*(\d+)\s*$', i)
-    marks = records.agg(*[F.min(F.when(v.rlike(_KEY % m), F.col("at"))).alias(m) for m in ("rows", "columns", "data")],
-                        F.max(kind).alias("kind"), F.max(size(1)).alias("r"), F.max(size(2)).alias("c")).first().asDict()
+    marks = records.agg(*[F.min(has(m, F.when(v.rlike(_KEY % m), F.col("at")))).alias(m) for m in ("rows", "columns", "data")],
+                        F.coalesce(F.max(has("matrix_type", kind)), F.lit("")).alias("kind"), F.max(has("shape", size(1))).alias("r"),
+                        F.max(has("shape", size(2))).alias("c")).first().asDict()
     missing = [m for m in ("rows", "columns", "data") if not marks[m]]
     if missing or marks["kind"] not in ("sparse", "dense", ""):
         raise ValueError(f"not a BIOM 1.0 text: without {missing}, matrix type {marks['kind']!r}")
     rows, cols = (_axis(records, m, marks, int(marks[n]) if marks[n] else None) for m, n in (("rows", "r"), ("columns", "c")))
-    begin = _place(marks["data"])
-    body = F.when(F.col("at") == begin, F.regexp_replace("value", _KEY % "data", "")).otherwise(v)
-    lists = records.where(F.col("at") >= begin).select("at", body.alias("body"))
-    end = lists.where(~F.col("body").rlike(_NUMBERS)).agg(F.min("at").alias("end")).first()["end"]
+    begin, dense = _place(marks["data"]), marks["kind"] == "dense"
+    lists = read.where(F.col("n").isNotNull() & (F.col("at") > begin))
+    end = records.where(F.col("at") > begin).agg(F.min("at").alias("end")).first()["end"]
     lists = lists.where(F.col("at") < _place(end)) if end else lists
-    numbers = F.split(F.regexp_extract("body", _NUMBERS, 1), ",")
-    if marks["kind"] != "dense":
-        cell = lists.select(numbers.alias("n"))
-        cells = cell.select(F.trim(F.col("n")[0]).cast("int").alias("r"), F.trim(F.col("n")[1]).cast("int").alias("c"),
-                            F.trim(F.col("n")[2]).cast("double").alias("abundance"))
-    else:
-        # the lines are numbered as texts and split afterwards: a list of a line's numbers is many times its size
-        lines = numbered(lists.select("at", "body"), [F.col("at")], "r")
-        cells = lines.select("r", F.posexplode(numbers).alias("c", "x")).select(
-            "r", "c", F.trim("x").cast("double").alias("abundance"))
-    cells = cells.where("abundance != 0")
+    if not dense and not lists.where("least < 3").isEmpty():
+        raise ValueError("data: a sparse cell is not of the form [row, column, value]")
+    # a run's first list is numbered by the lists of its file's block before it and those of all blocks before
+    block = lists.groupBy("file", "block").agg(F.sum("n").alias("_n"))
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    block = block.select("file", "block", F.coalesce(F.sum("_n").over(earlier(Window.orderBy("file", "block"))),
+                                                     F.lit(0)).alias("_before"))  # one row per block of the text
+    within = F.coalesce(F.sum("n").over(earlier(Window.partitionBy("file", "block").orderBy("line", "sub"))), F.lit(0))
+    lists = lists.withColumn("_within", within).join(F.broadcast(block), ["file", "block"])
+    cells = lists.select((F.col("_within") + F.col("_before")).alias("first"), "counts", "places", "numbers")
+    cells = cells.mapInArrow(list_cells(dense), CELLS)
     triples = cells.join(rows.select(F.col("place").alias("r"), F.col("id").alias("otu_id")), "r").join(
         cols.select(F.col("place").alias("c"), F.col("id").alias("sample_id")), "c")
     return (triples.select("otu_id", "sample_id", "abundance"), rows.select(F.col("id").alias("otu_id")),
